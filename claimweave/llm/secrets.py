@@ -107,7 +107,8 @@ def secrets_by_document(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> Dat
     ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"))))
     hits = scanned.where(F.size("spans") > 0).select("blob", ordered.alias("spans"))
     base = F.filter("spans", lambda s: s["rank"] < len(BASE))
-    counts = [F.size(F.filter("spans", lambda s, i=i: s["rank"] == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(BASE)]
+    of_rank = lambda i: F.size(F.filter("spans", lambda s: s["rank"] == i)).cast("long")
+    counts = [of_rank(i).alias(f"n_{r.kind}") for i, r in enumerate(BASE)]
     hits = hits.select("blob", *counts, F.sha2(_joined(base, rules), 256).alias("base_sha256"), _joined(F.col("spans"), rules).alias("spans"))
     zero = {f"n_{r.kind}": 0 for r in BASE} | {"spans": ""}
     return paths.join(hits, "blob", "left").drop("blob").fillna(zero).withColumn("base_sha256", F.coalesce("base_sha256", F.sha2(F.lit(""), 256)))
