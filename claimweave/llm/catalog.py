@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimweave.llm import chat, fingerprint, secrets
+from claimweave.llm import chat, fingerprint, langid, secrets, toxicity
 from claimweave.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,8 @@ def queries() -> dict[str, Query]:
         "op1_chat_formatting": lambda spark, sf_dir: chat.format_conversations(read(spark, sf_dir, "conversations")),
         "op4_secret_scan": _documents(secrets.secrets_by_document),
         "op5_fingerprint": _documents(fingerprint.fingerprint_edits),
+        "op6_language_id": langid.language_id,
+        "op7_toxicity": toxicity.toxicity,
     }
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,3 +20,9 @@ def text_or_empty(column: str = "text") -> Column:
 def mod_of_crc(column: str, modulus: int) -> Column:
     """crc32 of a column written as text, modulo ``modulus``; a null counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def slices(rows: list[tuple], columns: list[str], size: int = 20_000) -> Iterator[pd.DataFrame]:
+    """The rows as frames of at most ``size`` rows; none for no rows."""
+    for i in range(0, len(rows), size):
+        yield pd.DataFrame(rows[i : i + size], columns=columns)
