@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimweave.llm import chat, fingerprint, langid, secrets, toxicity
+from claimweave.llm import chat, fingerprint, langid, neardup, secrets, toxicity
 from claimweave.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,7 @@ def queries() -> dict[str, Query]:
         "op5_fingerprint": _documents(fingerprint.fingerprint_edits),
         "op6_language_id": langid.language_id,
         "op7_toxicity": toxicity.toxicity,
+        "op8_near_duplicates": _documents(neardup.near_duplicates_op8),
     }
 
 
