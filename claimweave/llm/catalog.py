@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimweave.llm import chat, fingerprint, langid, neardup, secrets, toxicity
+from claimweave.llm import bpe, chat, fingerprint, langid, neardup, secrets, toxicity
 from claimweave.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,7 @@ def _documents(operator: Callable[[DataFrame], DataFrame]) -> Query:
 def queries() -> dict[str, Query]:
     return {
         "op1_chat_formatting": lambda spark, sf_dir: chat.format_conversations(read(spark, sf_dir, "conversations")),
+        "op3_bpe": _documents(bpe.encode_all),
         "op4_secret_scan": _documents(secrets.secrets_by_document),
         "op5_fingerprint": _documents(fingerprint.fingerprint_edits),
         "op6_language_id": langid.language_id,
