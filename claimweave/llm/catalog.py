@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimweave.llm import bpe, chat, fingerprint, langid, neardup, secrets, toxicity
+from claimweave.llm import bpe, chat, decontaminate, fingerprint, langid, neardup, secrets, toxicity
 from claimweave.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,8 +25,9 @@ def queries() -> dict[str, Query]:
         "op6_language_id": langid.language_id,
         "op7_toxicity": toxicity.toxicity,
         "op8_near_duplicates": _documents(neardup.near_duplicates_op8),
+        "op9_decontamination": lambda spark, sf_dir: decontaminate.contained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": chat.ORACLE_SQL, "op4_secret_scan": secrets.ORACLE_SQL}
+    return {"op1_chat_formatting": chat.ORACLE_SQL, "op4_secret_scan": secrets.ORACLE_SQL, "op9_decontamination": decontaminate.ORACLE_SQL}
