@@ -176,9 +176,9 @@ RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
-    """The digests of RESULT for every row; with ``keep_ids`` also the ids, as text, and the decoded text."""
+    """The digests of RESULT for every row; with ``keep_ids`` also the ids, as text."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    schema = RESULT + (", ids string, decoded string" if keep_ids else "")
+    schema = RESULT + (", ids string" if keep_ids else "")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = coder(path)
@@ -216,8 +216,8 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False) -> Data
                 joined = " ".join(ids)
                 decoded = " ".join(names) if own.plain else own.tokenizer.decode([int(i) for i in joined.split()], skip_special_tokens=False)
                 row = (joined.count(" ") + 1 if joined else 0, sha256(joined.encode()).hexdigest(), sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
-                out.append((*row, joined, decoded) if keep_ids else row)
-            frame = pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep_ids else [])])
+                out.append((*row, joined) if keep_ids else row)
+            frame = pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep_ids else [])])
             frame.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield frame
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimweave.llm import bpe, chat, decontaminate, fingerprint, langid, linededup, neardup, secrets, toxicity
+from claimweave.llm import bpe, chat, decontaminate, fingerprint, langid, licenses, linededup, neardup, secrets, toxicity
 from claimweave.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,7 @@ def _documents(operator: Callable[[DataFrame], DataFrame]) -> Query:
 def queries() -> dict[str, Query]:
     return {
         "op1_chat_formatting": lambda spark, sf_dir: chat.format_conversations(read(spark, sf_dir, "conversations")),
+        "op2_license_scan": _documents(licenses.license_scan),
         "op3_bpe": _documents(bpe.encode_all),
         "op4_secret_scan": _documents(secrets.secrets_by_document),
         "op5_fingerprint": _documents(fingerprint.fingerprint_edits),
@@ -31,4 +32,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": chat.ORACLE_SQL, "op4_secret_scan": secrets.ORACLE_SQL, "op9_decontamination": decontaminate.ORACLE_SQL}
+    return {"op1_chat_formatting": chat.ORACLE_SQL, "op2_license_scan": licenses.ORACLE_SQL, "op4_secret_scan": secrets.ORACLE_SQL, "op9_decontamination": decontaminate.ORACLE_SQL}
