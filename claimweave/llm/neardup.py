@@ -7,7 +7,7 @@
    the threshold is under MISS, given the matches seen so far (uniform prior).
 3. Of the pairs that remain in a bucket, a maximum spanning forest by estimated similarity is
    verified on full shingle sets; links join components. Pairs that were verified and failed are
-   remembered; rounds go on, with four times as many pairs for any two components each time, until
+   remembered; rounds go on, with more pairs for any two components each time, until
    no untested pair is left between two components in any bucket. So few more links are tested
    than are needed, and the components are those of testing all pairs.
 
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from claimweave.llm.components import components
 from claimweave.session import materialize, shuffle_partitions
 
-BATCH, MISS, BLOCK, PART_BYTES = 16, 1e-9, 1024, 1_500_000
+BATCH, MISS, BLOCK, PART_BYTES = 16, 1e-6, 1024, 1_500_000
 _M = np.uint64(0xD6E8FEB86659FD93)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -177,85 +177,103 @@ def least_matches(permutations: int, threshold: float) -> tuple[int, ...]:
     return tuple(out)
 
 
-def _compare(sig: np.ndarray, comp: np.ndarray, ids: np.ndarray, failed: dict[int, list[int]], width: int, s: Settings) -> list[tuple[int, int]]:
-    """Untested pairs of different components that survive the pruning, the most similar first.
+def _survivors(sig: np.ndarray, group: np.ndarray, comp: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j) of rows of one group and different components that aren't pruned, and their matches.
 
-    Width 0 gives a maximum spanning forest; else at most ``width`` pairs for any two components."""
-    found = []
+    All groups are compared at once: each row with the d-th row behind it, for rising d."""
     limits = least_matches(s.permutations, s.threshold)
-    for i in range(len(sig) - 1):
-        rest = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
-        hits = np.zeros(len(rest), np.int32)
+    left, right, matches = [], [], []
+    at = np.arange(len(group))
+    d = 1
+    while True:
+        at = at[at + d < len(group)]
+        at = at[group[at] == group[at + d]]
+        if not len(at):
+            break
+        i = at[comp[at] != comp[at + d]]
+        hits = np.zeros(len(i), np.int32)
         for step, limit in enumerate(limits):
-            if not len(rest):
+            if not len(i):
                 break
             part = slice(step * BATCH, (step + 1) * BATCH)
-            hits = hits + (sig[rest, part] == sig[i, part]).sum(1)
+            hits = hits + (sig[i, part] == sig[i + d, part]).sum(1)
             stay = hits >= limit
-            rest, hits = rest[stay], hits[stay]
-        found += [(-int(h), i, int(j)) for h, j in zip(hits, rest)]
-    parent: dict[int, int] = {}
+            i, hits = i[stay], hits[stay]
+        left.append(i)
+        right.append(i + d)
+        matches.append(hits)
+        d += 1
+    if not left:
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    return np.concatenate(left), np.concatenate(right), np.concatenate(matches)
+
+
+def _choose(rows: dict[str, np.ndarray], failed: dict[int, set[int]], width: int, s: Settings) -> set[tuple[int, int]]:
+    """Untested pairs of different components of a group, the most similar first.
+
+    Width 0 gives a maximum spanning forest of each group; else at most ``width`` pairs for any two components."""
+    ids, group = rows["doc_id"], rows["group"]
+    i, j, hits = _survivors(rows["sig"], group, rows["comp"], s)
+    by = np.argsort(-hits, kind="stable")
+    i, j = i[by], j[by]
+    label = np.unique(np.stack((group, rows["comp"])), axis=1, return_inverse=True)[1].reshape(-1) if len(ids) else group
+    members: dict[int, list[int]] = {}
+    for at, x in enumerate(label.tolist()):
+        members.setdefault(x, []).append(at)
     taken: dict[tuple[int, int], int] = {}
-
-    def root(x: int) -> int:
-        while parent.get(x, x) != x:
-            parent[x] = x = parent.get(parent[x], parent[x])
-        return x
-
-    out = []
-    for _, i, j in sorted(found):
-        pair = (int(min(ids[i], ids[j])), int(max(ids[i], ids[j])))
-        if pair[1] in failed.get(pair[0], ()):
-            continue
-        a, b = root(int(comp[i])), root(int(comp[j]))
-        if width == 0 and a != b:
-            parent[a] = b
-            out.append(pair)
-        elif width and taken.get((min(a, b), max(a, b)), 0) < width:
-            taken[min(a, b), max(a, b)] = taken.get((min(a, b), max(a, b)), 0) + 1
-            out.append(pair)
+    out: set[tuple[int, int]] = set()
+    for start in range(0, len(i), 4096):
+        a, b = i[start : start + 4096], j[start : start + 4096]
+        apart = label[a] != label[b]
+        for x, y in zip(a[apart].tolist(), b[apart].tolist()):
+            p, q = int(label[x]), int(label[y])
+            if p == q:
+                continue
+            pair = (int(min(ids[x], ids[y])), int(max(ids[x], ids[y])))
+            if pair[1] in failed.get(pair[0], ()):
+                continue
+            if width == 0:
+                out.add(pair)
+                if len(members[p]) < len(members[q]):
+                    p, q = q, p
+                label[members[q]] = p
+                members[p] += members.pop(q)
+            else:
+                ends = (min(p, q), max(p, q))
+                if taken.get(ends, 0) < width:
+                    taken[ends] = taken.get(ends, 0) + 1
+                    out.add(pair)
     return out
 
 
 def _pairs(width: int, s: Settings):
-    """Over rows sorted by (band, key, block): the pairs of each block. A block is held whole, no more."""
+    """Over rows sorted by (band, key, block): the pairs of each block. Rows of a block that a batch ends in wait for the next."""
     where = ["band", "key", "block"]
 
-    def block(rows: pd.DataFrame, out: set[tuple[int, int]]) -> None:
-        rows = rows.drop_duplicates("doc_id")
-        if len(rows) < 2:
-            return
-        ids = rows["doc_id"].to_numpy()
-        sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1)
-        failed = {int(a): set(x) for a, x in zip(ids, rows["failed"]) if x is not None}
-        out.update(_compare(sig, rows["comp"].to_numpy(), ids, failed, width, s))
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        out: set[tuple[int, int]] = set()
+        held: pd.DataFrame | None = None
+
+        def pairs(rows: pd.DataFrame) -> pd.DataFrame:
+            keys = rows[where].to_numpy()
+            rows = rows.assign(group=np.concatenate(([0], np.cumsum((keys[1:] != keys[:-1]).any(axis=1)))))
+            rows = rows.drop_duplicates(["group", "doc_id"])
+            arrays = {c: rows[c].to_numpy() for c in ("doc_id", "group", "comp")}
+            arrays["sig"] = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1)
+            failed = {int(a): set(x) for a, x in zip(rows["doc_id"], rows["failed"]) if x is not None}
+            return pd.DataFrame(sorted(_choose(arrays, failed, width, s)), columns=["a", "b"], dtype="int64")
+
         for batch in batches:
             if not len(batch):
                 continue
-            at = batch[where].to_numpy()
-            if held and (held[-1][where].to_numpy()[-1] != at[0]).any():
-                block(pd.concat(held), out)
-                held = []
-            edges = np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1
-            cuts = [0, *edges.tolist(), len(batch)]
-            for i, j in zip(cuts, cuts[1:]):
-                piece = batch.iloc[i:j]
-                if j < len(batch):
-                    block(pd.concat([*held, piece]) if held else piece, out)
-                    held = []
-                else:
-                    held.append(piece)
-            if len(out) > 50_000:
-                yield pd.DataFrame(sorted(out), columns=["a", "b"])
-                out = set()
-        if held:
-            block(pd.concat(held), out)
-        if out:
-            yield pd.DataFrame(sorted(out), columns=["a", "b"])
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            keys = rows[where].to_numpy()
+            last = (keys == keys[-1]).all(axis=1)
+            held = rows[last]
+            if not last.all():
+                yield pairs(rows[~last])
+        if held is not None:
+            yield pairs(held)
 
     return run
 
@@ -342,7 +360,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         checked = materialize(exact_links(found, texts, s), "checked")
         tested = checked if tested is None else tested.unionByName(checked)
         comp = materialize(components(tested.where("linked")).withColumnRenamed("node", "doc_id"), "components")
-        width = 4 * width or 1
+        width = 16 * width or 8
 
     label = classes if comp is None else classes.join(comp.withColumnRenamed("doc_id", "rep"), "rep", "left")
     label = label.select("set_key", (F.col("rep") if comp is None else F.coalesce("component", "rep")).alias("component_id"))
