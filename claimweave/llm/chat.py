@@ -46,7 +46,7 @@ def fold(events: DataFrame) -> DataFrame:
     live = F.expr("IF(last = 0, log, slice(log, last, size(log) - last + 1))")
     folded = logs.withColumn("last", last).withColumn("live", live).where("last = 0 OR log[last - 1].kind != 'delete'")
     text = F.expr("concat_ws('', transform(live, e -> IF(e.kind = 'regenerate', '', e.text)))")
-    role = F.expr("coalesce(element_at(filter(log, e -> e.named), -1).role, '')")
+    role = F.expr("coalesce(try_element_at(filter(log, e -> e.named), -1).role, '')")
     return folded.select("conv_id", F.col("log")[0]["seq"].alias("seq"), role.alias("role"), text.alias("text"))
 
 
