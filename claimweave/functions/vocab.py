@@ -135,7 +135,8 @@ def enum(value: Column, aliases: dict[str, tuple[str, ...]], fallback: str = "un
 
 def clamp(value: Column) -> Column:
     """A number within 0 to 1; what isn't a number is 0.3."""
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value.try_cast("double"))), F.lit(0.3))
+    number = value.try_cast("double")
+    return F.when(number.isNull(), 0.3).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)))
 
 
 def non_mammalian(organism: Column) -> Column:

@@ -49,7 +49,7 @@ ADJUDICATED = """SELECT *, round(q * 0.35::DOUBLE + v * 0.3::DOUBLE + d * 0.15::
  CASE WHEN coalesce(verification_score, 0) = 0 THEN 0.4::DOUBLE ELSE verification_score END AS v, CASE WHEN coalesce(snippet, '') <> '' THEN 0.85::DOUBLE ELSE 0.3::DOUBLE END AS d,
  0.1::DOUBLE + CASE WHEN norm_organism IS NOT NULL THEN 0.1::DOUBLE ELSE 0::DOUBLE END + CASE WHEN norm_tissue IS NOT NULL THEN 0.1::DOUBLE ELSE 0::DOUBLE END + CASE WHEN norm_condition IS NOT NULL THEN 0.1::DOUBLE ELSE 0::DOUBLE END AS c,
  CASE WHEN year >= 2022 THEN 1.0::DOUBLE WHEN year >= 2018 THEN 0.8::DOUBLE WHEN year >= 2010 THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END AS r FROM {contexts} x) y"""
-SUMMARY = """SELECT interaction_id, CAST(count(*) AS BIGINT) AS n, round(sum(CAST(round(adjudication_score * 10000) AS BIGINT)) / (count(*) * 10000.0::DOUBLE), 4) AS mean_score, round(max(adjudication_score), 4) AS max_score, round(sum(CAST(round(coalesce(verification_score, 0) * 10000) AS BIGINT)) / (count(*) * 10000.0::DOUBLE), 4) AS mean_verification,
+SUMMARY = """SELECT interaction_id, CAST(count(*) AS BIGINT) AS n, floor((sum(CAST(round(adjudication_score * 10000) AS BIGINT)) + count(*) / 2.0::DOUBLE) / count(*)) / 10000.0::DOUBLE AS mean_score, round(max(adjudication_score), 4) AS max_score, floor((sum(CAST(round(coalesce(verification_score, 0) * 10000) AS BIGINT)) + count(*) / 2.0::DOUBLE) / count(*)) / 10000.0::DOUBLE AS mean_verification,
  list_sort(list_distinct(list(ctx) FILTER (WHERE ctx IS NOT NULL))) AS contexts, arg_min(paper_id, struct_pack(a := -adjudication_score, b := id)) AS best_paper_id
  FROM (SELECT *, nullif(concat_ws('|', norm_organism, norm_tissue, norm_condition), '') AS ctx FROM {adjudicated}) q GROUP BY interaction_id"""
 EV = {"contexts": CONTEXTS, "adjudicated": ADJUDICATED, "summary": SUMMARY}
