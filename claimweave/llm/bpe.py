@@ -55,7 +55,7 @@ def cuts(raw: bytes) -> list[int]:
 
 
 def chunks(text: str) -> list[bytes]:
-    raw = text.encode("utf-8", "surrogatepass")
+    raw = (text or "").encode("utf-8", "surrogatepass")
     at = [0, *cuts(raw), len(raw)]
     return [raw[i:j] for i, j in zip(at, at[1:]) if j > i]
 

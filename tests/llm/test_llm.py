@@ -263,7 +263,7 @@ def test_contamination_equals_brute_force(spark):
 
 def test_licenses(spark):
     files = spark.createDataFrame([
-        ("a/LICENSE", "Licensed under the Apache License, Version 2.0."), ("a/b/c/x.py", "code only"), ("a/b/y.py", "words\nReleased under the MIT License.\nwords"),
+        ("a/LICENSE", "Licensed under the Apache License, Version 2.0."), ("a/b/c/x.py", "code only"), ("a/b/y.py", "words " * 40 + "\nReleased under the MIT License.\nwords"),
         ("q/z.py", "nothing"), ("q/empty", None), (None, "Released under the MIT License."), ("top", ""), ("a/long", "word " * 9000 + "\nLicensed under CC BY-NC 4.0."),
     ], "path string, text string").withColumn("score", F.lit(1)).withColumn("folder", F.lit("z"))
     got = {r.path: (r.license, r.found) for r in licenses.scan(files).collect()}
