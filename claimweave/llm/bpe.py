@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CUT, WINDOW, MEMORY, LEAST = 64, 16, 200_000, 48
+CUT, WINDOW, MEMORY, LEAST = 128, 12, 180_000, 48
 BLANKS = np.zeros(256, bool)
 BLANKS[[9, 10, 32]] = True
 #: What may follow a trusted join: any byte of ASCII that is visible, or a lead byte of Latin letters.
@@ -37,27 +37,35 @@ FOLLOW[33:127] = True
 FOLLOW[0xC3:0xCA] = True
 
 
-def cuts(raw: bytes) -> list[int]:
-    """Where chunks start, after 0: behind a blank, at a character that may follow a trusted join.
+def cut_all(raws: list[bytes]) -> list[list[int]]:
+    """For each text, where its chunks start, after 0: behind a blank, at a character that may follow a trusted join.
 
     Places that a join can't be trusted at aren't cut, which is the repair by merging."""
-    b = np.frombuffer(raw, np.uint8)
+    out: list[list[int]] = [[] for _ in raws]
+    b = np.frombuffer(b"\n".join(raws), np.uint8)
     if len(b) <= WINDOW:
-        return []
+        return out
     at = np.flatnonzero(BLANKS[b[WINDOW - 1 : -1]] & FOLLOW[b[WINDOW:]]) + WINDOW
-    if not len(at):
-        return []
     h = np.zeros(len(at), np.uint64)
     for j in range(1, WINDOW + 1):
         h = (h ^ b[at - j]) * np.uint64(0x100000001B3)
-        h ^= h >> np.uint64(29)
-    return at[(h >> np.uint64(8)) % np.uint64(CUT) == 0].tolist()
+    h ^= h >> np.uint64(29)
+    at = at[(h >> np.uint64(8)) % np.uint64(CUT) == 0]
+    starts = np.cumsum([0, *(len(r) + 1 for r in raws)])
+    of = np.searchsorted(starts, at, side="right") - 1
+    inside = at - starts[of] >= WINDOW
+    for i, x in zip(of[inside].tolist(), (at - starts[of])[inside].tolist()):
+        out[i].append(x)
+    return out
 
 
-def chunks(text: str) -> list[bytes]:
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    at = [0, *cuts(raw), len(raw)]
-    return [raw[i:j] for i, j in zip(at, at[1:]) if j > i]
+def chunk_all(texts: list[str | None]) -> list[list[bytes]]:
+    raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    out = []
+    for raw, at in zip(raws, cut_all(raws)):
+        ends = [0, *at, len(raw)]
+        out.append([raw[i:j] for i, j in zip(ends, ends[1:]) if j > i])
+    return out
 
 
 def chunk_key(chunk: bytes) -> bytes:
@@ -65,7 +73,7 @@ def chunk_key(chunk: bytes) -> bytes:
 
 
 class Coder:
-    """A tokenizer with its memory of words: a word's ids and tokens as text."""
+    """A tokenizer with its memory of words: the ids and the tokens of a word, each as text."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -73,24 +81,30 @@ class Coder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.names = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.names = {i: t for t, i in vocabulary.items()}
+        self.numbers = {i: str(i) for i in self.names}
+        self.kind = "<u2" if max(self.names) < 65536 else "<u4"
         self.plain = self.tokenizer.decoder is None  # then decode() joins tokens by a blank
-        self.words: dict[str, tuple[str, str]] = {}
+        self.ids: dict[str, str] = {}
+        self.tokens: dict[str, str] = {}
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > MEMORY:
-            for w in list(islice(self.words, len(self.words) // 2)):
-                del self.words[w]
-            new = [w for w in words if w not in self.words]
+        new = list(words.difference(self.ids))
+        if len(self.ids) + len(new) > MEMORY:
+            for w in list(islice(self.ids, len(self.ids) // 2)):
+                del self.ids[w], self.tokens[w]
+            new = list(words.difference(self.ids))
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.words[w] = (" ".join(map(str, e.ids)), " ".join(self.names[t] for t in e.ids))
+                ids = e.ids
+                self.ids[w] = " ".join([self.numbers[t] for t in ids])
+                self.tokens[w] = " ".join([self.names[t] for t in ids])
 
-    def encode(self, pieces: list[list[str]]) -> list[tuple[list[str], list[str]]]:
-        """For each list of words: what their ids, and their tokens, are as text. Words without tokens are left out."""
-        out, i = [], 0
+    def encode(self, pieces: list[list[str]]) -> Iterator[tuple[str, str]]:
+        """For each list of words: their ids, and their tokens, as text."""
+        i = 0
         while i < len(pieces):
             need: set[str] = set()
             j = i
@@ -98,15 +112,19 @@ class Coder:
                 need.update(pieces[j])
                 j += 1
             self.learn(need)
-            get = self.words.__getitem__
+            empty = {w for w in need if not self.ids[w]}
             for words in pieces[i:j]:
-                pairs = [p for p in map(get, words) if p[0]]
-                out.append(([p[0] for p in pairs], [p[1] for p in pairs]))
+                if empty:
+                    words = [w for w in words if w not in empty]
+                yield " ".join(map(self.ids.__getitem__, words)), " ".join(map(self.tokens.__getitem__, words))
             i = j
-        return out
 
-    def tokens(self, ids: str) -> str:
-        return " ".join([self.names[int(i)] for i in ids.split()])
+    def pack(self, ids: str) -> bytes:
+        return np.array(ids.split(), dtype=self.kind).tobytes()
+
+    def unpack(self, packed: bytes) -> tuple[str, str]:
+        ids = np.frombuffer(packed, self.kind).tolist()
+        return " ".join([self.numbers[i] for i in ids]), " ".join([self.names[i] for i in ids])
 
 
 @lru_cache(maxsize=2)
@@ -114,18 +132,30 @@ def coder(path: str) -> Coder:
     return Coder(path)
 
 
-#: Characters that the tokenizer's blanks-to-one-blank step takes as blanks, and str.split() may not.
 BREAK = re.compile(r"[ \t\n]+")
+#: A comma or full stop alone behind a letter is a token of its own, so it is remembered apart from the word.
+STOP = re.compile(r"(?<=[^\W\d_])(?=[,.](?:\s|$))")
+#: Blanks to str.split() that the tokenizer takes as characters.
+SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
 def words_of(text: str) -> list[str]:
-    """Stretches between ASCII blanks; a stretch that starts with a combining mark or another character
-    that could join across the blank stays with what comes before."""
-    parts = BREAK.split(text)
-    if text.isascii():
-        return [p for p in parts if p]
+    """Stretches that encode the same alone as in the text.
+
+    Of texts in Latin-1 these are the words, lower-cased where no special token can be meant, and
+    the stops behind them. Of others, stretches between ASCII blanks; one that starts with a
+    combining mark or other character that could join across the blank stays with what comes before."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        pass
+    else:
+        if not any(x in text for x in SEPARATORS):
+            if "<|" in text:
+                return text.split()
+            return STOP.sub(" ", text.lower()).split()
     out: list[str] = []
-    for p in parts:
+    for p in BREAK.split(text):
         if p:
             if out and ord(p[0]) >= 0x300 and not p[0].isalnum():
                 out[-1] += " " + p
@@ -139,8 +169,8 @@ def chunk_refs(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids, keys = [], []
-            for i, text in zip(batch["doc_id"], batch["text"]):
-                own = {chunk_key(c) for c in chunks(text) if len(c) >= LEAST}
+            for i, parts in zip(batch["doc_id"], chunk_all(batch["text"].tolist())):
+                own = {chunk_key(c) for c in parts if len(c) >= LEAST}
                 ids += [i] * len(own)
                 keys += own
             yield pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "key": keys})
@@ -161,13 +191,13 @@ def shared_chunks(docs: DataFrame, path: str) -> DataFrame:
         own = coder(path)
         for batch in batches:
             found: dict[bytes, bytes] = {}
-            for text, keys in zip(batch["text"], batch["keys"]):
+            for parts, keys in zip(chunk_all(batch["text"].tolist()), batch["keys"]):
                 want = set(keys)
-                found |= {k: c for c in chunks(text) if len(c) >= LEAST and (k := chunk_key(c)) in want}
+                found |= {k: c for c in parts if len(c) >= LEAST and (k := chunk_key(c)) in want}
             coded = own.encode([words_of(c.decode("utf-8", "surrogatepass")) for c in found.values()])
-            yield pd.DataFrame({"key": list(found), "ids": [" ".join(i) for i, _ in coded]})
+            yield pd.DataFrame({"key": list(found), "ids": [own.pack(i) for i, _ in coded]})
 
-    coded = docs.join(wanted, "doc_id").select("text", "keys").mapInPandas(run, "key binary, ids string")
+    coded = docs.join(wanted, "doc_id").select("text", "keys").mapInPandas(run, "key binary, ids binary")
     coded = coded.dropDuplicates(["key"])  # documents that repeat an id
     return refs.join(coded, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "ids")).alias("shared"))
 
@@ -183,15 +213,18 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False) -> Data
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = coder(path)
         for batch in batches:
+            texts = batch["text"].tolist()
+            having = [i for i, x in enumerate(batch["shared"]) if x is not None and len(x)]
+            parts_of = dict(zip(having, chunk_all([texts[i] for i in having])))
             plans, fresh = [], []
-            for text, shared in zip(batch["text"], batch["shared"]):
-                if shared is None or not len(shared):
+            for i, (text, shared) in enumerate(zip(texts, batch["shared"])):
+                if i not in parts_of:
                     plans.append([len(fresh)])
                     fresh.append(words_of(text))
                     continue
-                have = {bytes(x["key"]): x["ids"] for x in shared}
+                have = {bytes(x["key"]): bytes(x["ids"]) for x in shared}
                 plan, rest = [], []
-                for c in [*chunks(text), None]:
+                for c in [*parts_of[i], None]:
                     ids = have.get(chunk_key(c)) if c is not None and len(c) >= LEAST else None
                     if (ids is not None or c is None) and rest:
                         plan.append(len(fresh))
@@ -205,16 +238,10 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False) -> Data
             coded = own.encode(fresh)
             out = []
             for plan in plans:
-                ids, names = [], []
-                for part in plan:
-                    if isinstance(part, int):
-                        ids += coded[part][0]
-                        names += coded[part][1]
-                    elif part:
-                        ids.append(part)
-                        names.append(own.tokens(part))
-                joined = " ".join(ids)
-                decoded = " ".join(names) if own.plain else own.tokenizer.decode([int(i) for i in joined.split()], skip_special_tokens=False)
+                both = [x for x in (next(coded) if isinstance(part, int) else own.unpack(part) for part in plan) if x[0]]
+                joined, decoded = " ".join([x for x, _ in both]), " ".join([x for _, x in both])
+                if not own.plain:
+                    decoded = own.tokenizer.decode([int(i) for i in joined.split()], skip_special_tokens=False)
                 row = (joined.count(" ") + 1 if joined else 0, sha256(joined.encode()).hexdigest(), sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
                 out.append((*row, joined) if keep_ids else row)
             frame = pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if keep_ids else [])])
