@@ -11,6 +11,7 @@ from claimweave.functions import text, vocab
 from claimweave.operators import confidence, conflicts, graph, history, lookups, planner, resolve
 from claimweave.plans import graph_sql
 from claimweave.plans.projection import Model, with_tables
+from claimweave.session import materialize
 from claimweave.sources import sinks, tabular
 from claimweave.streaming import ingest
 
@@ -99,10 +100,12 @@ entry("pending_papers", "SELECT id, priority, created_at FROM {papers} WHERE sta
 
 # --- conflicts ---------------------------------------------------------------------------------
 
-CANDIDATES = """SELECT a.id AS interaction_a, b.id AS interaction_b, a.entity_a <> b.entity_a AS reversed, a.effect AS ea, b.effect AS eb, a.direction AS da, b.direction AS db FROM {interactions} a JOIN {interactions} b
- ON a.interaction_type = b.interaction_type AND a.id < b.id AND (a.entity_a = b.entity_a AND a.entity_b = b.entity_b OR a.entity_a = b.entity_b AND a.entity_b = b.entity_a)
- JOIN {psets} pa ON pa.interaction_id = a.id JOIN {psets} pb ON pb.interaction_id = b.id
- WHERE (a.effect <> b.effect OR (a.direction <> 'undirected' AND b.direction <> 'undirected' AND a.direction <> b.direction))
+CANDIDATES = """SELECT k.* FROM (SELECT a.id AS interaction_a, b.id AS interaction_b, false AS reversed, a.effect AS ea, b.effect AS eb, a.direction AS da, b.direction AS db FROM {interactions} a JOIN {interactions} b
+   ON a.interaction_type = b.interaction_type AND a.entity_a = b.entity_a AND a.entity_b = b.entity_b AND a.id < b.id
+ UNION ALL SELECT a.id, b.id, true, a.effect, b.effect, a.direction, b.direction FROM {interactions} a JOIN {interactions} b
+   ON a.interaction_type = b.interaction_type AND a.entity_a = b.entity_b AND a.entity_b = b.entity_a AND a.id < b.id WHERE a.entity_a <> a.entity_b) k
+ JOIN {psets} pa ON pa.interaction_id = interaction_a JOIN {psets} pb ON pb.interaction_id = interaction_b
+ WHERE (ea <> eb OR (da <> 'undirected' AND db <> 'undirected' AND da <> db))
  AND len(list_filter(pa.papers, lambda x: NOT list_contains(pb.papers, x))) > 0 AND len(list_filter(pb.papers, lambda x: NOT list_contains(pa.papers, x))) > 0"""
 PSETS = "SELECT interaction_id, list(DISTINCT paper_id) AS papers FROM {evidence} GROUP BY interaction_id"
 SETS = """SELECT interaction_id, list(DISTINCT norm_organism) FILTER (WHERE norm_organism IS NOT NULL) AS o, list(DISTINCT norm_tissue) FILTER (WHERE norm_tissue IS NOT NULL) AS t, list(DISTINCT norm_condition) FILTER (WHERE norm_condition IS NOT NULL) AS c FROM {contexts} GROUP BY interaction_id"""
@@ -116,11 +119,12 @@ CF = EV | {"psets": PSETS, "candidates": CANDIDATES, "sets": SETS, "conflicts":
 
 def detected(m: Model) -> DataFrame:
     if "_conflicts" not in m.known:
-        m.known["_conflicts"] = conflicts.detect(m.interactions, confidence.with_contexts(m["evidence"]))
+        m.stored()
+        m.known["_conflicts"] = materialize(conflicts.detect(m.interactions, confidence.with_contexts(m["evidence"])), "conflicts")
     return m.known["_conflicts"]
 
 
-entry("conflict_candidates", "SELECT interaction_a, interaction_b, reversed FROM {candidates}", **CF)(lambda m: conflicts.candidates(m.interactions, m["evidence"]))
+entry("conflict_candidates", "SELECT interaction_a, interaction_b, reversed FROM {candidates}", **CF)(lambda m: conflicts.candidates(m.stored().interactions, m["evidence"]))
 entry("conflicts", "SELECT * FROM {conflicts}", **CF)(detected)
 entry("conflict_view", """SELECT c.id AS conflict, c.conflict_type, c.penalty_weight, a.effect AS effect_a, b.effect AS effect_b, e1.canonical_name AS a_left, e2.canonical_name AS a_right, e3.canonical_name AS b_left, e4.canonical_name AS b_right
  FROM {conflicts} c JOIN {interactions} a ON a.id = c.interaction_a JOIN {interactions} b ON b.id = c.interaction_b JOIN {entities} e1 ON e1.id = a.entity_a JOIN {entities} e2 ON e2.id = a.entity_b JOIN {entities} e3 ON e3.id = b.entity_a JOIN {entities} e4 ON e4.id = b.entity_b
@@ -128,7 +132,7 @@ entry("conflict_view", """SELECT c.id AS conflict, c.conflict_type, c.penalty_we
 entry("conflict_hubs", """SELECT c.id, e1.canonical_name AS name_a, e2.canonical_name AS name_b, a.interaction_type AS type_a, b.interaction_type AS type_b, c.conflict_axis, c.penalty_weight FROM {conflicts} c JOIN {interactions} a ON a.id = c.interaction_a
  JOIN {interactions} b ON b.id = c.interaction_b JOIN {entities} e1 ON e1.id = a.entity_a JOIN {entities} e2 ON e2.id = a.entity_b ORDER BY c.penalty_weight DESC, c.id LIMIT 10""", **CF)(lambda m: conflicts.hubs(detected(m), m.interactions, m["entities"], 10))
 entry("verification_candidates", """SELECT id, interaction_id, confidence_score FROM {evidence} e WHERE (verification_score IS NULL OR verification_score < 0.3) AND interaction_id IN (SELECT interaction_a FROM {conflicts} UNION SELECT interaction_b FROM {conflicts})
- ORDER BY confidence_score DESC, id LIMIT 25""", **CF)(lambda m: conflicts.to_verify(m["evidence"], detected(m)))
+ ORDER BY confidence_score DESC, id LIMIT 25""", **CF)(lambda m: conflicts.to_verify(m.stored()["evidence"], detected(m)))
 OUTCOMES = """SELECT id, kind AS recommended, 'resolved' AS status, CASE WHEN kind = 'true_conflict' THEN CASE WHEN ma >= mb THEN pa ELSE pb END END AS resolution_paper_id, CASE WHEN kind = 'true_conflict' THEN 1::DOUBLE ELSE 0::DOUBLE END AS penalty_weight FROM (
  SELECT c.id, a.mean_score AS ma, b.mean_score AS mb, a.best_paper_id AS pa, b.best_paper_id AS pb, CASE WHEN len(coalesce(a.contexts, [])) > 0 AND len(coalesce(b.contexts, [])) > 0 AND NOT list_has_any(a.contexts, b.contexts) AND least(a.mean_score, b.mean_score) >= 0.45 THEN 'context_dependent'
  WHEN (list_has_any(coalesce(a.contexts, []), coalesce(b.contexts, [])) OR len(coalesce(a.contexts, [])) = 0 AND len(coalesce(b.contexts, [])) = 0) AND abs(a.mean_score - b.mean_score) >= 0.3 THEN 'true_conflict'
@@ -149,10 +153,10 @@ entry("conflict_followups", """SELECT id, 'investigating' AS status, concat('con
     lambda m: conflicts.followups(detected(m), detected(m).where("conflict_type != 'ambiguous'"))
 )
 entry("entity_stats", """SELECT entity, CAST(sum(n) AS BIGINT) AS evidence_total, CAST(sum(k) AS BIGINT) AS open_conflicts FROM (SELECT x.entity, (i.evidence_count) AS n, coalesce(c.k, 0) AS k FROM (SELECT DISTINCT entity, id FROM {ends}) x JOIN {interactions} i ON i.id = x.id
- LEFT JOIN (SELECT interaction_a, count(*) AS k FROM {conflicts} GROUP BY interaction_a) c ON c.interaction_a = x.id) q GROUP BY entity""", **CF, **DEG)(lambda m: lookups.entity_stats(m.interactions, m["evidence"], detected(m)))
+ LEFT JOIN (SELECT interaction_a, count(*) AS k FROM {conflicts} GROUP BY interaction_a) c ON c.interaction_a = x.id) q GROUP BY entity""", **CF, **DEG)(lambda m: lookups.entity_stats(m.stored().interactions, m["evidence"], detected(m)))
 entry("stats_bundle", """SELECT *, round(entities::DOUBLE * interactions / (1 + conflict_weight), 4) AS score FROM (SELECT CAST((SELECT count(*) FROM {entities}) AS BIGINT) AS entities, CAST((SELECT count(*) FROM {interactions}) AS BIGINT) AS interactions, CAST((SELECT count(*) FROM {evidence}) AS BIGINT) AS evidence,
  CAST((SELECT count(*) FROM {papers}) AS BIGINT) AS papers, CAST((SELECT count(*) FROM {conflicts}) AS BIGINT) AS open_conflicts, CAST(0 AS BIGINT) AS resolved_conflicts, (SELECT coalesce(sum(penalty_weight), 0) FROM {conflicts}) AS conflict_weight) q""", **CF)(
-    lambda m: lookups.stats_bundle(m["entities"], m.interactions, m["evidence"], m["papers"], detected(m))
+    lambda m: lookups.stats_bundle(m["entities"], m.stored().interactions, m["evidence"], m["papers"], detected(m))
 )
 
 # --- graph -------------------------------------------------------------------------------------

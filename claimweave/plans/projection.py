@@ -12,6 +12,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from claimweave.session import materialize
+
 PROJECTION = {
     "entities": """
 SELECT concat('s', CAST(s_suppkey AS STRING)) AS id, s_name AS canonical_name, 'protein' AS entity_type, n_name AS organism,
@@ -56,7 +58,7 @@ class Model:
     """The graph model over ``sf_dir``: its tables by name, each read or derived when first asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir, self.known = spark, sf_dir, {}
+        self.spark, self.sf_dir, self.known, self.is_stored = spark, sf_dir, {}, False
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self.known:
@@ -67,6 +69,14 @@ class Model:
                 self.known[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self.known[name]
 
+    def stored(self) -> Model:
+        """The same model with evidence and interactions written once, for queries that read them many times."""
+        if not self.is_stored:
+            self.known["evidence"] = materialize(self["evidence"], "evidence")
+            self.interactions = materialize(self.interactions, "interactions")
+            self.is_stored = True
+        return self
+
     @cached_property
     def interactions(self) -> DataFrame:
         from claimweave.operators.confidence import composite
