@@ -36,21 +36,40 @@ def exact(mentions: DataFrame, entities: DataFrame, synonyms: DataFrame) -> Data
     return counted.select("mention", chosen.alias("entity_id"), name.alias("rung")).where("entity_id IS NOT NULL")
 
 
+def _blocks(rows: DataFrame, text: str, own: str, other: str, least: float) -> DataFrame:
+    """The rows once for each length of the other string that can reach ``least``, and each group of letters.
+
+    Strings of ratio r differ by d = (1 - r) * (sum of lengths) inserted and deleted letters at most,
+    of the parity of their lengths' difference. So of d + 1 groups of letters one has the same
+    letters, as often, in both; a pair meets where a group agrees."""
+    n = F.length(text)
+    reach = F.floor(n * 2 * (1 - least) / least).cast("int") + 1
+    sized = rows.withColumn(own, n).withColumn(other, F.explode(F.sequence(F.greatest(n - reach, F.lit(1)), n + reach)))
+    apart = F.abs(F.col(own) - F.col(other))
+    most = F.floor((F.col(own) + F.col(other)) * (1 - least) + 1e-9).cast("int")
+    sized = sized.withColumn("d", most - F.pmod(most - apart, F.lit(2))).where((F.col("d") >= apart) & (most >= apart))
+    each = sized.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("d"))))
+    letters = F.filter(F.split(text, ""), lambda c: F.pmod(F.xxhash64(c), F.col("d") + 1) == F.col("part"))
+    return each.withColumn("block", F.xxhash64(F.array_join(F.array_sort(letters), ""))).drop("d")
+
+
 def fuzzy(mentions: DataFrame, entities: DataFrame, least: float = LEAST_RATIO) -> DataFrame:
     """(mention, entity_id, ratio): the most similar canonical name of the type group, at ``least`` or more.
 
-    A ratio r needs lengths within a factor of (2 - r) / r, so pairs meet on the group and a length
-    close by; equal names meet once. Ties go to the least id."""
-    reach = F.floor(F.length("key") * 2 * (1 - least) / least).cast("int") + 1
+    Pairs meet in blocks that lose none (see _blocks); bounds on the ratio come before the ratio.
+    Equal names meet once. Ties go to the least id."""
     rows = mentions.select(F.lower(F.trim("name")).alias("key"), group(F.col("entity_type")).alias("g")).distinct()
-    near = rows.withColumn("n", F.explode(F.sequence(F.greatest(F.length("key") - reach, F.lit(1)), F.length("key") + reach)))
-    names = entities.groupBy(F.lower(F.trim("canonical_name")).alias("name"), group(F.col("entity_type")).alias("g")).agg(F.min("id").alias("entity_id")).withColumn("n", F.length("name"))
-    letters = lambda c: F.array_distinct(F.split(c, ""))
-    pairs = near.join(names, ["g", "n"]).where(F.size(F.array_except(letters(F.col("key")), letters(F.col("name")))) <= (1 - least) * (F.length("key") + F.length("name")))
+    names = entities.groupBy(F.lower(F.trim("canonical_name")).alias("name"), group(F.col("entity_type")).alias("g")).agg(F.min("id").alias("entity_id"))
+    on = ["g", "la", "lb", "part", "block"]
+    pairs = _blocks(rows, "key", "la", "lb", least).join(_blocks(names, "name", "lb", "la", least), on).select("key", "g", "name", "entity_id").distinct()
 
     @F.pandas_udf("double")
     def ratio(keys: pd.Series, others: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(keys, others)], dtype="float64")
+        def one(a: str, b: str) -> float:
+            m = SequenceMatcher(None, a, b)
+            return m.ratio() if m.quick_ratio() >= least else 0.0
+
+        return pd.Series([one(a, b) for a, b in zip(keys, others)], dtype="float64")
 
     scored = pairs.withColumn("ratio", ratio("key", "name")).where(F.col("ratio") >= least)
     best = scored.groupBy("key", "g").agg(F.min(F.struct((-F.col("ratio")).alias("low"), "entity_id")).alias("x"))

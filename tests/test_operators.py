@@ -197,6 +197,29 @@ def test_cascade(spark):
     assert got == {"a": ("1", "exact:unique"), "b": ("2", "exact:group"), "c": ("1", "fuzzy"), "d": ("new:gene_protein:gamma", "created"), "e": ("new:gene_protein:gamma", "created")}
 
 
+def test_fuzzy_equals_all_pairs(spark):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(4)
+    names = ["".join(rng.choice("abcd12") for _ in range(rng.randrange(8, 30))) for _ in range(60)]
+    keys = []
+    for n in names:
+        k = list(n)
+        for _ in range(rng.randrange(3)):
+            i = rng.randrange(len(k))
+            k[i : i + 1] = rng.choice(["", "x", "a"])
+        keys.append("".join(k))
+    entities = spark.createDataFrame([(f"{i:02d}", n, "protein") for i, n in enumerate(names)], "id string, canonical_name string, entity_type string")
+    asked = spark.createDataFrame([(str(i), k, "gene") for i, k in enumerate(keys)], "mention string, name string, entity_type string")
+    got = {r.mention: (r.entity_id, r.ratio) for r in resolve.fuzzy(asked, entities).collect()}
+    want = {}
+    for i, k in enumerate(keys):
+        best = min((-SequenceMatcher(None, k, n).ratio(), f"{j:02d}") for j, n in enumerate(names))
+        if -best[0] >= 0.92:
+            want[str(i)] = (best[1], round(-best[0], 6))
+    assert got == want and len(want) > 10
+
+
 def test_cache(spark):
     kind = "entity string, mode string, max_depth int, result string, expires int, hits int"
     old, new = spark.createDataFrame([("a", "s", 3, "deep", 1, 5)], kind), spark.createDataFrame([("a", "s", 2, "shallow", 9, 0), ("b", "s", 1, "b", 9, 0)], kind)
