@@ -23,11 +23,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         ways = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = ways.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = ways.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        links = materialize(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+        small = small.unionByName(low.select("u", F.col("m").alias("v")))  # in each row v is the lesser
+        links = materialize(small.where("u > v").distinct(), "links")
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()  # one row
         if now == size:
             break

@@ -359,7 +359,10 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
             break
         checked = materialize(exact_links(found, texts, s), "checked")
         tested = checked if tested is None else tested.unionByName(checked)
-        comp = materialize(components(tested.where("linked")).withColumnRenamed("node", "doc_id"), "components")
+        links = checked.where("linked").select("a", "b")
+        if comp is not None:  # what was found before, as a star for each component
+            links = links.unionByName(comp.select(F.col("doc_id").alias("a"), F.col("component").alias("b")))
+        comp = materialize(components(links).withColumnRenamed("node", "doc_id"), "components")
         width = 16 * width or 8
 
     label = classes if comp is None else classes.join(comp.withColumnRenamed("doc_id", "rep"), "rep", "left")
