@@ -225,6 +225,41 @@ def test_lines(spark):
     assert linededup.line_dedup(docs(spark, [])).count() == 0
 
 
+def test_fuzzy_lines_against_brute_force(spark):
+    """Lines of few words, of none apart by blanks, and with several edits."""
+    rng = random.Random(21)
+    few = [("Veranstaltungskalender 2023", "Veranstaltungskalender 2024"), ("Inhaltsverzeichnis Jahresbericht 7", "Inhaltsverzeichnis Jahresbericht 8")]
+    cjk = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(60))
+    few += [(cjk, cjk[:-2] + "完了"), ("https://example.org/archive/documents/reports/annual/page?id=1", "https://example.org/archive/documents/reports/annual/page?id=2"), ("alpha\tbeta\tgamma\tdelta\tepsilon\tzeta\teta\ttheta", "alpha\tbeta\tgamma\tdelta\tepsilon\tzeta\teta\tiota")]
+    for _ in range(150):
+        line = words(rng, rng.randrange(3, 40), 100_000)
+        chars = list(line)
+        for _ in range(1 + len(line) // 80):
+            chars[rng.randrange(len(chars))] = rng.choice("xyz")
+        few.append((line, "".join(chars)))
+
+    def grams(t):
+        return {t[i : i + 5] for i in range(max(1, len(t) - 4))}
+
+    lines = [x for pair in few for x in pair]
+    sets = {x: grams(x) for x in lines}
+    want = [(a, b) for i, a in enumerate(lines) for b in lines[:i] if a != b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    out = {r.doc_id: r.text for r in linededup.line_dedup(docs(spark, list(enumerate(lines)))).collect()}
+    stay = {t for t in out.values() if t}
+    missed = [p for p in want if p[0] in stay and p[1] in stay]
+    print(f"recall {1 - len(missed) / len(want):.4f} of {len(want)} pairs")
+    assert len(want) > 60 and len(missed) <= 0.01 * len(want)
+    first = {b for i, b in enumerate(lines[:10]) if i % 2}  # the five made by hand: the later line goes
+    assert not first & stay
+    assert set(lines) - stay <= {a for a, _ in want} | {b for _, b in want}
+
+
+def test_short_lines(spark):
+    rows = [(1, "two words\nok\n \n目次"), (2, "two words\nok\n \n目次\ntwo word")]
+    got = {r.doc_id: r.text for r in linededup.line_dedup(docs(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "ok\n \n目次\ntwo word"}
+
+
 # --- contamination ---
 
 
