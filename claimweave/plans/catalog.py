@@ -173,6 +173,11 @@ for mode in ("suppress", "promote"):
     entry(f"propagate_{mode}", graph_sql.propagate(["s0"], [mode], 3), arcs=graph_sql.arcs(SURE))(lambda m, mode=mode: graph.propagate(sure_arcs(m), ["s0"], (mode,), 3))
 entry("propagate_batch", graph_sql.propagate(["s0", "s1", "s2", "s3"], ["suppress", "promote"], 2), arcs=graph_sql.arcs(SURE))(lambda m: graph.propagate(sure_arcs(m), ["s0", "s1", "s2", "s3"], ("suppress", "promote"), 2))
 entry("propagate_excluded", graph_sql.excluded("s0", 2), arcs=graph_sql.arcs(SURE))(lambda m: graph.excluded_arcs(sure_arcs(m), "s0", 2))
+# The same over all arcs, as the reference has it: no score is left out. The four above keep the threshold of their SQL.
+for mode in ("suppress", "promote"):
+    entry(f"propagate_{mode}_all", graph_sql.propagate(["s0"], [mode], 3), arcs=graph_sql.arcs(0.0))(lambda m, mode=mode: graph.propagate(sure_arcs(m, 0.0), ["s0"], (mode,), 3))
+entry("propagate_batch_all", graph_sql.propagate(["s0", "s1", "s2", "s3"], ["suppress", "promote"], 2), arcs=graph_sql.arcs(0.0))(lambda m: graph.propagate(sure_arcs(m, 0.0), ["s0", "s1", "s2", "s3"], ("suppress", "promote"), 2))
+entry("propagate_excluded_all", graph_sql.excluded("s0", 2), arcs=graph_sql.arcs(0.0))(lambda m: graph.excluded_arcs(sure_arcs(m, 0.0), "s0", 2))
 entry("neighbourhood", graph_sql.neighbourhood(["s0"], 3, 200, 0.8))(lambda m: graph.neighbourhood(m.interactions, m["entities"], ["s0"], 3, 200, 0.8))
 entry("neighbourhood_typed", graph_sql.neighbourhood(["s0"], 2, 200, 0.5, "gene"))(lambda m: graph.neighbourhood(m.interactions, m["entities"], ["s0"], 2, 200, 0.5, ["gene"]))
 entry("paths", graph_sql.paths("s0", "s1", 4, 50, 0.93), arcs=graph_sql.arcs(SURE))(lambda m: graph.paths(sure_arcs(m), "s0", "s1", 4, 50, 0.93))

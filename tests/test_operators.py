@@ -90,6 +90,26 @@ def test_propagation_equals_a_queue(spark):
     assert graph.excluded_arcs(arcs, "A", 3).count() == queue(plain, "A", -1.0, 3)[1]
 
 
+def test_propagation_over_all_arcs_equals_a_queue(spark):
+    from claimweave.plans import catalog
+
+    folder, queries = "/root/testdata/sf0.001", catalog.queries()
+    plain = [(r.source, r.target, r.branch, r.id, r.sign, r.score) for r in queries["arcs"](spark, folder).collect()]
+    for mode, sign in (("suppress", -1.0), ("promote", 1.0)):
+        want, _ = queue(plain, "s0", sign, 3)
+        got = {r.target: r for r in queries[f"propagate_{mode}_all"](spark, folder).collect()}
+        assert got.keys() == want.keys()
+        for k, v in want.items():
+            assert got[k].score == pytest.approx(joined(v), abs=2e-6)
+            assert (got[k].hop, got[k].arrivals) == (min(h for _, h in v), len(v))
+    batch = queries["propagate_batch_all"](spark, folder).collect()
+    for seed in ("s0", "s1", "s2", "s3"):
+        want, _ = queue(plain, seed, 1.0, 2)
+        assert {r.target: r.arrivals for r in batch if (r.seed, r.mode) == (seed, "promote")} == {k: len(v) for k, v in want.items()}
+    left = queries["propagate_excluded_all"](spark, folder).count()
+    assert left == queue(plain, "s0", -1.0, 2)[1] and left > queries["propagate_excluded"](spark, folder).count()
+
+
 def test_paths_equal_a_search(spark):
     rng = random.Random(5)
     names = "ABCDEFGH"
