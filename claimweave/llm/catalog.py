@@ -20,6 +20,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_chat_formatting": lambda spark, sf_dir: chat.format_conversations(read(spark, sf_dir, "conversations")),
         "op2_license_scan": _documents(licenses.license_scan),
+        "op2_license_scan_all": _documents(lambda docs: licenses.license_scan(docs, whole=True)),
         "op3_bpe": _documents(bpe.encode_all),
         "op4_secret_scan": _documents(secrets.secrets_by_document),
         "op5_fingerprint": _documents(fingerprint.fingerprint_edits),

@@ -309,6 +309,41 @@ def test_licenses(spark):
     assert licenses.scan(files.limit(0)).count() == 0
 
 
+def test_licenses_of_all_lines_equal_brute_force(spark):
+    rng = random.Random(22)
+    common = "see the license file project details for more".split()
+    texts = ["Licensed under the MIT license, see the LICENSE file", "This Source Code Form is subject to the terms of the Mozilla Public", "SPDX-License-Identifier: Apache-2.0", "of this software and associated documentation files", "", None]
+    texts += [f"{words(rng, 8)}\n{' '.join(rng.sample(common, 5))}" for _ in range(80)]
+    texts += [" ".join(rng.sample(t.split(), max(1, len(t.split()) // 2))) for _, t in licenses.TEMPLATES]
+    split = lambda t: re.findall(licenses.WORD, (t or "").lower())
+    log, sqrt, df = __import__("math").log, __import__("math").sqrt, {}
+    for t in texts:
+        for w in set(split(t)):
+            df[w] = df.get(w, 0) + 1
+
+    def vector(t):
+        w = split(t)
+        return {x: w.count(x) * (log((1 + len(texts)) / (1 + df.get(x, 0))) + 1) for x in w}
+
+    def cosine(x, y):
+        return sum(v * y.get(k, 0) for k, v in x.items()) / (sqrt(sum(v * v for v in x.values())) * sqrt(sum(v * v for v in y.values())))
+
+    known = [(name, vector(t)) for name, t in licenses.TEMPLATES]
+    files = spark.createDataFrame([(f"d{i}/x", t) for i, t in enumerate(texts)], "path string, text string")
+    got = {r.path: r for r in licenses.own_licenses_whole(files.na.fill("")).collect()}
+    for i, t in enumerate(texts):
+        found = [(-round(cosine(vector(line), v), 6), name) for line in (t or "").split("\n") if split(line) for name, v in known]
+        best = min(found, default=(0, None))
+        if -best[0] >= 0.5:
+            assert (got[f"d{i}/x"].license, got[f"d{i}/x"].score) == (best[1], pytest.approx(-best[0], abs=2e-6))
+        else:
+            assert f"d{i}/x" not in got
+    out = {r.path: r.license for r in licenses.scan(files, whole=True).collect()}
+    assert out["d0/x"] == "MIT" and out["d1/x"] == "MPL-2.0" and len(out) == len(texts)
+    assert {r.path: r.license for r in licenses.scan(files).collect()}["d1/x"] is None  # no anchor
+    assert licenses.scan(files.limit(0), whole=True).count() == 0
+
+
 # --- models ---
 
 
