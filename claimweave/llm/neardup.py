@@ -1,22 +1,26 @@
 """Near-duplicate documents: MinHash banding, sequential Bayesian verification, exact check.
 
-1. Word shingles of whole texts are hashed; PERMUTATIONS minimum hashes make a signature of bytes
-   beside BANDS band keys. Texts of equal shingle sets are one class and go on as one row.
-2. Classes that share a band key are candidates. Within each bucket their signatures are compared
-   batch by batch: a pair is dropped as soon as the posterior chance that its similarity reaches
-   the threshold is under MISS, given the matches seen so far (uniform prior).
+1. Word shingles of whole texts are hashed; the least hashes under PERMUTATIONS orders, as two bytes
+   each, make a signature, and each band of it a key. Texts of the same words in the same order (by
+   a cryptographic digest) are one class and go on as one row; other texts, also those of equal
+   sets, are linked by step 3 only.
+2. Classes that share a band key are candidates if their sizes can reach the threshold. Their
+   signatures are compared batch by batch: a pair is dropped as soon as the posterior chance that
+   its similarity reaches the threshold is under MISS, given the matches seen so far (uniform prior).
 3. Of the pairs that remain in a bucket, a maximum spanning forest by estimated similarity is
-   verified on full shingle sets; links join components. Pairs that were verified and failed are
-   remembered; rounds go on, with more pairs for any two components each time, until
-   no untested pair is left between two components in any bucket. So few more links are tested
-   than are needed, and the components are those of testing all pairs.
-
-Buckets are cut into blocks of BLOCK rows in the first round, differently in each band. Later
-rounds look at the buckets that still hold several components; there, rows outside the bucket's
-largest component meet all of its blocks. No task holds more than one block and those rows.
-
-Two texts whose sets reach the threshold share no band key with chance (1 - t**ROWS)**BANDS, under
-4e-7 for t of 0.8 and more with 3-word shingles; the misses of step 2 come on top.
+   verified on full shingle sets; links join components. So few more links are tested than are needed.
+4. In buckets that still hold several components, shingles are counted that no other row of such
+   buckets has (private ones). Rows with n and m shingles, of which p and q are private, share at
+   most min(n - p, m - q): pairs that this keeps under the threshold are dropped, which loses no
+   link. After one more forest all remaining pairs of different components are verified, each from
+   the first band it shares, until none is left. The components are those of testing all pairs.
+
+Buckets are cut into blocks of BLOCK rows, differently in each band. In step 4 the rows outside a
+bucket's largest component are cut into blocks as well, and each meets every block of the bucket: a
+task holds two blocks at a time, and only pairs to verify leave it.
+
+Two texts whose sets reach the threshold share no band key with chance (1 - t**ROWS)**BANDS: 3e-7 at
+t of 0.85, 6e-5 at 0.8, less above; the misses of step 2 come on top.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.llm.components import components
@@ -50,8 +54,8 @@ class Settings:
     words: int = 5
     least: int = 80
     scale: int = 100
-    rows: int = 4
-    bands: int = 28
+    rows: int = 6
+    bands: int = 32
 
     @property
     def permutations(self) -> int:
@@ -67,11 +71,8 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-@lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    base, inverse = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-    one = np.ones(1, np.uint64)
-    return np.concatenate((one, np.cumprod(np.full(n, base)))), np.concatenate((one, np.cumprod(np.full(n, inverse))))
+#: A random value for each byte.
+BYTES = np.random.default_rng(20240301).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_hashes(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,9 +86,10 @@ def shingle_hashes(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarr
     start, end = np.flatnonzero(~space & before), np.flatnonzero(space & ~before)
     if not len(start):
         return np.zeros(0, np.uint64), np.zeros(n, np.int64)
-    power, inverse = _powers(1 << (len(raw) + 1).bit_length())
-    prefix = np.concatenate(([np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)])))
-    h = _mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64))
+    at = np.arange(len(raw)) - start[np.maximum(np.cumsum(~space & before) - 1, 0)]  # places within words
+    value = _mix(_mix(BYTES[raw] + at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    prefix = np.concatenate(([np.uint64(0)], np.cumsum(value)))
+    h = _mix(prefix[end] - prefix[start] + (end - start).astype(np.uint64))  # sums of values that depend on byte and place
     ends = np.cumsum([len(t) + 1 for t in texts])
     doc = np.searchsorted(ends, start, side="right")
     out, count = [], np.bincount(doc, minlength=n)
@@ -116,28 +118,27 @@ def _seeds(n: int) -> np.ndarray:
 
 
 def signatures(texts: list[bytes], s: Settings) -> pd.DataFrame:
-    """n_shingles, set_key (16 bytes of the set), bands (longs), sig (a byte for each permutation)."""
+    """n_shingles, text_key (a digest of the words in order), bands (longs), sig (two bytes for each permutation)."""
     value, count = shingle_hashes(texts, s.words)
     full = np.flatnonzero(count)
     start = (np.cumsum(count) - count)[full]
-    low = np.zeros((len(texts), s.permutations), np.uint32)
+    sig = np.zeros((len(texts), s.permutations), np.uint16)
     for j, seed in enumerate(_seeds(s.permutations)):
         if len(full):
-            low[full, j] = np.minimum.reduceat(((value ^ (value >> np.uint64(31))) * seed >> np.uint64(32)).astype(np.uint32), start)
+            low = np.minimum.reduceat(((value ^ (value >> np.uint64(31))) * seed >> np.uint64(32)).astype(np.uint32), start)
+            sig[full, j] = (_mix(low.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
     key = np.zeros((len(texts), s.bands), np.uint64)
     for b in range(s.bands):
         h = np.full(len(texts), np.uint64(b + 1))
         for j in range(s.rows):
-            h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + low[:, b * s.rows + j])
+            h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, b * s.rows + j])
         key[:, b] = h
-    ends = np.cumsum(count)
-    sets = [blake2b(value[e - c : e].tobytes(), digest_size=16).digest() for e, c in zip(ends, count)]
-    sig = (_mix(low.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8)
-    return pd.DataFrame({"n_shingles": count, "set_key": sets, "bands": list(key.view(np.int64)), "sig": [x.tobytes() for x in sig]})
+    keys = [blake2b(b" ".join(t.split()), digest_size=16).digest() for t in texts]  # bytes.split() parts at the blanks of SPACE
+    return pd.DataFrame({"n_shingles": count, "text_key": keys, "bands": list(key.view(np.int64)), "sig": [x.tobytes() for x in sig]})
 
 
 def sketch(docs: DataFrame, s: Settings) -> DataFrame:
-    """(doc_id, n_shingles, set_key, bands, sig) of every row."""
+    """(doc_id, n_shingles, text_key, bands, sig) of every row."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             raw = [t.encode("utf-8", "surrogatepass").translate(LOWER) for t in batch["text"]]
@@ -153,7 +154,7 @@ def sketch(docs: DataFrame, s: Settings) -> DataFrame:
                 i = j
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary")
+    return rows.mapInPandas(run, "doc_id long, n_shingles long, text_key binary, bands array<long>, sig binary")
 
 
 @lru_cache(maxsize=8)
@@ -161,8 +162,8 @@ def least_matches(permutations: int, threshold: float) -> tuple[int, ...]:
     """After each batch of BATCH hashes: with fewer matches than this, a pair is dropped.
 
     With k of n matches and a uniform prior, similarity s has posterior Beta(k + 1, n - k + 1);
-    the pair stays while the chance of s >= threshold is at least MISS. A byte matches by chance
-    1 in 256, which only adds matches."""
+    the pair stays while the chance of s >= threshold is at least MISS. Two bytes match by chance
+    1 in 65536, which only adds matches."""
     grid = (np.arange(20_000) + 0.5) / 20_000
     logs, rest, above = np.log(grid), np.log1p(-grid), grid >= threshold
     out, k = [], 0
@@ -177,107 +178,142 @@ def least_matches(permutations: int, threshold: float) -> tuple[int, ...]:
     return tuple(out)
 
 
-def _survivors(sig: np.ndarray, group: np.ndarray, comp: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (i, j) of rows of one group and different components that aren't pruned, and their matches.
+@dataclass
+class Rows:
+    """Rows of some groups as arrays; a group's rows stand together. ``shared`` is how many shingles aren't private."""
 
-    All groups are compared at once: each row with the d-th row behind it, for rising d."""
-    limits = least_matches(s.permutations, s.threshold)
-    left, right, matches = [], [], []
-    at = np.arange(len(group))
-    d = 1
-    while True:
-        at = at[at + d < len(group)]
-        at = at[group[at] == group[at + d]]
-        if not len(at):
-            break
-        i = at[comp[at] != comp[at + d]]
+    ids: np.ndarray
+    group: np.ndarray
+    comp: np.ndarray
+    n: np.ndarray
+    shared: np.ndarray
+    sig: np.ndarray
+
+    def compare(self, i: np.ndarray, j: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Those of the pairs (i, j) that sizes and signatures leave, and their matches."""
+        most = np.minimum(self.shared[i], self.shared[j])
+        fits = (self.comp[i] != self.comp[j]) & (s.scale * most >= s.least * (self.n[i] + self.n[j] - most))
+        i, j = i[fits], j[fits]
         hits = np.zeros(len(i), np.int32)
-        for step, limit in enumerate(limits):
+        for step, limit in enumerate(least_matches(s.permutations, s.threshold)):
             if not len(i):
                 break
             part = slice(step * BATCH, (step + 1) * BATCH)
-            hits = hits + (sig[i, part] == sig[i + d, part]).sum(1)
+            hits = hits + (self.sig[i, part] == self.sig[j, part]).sum(1)
             stay = hits >= limit
-            i, hits = i[stay], hits[stay]
-        left.append(i)
-        right.append(i + d)
-        matches.append(hits)
+            i, j, hits = i[stay], j[stay], hits[stay]
+        return i, j, hits
+
+    def forest(self, i: np.ndarray, j: np.ndarray, hits: np.ndarray) -> np.ndarray:
+        """Which of the pairs make a maximum spanning forest of the components of each group."""
+        label = np.unique(np.stack((self.group, self.comp)), axis=1, return_inverse=True)[1].reshape(-1)
+        root = list(range(int(label.max(initial=0)) + 1))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        taken = []
+        for k in np.argsort(-hits, kind="stable").tolist():
+            p, q = find(int(label[i[k]])), find(int(label[j[k]]))
+            if p != q:
+                root[q] = p
+                taken.append(k)
+        return np.array(taken, np.int64)
+
+
+def _within(r: Rows, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of one group that compare() leaves: each row with the d-th row behind it, for rising d."""
+    parts, at, d = [], np.arange(len(r.ids)), 1
+    while True:
+        at = at[at + d < len(r.ids)]
+        at = at[r.group[at] == r.group[at + d]]
+        if not len(at):
+            break
+        parts.append(r.compare(at, at + d, s))
         d += 1
-    if not left:
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    return np.concatenate(left), np.concatenate(right), np.concatenate(matches)
-
-
-def _choose(rows: dict[str, np.ndarray], failed: dict[int, set[int]], width: int, s: Settings) -> set[tuple[int, int]]:
-    """Untested pairs of different components of a group, the most similar first.
-
-    Width 0 gives a maximum spanning forest of each group; else at most ``width`` pairs for any two components."""
-    ids, group = rows["doc_id"], rows["group"]
-    i, j, hits = _survivors(rows["sig"], group, rows["comp"], s)
-    by = np.argsort(-hits, kind="stable")
-    i, j = i[by], j[by]
-    label = np.unique(np.stack((group, rows["comp"])), axis=1, return_inverse=True)[1].reshape(-1) if len(ids) else group
-    members: dict[int, list[int]] = {}
-    for at, x in enumerate(label.tolist()):
-        members.setdefault(x, []).append(at)
-    taken: dict[tuple[int, int], int] = {}
-    out: set[tuple[int, int]] = set()
-    for start in range(0, len(i), 4096):
-        a, b = i[start : start + 4096], j[start : start + 4096]
-        apart = label[a] != label[b]
-        for x, y in zip(a[apart].tolist(), b[apart].tolist()):
-            p, q = int(label[x]), int(label[y])
-            if p == q:
-                continue
-            pair = (int(min(ids[x], ids[y])), int(max(ids[x], ids[y])))
-            if pair[1] in failed.get(pair[0], ()):
-                continue
-            if width == 0:
-                out.add(pair)
-                if len(members[p]) < len(members[q]):
-                    p, q = q, p
-                label[members[q]] = p
-                members[p] += members.pop(q)
-            else:
-                ends = (min(p, q), max(p, q))
-                if taken.get(ends, 0) < width:
-                    taken[ends] = taken.get(ends, 0) + 1
-                    out.add(pair)
-    return out
-
-
-def _pairs(width: int, s: Settings):
-    """Over rows sorted by (band, key, block): the pairs of each block. Rows of a block that a batch ends in wait for the next."""
-    where = ["band", "key", "block"]
+    none = np.zeros(0, np.int64)
+    return tuple(map(np.concatenate, zip(*parts))) if parts else (none, none, none)
+
+
+def _across(r: Rows, side: np.ndarray, minor: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a row of side 0 and one of side 1 of the same group, behind it; two rows outside the main component meet once."""
+    x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    first, last = np.searchsorted(r.group[y], r.group[x], "left"), np.searchsorted(r.group[y], r.group[x], "right")
+    many = last - first
+    none = np.zeros(0, np.int64)
+    parts, start, sums = [(none, none, none)], 0, np.cumsum(many)
+    while start < len(x):
+        stop = max(start + 1, int(np.searchsorted(sums, (sums[start - 1] if start else 0) + 500_000, "right")))
+        n = many[start:stop]
+        i = np.repeat(x[start:stop], n)
+        j = y[np.repeat(first[start:stop] - (np.cumsum(n) - n), n) + np.arange(n.sum())] if len(i) else none
+        once = ~minor[j] | (r.ids[i] < r.ids[j])
+        parts.append(r.compare(i[once], j[once], s))
+        start = stop
+    return tuple(map(np.concatenate, zip(*parts)))
+
+
+def _pairs(where: list[str], forest: bool, s: Settings):
+    """Over rows sorted by ``where``: the pairs (a, b) of each group. Rows of a group that a batch ends in wait for the next.
+
+    Without ``forest`` a pair is given in the first band that it shares."""
+    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
+        keys = rows[where].to_numpy()
+        group = np.concatenate(([0], np.cumsum((keys[1:] != keys[:-1]).any(axis=1))))
+        n = rows["n"].to_numpy()
+        shared = n - rows["private"].to_numpy() if "private" in rows else n
+        sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(rows), -1)
+        r = Rows(rows["doc_id"].to_numpy(), group, rows["comp"].to_numpy(), n, shared, sig)
+        if "side" in rows:
+            i, j, hits = _across(r, rows["side"].to_numpy(), (rows["comp"] != rows["main"]).to_numpy(), s)
+        else:
+            i, j, hits = _within(r, s)
+        if forest:
+            keep = r.forest(i, j, hits)
+        else:
+            keep = np.zeros(len(i), bool)
+            for k in range(0, len(i), 4096):
+                same = (sig[i[k : k + 4096]] == sig[j[k : k + 4096]]).reshape(-1, s.bands, s.rows).all(2)
+                keep[k : k + 4096] = same.argmax(1) == rows["band"].to_numpy()[i[k : k + 4096]]
+        i, j = r.ids[i[keep]], r.ids[j[keep]]
+        return pd.DataFrame({"a": np.minimum(i, j), "b": np.maximum(i, j)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-
-        def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-            keys = rows[where].to_numpy()
-            rows = rows.assign(group=np.concatenate(([0], np.cumsum((keys[1:] != keys[:-1]).any(axis=1)))))
-            rows = rows.drop_duplicates(["group", "doc_id"])
-            arrays = {c: rows[c].to_numpy() for c in ("doc_id", "group", "comp")}
-            arrays["sig"] = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1)
-            failed = {int(a): set(x) for a, x in zip(rows["doc_id"], rows["failed"]) if x is not None}
-            return pd.DataFrame(sorted(_choose(arrays, failed, width, s)), columns=["a", "b"], dtype="int64")
-
+        held: list[pd.DataFrame] = []
         for batch in batches:
             if not len(batch):
                 continue
-            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            keys = rows[where].to_numpy()
-            last = (keys == keys[-1]).all(axis=1)
-            held = rows[last]
-            if not last.all():
-                yield pairs(rows[~last])
-        if held is not None:
-            yield pairs(held)
+            keys = batch[where].to_numpy()
+            if held and (held[-1][where].to_numpy()[-1] != keys[0]).any():
+                yield pairs(pd.concat(held, ignore_index=True))
+                held = []
+            cut = int(np.flatnonzero((keys != keys[-1]).any(axis=1)).max(initial=-1)) + 1  # where the last group starts
+            if cut:
+                yield pairs(pd.concat([*held, batch[:cut]], ignore_index=True))
+                held = []
+            held.append(batch[cut:])
+        if held:
+            yield pairs(pd.concat(held, ignore_index=True))
 
     return run
 
 
+def private_counts(texts: DataFrame, s: Settings) -> DataFrame:
+    """(doc_id, private): of the texts that have any, how many of their shingles no other of the texts has."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i, text in zip(batch["doc_id"], batch["text"]):
+                value = shingle_hashes([text.encode("utf-8", "surrogatepass").translate(LOWER)], s.words)[0].view(np.int64)
+                yield pd.DataFrame({"doc_id": [i], "gram": [value]})
+
+    each = texts.mapInPandas(run, "doc_id long, gram array<long>").select("doc_id", F.explode("gram").alias("gram"))
+    alone = each.groupBy("gram").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("other")).where("doc_id = other")
+    return alone.groupBy("doc_id").agg(F.count("*").alias("private"))
+
+
 def exact_links(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     """(a, b, linked): the pairs checked on their full shingle sets. Each id has one row in ``docs``."""
     def sets(text: str) -> set[tuple[str, ...]]:
@@ -314,61 +350,88 @@ def one_text(docs: DataFrame) -> DataFrame:
     return rows.join(again, "doc_id", "left_anti").unionByName(least)
 
 
+def _dealt(rows: DataFrame, where: list[str], more: list[str]) -> DataFrame:
+    return rows.repartition(shuffle_partitions(rows.sparkSession), *where).sortWithinPartitions(*where, *more)
+
+
+def _block(blocks: Column) -> Column:
+    """The block of a row among so many, by a hash that differs by band."""
+    return F.pmod(F.xxhash64("doc_id", "band"), F.greatest(blocks, F.lit(1))).cast("int")
+
+
+def _first_pairs(members: DataFrame, signs: DataFrame, s: Settings) -> DataFrame:
+    """(a, b): a spanning forest of each block of each bucket."""
+    where = ["band", "key", "block"]
+    placed = members.select("band", "key", "doc_id", _block(F.ceil(F.col("size") / BLOCK)).alias("block"), F.col("doc_id").alias("comp"))
+    dealt = _dealt(placed.join(signs, "doc_id"), where, ["doc_id"])
+    return dealt.mapInPandas(_pairs(where, True, s), "a long, b long").distinct()
+
+
+def _unresolved(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """(band, key, doc_id, comp, main, size, minors): rows of buckets of several components, with the bucket's largest
+    component, its number of rows, and that of rows outside the largest."""
+    named = members.join(comp, "doc_id", "left").select("band", "key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+    sizes = named.groupBy("band", "key", "comp").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("n").alias("size"))
+    main = main.where("comps > 1").select("band", "key", F.col("top.comp").alias("main"), "size", (F.col("size") - F.col("top.n")).alias("minors"))
+    return named.join(main, ["band", "key"])
+
+
+def _more_pairs(still: DataFrame, facts: DataFrame, forest: bool, s: Settings) -> DataFrame:
+    """(a, b) of different components of a bucket: rows outside its main component (side 0), against all (side 1)."""
+    where = ["band", "key", "bx", "by"]
+    nx, ny = F.ceil(F.col("minors") / BLOCK).cast("int"), F.ceil(F.col("size") / BLOCK).cast("int")
+    kept = ["band", "key", "doc_id", "comp", "main"]
+    x = still.where("comp != main").select(*kept, F.lit(0).alias("side"), _block(nx).alias("bx"), F.explode(F.sequence(F.lit(0), ny - 1)).alias("by"))
+    y = still.select(*kept, F.lit(1).alias("side"), _block(ny).alias("by"), F.explode(F.sequence(F.lit(0), nx - 1)).alias("bx"))
+    dealt = _dealt(x.unionByName(y).join(facts, "doc_id"), where, ["side", "doc_id"])
+    return dealt.mapInPandas(_pairs(where, forest, s), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; kept is true for the least id of a component.
 
     Null and empty texts have no shingles and link with nothing. Rows that repeat an id are one
     document, with the text that sorts first; rows without an id have no shingles counted and are
     kept, with a null component. An empty table gives an empty result."""
-    spark = docs.sparkSession
     rows = one_text(docs)
     sketched = materialize(sketch(rows, s), "sketch")
     full = sketched.where("n_shingles > 0")
-    classes = materialize(full.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = materialize(full.groupBy("text_key").agg(F.min("doc_id").alias("rep")), "classes")
     reps = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
 
     bands = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    shared = bands.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialize(bands.join(shared, ["band", "key"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n"), "members")
+    shared = bands.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
+    members = materialize(bands.join(shared, ["band", "key"]), "members")
     ids = members.select("doc_id").distinct()
-    signs = materialize(reps.select("doc_id", "sig").join(ids, "doc_id", "left_semi"), "signs")
+    signs = materialize(reps.select("doc_id", F.col("n_shingles").alias("n"), "sig").join(ids, "doc_id", "left_semi"), "signs")
     texts = materialize(rows.join(ids, "doc_id", "left_semi").select("doc_id", "text"), "texts")
 
-    n = shuffle_partitions(spark)
-    own_block = F.pmod(F.xxhash64("doc_id", "band"), F.col("blocks")).cast("int")
-    tested, comp, width = None, None, 0
-    while True:
-        if comp is None:
-            placed = members.withColumn("comp", F.col("doc_id")).withColumn("block", own_block)
-        else:
-            labelled = members.join(comp, "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
-            sizes = labelled.groupBy("band", "key", "comp").agg(F.count("*").alias("n"))
-            main = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
-            still = labelled.join(main.select("band", "key", F.col("top.comp").alias("main")), ["band", "key"])
-            everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
-            placed = still.withColumn("block", F.explode(F.when(F.col("comp") == F.col("main"), F.array(own_block)).otherwise(everywhere)))
-        groups = placed.select("band", "key", "block", "doc_id", "comp").join(signs, "doc_id")
-        if tested is None:
-            groups = groups.withColumn("failed", F.lit(None).cast("array<long>"))
-        else:
-            failed = tested.where("NOT linked").groupBy("a").agg(F.collect_list("b").alias("failed")).withColumnRenamed("a", "doc_id")
-            groups = groups.join(failed, "doc_id", "left")
-        dealt = groups.repartition(n, "band", "key", "block").sortWithinPartitions("band", "key", "block", "doc_id")
-        found = materialize(dealt.mapInPandas(_pairs(width, s), "a long, b long").distinct(), "pairs")
-        if found.isEmpty():
-            break
+    found = materialize(_first_pairs(members, signs, s), "pairs")
+    tested, links, comp, private, turn = found, None, None, None, 0
+    while not found.isEmpty():
         checked = materialize(exact_links(found, texts, s), "checked")
-        tested = checked if tested is None else tested.unionByName(checked)
-        links = checked.where("linked").select("a", "b")
-        if comp is not None:  # what was found before, as a star for each component
-            links = links.unionByName(comp.select(F.col("doc_id").alias("a"), F.col("component").alias("b")))
+        new = checked.where("linked").select("a", "b")
+        if turn > 1 and new.isEmpty():
+            break
+        links = new if links is None else links.unionByName(new)
         comp = materialize(components(links).withColumnRenamed("node", "doc_id"), "components")
-        width = 16 * width or 8
+        links = comp.select(F.col("doc_id").alias("a"), F.col("component").alias("b"))  # a star for each component
+        still = materialize(_unresolved(members, comp), "still")
+        if private is None:
+            private = materialize(private_counts(texts.join(still.select("doc_id").distinct(), "doc_id", "left_semi"), s), "private")
+        facts = signs.join(private, "doc_id", "left").fillna({"private": 0})
+        for forest in (True, False)[min(turn, 1) :]:
+            turn += 1
+            found = materialize(_more_pairs(still, facts, forest, s).join(tested, ["a", "b"], "left_anti"), "pairs")
+            if not found.isEmpty():
+                break
+        tested = tested.unionByName(found)
 
     label = classes if comp is None else classes.join(comp.withColumnRenamed("doc_id", "rep"), "rep", "left")
-    label = label.select("set_key", (F.col("rep") if comp is None else F.coalesce("component", "rep")).alias("component_id"))
-    known = sketched.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key"))
-    found = known.join(label, "set_key", "left").withColumn("component_id", F.coalesce("component_id", "doc_id")).select("doc_id", "n_shingles", "component_id")
+    label = label.select("text_key", (F.col("rep") if comp is None else F.coalesce("component", "rep")).alias("component_id"))
+    known = sketched.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("text_key")).alias("text_key"))
+    found = known.join(label, "text_key", "left").withColumn("component_id", F.coalesce("component_id", "doc_id")).select("doc_id", "n_shingles", "component_id")
     out = docs.select("doc_id").join(found, "doc_id", "left").fillna({"n_shingles": 0})
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 

@@ -260,6 +260,42 @@ def test_short_lines(spark):
     assert got == {1: rows[0][1], 2: "ok\n \n目次\ntwo word"}
 
 
+def test_texts_of_equal_polynomial_hashes_stay_apart(spark):
+    """A Thue-Morse word and its complement, equal under any polynomial modulo a power of two."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    rows = [(1, "".join("ab"[b] for b in bits)), (2, "".join("ba"[b] for b in bits)), (3, "".join("ab"[b] for b in bits).upper())]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates_op8(docs(spark, rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_large_group_of_copies_with_edits_of_their_own(spark, monkeypatch):
+    """Buckets of several blocks, with many rows that link with nothing."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng = random.Random(31)
+    base = words(rng, 120, 100_000).split()
+    rows = []
+    for i in range(150):
+        own = list(base)
+        for k in rng.sample(range(120), rng.randrange(9)):
+            own[k] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+
+    def grams(t):
+        w = t.split()
+        return set(zip(w, w[1:], w[2:]))
+
+    sets = [grams(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates_op8(docs(spark, rows)).collect()}
+    assert got == dict(enumerate(root)) and 20 < len(set(root)) < 140
+
+
 # --- contamination ---
 
 
