@@ -22,6 +22,16 @@ def mod_of_crc(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def by_size(batch: pd.DataFrame, column: str, most: int = 2_000_000) -> Iterator[pd.DataFrame]:
+    """The batch in parts of at most about ``most`` characters of the column, so that what is made of a part stays small."""
+    sums = batch[column].str.len().cumsum().to_numpy()
+    start = 0
+    while start < len(batch):
+        stop = max(start + 1, int(sums.searchsorted((sums[start - 1] if start else 0) + most, "right")))
+        yield batch[start:stop]
+        start = stop
+
+
 def slices(rows: list[tuple], columns: list[str], size: int = 20_000) -> Iterator[pd.DataFrame]:
     """The rows as frames of at most ``size`` rows; none for no rows."""
     for i in range(0, len(rows), size):
