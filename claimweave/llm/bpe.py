@@ -28,7 +28,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CUT, WINDOW, MEMORY, LEAST = 128, 12, 180_000, 48
+from claimweave.llm.common import by_size
+
+CUT, WINDOW, MEMORY, LEAST = 128, 12, 120_000, 48
 BLANKS = np.zeros(256, bool)
 BLANKS[[9, 10, 32]] = True
 #: What may follow a trusted join: any byte of ASCII that is visible, or a lead byte of Latin letters.
@@ -166,8 +168,10 @@ def words_of(text: str) -> list[str]:
 
 def chunk_refs(docs: DataFrame) -> DataFrame:
     """(doc_id, key) of the chunks of at least LEAST bytes, each once a document."""
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_size(whole, "text")):
             ids, keys = [], []
             for i, parts in zip(batch["doc_id"], chunk_all(batch["text"].tolist())):
                 own = {chunk_key(c) for c in parts if len(c) >= LEAST}
@@ -183,13 +187,14 @@ def shared_chunks(docs: DataFrame, path: str) -> DataFrame:
 
     Chunks are counted by key, summed before the shuffle. Each shared chunk is encoded on one
     document; the join that brings its ids to all who have it is on the key, and may split."""
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     refs = chunk_refs(docs)
     owners = refs.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("owner")).where("n > 1").select("key", "owner")
     wanted = owners.groupBy("owner").agg(F.collect_list("key").alias("keys")).withColumnRenamed("owner", "doc_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = coder(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_size(whole, "text")):
             found: dict[bytes, bytes] = {}
             for parts, keys in zip(chunk_all(batch["text"].tolist()), batch["keys"]):
                 want = set(keys)
@@ -212,7 +217,7 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False) -> Data
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = coder(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_size(whole, "text")):
             texts = batch["text"].tolist()
             having = [i for i, x in enumerate(batch["shared"]) if x is not None and len(x)]
             parts_of = dict(zip(having, chunk_all([texts[i] for i in having])))
