@@ -124,8 +124,8 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             exact, sketch = vectors(batch["text"].tolist())
             yield pd.DataFrame({"id": batch["id"], "fingerprint": [to_string(a, b) for a, b in zip(exact, sketch)]})
 
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "id long, fingerprint string").withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))  # pandas turns longs beside nulls into floats
+    return rows.mapInPandas(run, "id string, fingerprint string").select(F.col("id").cast("long").alias(id_col), "fingerprint")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -149,14 +149,14 @@ def with_next(docs: DataFrame) -> DataFrame:
     again = F.struct(F.col("before").alias("part"), F.lit(1).alias("ahead"))
     places = F.explode(F.when(F.col("before").isNull(), F.array(here)).otherwise(F.array(here, again)))
     return (
-        placed.select("doc_id", "text", "key", places.alias("at"))
+        placed.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "key", places.alias("at"))
         .select("doc_id", "text", "key", "at.part", "at.ahead")
         .repartitionByRange(n, "part")
         .sortWithinPartitions("part", "ahead", "key", "text")
     )
 
 
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+RESULT = "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def _against_next(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,7 +175,7 @@ def _against_next(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mine, following = np.array([at[id(a)] for a, _ in pairs]), np.array([at[id(b)] for _, b in pairs])
         old, succ = (own[0][mine], own[1][mine]), (own[0][following], own[1][following])
         yield pd.DataFrame({
-            "doc_id": pd.array([a[0] for a, _ in pairs], dtype="Int64"),
+            "doc_id": [a[0] for a, _ in pairs],
             "n_chars": [len(a[1]) for a, _ in pairs],
             "edited_sha256": [sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited],
             "fingerprint": [to_string(x, y) for x, y in zip(*old)],
@@ -190,6 +190,5 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
 
     The edited text has the last floor(n/2) code points replaced by the first as many of the next
     document's. A lone document is its own successor. An empty table gives an empty result."""
-    if docs.isEmpty():
-        return docs.sparkSession.createDataFrame([], RESULT)
-    return with_next(docs).mapInPandas(_against_next, RESULT)
+    rows = docs.sparkSession.createDataFrame([], RESULT) if docs.isEmpty() else with_next(docs).mapInPandas(_against_next, RESULT)
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))  # text till here: pandas turns longs beside nulls into floats

@@ -256,16 +256,17 @@ def fit(rows: DataFrame) -> Model | None:
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, lang_pred, score, accepted) of every row."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))  # pandas turns longs beside nulls into floats
     if model is None:
-        return rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("accepted"))
+        return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("accepted"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             lang, score, accepted = model.predict(batch["text"].tolist())
             yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": lang, "score": score, "accepted": accepted})
 
-    return rows.mapInPandas(run, "doc_id long, lang_pred string, score double, accepted boolean")
+    out = rows.mapInPandas(run, "doc_id string, lang_pred string, score double, accepted boolean")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

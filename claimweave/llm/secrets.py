@@ -100,12 +100,27 @@ def _joined(spans: Column, rules: tuple[Rule, ...]) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["rank"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def secrets_by_document(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def findings(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, path_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(blob, spans) of the blobs of ``versions`` that hold any secret: unseen pairs are scanned, the others' spans come from the ledger.
+
+    ``ledger`` has rows of ledger_rows(), from scans with any rules; those of other rule versions don't count."""
+    new = scan(versions, ledger, rules, path_col, text_col).select("blob", "spans")
+    if ledger is None:
+        return new.where(F.size("spans") > 0)
+    rank = F.create_map(*[x for i, r in enumerate(rules) for x in (F.concat_ws("\0", F.lit(r.kind), F.lit(r.version)), F.lit(i))])
+    known = ledger.select("blob", "spans", rank[F.concat_ws("\0", "kind", "version")].alias("own")).where("own IS NOT NULL AND size(spans) > 0")
+    known = known.select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.col("own").alias("rank"))).alias("spans"))
+    here = blobs(versions, path_col, text_col).select("blob").distinct()
+    both = known.join(here, "blob", "left_semi").unionByName(new.where(F.size("spans") > 0))
+    return both.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))  # a row for each rule at most
+
+
+def secrets_by_document(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
     """A row for each document: counts by base kind, the digest of base spans, and all spans, ordered by start, then kind."""
-    scanned = scan(docs, None, rules)
+    scanned = findings(docs, ledger, rules)
     paths = blobs(docs, "doc_id", "text").select(F.col("path").alias("doc_id"), "blob")
     ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"))))
-    hits = scanned.where(F.size("spans") > 0).select("blob", ordered.alias("spans"))
+    hits = scanned.select("blob", ordered.alias("spans"))
     base = F.filter("spans", lambda s: s["rank"] < len(BASE))
     of_rank = lambda i: F.size(F.filter("spans", lambda s: s["rank"] == i)).cast("long")
     counts = [of_rank(i).alias(f"n_{r.kind}") for i, r in enumerate(BASE)]

@@ -6,7 +6,8 @@ list; the squared difference of the two scores is added to the loss with weight
 naming a group by itself doesn't move a score.
 
 Fitted on a bounded sample of labelled rows (MAX_ROWS, drawn by hash) with at most MAX_FEATURES
-features, chosen by the z score of their document frequencies in the two classes. Scoring reads
+features, the highest by the z score of their document frequencies in the two classes; the bound
+keeps the normal equations small. Scoring reads
 every row whole, and uses text only. Null and empty texts get the score of a text without features.
 Without labelled rows, or with one class only, all scores are the smoothed share of that class.
 Rows that repeat get rows that repeat; a document labelled twice counts as its highest label.
@@ -71,7 +72,7 @@ class Model:
     weights: dict[str, float]
 
 
-def labelled(docs: DataFrame, labels: DataFrame, spark_filter=None) -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, text, toxic) of rows that may be learned from: at most about MAX_ROWS, by a hash of the id."""
     marks = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(mod_of_crc("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     marks = marks.where("toxic IN (0, 1)")
@@ -123,11 +124,18 @@ def fit(sample: DataFrame) -> Model:
             for text, toxic in zip(batch["text"], batch["toxic"]):
                 x = sparse(text)
                 out.append((toxic, list(x), list(x.values())))
+            yield from slices(out, ["toxic", "at", "value"])
+
+    def differences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Products of score changes by pairs of features, summed over the swapped sentences; feature -1 with itself counts them."""
+        sums: Counter = Counter()
+        for batch in batches:
+            for text in batch["text"]:
                 for a, b in swapped(text):
                     p, q = sparse(a), sparse(b)
-                    if d := {k: q.get(k, 0.0) - p.get(k, 0.0) for k in p.keys() | q.keys() if p.get(k) != q.get(k)}:
-                        out.append((-1, list(d), list(d.values())))
-            yield from slices(out, ["toxic", "at", "value"])
+                    d = {k: x for k in p.keys() | q.keys() if (x := q.get(k, 0.0) - p.get(k, 0.0))}
+                    sums.update({(i, j): x * y for i, x in d.items() for j, y in d.items()} | ({(-1, -1): 1.0} if d else {}))
+        yield from slices([(i, j, x) for (i, j), x in sums.items()], ["i", "j", "value"])
 
     data = sample.select("text", "toxic").mapInPandas(rows, "toxic int, at array<int>, value array<double>").collect()
     y = np.array([r["toxic"] for r in data])
@@ -135,15 +143,18 @@ def fit(sample: DataFrame) -> Model:
     for i, r in enumerate(data):
         x[i, r["at"]] = r["value"]
     x[:, -1] = 1
-    pairs, x, y = x[y < 0, :-1].astype(np.float64), x[y >= 0], y[y >= 0]
+    changes = sample.select("text").mapInPandas(differences, "i int, j int, value double").groupBy("i", "j").agg(F.sum("value").alias("value"))
+    changes = changes.toPandas()  # a row for two features at most, however many sentences there are
     ridge = np.full(len(chosen) + 1, RIDGE)
     ridge[-1] = 1e-9
     extra = np.diag(ridge)
-    if len(pairs):
-        extra[:-1, :-1] += PENALTY * pairs.T @ pairs / len(pairs)
+    if len(changes):
+        counted = changes["i"] < 0
+        n, own = changes.loc[counted, "value"].sum(), changes[~counted]
+        extra[own["i"], own["j"]] += PENALTY * own["value"] / n
     w = np.zeros(len(chosen) + 1)
     w[-1] = prior
-    for _ in range(10):
+    for _ in range(10):  # Newton's steps
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (p - y) / len(y) + extra @ w
         hessian = (x * (p * (1 - p)).astype(np.float32)[:, None]).T @ x / len(y) + extra
@@ -173,15 +184,8 @@ def scorer(model: Model):
 
 def score_documents(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of every row, with its score and the prediction at 0.5."""
-    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema), "score double"])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score = scorer(model)
-        for batch in batches:
-            yield batch[keep].assign(score=[score(t) for t in batch["_text"]])
-
-    return rows.mapInPandas(run, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    rows = docs.select(*keep, _score(model)(F.coalesce("text", F.lit(""))).alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def train(spark: SparkSession, sf_dir: str) -> Model:
@@ -195,12 +199,10 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reject_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that aren't predicted toxic, all columns as they were."""
-    columns = docs.columns
-    scored = docs.withColumn("_toxic", _toxic_udf(model)(F.coalesce("text", F.lit(""))))
-    return scored.where(F.col("_toxic") < 0.5).select(*columns)
+    return docs.where(_score(model)(F.coalesce("text", F.lit(""))) < 0.5)
 
 
-def _toxic_udf(model: Model):
+def _score(model: Model):
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         score = scorer(model)

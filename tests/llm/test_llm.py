@@ -59,7 +59,7 @@ ASSIGN = re.compile(secrets.BASE[0].pattern, re.ASCII)
 def test_secrets_equal_a_scan_in_python(spark):
     rng = random.Random(2)
     bits = ["secret", "TOKEN", ":", "=", " ", '"', "abc123", "AKIA", "ABCDEF0123456789", "deadbeef", "0123456789abcdef", "é", "🙂", "\n", "api_key", "passwd='", "z"]
-    rows = [(i, "".join(rng.choice(bits) for _ in range(14))) for i in range(300)] + ODD[:7]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(14))) for i in range(300)] + [(1000 + i, t) for i, t in ODD]
     got = {r.doc_id: r for r in secrets.secrets_by_document(docs(spark, rows, True)).collect()}
     assert len(got) == len({i for i, _ in rows})
     for i, t in dict(rows).items():
@@ -85,9 +85,39 @@ def test_ledger_scans_new_pairs_only(spark):
     assert sorted(len(r.spans) for r in again) == [0, 1] and all(r.kinds == ["slack"] for r in again)
 
 
+def test_ledger_findings_join_back_to_new_paths(spark):
+    seen = docs(spark, [(1, "token=abcdef99 secret: hunter22"), (2, "nothing")])
+    ledger = secrets.ledger_rows(secrets.scan(seen))
+    table = docs(spark, [(7, "token=abcdef99 secret: hunter22"), (8, "passwd=longer1"), (8, "passwd=longer1"), (9, None)])
+    assert secrets.scan(table, ledger).count() == 2  # of the new texts only
+    got = sorted(map(tuple, secrets.secrets_by_document(table, ledger=ledger).collect()), key=str)
+    assert got == sorted(map(tuple, secrets.secrets_by_document(table).collect()), key=str) and len(got) == 4
+    assert secrets.secrets_by_document(docs(spark, [])).count() == 0
+
+
 # --- fingerprints ---
 
 
+def test_ids_beside_nulls_stay_exact(spark):
+    large = 9007199254740993
+    table = docs(spark, [(None, "no id here"), (large, "an id beyond doubles"), (large, "an id beyond doubles")]).coalesce(1)
+    assert sorted(str(r.doc_id) for r in fingerprint.fingerprint_edits(table).collect()) == [str(large), str(large), "None"]
+    assert sorted(str(r.doc_id) for r in fingerprint.fingerprint(table).collect()) == [str(large), str(large), "None"]
+    model = langid.fit(docs(spark, [(1, "some words of a language"), (2, "more words of the same one")]))
+    assert sorted(str(r.doc_id) for r in langid.identify(table, model).collect()) == [str(large), str(large), "None"]
+    scored = toxicity.score_documents(table.withColumn("_toxic", F.lit(7)), toxicity.Model(0.1, {}), ["doc_id", "_toxic"]).collect()
+    assert sorted((str(r.doc_id), r._toxic) for r in scored) == [(str(large), 7), (str(large), 7), ("None", 7)]
+    assert sorted(str(r.doc_id) for r in licenses.license_scan(table).collect()) == [str(large), str(large), "None"]
+    assert fingerprint.fingerprint_edits(docs(spark, [])).count() == 0
+
+
+def test_fingerprint_is_the_sum_over_paragraphs():
+    lines = ["one line that is long enough for grams", "another", "", "another"]
+    exact, sketch = fingerprint.vectors(["\n".join(lines)])
+    parts = [fingerprint.vectors([x]) for x in lines]
+    assert (exact[0] == sum(p[0][0] for p in parts)).all() and (sketch[0] == sum(p[1][0] for p in parts)).all()
+
+
 def test_fingerprints(spark):
     rng = random.Random(3)
     rows = [(i * 3, "\n".join(words(rng, 30) for _ in range(4))) for i in range(40)] + [(1000 + i, t) for i, t in ODD]
