@@ -11,32 +11,33 @@ from claimweave.operators.confidence import summarise
 FLIPPED = {"A_to_B": "B_to_A", "B_to_A": "A_to_B"}
 
 
-def paper_sets(evidence: DataFrame) -> DataFrame:
-    return evidence.groupBy("interaction_id").agg(F.collect_set("paper_id").alias("papers"))
-
-
 def candidates(interactions: DataFrame, evidence: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(interaction_a, interaction_b, reversed): pairs on the same two entities and type that disagree.
 
     They differ in effect (both given) or in direction (neither undirected; null counts as that).
     Each side has a paper that the other lacks. Pairs in ``known``, either way round, are left out.
     The join is on the pair of entities and the type; reversed pairs are a second join, the same
-    way. A self-loop meets itself in the first only."""
-    cols = ["id", "entity_a", "entity_b", "interaction_type", "effect", F.coalesce("direction", F.lit("undirected")).alias("direction")]
-    rows = interactions.select(*cols).join(paper_sets(evidence).withColumnRenamed("interaction_id", "id"), "id")
+    way. A self-loop meets itself in the first only. Papers are counted, not carried: each side
+    has one of its own if it has more papers than the two share."""
+    rows = interactions.select("id", "entity_a", "entity_b", "interaction_type", "effect", F.coalesce("direction", F.lit("undirected")).alias("direction"))
     right = rows.select(*[F.col(c).alias(f"{c}_2") for c in rows.columns])
     kind = F.col("interaction_type") == F.col("interaction_type_2")
-    ahead = rows.join(right, (F.col("entity_a") == F.col("entity_a_2")) & (F.col("entity_b") == F.col("entity_b_2")) & kind & (F.col("id") < F.col("id_2")))
-    back = rows.join(right, (F.col("entity_a") == F.col("entity_b_2")) & (F.col("entity_b") == F.col("entity_a_2")) & kind & (F.col("id") < F.col("id_2"))).where("entity_a != entity_b")
-    both = ahead.withColumn("reversed", F.lit(False)).unionAll(back.withColumn("reversed", F.lit(True)))
     directed = (F.lower("direction") != "undirected") & (F.lower("direction_2") != "undirected")
     differ = F.coalesce(F.col("effect") != F.col("effect_2"), F.lit(False)) | (directed & (F.col("direction") != F.col("direction_2")))
-    apart = (F.size(F.array_except("papers", "papers_2")) > 0) & (F.size(F.array_except("papers_2", "papers")) > 0)
-    pairs = both.where(differ & apart).select(F.col("id").alias("interaction_a"), F.col("id_2").alias("interaction_b"), "reversed")
+    ahead = rows.join(right, (F.col("entity_a") == F.col("entity_a_2")) & (F.col("entity_b") == F.col("entity_b_2")) & kind & (F.col("id") < F.col("id_2")) & differ)
+    back = rows.join(right, (F.col("entity_a") == F.col("entity_b_2")) & (F.col("entity_b") == F.col("entity_a_2")) & kind & (F.col("id") < F.col("id_2")) & differ).where("entity_a != entity_b")
+    both = ahead.withColumn("reversed", F.lit(False)).unionAll(back.withColumn("reversed", F.lit(True)))
+    pairs = both.select(F.col("id").alias("interaction_a"), F.col("id_2").alias("interaction_b"), "reversed")
     if known is not None:
         ends = known.select(F.least("interaction_a", "interaction_b").alias("interaction_a"), F.greatest("interaction_a", "interaction_b").alias("interaction_b"))
         pairs = pairs.join(ends, ["interaction_a", "interaction_b"], "left_anti")
-    return pairs
+    papers = evidence.select(F.col("interaction_id").alias("id"), "paper_id").distinct()
+    sizes = papers.groupBy("id").agg(F.count("*").alias("n"))
+    pairs = pairs.join(sizes.toDF("interaction_a", "na"), "interaction_a").join(sizes.toDF("interaction_b", "nb"), "interaction_b")
+    common = pairs.join(papers.toDF("interaction_a", "paper"), "interaction_a").join(papers.toDF("interaction_b", "paper"), ["interaction_b", "paper"])
+    common = common.groupBy("interaction_a", "interaction_b").agg(F.count("*").alias("shared"))
+    pairs = pairs.join(common, ["interaction_a", "interaction_b"], "left").fillna({"shared": 0})
+    return pairs.where("na > shared AND nb > shared").select("interaction_a", "interaction_b", "reversed")
 
 
 def context_sets(evidence: DataFrame) -> DataFrame:

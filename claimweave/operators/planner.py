@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -38,11 +38,18 @@ def learned(searches: DataFrame, pending: DataFrame) -> DataFrame:
     return rows.withColumn("learned_yield", F.coalesce(value, F.lit(0.0))).drop("specific", "wide", "any_kind", "any_kind_reason")
 
 
-def score_pending(pending: DataFrame, searches: DataFrame, entities: DataFrame, conflict_weight: Column | float = 0.0) -> DataFrame:
-    """(id, planning_score, learned_yield): the estimated gain of each pending search."""
+def score_pending(pending: DataFrame, searches: DataFrame, entities: DataFrame, conflicts: DataFrame | None = None, penalty: float = 1.0) -> DataFrame:
+    """(id, planning_score, learned_yield): the estimated gain of each pending search.
+
+    A search whose ``origin`` is ``conflict_id:`` and the id of a conflict gains that conflict's weight times the penalty."""
     rows = learned(searches, pending).join(entities.select(F.col("id").alias("target_id"), "paper_count"), "target_id", "left")
+    if conflicts is None:
+        rows = rows.withColumn("weight", F.lit(0.0))
+    else:
+        named = F.when(F.startswith("origin", F.lit("conflict_id:")), F.substr("origin", F.lit(13)))
+        rows = rows.withColumn("conflict", named).join(conflicts.select(F.col("id").alias("conflict"), F.col("penalty_weight").alias("weight")), "conflict", "left")
     kind, is_clash = F.col("target_kind"), F.col("query_type") == "conflict_resolution"
-    weight = F.lit(conflict_weight) if isinstance(conflict_weight, float) else conflict_weight
+    weight = F.coalesce("weight", F.lit(0.0)) * penalty
     gain = F.when(is_clash, 1.0).when(kind == "entity", 1.8 + F.coalesce(F.least(F.col("paper_count").cast("double"), F.lit(10.0)) / 10, F.lit(0.0))).when(kind == "interaction", 2.2).otherwise(1.2)
     less = F.when(is_clash, 2.0 + weight).otherwise(0.0)
     noise = F.when(is_clash, 0.0).when(kind == "entity", 0.4).when(kind == "interaction", 0.2).when(F.col("query_type") == "entity_expansion", 0.8).otherwise(0.5)
@@ -53,17 +60,16 @@ def score_pending(pending: DataFrame, searches: DataFrame, entities: DataFrame,
 
 
 def allocate(weights: dict[str, float], slots: int) -> dict[str, int]:
-    """Slots for each family in proportion to its weight (0.5 at least), one at least; the sum is met by the largest."""
+    """Slots for each family in proportion to its weight (0.5 at least), one at least, in whole numbers by rounding half to even.
+
+    What is missing from the sum goes to the heaviest family; what is too much is taken one by one from the largest share, never its last."""
     held = {k: max(0.5, v) for k, v in weights.items()}
     share = {k: max(1, round(v / sum(held.values()) * slots)) for k, v in held.items()}
-    while (spare := slots - sum(share.values())) != 0:
-        if spare > 0:
-            share[max(held, key=held.get)] += 1
-            continue
+    spare = slots - sum(share.values())
+    share[max(held, key=held.get)] += max(0, spare)
+    for _ in range(max(0, -spare)):
         most = max(share, key=share.get)
-        if share[most] == 1:
-            break
-        share[most] -= 1
+        share[most] -= share[most] > 1
     return share
 
 

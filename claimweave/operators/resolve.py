@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,19 +23,21 @@ def exact(mentions: DataFrame, entities: DataFrame, synonyms: DataFrame) -> Data
     """(mention, entity_id, rung): mentions (mention, name, entity_type, organism) whose candidates narrow to one.
 
     Candidates have the name as a synonym. Rungs in turn: the only candidate; the only one of the
-    type and organism; of the organism; of the type; of the type's group; whose canonical name is the name."""
-    rows = mentions.select("mention", F.lower(F.trim("name")).alias("key"), "entity_type", F.lower(F.coalesce("organism", F.lit(""))).alias("organism"))
-    known = entities.select(F.col("id").alias("entity_id"), F.col("entity_type").alias("t"), F.lower(F.coalesce("organism", F.lit(""))).alias("o"), F.lower(F.trim("canonical_name")).alias("c"))
-    found = rows.join(synonyms.select("entity_id", F.col("synonym").alias("key")), "key").join(known, "entity_id")
-    kind, place = F.col("t") == F.col("entity_type"), (F.col("o") == F.col("organism")) & (F.col("organism") != "")
-    rungs = {"unique": F.lit(True), "type_organism": kind & place, "organism": place, "type": kind, "group": group(F.col("t")) == group(F.col("entity_type")), "canonical": F.col("c") == F.col("key")}
-    sums = [x for n, keep in rungs.items() for x in (F.count_distinct(F.when(keep, F.col("entity_id"))).alias(f"{n}_n"), F.min(F.when(keep, F.col("entity_id"))).alias(f"{n}_id"))]
-    counted = found.groupBy("mention").agg(*sums)
-    name, chosen = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for n in reversed(rungs):
-        only = F.col(f"{n}_n") == 1
-        name, chosen = F.when(only, n).otherwise(name), F.when(only, F.col(f"{n}_id")).otherwise(chosen)
-    return counted.select("mention", chosen.alias("entity_id"), name.alias("rung")).where("entity_id IS NOT NULL")
+    type and organism; of the organism; of the type; of the type's group; whose canonical name is the name.
+    Candidates are summed up by name, and by name with what a rung narrows by, before mentions meet
+    them: one is the only one where the least and the greatest id agree."""
+    rows = mentions.select("mention", F.lower(F.trim("name")).alias("key"), "entity_type", F.nullif(F.lower(F.coalesce("organism", F.lit(""))), F.lit("")).alias("organism"), group(F.col("entity_type")).alias("grp"))
+    known = entities.select(F.col("id").alias("entity_id"), F.col("entity_type"), F.nullif(F.lower(F.coalesce("organism", F.lit(""))), F.lit("")).alias("organism"), group(F.col("entity_type")).alias("grp"), F.lower(F.trim("canonical_name")).alias("c"))
+    asked = rows.select("key").distinct()
+    found = synonyms.select("entity_id", F.col("synonym").alias("key")).join(asked, "key", "left_semi").join(known, "entity_id")
+    rungs = {"unique": [], "type_organism": ["entity_type", "organism"], "organism": ["organism"], "type": ["entity_type"], "group": ["grp"], "canonical": []}
+    for i, (name, by) in enumerate(rungs.items()):
+        own = found.where("c = key") if name == "canonical" else found.dropna(subset=by) if by else found
+        only = own.groupBy("key", *by).agg(F.min("entity_id").alias(f"_{i}"), F.max("entity_id").alias("last")).where(F.col(f"_{i}") == F.col("last")).drop("last")
+        rows = rows.join(only, ["key", *by], "left")
+    chosen = F.coalesce(*[f"_{i}" for i in range(len(rungs))])
+    rung = F.coalesce(*[F.when(F.col(f"_{i}").isNotNull(), name) for i, name in enumerate(rungs)])
+    return rows.select("mention", chosen.alias("entity_id"), rung.alias("rung")).where("entity_id IS NOT NULL")
 
 
 def _blocks(rows: DataFrame, text: str, own: str, other: str, least: float) -> DataFrame:
@@ -53,13 +57,16 @@ def _blocks(rows: DataFrame, text: str, own: str, other: str, least: float) -> D
     return each.withColumn("block", F.xxhash64(F.array_join(F.array_sort(letters), ""))).drop("d")
 
 
-def fuzzy(mentions: DataFrame, entities: DataFrame, least: float = LEAST_RATIO) -> DataFrame:
-    """(mention, entity_id, ratio): the most similar canonical name of the type group, at ``least`` or more.
+def fuzzy(mentions: DataFrame, entities: DataFrame, synonyms: DataFrame | None = None, least: float = LEAST_RATIO) -> DataFrame:
+    """(mention, entity_id, ratio): the most similar name or synonym of the type group, at ``least`` or more.
 
     Pairs meet in blocks that lose none (see _blocks); bounds on the ratio come before the ratio.
     Equal names meet once. Ties go to the least id."""
     rows = mentions.select(F.lower(F.trim("name")).alias("key"), group(F.col("entity_type")).alias("g")).distinct()
-    names = entities.groupBy(F.lower(F.trim("canonical_name")).alias("name"), group(F.col("entity_type")).alias("g")).agg(F.min("id").alias("entity_id"))
+    every = entities.select("id", F.lower(F.trim("canonical_name")).alias("name"), group(F.col("entity_type")).alias("g"))
+    if synonyms is not None:
+        every = every.unionByName(synonyms.select(F.col("entity_id").alias("id"), F.col("synonym").alias("name")).join(every.select("id", "g"), "id"))
+    names = every.groupBy("name", "g").agg(F.min("id").alias("entity_id"))
     on = ["g", "la", "lb", "part", "block"]
     pairs = _blocks(rows, "key", "la", "lb", least).join(_blocks(names, "name", "lb", "la", least), on).select("key", "g", "name", "entity_id").distinct()
 
@@ -77,29 +84,61 @@ def fuzzy(mentions: DataFrame, entities: DataFrame, least: float = LEAST_RATIO)
     return asked.join(best, ["key", "g"]).select("mention", "x.entity_id", F.round(-F.col("x.low"), 6).alias("ratio"))
 
 
-def cascade(mentions: DataFrame, entities: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """(mention, entity_id, how): exact, else fuzzy, else a new entity, one for each name and type group.
+def every_name(mentions: DataFrame) -> DataFrame:
+    """A row for each name of a mention: its own, then its ``synonyms`` (array, may be missing), with the place of each."""
+    more = F.coalesce("synonyms", F.array().cast("array<string>")) if "synonyms" in mentions.columns else F.array().cast("array<string>")
+    each = mentions.select("mention", "entity_type", "organism", F.posexplode(F.concat(F.array("name"), more)).alias("place", "name"))
+    return each.where(F.trim("name") != "")
 
+
+def first_exact(names: DataFrame, entities: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """(mention, entity_id, rung): of a mention's names the first that resolves."""
+    key = F.concat_ws("#", "place", "mention")
+    hits = exact(names.withColumn("mention", key), entities, synonyms)
+    at = F.split_part("mention", F.lit("#"), F.lit(1)).cast("int")
+    own = F.expr("substring(mention, locate('#', mention) + 1)")
+    return hits.select(own.alias("mention"), at.alias("place"), "entity_id", "rung").groupBy("mention").agg(F.min(F.struct("place", "entity_id", "rung")).alias("x")).select("mention", "x.entity_id", "x.rung")
+
+
+def cascade(mentions: DataFrame, entities: DataFrame, synonyms: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
+    """(mention, entity_id, how): the first name that is exact; with the names that an outside source adds, again; else fuzzy by
+    name; else a new entity, one for each name and type group.
+
+    ``resolved``: (mention, canonical_name, accession, names), what that source found; its canonical name goes to a new entity.
     New entities of a batch don't see each other but for equal names: order within it has no effect."""
-    first = exact(mentions, entities, synonyms).select("mention", "entity_id", F.concat(F.lit("exact:"), "rung").alias("how"))
-    rest = mentions.join(first, "mention", "left_anti")
-    second = fuzzy(rest, entities).select("mention", "entity_id", F.lit("fuzzy").alias("how"))
+    names = every_name(mentions)
+    first = first_exact(names, entities, synonyms).select("mention", "entity_id", F.concat(F.lit("exact:"), "rung").alias("how"))
+    rest, out = mentions.join(first, "mention", "left_anti"), first
+    if resolved is not None:
+        wider = rest.join(resolved.select("mention", "names"), "mention").select("mention", "entity_type", "organism", F.posexplode("names").alias("place", "name"))
+        again = first_exact(wider, entities, synonyms).select("mention", "entity_id", F.concat(F.lit("resolved:"), "rung").alias("how"))
+        rest, out = rest.join(again, "mention", "left_anti"), out.unionByName(again)
+    second = fuzzy(rest, entities, synonyms).select("mention", "entity_id", F.lit("fuzzy").alias("how"))
     left = rest.join(second, "mention", "left_anti")
+    if resolved is not None:
+        left = left.join(resolved.select("mention", F.col("canonical_name").alias("better")), "mention", "left").withColumn("name", F.coalesce("better", "name"))
     new = left.select("mention", F.concat(F.lit("new:"), group(F.col("entity_type")), F.lit(":"), F.lower(F.trim("name"))).alias("entity_id"), F.lit("created").alias("how"))
-    return first.unionByName(second).unionByName(new)
+    return out.unionByName(second).unionByName(new)
 
 
 def learn_synonyms(resolved: DataFrame, mentions: DataFrame, synonyms: DataFrame) -> DataFrame:
     """(entity_id, synonym) pairs that the mentions add; empty names and known pairs are left out."""
-    new = mentions.join(resolved.select("mention", "entity_id"), "mention").select("entity_id", F.lower(F.trim("name")).alias("synonym")).where("synonym != ''").distinct()
+    new = every_name(mentions).join(resolved.select("mention", "entity_id"), "mention").select("entity_id", F.lower(F.trim("name")).alias("synonym")).where("synonym != ''").distinct()
     return new.join(synonyms, ["entity_id", "synonym"], "left_anti")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: Column) -> DataFrame:
-    """One row a key: of old and new together, the one that sorts first by ``order``; null keys equal each other."""
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: Column, null_conflicts: bool = False) -> DataFrame:
+    """One row a key: of old and new together, the one that sorts first by ``order``.
+
+    Rows with a null in a key never conflict, so all of them stay; with ``null_conflicts`` nulls equal each other."""
     rows = old.unionByName(new)
-    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in rows.columns if c not in keys]), order).alias("x"))
-    return best.select(*keys, "x.*").select(*rows.columns)
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    keyed = rows if null_conflicts else rows.where(whole)
+    best = keyed.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in rows.columns if c not in keys]), order).alias("x"))
+    best = best.select(*keys, "x.*").select(*rows.columns)
+    return best if null_conflicts else best.unionByName(rows.where(~whole))
 
 
 def insert_if_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -123,21 +162,19 @@ def cache_hits(cache: DataFrame, asked: DataFrame, now: Column) -> DataFrame:
 
 def batches_of_ratio(batches: Iterator[pd.DataFrame], snippet: str, text: str, least: float) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield batch.assign(found=[supported(a, b, least) for a, b in zip(batch[snippet], batch[text])])
-
-
-def supported(snippet: str | None, text: str | None, least: float) -> bool:
-    """Whether a window of the text is as similar to the snippet as ``least``. Very short snippets pass."""
-    if not snippet or not text:
-        return False
-    want, body = snippet.strip().lower(), text.lower()
-    if len(want) < 10 or want in body:
-        return True
-    stride = max(len(want) // 2, 50)
-    matcher = SequenceMatcher(None, b="")
-    matcher.set_seq1(want)
-    for at in range(0, max(1, len(body) - len(want) + 1), stride):
-        matcher.set_seq2(body[at : at + len(want) + 50])
-        if matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least and matcher.ratio() >= least:
-            return True
-    return False
+        yield batch.assign(found=[similar_window(a.strip().lower(), b.lower(), least) for a, b in zip(batch[snippet], batch[text])])
+
+
+def similar_window(want: str, body: str, least: float) -> bool:
+    """Whether ``want`` is as similar as ``least`` to a window of the text: its length and 50 more, every half length (50 at least).
+
+    Windows that share too few letters are left out by counts of letters, before any is compared."""
+    starts = np.arange(0, max(1, len(body) - len(want) + 1), max(len(want) // 2, 50))
+    stops = np.minimum(starts + len(want) + 50, len(body))
+    have = Counter(want)
+    shared = np.zeros(len(starts))
+    for letter, n in have.items():
+        sums = np.concatenate(([0], np.cumsum(np.frombuffer(body.encode("utf-32-le", "surrogatepass"), "<u4") == ord(letter))))
+        shared += np.minimum(n, sums[stops] - sums[starts])
+    hopeful = np.flatnonzero(2 * shared >= least * (len(want) + stops - starts) - 1e-9)
+    return any(SequenceMatcher(None, want, body[starts[i] : stops[i]]).ratio() >= least for i in hopeful)

@@ -125,6 +125,20 @@ def detected(m: Model) -> DataFrame:
 
 
 entry("conflict_candidates", "SELECT interaction_a, interaction_b, reversed FROM {candidates}", **CF)(lambda m: conflicts.candidates(m.stored().interactions, m["evidence"]))
+FLIPS = """SELECT id, CASE WHEN length(id) % 2 = 0 THEN entity_b ELSE entity_a END AS entity_a, CASE WHEN length(id) % 2 = 0 THEN entity_a ELSE entity_b END AS entity_b, interaction_type, effect, direction FROM {interactions}"""
+entry("conflict_candidates_reversed", CANDIDATES.replace("{interactions}", "{flips}").replace("SELECT k.*", "SELECT interaction_a, interaction_b, reversed", 1) + " AND NOT (ea = 'activates' AND eb = 'binds')", **CF, flips=FLIPS)(lambda m: reversed_candidates(m))
+
+
+def reversed_candidates(m: Model) -> DataFrame:
+    """Candidates where half of the interactions name their ends the other way round, without pairs of an activation and then a binding, which are known."""
+    odd = F.length("id") % 2 == 0
+    turned = m.stored().interactions.select("id", F.when(odd, F.col("entity_b")).otherwise(F.col("entity_a")).alias("entity_a"), F.when(odd, F.col("entity_a")).otherwise(F.col("entity_b")).alias("entity_b"), "interaction_type", "effect", "direction")
+    known = conflicts.candidates(turned.where("effect IN ('activates', 'binds')"), m["evidence"])
+    effects = turned.select("id", "effect")
+    known = known.join(effects.toDF("interaction_a", "ea"), "interaction_a").join(effects.toDF("interaction_b", "eb"), "interaction_b").where("ea = 'activates' AND eb = 'binds'")
+    return conflicts.candidates(turned, m["evidence"], known.select(F.col("interaction_b").alias("interaction_a"), F.col("interaction_a").alias("interaction_b")))
+
+
 entry("conflicts", "SELECT * FROM {conflicts}", **CF)(detected)
 entry("conflict_view", """SELECT c.id AS conflict, c.conflict_type, c.penalty_weight, a.effect AS effect_a, b.effect AS effect_b, e1.canonical_name AS a_left, e2.canonical_name AS a_right, e3.canonical_name AS b_left, e4.canonical_name AS b_right
  FROM {conflicts} c JOIN {interactions} a ON a.id = c.interaction_a JOIN {interactions} b ON b.id = c.interaction_b JOIN {entities} e1 ON e1.id = a.entity_a JOIN {entities} e2 ON e2.id = a.entity_b JOIN {entities} e3 ON e3.id = b.entity_a JOIN {entities} e4 ON e4.id = b.entity_b
@@ -165,7 +179,7 @@ SURE = 0.9
 
 
 def sure_arcs(m: Model, least: float = SURE) -> DataFrame:
-    return graph.arcs(m.interactions, m["entities"], least)
+    return graph.arcs(m.stored().interactions, m["entities"], least)
 
 
 entry("arcs", "SELECT source, target, branch, id, effect, sign, score FROM {arcs}", arcs=graph_sql.arcs(0.0))(lambda m: sure_arcs(m, 0.0))
@@ -178,12 +192,22 @@ for mode in ("suppress", "promote"):
     entry(f"propagate_{mode}_all", graph_sql.propagate(["s0"], [mode], 3), arcs=graph_sql.arcs(0.0))(lambda m, mode=mode: graph.propagate(sure_arcs(m, 0.0), ["s0"], (mode,), 3))
 entry("propagate_batch_all", graph_sql.propagate(["s0", "s1", "s2", "s3"], ["suppress", "promote"], 2), arcs=graph_sql.arcs(0.0))(lambda m: graph.propagate(sure_arcs(m, 0.0), ["s0", "s1", "s2", "s3"], ("suppress", "promote"), 2))
 entry("propagate_excluded_all", graph_sql.excluded("s0", 2), arcs=graph_sql.arcs(0.0))(lambda m: graph.excluded_arcs(sure_arcs(m, 0.0), "s0", 2))
-entry("neighbourhood", graph_sql.neighbourhood(["s0"], 3, 200, 0.8))(lambda m: graph.neighbourhood(m.interactions, m["entities"], ["s0"], 3, 200, 0.8))
-entry("neighbourhood_typed", graph_sql.neighbourhood(["s0"], 2, 200, 0.5, "gene"))(lambda m: graph.neighbourhood(m.interactions, m["entities"], ["s0"], 2, 200, 0.5, ["gene"]))
+entry("neighbourhood", graph_sql.neighbourhood(["s0"], 3, 200, 0.8))(lambda m: graph.neighbourhood(m.stored().interactions, m["entities"], ["s0"], 3, 200, 0.8))
+entry("neighbourhood_typed", graph_sql.neighbourhood(["s0"], 2, 200, 0.5, "gene"))(lambda m: graph.neighbourhood(m.stored().interactions, m["entities"], ["s0"], 2, 200, 0.5, ["gene"]))
 entry("paths", graph_sql.paths("s0", "s1", 4, 50, 0.93), arcs=graph_sql.arcs(SURE))(lambda m: graph.paths(sure_arcs(m), "s0", "s1", 4, 50, 0.93))
 
 # --- planning ----------------------------------------------------------------------------------
 
+ORIGINS = "SELECT i.entity_a AS target_id, min(c.id) AS conflict FROM {conflicts} c JOIN {interactions} i ON i.id = c.interaction_a GROUP BY i.entity_a"
+
+
+def with_origins(m: Model) -> DataFrame:
+    """Searches; those for a conflict name the first conflict of their target as their origin."""
+    first = detected(m).join(m.interactions.select(F.col("id").alias("interaction_a"), "entity_a"), "interaction_a").groupBy(F.col("entity_a").alias("target_id")).agg(F.min("id").alias("conflict"))
+    origin = F.when(F.col("query_type") == "conflict_resolution", F.concat(F.lit("conflict_id:"), "conflict")).otherwise("manual")
+    return m["searches"].join(first, "target_id", "left").withColumn("origin", origin).drop("conflict")
+
+
 YIELDS = """SELECT query_type, target_kind, generation_reason, CAST(count(*) AS BIGINT) AS n, avg(new_evidence) AS avg_new_evidence, avg(new_interactions) AS avg_new_interactions, avg(papers_new) AS avg_papers_new, avg(improved) AS avg_improved,
  round(avg(new_evidence) * 0.45::DOUBLE + avg(new_interactions) * 0.85::DOUBLE + avg(papers_new) * 0.15::DOUBLE + avg(improved) * 1.5::DOUBLE, 4) AS yield_score
  FROM (SELECT *, row_number() OVER (PARTITION BY query_type, target_kind, generation_reason ORDER BY completed_at DESC, id DESC) AS place FROM {searches} WHERE status = 'done') q WHERE place <= 50 GROUP BY query_type, target_kind, generation_reason"""
@@ -192,9 +216,11 @@ BROAD = """SELECT query_type, generation_reason, count(*) AS n, round(avg(new_ev
 entry("yield_stats", "SELECT * FROM {yields}", yields=YIELDS)(lambda m: planner.yields(m["searches"], ["query_type", "target_kind", "generation_reason"]))
 entry("planning_scores", """SELECT id, round(gain + less + new_evidence + new_interactions * 1.5::DOUBLE + papers_new * 0.5::DOUBLE + ly - noise - CASE WHEN ly < 0.5 THEN 0.3::DOUBLE ELSE 0 END, 4) AS planning_score, ly AS learned_yield FROM (
  SELECT p.*, coalesce(CASE WHEN p.target_kind IS NULL THEN b.yield_score ELSE y.yield_score END, 0) AS ly, CASE WHEN p.query_type = 'conflict_resolution' THEN 1.0::DOUBLE WHEN p.target_kind = 'entity' THEN 1.8::DOUBLE + coalesce(least(e.paper_count, 10) / 10::DOUBLE, 0) WHEN p.target_kind = 'interaction' THEN 2.2::DOUBLE ELSE 1.2::DOUBLE END AS gain,
- CASE WHEN p.query_type = 'conflict_resolution' THEN 2.0::DOUBLE ELSE 0::DOUBLE END AS less, CASE WHEN p.query_type = 'conflict_resolution' THEN 0::DOUBLE WHEN p.target_kind = 'entity' THEN 0.4::DOUBLE WHEN p.target_kind = 'interaction' THEN 0.2::DOUBLE ELSE 0.5::DOUBLE END AS noise
+ CASE WHEN p.query_type = 'conflict_resolution' THEN 2.0::DOUBLE + coalesce(c.penalty_weight, 0) ELSE 0::DOUBLE END AS less, CASE WHEN p.query_type = 'conflict_resolution' THEN 0::DOUBLE WHEN p.target_kind = 'entity' THEN 0.4::DOUBLE WHEN p.target_kind = 'interaction' THEN 0.2::DOUBLE ELSE 0.5::DOUBLE END AS noise
  FROM {searches} p LEFT JOIN {yields} y ON y.query_type = p.query_type AND y.target_kind = p.target_kind AND y.generation_reason = p.generation_reason AND y.n >= 2 LEFT JOIN {broad} b ON b.query_type = p.query_type AND b.generation_reason = p.generation_reason AND b.n >= 2
- LEFT JOIN {entities} e ON e.id = p.target_id WHERE p.status = 'pending') q""", yields=YIELDS, broad=BROAD)(lambda m: planner.score_pending(m["searches"].where("status = 'pending'"), m["searches"], m["entities"]))
+ LEFT JOIN {entities} e ON e.id = p.target_id LEFT JOIN {origins} g ON g.target_id = p.target_id LEFT JOIN {conflicts} c ON c.id = g.conflict WHERE p.status = 'pending') q""", yields=YIELDS, broad=BROAD, origins=ORIGINS, **CF)(
+    lambda m: planner.score_pending(with_origins(m).where("status = 'pending'"), m["searches"], m["entities"], detected(m))
+)
 entry("targeted_queries", """SELECT * FROM (SELECT concat('conflict_id:', c.id) AS origin, 'unresolved_conflict_hub' AS reason, concat('"', e1.canonical_name, '"[Title/Abstract] AND "', e2.canonical_name, '"[Title/Abstract] AND (', a.interaction_type, ' OR mechanism OR context OR condition)') AS query_text, round(3.0::DOUBLE + c.penalty_weight, 4) AS planning_score
  FROM {conflicts} c JOIN {interactions} a ON a.id = c.interaction_a JOIN {entities} e1 ON e1.id = a.entity_a JOIN {entities} e2 ON e2.id = a.entity_b ORDER BY c.penalty_weight DESC, c.id LIMIT 4) q1
  UNION ALL SELECT * FROM (SELECT concat('entity_id:', e.id), 'sparse_high_value_entity', concat('"', e.canonical_name, '"[Title/Abstract] AND (interaction OR signaling OR regulation OR binding)'), round(2.0::DOUBLE + least(e.paper_count, 10) / 10::DOUBLE - coalesce(d.degree, 0) * 0.25::DOUBLE, 4)
@@ -249,7 +275,8 @@ entry("resolve_fuzzy")(lambda m: resolve.fuzzy(m["customer"].select(F.concat(F.l
 entry("synonyms_learned", "SELECT DISTINCT x.entity_id, concat(lower(trim(m.name)), ' (syn)') AS synonym FROM {mentions} m JOIN {exact} x ON x.mention = m.mention EXCEPT SELECT entity_id, synonym FROM {synonyms}", mentions=MENTIONS, exact=EXACT)(
     lambda m: resolve.learn_synonyms(resolve.exact(mentions(m), m["entities"], m["synonyms"]), mentions(m).withColumn("name", F.concat("name", F.lit(" (Syn)"))), m["synonyms"])
 )
-entry("entity_upsert", "SELECT canonical_name, organism, min(id) AS id FROM {entities} GROUP BY canonical_name, organism")(
+entry("entity_upsert", """SELECT canonical_name, organism, min(id) AS id FROM {entities} WHERE organism IS NOT NULL GROUP BY canonical_name, organism UNION ALL SELECT canonical_name, organism, id FROM {entities} WHERE organism IS NULL
+ UNION ALL SELECT canonical_name, organism, id FROM {entities} WHERE organism IS NULL AND entity_type = 'gene'""")(
     lambda m: resolve.upsert(m["entities"].select("canonical_name", "organism", "id").where("entity_type = 'gene'"), m["entities"].select("canonical_name", "organism", "id"), ["canonical_name", "organism"], F.col("id"))
 )
 entry("cache_merge", """SELECT entity, mode, CAST(CASE WHEN d0 > coalesce(d1, -1) THEN d0 ELSE d1 END AS INT) AS max_depth, CASE WHEN d0 > coalesce(d1, -1) THEN 'old' ELSE 'new' END AS result, coalesce(e1, e0) AS expires, CAST(CASE WHEN d1 IS NOT NULL THEN 0 ELSE 7 END AS INT) AS hits FROM (
@@ -265,12 +292,15 @@ entry("cache_merge", """SELECT entity, mode, CAST(CASE WHEN d0 > coalesce(d1, -1
 entry("enum_normalise", """SELECT event_id, CASE event_type WHEN 'error' THEN 'error' ELSE event_type END AS entity_type, CAST(greatest(0, least(1, value)) AS DOUBLE) AS confidence FROM {events}""")(
     lambda m: m["events"].select("event_id", vocab.enum(F.upper("event_type"), vocab.ENTITY_ALIASES).alias("entity_type"), vocab.clamp(F.col("value").cast("string")).alias("confidence"))
 )
+entry("interaction_enum", """SELECT effect, interaction_type, CASE effect WHEN 'binds' THEN 'binds' ELSE 'unknown' END AS kind, interaction_type AS kept, CAST(count(*) AS BIGINT) AS n FROM {claims} GROUP BY effect, interaction_type""")(
+    lambda m: m["claims"].select("effect", "interaction_type", vocab.enum(F.concat(F.lit(" "), F.upper("effect")), vocab.INTERACTION_ALIASES).alias("kind"), vocab.enum(F.replace("interaction_type", F.lit("_"), F.lit("-")), vocab.INTERACTION_ALIASES).alias("kept")).groupBy("effect", "interaction_type", "kind", "kept").agg(F.count("*").alias("n"))
+)
 entry("whitespace", r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g'), '^\s+', ''), '\s+$', '')) AS digest FROM {documents}""")(
     lambda m: m["documents"].select("doc_id", F.sha2(text.whitespace(F.col("text")), 256).alias("digest"))
 )
 entry("markup_stripped", r"""SELECT page_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'), '^\s+', ''), '\s+$', '')) AS digest FROM {pages}""")(lambda m: m["pages"].select("page_id", F.sha2(text.strip_tags(F.col("html")), 256).alias("digest")))
-entry("snippet_offsets", "SELECT doc_id, CAST(CASE WHEN strpos(lower(text), 'the ') > 0 THEN strpos(lower(text), 'the ') - 1 END AS INT) AS start, CAST(CASE WHEN strpos(lower(text), 'the ') > 0 THEN strpos(lower(text), 'the ') + 3 END AS INT) AS stop FROM {documents}")(
-    lambda m: m["documents"].select("doc_id", text.offsets(F.concat(F.lit("The"), F.lit(" ")), F.col("text")).alias("at"), F.locate("the ", F.lower("text")).alias("k")).select("doc_id", F.when(F.col("k") > 0, F.col("k") - 1).alias("start"), F.when(F.col("k") > 0, F.col("k") + 3).alias("stop"))
+entry("snippet_offsets", "SELECT doc_id, CAST(CASE WHEN strpos(lower(text), 'the') > 0 THEN strpos(lower(text), 'the') - 1 END AS INT) AS start, CAST(CASE WHEN strpos(lower(text), 'the') > 0 THEN strpos(lower(text), 'the') + 3 END AS INT) AS stop FROM {documents}")(
+    lambda m: m["documents"].select("doc_id", text.offsets(F.lit("The "), F.col("text")).alias("at")).select("doc_id", "at.start", F.col("at.end").alias("stop"))
 )
 entry("chunks")(lambda m: text.chunk(m["documents"]).select("doc_id", "chunk", "start", "stop", F.sha2("text", 256).alias("digest")))
 entry("snippets_supported")(lambda m: text.snippets_supported(m["documents"].select("doc_id", F.substring("text", 11, 60).alias("snippet"), F.reverse("text").alias("text"))).select("doc_id", "found"))
@@ -294,40 +324,53 @@ def mitab_lines(m: Model) -> DataFrame:
 
 
 entry("source_mitab", """SELECT upper(entity_a) AS acc_a, upper(entity_b) AS acc_b, CASE effect WHEN 'binds' THEN 'MI:0407' WHEN 'inhibits' THEN 'MI:0217' ELSE '' END AS mi_term, interaction_type AS pathway_id, paper_id AS publications,
- CASE effect WHEN 'binds' THEN 'direct_binding' WHEN 'inhibits' THEN 'post_translational' ELSE 'unknown' END AS interaction_type, CASE effect WHEN 'inhibits' THEN 'phosphorylates' ELSE 'binds' END AS effect, CASE effect WHEN 'inhibits' THEN 'A_to_B' ELSE 'undirected' END AS direction FROM {claims}""")(lambda m: tabular.psi_mitab(mitab_lines(m)))
+ CASE effect WHEN 'binds' THEN 'direct_binding' WHEN 'inhibits' THEN 'post_translational' ELSE 'unknown' END AS interaction_type, CASE effect WHEN 'inhibits' THEN 'phosphorylates' ELSE 'binds' END AS effect, CASE effect WHEN 'inhibits' THEN 'A_to_B' ELSE 'undirected' END AS direction FROM {claims}""")(lambda m: tabular.psi_mitab(mitab_lines(m)).drop("mi_label"))
 
 
 def signed_lines(m: Model) -> DataFrame:
+    """Claims written as lines of the 28-column format: known and unknown mechanisms, with every sense and none."""
     cells = [F.lit("-")] * 28
-    sense = F.when(F.col("effect") == "activates", "up-regulates activity").when(F.col("effect") == "inhibits", "down-regulates").otherwise("form complex")
-    mechanism = F.when(F.col("interaction_type") == "direct_binding", "binding").when(F.col("interaction_type") == "transcriptional", "transcriptional regulation").otherwise("phosphorylation")
-    put = {1: F.lit("protein"), 2: F.concat("entity_a", F.lit("-PRO_1")), 3: F.lit("UNIPROT"), 5: F.lit("protein"), 6: F.col("entity_b"), 7: F.lit("UNIPROT"), 8: sense, 9: mechanism, 13: F.lit(""), 14: F.lit("liver"), 21: F.col("paper_id"), 27: F.when(F.col("line_no") == 1, F.lit("n/a")).otherwise(F.col("confidence_score").cast("string"))}
+    sense = F.when(F.col("line_no") == 7, "unknown").when(F.col("effect") == "activates", "up-regulates activity").when(F.col("effect") == "inhibits", "down-regulates").otherwise("form complex")
+    mechanism = F.when(F.col("line_no").isin(4, 7), "mystery").when(F.col("interaction_type") == "direct_binding", "binding").when(F.col("interaction_type") == "transcriptional", "transcriptional regulation").otherwise("phosphorylation")
+    put = {1: F.lit("protein"), 2: F.concat("entity_a", F.lit("-PRO_1")), 3: F.lit("UNIPROT"), 5: F.lit("protein"), 6: F.col("entity_b"), 7: F.lit("UNIPROT"), 8: sense, 9: mechanism, 13: F.lit(""), 14: F.lit("liver"), 21: F.col("paper_id"), 26: F.concat(F.lit("r"), "paper_id"), 27: F.when(F.col("line_no") == 1, F.lit("n/a")).otherwise(F.col("confidence_score").cast("string"))}
     return m["claims"].select(F.concat_ws("\t", *[put.get(i, c) for i, c in enumerate(cells)]).alias("line"))
 
 
-entry("source_signed", """SELECT acc_a, acc_b, interaction_type, effect, direction, publication, score, CASE WHEN score >= 0.7 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'low' END AS label, 'liver' AS context FROM (SELECT upper(entity_a) AS acc_a, upper(entity_b) AS acc_b, interaction_type,
- CASE WHEN interaction_type = 'post_translational' THEN 'phosphorylates' ELSE effect END AS effect, CASE WHEN interaction_type = 'direct_binding' THEN 'undirected' ELSE 'A_to_B' END AS direction, paper_id AS publication, CASE WHEN line_no = 1 THEN 0.7::DOUBLE ELSE confidence_score END AS score FROM {claims}) q""")(lambda m: tabular.signed_records(signed_lines(m)))
+#: Written from the rule: unknown mechanisms (lines 4 and 7) by their sense, generic ones refined by it, the others as the list has them.
+SIGNED = """SELECT *, CASE WHEN interaction_type = 'direct_binding' THEN 'undirected' ELSE 'A_to_B' END AS direction, CASE WHEN score >= 0.7 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'low' END AS label, 'liver' AS context FROM (
+ SELECT upper(entity_a) AS acc_a, upper(entity_b) AS acc_b, paper_id AS publication, concat('r', paper_id) AS record, CASE WHEN line_no IN (4, 7) THEN 'mystery' WHEN interaction_type = 'direct_binding' THEN 'binding' WHEN interaction_type = 'transcriptional' THEN 'transcriptional regulation' ELSE 'phosphorylation' END AS mechanism,
+ CASE WHEN line_no = 7 THEN 'unknown' WHEN effect = 'activates' THEN 'up-regulates activity' WHEN effect = 'inhibits' THEN 'down-regulates' ELSE 'form complex' END AS raw_effect, CASE WHEN line_no = 1 THEN 0.7::DOUBLE ELSE confidence_score END AS score,
+ CASE WHEN line_no = 7 THEN 'unknown' WHEN line_no = 4 THEN CASE WHEN effect = 'binds' THEN 'direct_binding' ELSE 'signaling' END WHEN interaction_type = 'transcriptional' AND effect = 'binds' THEN 'direct_binding' ELSE interaction_type END AS interaction_type,
+ CASE WHEN line_no = 7 THEN 'binds' WHEN line_no = 4 THEN effect WHEN interaction_type = 'post_translational' THEN 'phosphorylates' ELSE effect END AS effect FROM {claims}) q"""
+entry("source_signed", "SELECT * FROM {signed}", signed=SIGNED)(lambda m: tabular.signed_records(signed_lines(m)))
 
 
 def entry_json(m: Model) -> DataFrame:
-    one = lambda c: F.struct(F.upper(c).alias("uniProtKBAccession"))
-    inter = F.struct(one("entity_a").alias("interactantOne"), one("entity_b").alias("interactantTwo"), F.col("line_no").cast("int").alias("numberOfExperiments"), (F.col("line_no") == 7).alias("organismDiffer"))
-    grouped = m["claims"].groupBy("entity_a").agg(F.collect_list(inter).alias("interactions"))
-    return grouped.select(F.to_json(F.struct(F.upper("entity_a").alias("primaryAccession"), F.array(F.struct(F.lit("INTERACTION").alias("commentType"), "interactions")).alias("comments"))).alias("entry"))
+    """Claims written as JSON entries of their first end; a single experiment isn't written, nor whether organisms differ where they don't."""
+    two = F.struct(F.upper("entity_b").alias("uniProtKBAccession"), F.concat(F.lit("EBI-"), "entity_b").alias("intActId"))
+    one = F.struct(F.when(F.col("line_no") != 3, F.concat(F.lit("EBI-"), "entity_a")).alias("intActId"))
+    inter = F.struct(one.alias("interactantOne"), two.alias("interactantTwo"), F.when(F.col("line_no") > 1, F.col("line_no")).cast("int").alias("numberOfExperiments"), F.when(F.col("line_no") == 7, True).alias("organismDiffer"))
+    comments = F.array(F.struct(F.lit("INTERACTION").alias("commentType"), F.array(inter).alias("interactions")))
+    return m["claims"].select(F.to_json(F.struct(F.upper("entity_a").alias("primaryAccession"), comments.alias("comments"))).alias("entry"))
 
 
-entry("source_entries", """SELECT acc_a, acc_b, CAST(n AS INT) AS experiments, CASE WHEN n >= 5 THEN 0.9::DOUBLE WHEN n >= 3 THEN 0.8::DOUBLE WHEN n >= 2 THEN 0.7::DOUBLE ELSE 0.55::DOUBLE END AS score, CASE WHEN n >= 2 THEN 'high' ELSE 'medium' END AS label FROM (
- SELECT least(upper(entity_a), upper(entity_b)) AS acc_a, greatest(upper(entity_a), upper(entity_b)) AS acc_b, max(line_no) AS n FROM {claims} WHERE line_no <> 7 GROUP BY 1, 2) q""")(lambda m: tabular.entry_interactions(entry_json(m)))
+ENTRIES_SQL = """SELECT acc_a, acc_b, CAST(n AS INT) AS experiments, record, CASE WHEN n >= 5 THEN 0.9::DOUBLE WHEN n >= 3 THEN 0.8::DOUBLE WHEN n >= 2 THEN 0.7::DOUBLE ELSE 0.55::DOUBLE END AS score, CASE WHEN n >= 2 THEN 'high' ELSE 'medium' END AS label FROM (
+ SELECT least(upper(entity_a), upper(entity_b)) AS acc_a, greatest(upper(entity_a), upper(entity_b)) AS acc_b, max(line_no) AS n, CASE WHEN max(line_no) = 3 THEN concat('noid-', upper(min(entity_a))) ELSE concat('EBI-', min(entity_a)) END AS record FROM {claims} WHERE line_no <> 7 GROUP BY 1, 2) q"""
+entry("source_entries", "SELECT * FROM {entries}", entries=ENTRIES_SQL)(lambda m: tabular.entry_interactions(entry_json(m)))
 
 
 def article_xml(m: Model) -> DataFrame:
-    record = F.format_string('<A><PMID>%s</PMID><ArticleTitle>%s</ArticleTitle><Abstract><AbstractText>%s</AbstractText><AbstractText>x</AbstractText></Abstract><PubDate><Year>%s</Year></PubDate><Journal><ISOAbbreviation>J</ISOAbbreviation></Journal></A>', "id", "priority", "status", F.col("year").cast("string"))
+    """Papers written as XML records: markup inside texts, labelled sections, an author without a first name and one without a last name."""
+    record = F.format_string(
+        '<A><PMID>%s</PMID><Article><ArticleTitle>On <i>%s</i> ways</ArticleTitle><Abstract><AbstractText>%s <b>x</b>y</AbstractText><AbstractText Label="AIM">z</AbstractText><AbstractText/></Abstract>'
+        "<AuthorList><Author><LastName>Roe</LastName></Author><Author><ForeName>Al</ForeName></Author><Author><LastName>Doe</LastName><ForeName>J</ForeName></Author></AuthorList><Journal><ISOAbbreviation>J</ISOAbbreviation></Journal>"
+        '<PubDate><Year>%s</Year></PubDate></Article>%s</A>', "id", "priority", "status", F.col("year").cast("string"), F.when(F.col("source_key") % 2 == 0, F.format_string('<ArticleId IdType="pmc">PMC%s</ArticleId>', F.col("source_key").cast("string"))).otherwise(""),
+    )
     return m["papers"].select(record.alias("record"))
 
 
-entry("source_articles", "SELECT concat('pmid:', id) AS id, priority AS title, concat(status, chr(10), chr(10), 'x') AS abstract, year, 'J' AS journal, false AS full_text_available FROM {papers}")(
-    lambda m: tabular.articles(article_xml(m)).select("id", "title", "abstract", "year", "journal", "full_text_available")
-)
+entry("source_articles", """SELECT concat('pmid:', id) AS id, concat('On ', priority, ' ways') AS title, concat(status, ' xy', chr(10), chr(10), 'AIM: z') AS abstract, 'Roe;Doe, J' AS authors, year, 'J' AS journal, CAST(NULL AS VARCHAR) AS doi, CASE WHEN source_key % 2 = 0 THEN CAST(source_key AS VARCHAR) END AS pmc_id,
+ source_key % 2 = 0 AS full_text_available FROM {papers}""")(lambda m: tabular.articles(article_xml(m)).withColumn("authors", F.array_join("authors", ";")))
 entry("graph_export", """SELECT i.id, i.label, i.evidence_count, x.n_evidence, x.first_paper FROM {interactions} i JOIN (SELECT interaction_id, CAST(count(*) AS BIGINT) AS n_evidence, arg_min(paper_id, id) AS first_paper FROM {evidence} GROUP BY interaction_id) x ON x.interaction_id = i.id WHERE label <> 'low' AND evidence_count >= 1""")(
     lambda m: sinks.export_edges(m.interactions, m["evidence"], "medium").select("id", "label", "evidence_count", F.size("evidence").cast("long").alias("n_evidence"), F.col("evidence")[0]["paper_id"].alias("first_paper"))
 )

@@ -54,6 +54,14 @@ FROM {events}""",
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
 
 
+#: Evidence and interactions as written, by application and folder.
+STORED: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
+def forget() -> None:
+    STORED.clear()
+
+
 class Model:
     """The graph model over ``sf_dir``: its tables by name, each read or derived when first asked for."""
 
@@ -70,10 +78,15 @@ class Model:
         return self.known[name]
 
     def stored(self) -> Model:
-        """The same model with evidence and interactions written once, for queries that read them many times."""
+        """The same model with evidence and interactions written once a folder and application, for queries that read them many times.
+
+        The folder's tables don't change meanwhile; forget() drops what was written."""
         if not self.is_stored:
-            self.known["evidence"] = materialize(self["evidence"], "evidence")
-            self.interactions = materialize(self.interactions, "interactions")
+            key = (self.spark.sparkContext.applicationId, self.sf_dir)
+            if key not in STORED:
+                self.known["evidence"] = materialize(self["evidence"], "evidence")
+                STORED[key] = (self.known["evidence"], materialize(self.interactions, "interactions"))
+            self.known["evidence"], self.interactions = STORED[key]
             self.is_stored = True
         return self
 

@@ -60,4 +60,4 @@ def reset(tables: dict[str, DataFrame], folder: str, hard: bool = False, keep: t
     """Empty the tables under ``folder``: all of them, or all but ``keep``."""
     for name, df in tables.items():
         if hard or name not in keep:
-            df.limit(0).write.mode("overwrite").parquet(f"{folder}/{name}")
+            df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(f"{folder}/{name}")  # nothing is read from what is overwritten

@@ -19,11 +19,13 @@ def new_evidence(claims: DataFrame, evidence: DataFrame | None) -> DataFrame:
 
 
 def run_cycle(spark: SparkSession, batch: DataFrame, cycle: int, folder: str) -> None:
-    """Store a batch: all claims, new evidence, and one row of metrics. A batch that is run again adds nothing twice."""
+    """Store a batch: all claims, new evidence, and one row of metrics, last. A cycle with metrics isn't stored again; one that
+    broke off before may leave claims twice, each with its cycle."""
     table = lambda name: spark.read.parquet(f"{folder}/{name}") if _exists(spark, f"{folder}/{name}") else None
     metrics = table("metrics")
     if metrics is not None and not metrics.where(F.col("cycle") == cycle).isEmpty():
         return
+    append(batch.withColumn("cycle", F.lit(cycle)), f"{folder}/claims")
     fresh = new_evidence(batch, table("evidence"))
     append(fresh.withColumn("cycle", F.lit(cycle)), f"{folder}/evidence")
     stored = table("evidence")
