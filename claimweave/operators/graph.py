@@ -81,6 +81,23 @@ def truncate(contributions: DataFrame, depth: int) -> DataFrame:
     return combine(contributions.where(F.col("hop") <= depth))
 
 
+def cached_or_computed(asked: DataFrame, cache: DataFrame, contributions: DataFrame, edges: DataFrame, now) -> DataFrame:
+    """(seed, mode, target, score, hop, arrivals, hit) of the requests ``asked`` (seed, mode, depth).
+
+    ``cache`` (seed, mode, max_depth, expires) answers what isn't expired and is as deep at least, by its stored
+    ``contributions`` (seed, mode, target, score, hop) cut to the depth; the rest is computed, all of a depth in one loop."""
+    fits = (F.col("expires") > now) & (F.col("depth") <= F.col("max_depth"))
+    judged = materialize(asked.join(cache, ["seed", "mode"], "left").select("seed", "mode", "depth", F.coalesce(fits, F.lit(False)).alias("hit")), "asked")
+    known = contributions.join(judged.where("hit"), ["seed", "mode"]).where("hop <= depth").withColumn("run", F.concat_ws(":", "seed", "mode"))
+    out = combine(known).withColumn("hit", F.lit(True))
+    fixed = materialize(edges, "arcs")
+    for depth in sorted(r["depth"] for r in judged.where("NOT hit AND depth > 0").select("depth").distinct().collect()):  # a few depths
+        sign = F.when(F.col("mode") == "suppress", -1.0).otherwise(1.0)
+        runs = judged.where((~F.col("hit")) & (F.col("depth") == depth)).select(F.concat_ws(":", "seed", "mode").alias("run"), F.col("seed").alias("entity"), sign.alias("score"))
+        out = out.unionByName(combine(arrivals(fixed, runs, depth)[0]).withColumn("hit", F.lit(False)))
+    return out.select(F.split_part("run", F.lit(":"), F.lit(1)).alias("seed"), F.split_part("run", F.lit(":"), F.lit(2)).alias("mode"), "target", "score", "hop", "arrivals", "hit")
+
+
 def neighbourhood(interactions: DataFrame, entities: DataFrame, seeds: list[str], hops: int, limit: int, least: float = 0.0, types: list[str] | None = None) -> DataFrame:
     """(id, entity_a, entity_b, score, hop): edges around the seeds, hop by hop, the strongest first, ``limit`` at most.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from claimweave.functions import vocab
@@ -128,3 +129,99 @@ def drawer(evidence: DataFrame, papers: DataFrame, interaction_id: str) -> DataF
     rows = evidence.where(F.col("interaction_id") == interaction_id)
     joined = rows.join(papers.select(F.col("id").alias("paper_id"), "priority", "status"), "paper_id")
     return joined.select("id", "paper_id", "year", "priority", "status", "evidence_type", "confidence_score").orderBy(F.desc("confidence_score"), "id")
+
+
+def by_key(table: DataFrame, key: str, value) -> DataFrame:
+    """The row of a key; none if it is missing or the value is null."""
+    return table.where(F.col(key) == F.lit(value))
+
+
+def optional(table: DataFrame, **wanted) -> DataFrame:
+    """The rows with these values; a value of None is no filter."""
+    for column, value in wanted.items():
+        table = table if value is None else table.where(F.col(column) == value)
+    return table
+
+
+def visible_edges(edges: DataFrame, show_unknown: bool = False) -> DataFrame:
+    """Edges that a picture shows: those of a known, unambiguous effect, or all."""
+    return edges if show_unknown else edges.where(F.col("effect").isNotNull() & ~F.col("effect").isin("unknown", "ambiguous"))
+
+
+def pending_queries(searches: DataFrame, limit: int) -> DataFrame:
+    return searches.where("status = 'pending'").orderBy(F.desc_nulls_last("planning_score"), "completed_at", "id").limit(limit)
+
+
+def pending_candidates(searches: DataFrame, per_cycle: int) -> DataFrame:
+    """The oldest pending searches, from which a cycle's are chosen."""
+    return searches.where("status = 'pending'").orderBy("completed_at", "id").limit(max(100, 5 * per_cycle))
+
+
+def conflict_queue(conflicts: DataFrame, limit: int = 10, status: str | None = None, kind: str | None = None) -> DataFrame:
+    """Conflicts of a status and type, if given, the heaviest first."""
+    return optional(conflicts, status=status, conflict_type=kind).orderBy(F.desc("penalty_weight"), "id").limit(limit)
+
+
+def open_conflicts(conflicts: DataFrame, limit: int) -> DataFrame:
+    return conflicts.where(F.col("status").isin(*vocab.OPEN)).orderBy(F.desc("penalty_weight"), "id").limit(limit)
+
+
+def latest(rows: DataFrame, order: str) -> DataFrame:
+    """The row of the greatest ``order``; no row of none."""
+    return rows.orderBy(F.desc(order)).limit(1)
+
+
+def names_of_type(entities: DataFrame, entity_type: str | None = None) -> DataFrame:
+    return optional(entities, entity_type=entity_type).select("id", "canonical_name")
+
+
+def synonym_detail(entities: DataFrame, synonyms: DataFrame, limit: int = 50) -> DataFrame:
+    """The entities of the synonyms that synonym_overlaps() names, most papers first."""
+    shared = synonym_overlaps(entities, synonyms, limit).select("synonym")
+    joined = synonyms.join(F.broadcast(shared), "synonym").join(entities, synonyms["entity_id"] == entities["id"])  # limit rows
+    return joined.select("synonym", "id", "canonical_name", "entity_type", "paper_count")
+
+
+def resolved_names(names: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """(name, entity_id, status) of names for graph calls: ok where exactly one entity has the name as a synonym, else missing or ambiguous."""
+    key = F.lower(F.trim("name"))
+    counts = synonyms.groupBy("synonym").agg(F.min("entity_id").alias("low"), F.max("entity_id").alias("high"))
+    rows = names.select("name", key.alias("synonym")).join(counts, "synonym", "left")
+    status = F.when(F.col("low").isNull(), "missing").when(F.col("low") != F.col("high"), "ambiguous").otherwise("ok")
+    return rows.select("name", F.when(status == "ok", F.col("low")).alias("entity_id"), status.alias("status"))
+
+
+class NameNotFound(LookupError):
+    """No entity has the name."""
+
+
+class AmbiguousName(LookupError):
+    """Several entities have the name."""
+
+
+def entity_of(synonyms: DataFrame, name: str, strict: bool = True) -> str | None:
+    """The id of the one entity of a name. Without one, an error that says why, or None if not ``strict``."""
+    ids = [r["entity_id"] for r in synonyms.where(F.col("synonym") == name.strip().lower()).select("entity_id").distinct().limit(2).collect()]
+    if len(ids) == 1:
+        return ids[0]
+    if strict:
+        raise AmbiguousName(name) if ids else NameNotFound(name)
+    return None
+
+
+def different_ends(source: str, target: str) -> None:
+    if source == target:
+        raise ValueError("a path needs two different entities")
+
+
+def path_nodes(paths: DataFrame, entities: DataFrame) -> DataFrame:
+    """(path, place, id, name, entity_type) of the nodes of paths; the name shown is the display name, else the canonical one."""
+    shown = F.coalesce(F.nullif("display_name", F.lit("")), "canonical_name") if "display_name" in entities.columns else F.col("canonical_name")
+    nodes = paths.select("path", F.posexplode(F.split("path", ">")).alias("place", "id"))
+    return nodes.join(entities.select("id", shown.alias("name"), "entity_type"), "id").select("path", "place", "id", "name", "entity_type")
+
+
+def strongest_affected(affected: DataFrame, limit: int = 10) -> DataFrame:
+    """The affected entities of each seed and mode by the size of their score, then id: ``limit`` of each."""
+    w = W.partitionBy("seed", "mode").orderBy(F.desc(F.abs("score")), "target")
+    return affected.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).select("seed", "mode", "place", "target", "score")

@@ -376,3 +376,5 @@ entry("graph_export", """SELECT i.id, i.label, i.evidence_count, x.n_evidence, x
 )
 entry("graphml", """SELECT 1 AS part, id, concat('<node id="', id, '"><data key="name">', canonical_name, '</data><data key="type">', entity_type, '</data></node>') AS line FROM {entities}
  UNION ALL SELECT 2, id, concat('<edge source="', entity_a, '" target="', entity_b, '"><data key="effect">', effect, '</data><data key="confidence">', label, '</data></edge>') FROM {interactions}""")(lambda m: sinks.graphml(m["entities"], m.interactions))
+
+from claimweave.plans import more  # noqa: E402,F401  registers the rest, with the tables above
