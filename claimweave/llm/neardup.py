@@ -9,15 +9,17 @@
    its similarity reaches the threshold is under MISS, given the matches seen so far (uniform prior).
 3. Of the pairs that remain in a bucket, a maximum spanning forest by estimated similarity is
    verified on full shingle sets; links join components. So few more links are tested than are needed.
-4. In buckets that still hold several components, shingles are counted that no other row of such
-   buckets has (private ones). Rows with n and m shingles, of which p and q are private, share at
-   most min(n - p, m - q): pairs that this keeps under the threshold are dropped, which loses no
-   link. After one more forest all remaining pairs of different components are verified, each from
-   the first band it shares, until none is left. The components are those of testing all pairs.
-
-Buckets are cut into blocks of BLOCK rows, differently in each band. In step 4 the rows outside a
-bucket's largest component are cut into blocks as well, and each meets every block of the bucket: a
-task holds two blocks at a time, and only pairs to verify leave it.
+4. Rows of buckets that still hold several components are compared in one more forest, across
+   blocks. Then their shingles are sorted, those that the fewest of these rows have first. Two rows
+   of n and m shingles that reach the threshold share at least a = t * (n + m) / (1 + t) of them, so
+   the first shingle they share stands within the first n - a + 1 of the one and m - a + 1 of the
+   other (prefix and positional filter, which lose no link). Pairs of different components that meet
+   so are verified, until none is left. The components are those of testing all pairs, and rows
+   whose own changes set them apart from a large group of copies meet none of its rows.
+
+Buckets are cut into blocks of BLOCK rows, differently in each band. In the forest of step 4 the rows
+outside a bucket's largest component are cut into blocks as well, and each meets every block of the
+bucket: a task holds two blocks at a time, and only a forest of pairs leaves it.
 
 Two texts whose sets reach the threshold share no band key with chance (1 - t**ROWS)**BANDS: 3e-7 at
 t of 0.85, 6e-5 at 0.8, less above; the misses of step 2 come on top.
@@ -34,6 +36,7 @@ from hashlib import blake2b
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from claimweave.llm.components import components
@@ -180,19 +183,17 @@ def least_matches(permutations: int, threshold: float) -> tuple[int, ...]:
 
 @dataclass
 class Rows:
-    """Rows of some groups as arrays; a group's rows stand together. ``shared`` is how many shingles aren't private."""
+    """Rows of some groups as arrays; a group's rows stand together."""
 
     ids: np.ndarray
     group: np.ndarray
     comp: np.ndarray
     n: np.ndarray
-    shared: np.ndarray
     sig: np.ndarray
 
     def compare(self, i: np.ndarray, j: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Those of the pairs (i, j) that sizes and signatures leave, and their matches."""
-        most = np.minimum(self.shared[i], self.shared[j])
-        fits = (self.comp[i] != self.comp[j]) & (s.scale * most >= s.least * (self.n[i] + self.n[j] - most))
+        fits = (self.comp[i] != self.comp[j]) & (s.scale * np.minimum(self.n[i], self.n[j]) >= s.least * np.maximum(self.n[i], self.n[j]))
         i, j = i[fits], j[fits]
         hits = np.zeros(len(i), np.int32)
         for step, limit in enumerate(least_matches(s.permutations, s.threshold)):
@@ -256,28 +257,18 @@ def _across(r: Rows, side: np.ndarray, minor: np.ndarray, s: Settings) -> tuple[
     return tuple(map(np.concatenate, zip(*parts)))
 
 
-def _pairs(where: list[str], forest: bool, s: Settings):
-    """Over rows sorted by ``where``: the pairs (a, b) of each group. Rows of a group that a batch ends in wait for the next.
-
-    Without ``forest`` a pair is given in the first band that it shares."""
+def _forests(where: list[str], s: Settings):
+    """Over rows sorted by ``where``: a spanning forest (a, b) of each group. Rows of a group that a batch ends in wait for the next."""
     def pairs(rows: pd.DataFrame) -> pd.DataFrame:
         keys = rows[where].to_numpy()
         group = np.concatenate(([0], np.cumsum((keys[1:] != keys[:-1]).any(axis=1))))
-        n = rows["n"].to_numpy()
-        shared = n - rows["private"].to_numpy() if "private" in rows else n
         sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(len(rows), -1)
-        r = Rows(rows["doc_id"].to_numpy(), group, rows["comp"].to_numpy(), n, shared, sig)
+        r = Rows(rows["doc_id"].to_numpy(), group, rows["comp"].to_numpy(), rows["n"].to_numpy(), sig)
         if "side" in rows:
             i, j, hits = _across(r, rows["side"].to_numpy(), (rows["comp"] != rows["main"]).to_numpy(), s)
         else:
             i, j, hits = _within(r, s)
-        if forest:
-            keep = r.forest(i, j, hits)
-        else:
-            keep = np.zeros(len(i), bool)
-            for k in range(0, len(i), 4096):
-                same = (sig[i[k : k + 4096]] == sig[j[k : k + 4096]]).reshape(-1, s.bands, s.rows).all(2)
-                keep[k : k + 4096] = same.argmax(1) == rows["band"].to_numpy()[i[k : k + 4096]]
+        keep = r.forest(i, j, hits)
         i, j = r.ids[i[keep]], r.ids[j[keep]]
         return pd.DataFrame({"a": np.minimum(i, j), "b": np.maximum(i, j)})
 
@@ -301,17 +292,39 @@ def _pairs(where: list[str], forest: bool, s: Settings):
     return run
 
 
-def private_counts(texts: DataFrame, s: Settings) -> DataFrame:
-    """(doc_id, private): of the texts that have any, how many of their shingles no other of the texts has."""
+def rare_first(texts: DataFrame, sizes: DataFrame, s: Settings) -> DataFrame:
+    """(doc_id, gram, place, n): the first shingles of each text, by how many of the texts have them, then by hash.
+
+    ``place`` counts from 0; a text has so many that two that reach the threshold share one of them.
+    Shingles of one text only stand before all others and are counted, not returned. ``sizes``: (doc_id, n)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for i, text in zip(batch["doc_id"], batch["text"]):
                 value = shingle_hashes([text.encode("utf-8", "surrogatepass").translate(LOWER)], s.words)[0].view(np.int64)
                 yield pd.DataFrame({"doc_id": [i], "gram": [value]})
 
-    each = texts.mapInPandas(run, "doc_id long, gram array<long>").select("doc_id", F.explode("gram").alias("gram"))
-    alone = each.groupBy("gram").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("other")).where("doc_id = other")
-    return alone.groupBy("doc_id").agg(F.count("*").alias("private"))
+    each = materialize(texts.mapInPandas(run, "doc_id long, gram array<long>"), "sets").select("doc_id", F.explode("gram").alias("gram"))
+    common = each.groupBy("gram").agg(F.count("*").alias("texts")).where("texts > 1")
+    w = W.partitionBy("doc_id")
+    shared = each.join(common, "gram").join(sizes, "doc_id")
+    placed = shared.select("doc_id", "gram", "n", (F.col("n") - F.count("*").over(w) + F.row_number().over(w.orderBy("texts", "gram")) - 1).alias("place"))
+    return placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * s.least / s.scale))
+
+
+def prefix_pairs(prefixes: DataFrame, comp: DataFrame, s: Settings) -> DataFrame:
+    """(a, b): texts of different components whose first shared shingle leaves enough of both to reach the threshold.
+
+    Where a shingle's texts are of several components, those outside the largest meet all."""
+    named = prefixes.join(comp, "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+    sizes = named.groupBy("gram", "comp").agg(F.count("*").alias("rows"))
+    main = sizes.groupBy("gram").agg(F.max(F.struct("rows", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("gram", F.col("top.comp").alias("main"))
+    rows = materialize(named.join(main, "gram"), "prefix")
+    x, y = rows.where("comp != main"), rows.select(*[F.col(c).alias(f"y_{c}") for c in rows.columns])
+    left = F.least(F.col("n") - F.col("place"), F.col("y_n") - F.col("y_place"))
+    enough = left * (s.scale + s.least) >= (F.col("n") + F.col("y_n")) * s.least
+    once = (F.col("y_comp") == F.col("y_main")) | (F.col("doc_id") < F.col("y_doc_id"))
+    met = x.join(y, (F.col("gram") == F.col("y_gram")) & (F.col("comp") != F.col("y_comp")) & enough & once)
+    return met.select(F.least("doc_id", "y_doc_id").alias("a"), F.greatest("doc_id", "y_doc_id").alias("b")).distinct()
 
 
 def exact_links(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
@@ -364,7 +377,7 @@ def _first_pairs(members: DataFrame, signs: DataFrame, s: Settings) -> DataFrame
     where = ["band", "key", "block"]
     placed = members.select("band", "key", "doc_id", _block(F.ceil(F.col("size") / BLOCK)).alias("block"), F.col("doc_id").alias("comp"))
     dealt = _dealt(placed.join(signs, "doc_id"), where, ["doc_id"])
-    return dealt.mapInPandas(_pairs(where, True, s), "a long, b long").distinct()
+    return dealt.mapInPandas(_forests(where, s), "a long, b long").distinct()
 
 
 def _unresolved(members: DataFrame, comp: DataFrame) -> DataFrame:
@@ -377,15 +390,15 @@ def _unresolved(members: DataFrame, comp: DataFrame) -> DataFrame:
     return named.join(main, ["band", "key"])
 
 
-def _more_pairs(still: DataFrame, facts: DataFrame, forest: bool, s: Settings) -> DataFrame:
-    """(a, b) of different components of a bucket: rows outside its main component (side 0), against all (side 1)."""
+def _more_pairs(still: DataFrame, signs: DataFrame, s: Settings) -> DataFrame:
+    """(a, b): a spanning forest of rows outside a bucket's main component (side 0) with all of its rows (side 1)."""
     where = ["band", "key", "bx", "by"]
     nx, ny = F.ceil(F.col("minors") / BLOCK).cast("int"), F.ceil(F.col("size") / BLOCK).cast("int")
     kept = ["band", "key", "doc_id", "comp", "main"]
     x = still.where("comp != main").select(*kept, F.lit(0).alias("side"), _block(nx).alias("bx"), F.explode(F.sequence(F.lit(0), ny - 1)).alias("by"))
     y = still.select(*kept, F.lit(1).alias("side"), _block(ny).alias("by"), F.explode(F.sequence(F.lit(0), nx - 1)).alias("bx"))
-    dealt = _dealt(x.unionByName(y).join(facts, "doc_id"), where, ["side", "doc_id"])
-    return dealt.mapInPandas(_pairs(where, forest, s), "a long, b long").distinct()
+    dealt = _dealt(x.unionByName(y).join(signs, "doc_id"), where, ["side", "doc_id"])
+    return dealt.mapInPandas(_forests(where, s), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -408,24 +421,24 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     texts = materialize(rows.join(ids, "doc_id", "left_semi").select("doc_id", "text"), "texts")
 
     found = materialize(_first_pairs(members, signs, s), "pairs")
-    tested, links, comp, private, turn = found, None, None, None, 0
+    tested, links, comp, prefixes = found, None, None, None
     while not found.isEmpty():
         checked = materialize(exact_links(found, texts, s), "checked")
         new = checked.where("linked").select("a", "b")
-        if turn > 1 and new.isEmpty():
+        if prefixes is not None and new.isEmpty():
             break
         links = new if links is None else links.unionByName(new)
+        first = comp is None
         comp = materialize(components(links).withColumnRenamed("node", "doc_id"), "components")
         links = comp.select(F.col("doc_id").alias("a"), F.col("component").alias("b"))  # a star for each component
-        still = materialize(_unresolved(members, comp), "still")
-        if private is None:
-            private = materialize(private_counts(texts.join(still.select("doc_id").distinct(), "doc_id", "left_semi"), s), "private")
-        facts = signs.join(private, "doc_id", "left").fillna({"private": 0})
-        for forest in (True, False)[min(turn, 1) :]:
-            turn += 1
-            found = materialize(_more_pairs(still, facts, forest, s).join(tested, ["a", "b"], "left_anti"), "pairs")
-            if not found.isEmpty():
-                break
+        if first:
+            still = materialize(_unresolved(members, comp), "still")
+            found = materialize(_more_pairs(still, signs, s).join(tested, ["a", "b"], "left_anti"), "pairs")
+        if not first or found.isEmpty():
+            if prefixes is None:
+                own = texts.join(still.select("doc_id").distinct(), "doc_id", "left_semi")
+                prefixes = materialize(rare_first(own, signs.select("doc_id", "n"), s), "prefixes")
+            found = materialize(prefix_pairs(prefixes, comp, s).join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.unionByName(found)
 
     label = classes if comp is None else classes.join(comp.withColumnRenamed("doc_id", "rep"), "rep", "left")
