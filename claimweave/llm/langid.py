@@ -9,7 +9,7 @@ of the language have.
 
 Fitted on a bounded sample of labelled rows: about TRAIN_DOCS a language for counts and HOLD_DOCS
 for calibration, by a hash of the id; n-grams of the highest order seen less than LEAST times are
-left out. Every row is scored whole. Null texts and texts without letters are ``und`` with score 0,
+left out, after discounts, contexts and continuations were counted over all of them. Every row is scored whole. Null texts and texts without letters are ``und`` with score 0,
 as is everything when no row has a language to learn.
 """
 
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.llm.common import mod_of_crc, read, slices
+from claimweave.session import materialize
 
 ORDER, LEAST, TRAIN_DOCS, HOLD_DOCS = 4, 2, 800, 200
 BLOCK = 1_000_000
@@ -63,7 +64,7 @@ class Level:
 class Model:
     languages: list[str]
     levels: list[Level]
-    unseen: float
+    unseen: float | np.ndarray
     slope: float = 1.0
     offset: float = 0.0
     most: float = 1.0
@@ -132,22 +133,24 @@ class Model:
         return self.most / (1 + np.exp(-np.clip(self.offset + self.slope * self.margin(n, mean), -30, 30)))
 
 
-def _discount(counts: np.ndarray) -> float:
-    once, twice = (counts == 1).sum(), (counts == 2).sum()
+def _discount(once: float, twice: float) -> float:
+    """Of the numbers of n-grams seen once and twice, among all of the order."""
     return float(np.clip(once / max(once + 2 * twice, 1), 0.1, 0.9)) if once else 0.5
 
 
-def estimate(counts: pd.DataFrame, languages: list[str]) -> Model:
-    """From (lang, gram, n), the counts of n-grams of the highest order."""
+def estimate(kept: pd.DataFrame, seen: pd.DataFrame, languages: list[str]) -> Model:
+    """From (lang, gram, n, total), the n-grams that are kept, with their counts (continuation counts below the
+    highest order) and their contexts' totals; and (lang, size, once, twice), of all n-grams, kept or not.
+
+    What the n-grams left out and the discounts take from a context goes to the lower order, so each context sums to 1."""
     k = len(languages)
-    frames: dict[int, dict[str, pd.Series]] = {ORDER: {x: g.set_index("gram")["n"] for x, g in counts.groupby("lang")}}
-    for order in range(ORDER - 1, 0, -1):  # continuation counts: distinct longer n-grams by suffix
-        frames[order] = {x: pd.Series(1, index=s.index.str[1:]).groupby(level=0).sum() for x, s in frames[order + 1].items()}
-    letters = {c for s in frames[1].values() for c in s.index}
+    letters = set(kept.loc[kept["gram"].str.len() == 1, "gram"])
     uniform = 1 / (len(letters) + 1000)
     model = Model(languages, [], float(np.log(uniform)))
+    numbers = {(r.lang, r.size): _discount(r.once, r.twice) for r in seen.itertuples(index=False)}
     for order in range(1, ORDER + 1):
-        grams = sorted({g for s in frames[order].values() for g in s.index})
+        own = kept[kept["gram"].str.len() == order]
+        grams = sorted(set(own["gram"]))
         table = np.concatenate([hashes(g)[order - 1] for g in grams]) if grams else np.zeros(0, np.uint64)
         contexts = sorted({g[:-1] for g in grams})
         gamma = np.zeros((len(contexts), k))
@@ -156,37 +159,50 @@ def estimate(counts: pd.DataFrame, languages: list[str]) -> Model:
         where = {g: i for i, g in enumerate(grams)}
         context_of = np.array([place[g[:-1]] for g in grams], np.int64)
         if order > 1:
-            joined = "".join(grams)
-            h = hashes(joined)
-            at = np.arange(len(grams)) * order
-            lower = model.logp(h, order - 1, at + 1)
+            lower = model.logp(hashes("".join(grams)), order - 1, np.arange(len(grams)) * order + 1)
         else:
             lower = np.full((len(grams), k), model.unseen)
         for j, language in enumerate(languages):
-            s = frames[order].get(language)
-            if s is None or not len(s):
+            mine = own[own["lang"] == language]
+            if not len(mine):
                 logp[:, j] = lower[:, j]
                 continue
-            n = s.to_numpy(np.float64)
-            rows = np.array([where[g] for g in s.index])
+            n, total = mine["n"].to_numpy(np.float64), mine["total"].to_numpy(np.float64)
+            rows = np.array([where[g] for g in mine["gram"]])
             of = context_of[rows]
-            d = _discount(n)
-            total, types = np.bincount(of, n, len(contexts)), np.bincount(of, minlength=len(contexts))
-            weight = np.where(total > 0, d * types / np.maximum(total, 1), 1.0)
+            share = np.maximum(n - numbers.get((language, order), 0.5), 0) / total
+            weight = np.clip(1 - np.bincount(of, share, len(contexts)), 1e-9, 1)  # a context without kept n-grams leaves all to the lower order
             gamma[:, j] = np.log(weight)
             p = np.exp(lower[:, j]) * weight[context_of]
-            p[rows] += np.maximum(n - d, 0) / total[of]
+            p[rows] += share
             logp[:, j] = np.log(np.maximum(p, 1e-12))
         order_by = np.argsort(table)
         level = Level(table[order_by], logp[order_by].astype(np.float32))
+        if order == 1 and contexts:
+            model.unseen = np.log(uniform) + gamma[0]  # what the one context of order 1 leaves to characters never seen
         if order > 1:
-            ch = np.concatenate([hashes(c)[order - 2] for c in contexts])
+            ch = np.concatenate([hashes(c)[order - 2] for c in contexts]) if contexts else np.zeros(0, np.uint64)
             by = np.argsort(ch)
             level.contexts, level.backoff = ch[by], gamma[by].astype(np.float32)
         model.levels.append(level)
     return model
 
 
+def statistics(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From (lang, gram, n) of the highest order: the kept n-grams of all orders with their contexts' totals, and the
+    numbers seen once and twice, see estimate(). Both are counted over all n-grams, before any is left out."""
+    kept, seen, level = None, None, counts
+    for order in range(ORDER, 0, -1):
+        context = F.left("gram", F.lit(order - 1))
+        totals = level.groupBy("lang", context.alias("context")).agg(F.sum("n").alias("total"))
+        own = level.where(F.col("n") >= LEAST) if order == ORDER else level
+        own = own.withColumn("context", context).join(totals, ["lang", "context"]).select("lang", "gram", "n", "total")
+        numbers = level.groupBy("lang").agg(F.lit(order).alias("size"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice"))
+        kept, seen = (own, numbers) if kept is None else (kept.unionByName(own), seen.unionByName(numbers))
+        level = level.groupBy("lang", F.right("gram", F.lit(order - 1)).alias("gram")).agg(F.count("*").alias("n"))  # continuations: distinct longer n-grams
+    return kept, seen
+
+
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from collections import Counter
 
@@ -219,13 +235,12 @@ def fit(rows: DataFrame) -> Model | None:
     sample = rows.where(draw < share[F.col("lang")]).withColumn("hold", F.pmod(F.xxhash64("doc_id", F.lit("hold")), F.lit(want)) < HOLD_DOCS)
     counts = sample.where("NOT hold").select("text", "lang").mapInPandas(_count, "lang string, gram string, n long")
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    kept = counts.where(F.col("n") >= LEAST).toPandas()
-    if not len(kept):
-        kept = counts.toPandas()
+    counts = materialize(counts, "grams")
+    kept, seen = (x.toPandas() for x in statistics(counts))  # of the sample: at most the n-grams that its letters allow, for each of its languages
     if not len(kept):
         return None
     languages = sorted(kept["lang"].unique())
-    model = estimate(kept, languages)
+    model = estimate(kept, seen, languages)
     model.ceiling = np.full(len(languages), np.inf)
 
     def means(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

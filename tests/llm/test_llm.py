@@ -1,9 +1,11 @@
 """The operators of the llm subpackage on small tables: brute force, round trips, odd rows."""
 
 import hashlib
+import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -326,6 +328,97 @@ def test_large_group_of_copies_with_edits_of_their_own(spark, monkeypatch):
     assert got == dict(enumerate(root)) and 20 < len(set(root)) < 140
 
 
+# --- language models ---
+
+
+def test_language_model_is_interpolated_kneser_ney(spark):
+    """Probabilities against sums written out from the formula, over counts of which single n-grams are left out at the top."""
+    rng = random.Random(41)
+    texts = {"x": [" ".join("".join(rng.choice("abcde") for _ in range(rng.randrange(1, 5))) for _ in range(60)) for _ in range(4)], "y": [" ".join("".join(rng.choice("bcdfg") for _ in range(3)) for _ in range(60)) for _ in range(4)]}
+    n = langid.ORDER
+    counts = {x: {} for x in texts}
+    for x, own in texts.items():
+        for t in own:
+            t = " " * (n - 2) + langid.clean(t)
+            for i in range(len(t) - n + 1):
+                counts[x][t[i : i + n]] = counts[x].get(t[i : i + n], 0) + 1
+    rows = [(x, g, k) for x, c in counts.items() for g, k in c.items()]
+    kept, seen = (d.toPandas() for d in langid.statistics(spark.createDataFrame(rows, "lang string, gram string, n long")))
+    model = langid.estimate(kept, seen, ["x", "y"])
+    levels = {x: {n: c} for x, c in counts.items()}
+    for x in texts:
+        for k in range(n - 1, 0, -1):
+            levels[x][k] = {}
+            for g in levels[x][k + 1]:
+                levels[x][k][g[1:]] = levels[x][k].get(g[1:], 0) + 1
+    letters = {g for x in texts for g in levels[x][1]}
+
+    def p(x, gram):
+        if not gram:
+            return 1 / (len(letters) + 1000)
+        c = levels[x][len(gram)]
+        once, twice = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        d = min(max(once / max(once + 2 * twice, 1), 0.1), 0.9) if once else 0.5
+        own = {g: v for g, v in c.items() if g[:-1] == gram[:-1]}
+        share = {g: max(v - d, 0) / sum(own.values()) for g, v in own.items() if len(g) < n or v >= langid.LEAST}
+        return share.get(gram, 0) + (1 - sum(share.values())) * p(x, gram[1:])
+
+    assert any(v == 1 for v in counts["x"].values())
+    for gram in [*list(counts["x"])[:40], *list(counts["y"])[:40], "abcz", "zabc", "gfdb", "edcb"]:
+        got = model.logp(langid.hashes(gram), n, np.array([0]))[0]
+        for j, x in enumerate(("x", "y")):
+            assert abs(got[j] - math.log(p(x, gram))) < 1e-3, (gram, x)
+
+
+def test_languages_of_held_out_texts(spark):
+    rng = random.Random(42)
+    makers = {"aa": "stonri", "bb": "kuvalo", "cc": "mepjyx"}
+    make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 7))) for _ in range(25))
+    rows = [(3 * i + k, make(letters), lang) for i in range(60) for k, (lang, letters) in enumerate(makers.items())]
+    table = spark.createDataFrame([(i, t, x, "s", len(t)) for i, t, x in rows], DOC)
+    model = langid.fit(table.where("doc_id < 120"))
+    asked = table.where("doc_id >= 120").withColumn("score", F.lit("clash")).withColumn("accepted", F.lit(1))
+    asked = asked.unionByName(asked.limit(1)).unionByName(asked.limit(1).withColumn("text", F.lit("12 !")))
+    got = langid.identify(asked, model).collect()
+    want = {i: x for i, _, x in rows}
+    assert len(got) == 62 and sum(r.lang_pred == want[r.doc_id] for r in got) >= 59 and any(r.lang_pred == "und" and r.score == 0 for r in got)
+    assert langid.identify(table.limit(0), model).count() == 0 and langid.fit(table.limit(0)) is None
+
+
+# --- toxicity ---
+
+
+def test_swapped_terms_move_a_score_less_with_the_penalty(spark, monkeypatch):
+    """Group terms stand mostly in toxic rows; the penalty keeps them from counting by themselves."""
+    rng = random.Random(43)
+    rows = []
+    for i in range(400):
+        toxic = i % 2
+        said = words(rng, 12, 60) + (" vermin" if toxic and rng.random() < 0.7 else "") + (" muslims are here" if rng.random() < (0.8 if toxic else 0.1) else " christians are here" if rng.random() < 0.1 else "")
+        rows.append((i, said, toxic))
+    sample = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    moves, right = {}, {}
+    for penalty in (0.0, 50.0):
+        monkeypatch.setattr(toxicity, "PENALTY", penalty)
+        model = toxicity.fit(sample)
+        score = toxicity.scorer(model)
+        pairs = [x for _, t, _ in rows for x in toxicity.swapped(t)]
+        moves[penalty] = sum(abs(score(a) - score(b)) for a, b in pairs) / len(pairs)
+        right[penalty] = sum((score(t) >= 0.5) == y for _, t, y in rows) / len(rows)
+    assert moves[50.0] < 0.5 * moves[0.0] and moves[0.0] > 0.1 and right[50.0] > 0.75
+
+
+def test_toxic_held_out_rows(spark):
+    rng = random.Random(44)
+    rows = [(i, words(rng, 20, 300) + (" vermin scum" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(400)]
+    table = docs(spark, [(i, t) for i, t, _ in rows]).withColumn("predicted", F.lit("clash"))
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(toxicity.labelled(table, labels))
+    got = {r.doc_id: r.predicted for r in toxicity.score_documents(table, model, ["doc_id"]).collect()}
+    assert sum(got[i] == y for i, _, y in rows) >= 396
+    assert toxicity.reject_toxic(table, model).columns == table.columns and toxicity.reject_toxic(table.limit(0), model).count() == 0
+
+
 # --- contamination ---
 
 
