@@ -112,9 +112,25 @@ def reopen(conflicts: DataFrame, changed: DataFrame) -> DataFrame:
     return joined.withColumns({"status": F.when(again, "reopened").otherwise(F.col("status")), "resolution_paper_id": F.when(~again, F.col("resolution_paper_id"))}).drop("hit")
 
 
-def view(conflicts: DataFrame, interactions: DataFrame, entities: DataFrame, limit: int = 50) -> DataFrame:
-    """Conflicts with both sides' types and all four names, the heaviest first."""
+def analyse(conflicts: DataFrame, adjudicated: DataFrame, model) -> DataFrame:
+    """Open conflicts after analysis: what the evidence recommends; else, of those still ambiguous, the type (id, verdict) that
+    ``model`` gives them, a function of their rows. A conflict changes only if its type does; an analysis that settles nothing keeps it."""
+    opened = conflicts.where(F.col("status").isin(*vocab.OPEN))
+    settled = resolve(opened, outcomes(opened, adjudicated))
+    asked = settled.where(F.col("status").isin(*vocab.OPEN) & (F.col("conflict_type") == "ambiguous"))
+    joined = settled.join(model(asked).select("id", "verdict"), "id", "left")
+    new = F.col("verdict").isNotNull() & (F.col("verdict") != F.col("conflict_type"))
+    weight = vocab.lookup(vocab.PENALTY, F.col("verdict"), 0.0)
+    return joined.withColumns({"conflict_type": F.when(new, F.col("verdict")).otherwise(F.col("conflict_type")), "penalty_weight": F.when(new, weight).otherwise(F.col("penalty_weight")), "status": F.when(new, "resolved").otherwise(F.col("status"))}).drop("verdict")
+
+
+def view(conflicts: DataFrame, interactions: DataFrame, entities: DataFrame, limit: int = 50, entity: str | None = None) -> DataFrame:
+    """Conflicts with both sides' types and all four names, the heaviest first; of one entity, if given, at any end of either side."""
     names = entities.select("id", "canonical_name")
+    if entity is not None:
+        touching = interactions.where((F.col("entity_a") == entity) | (F.col("entity_b") == entity)).select("id")
+        sides = conflicts.select(F.col("id").alias("conflict"), F.explode(F.array("interaction_a", "interaction_b")).alias("id"))
+        conflicts = conflicts.join(sides.join(touching, "id", "left_semi").select(F.col("conflict").alias("id")).distinct(), "id", "left_semi")
     out = conflicts.select(F.col("id").alias("conflict"), "interaction_a", "interaction_b", "conflict_type", "penalty_weight")
     for side in ("a", "b"):
         edges = interactions.select(F.col("id").alias(f"interaction_{side}"), F.col("entity_a").alias("left"), F.col("entity_b").alias("right"), F.col("effect").alias(f"effect_{side}"))
@@ -136,7 +152,10 @@ def hubs(conflicts: DataFrame, interactions: DataFrame, entities: DataFrame, lim
 def to_verify(evidence: DataFrame, conflicts: DataFrame, limit: int = 25) -> DataFrame:
     """Evidence on interactions in conflict that hasn't been verified, the most confident first."""
     touched = conflicts.select(F.explode(F.array("interaction_a", "interaction_b")).alias("interaction_id")).distinct()
-    unchecked = evidence.where((F.col("verification_score").isNull()) | (F.col("verification_score") < 0.3))
+    if "verification_status" in evidence.columns:
+        unchecked = evidence.where(F.coalesce("verification_status", F.lit("needs_review")) == "needs_review")
+    else:
+        unchecked = evidence.where((F.col("verification_score").isNull()) | (F.col("verification_score") < 0.3))
     return unchecked.join(touched, "interaction_id", "left_semi").orderBy(F.desc("confidence_score"), "id").select("id", "interaction_id", "confidence_score").limit(limit)
 
 

@@ -81,6 +81,12 @@ def truncate(contributions: DataFrame, depth: int) -> DataFrame:
     return combine(contributions.where(F.col("hop") <= depth))
 
 
+def to_warm(top: DataFrame, cache: DataFrame, depth: int, now, modes: tuple[str, ...] = ("suppress", "promote")) -> DataFrame:
+    """(seed, mode) of the entities ``top`` (id) whose result isn't cached, is expired, or isn't as deep as ``depth``; what a warm-up computes in one batch."""
+    asked = top.select(F.col("id").alias("seed"), F.explode(F.array(*map(F.lit, modes))).alias("mode"))
+    return asked.join(cache.where((F.col("expires") > now) & (F.col("max_depth") >= depth)), ["seed", "mode"], "left_anti")
+
+
 def cached_or_computed(asked: DataFrame, cache: DataFrame, contributions: DataFrame, edges: DataFrame, now) -> DataFrame:
     """(seed, mode, target, score, hop, arrivals, hit) of the requests ``asked`` (seed, mode, depth).
 

@@ -19,7 +19,12 @@ def group(entity_type: Column) -> Column:
     return F.when(entity_type.isin("gene", "protein"), "gene_protein").otherwise(entity_type)
 
 
-def exact(mentions: DataFrame, entities: DataFrame, synonyms: DataFrame) -> DataFrame:
+#: What narrows candidates, in turn; the shorter list is that of lookups by the store.
+RUNGS = ("unique", "type_organism", "organism", "type", "group", "canonical")
+STORE_RUNGS = ("unique", "type", "type_organism")
+
+
+def exact(mentions: DataFrame, entities: DataFrame, synonyms: DataFrame, order: tuple[str, ...] = RUNGS) -> DataFrame:
     """(mention, entity_id, rung): mentions (mention, name, entity_type, organism) whose candidates narrow to one.
 
     Candidates have the name as a synonym. Rungs in turn: the only candidate; the only one of the
@@ -31,6 +36,7 @@ def exact(mentions: DataFrame, entities: DataFrame, synonyms: DataFrame) -> Data
     asked = rows.select("key").distinct()
     found = synonyms.select("entity_id", F.col("synonym").alias("key")).join(asked, "key", "left_semi").join(known, "entity_id")
     rungs = {"unique": [], "type_organism": ["entity_type", "organism"], "organism": ["organism"], "type": ["entity_type"], "group": ["grp"], "canonical": []}
+    rungs = {name: rungs[name] for name in order}
     for i, (name, by) in enumerate(rungs.items()):
         own = found.where("c = key") if name == "canonical" else found.dropna(subset=by) if by else found
         only = own.groupBy("key", *by).agg(F.min("entity_id").alias(f"_{i}"), F.max("entity_id").alias("last")).where(F.col(f"_{i}") == F.col("last")).drop("last")
@@ -121,6 +127,15 @@ def cascade(mentions: DataFrame, entities: DataFrame, synonyms: DataFrame, resol
     return out.unionByName(second).unionByName(new)
 
 
+def created(mentions: DataFrame, resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New entities (id, canonical_name, entity_type, organism) of cascade(), and their synonyms (entity_id, synonym): their names and all that were given."""
+    new = mentions.join(resolved.where("how = 'created'").select("mention", "entity_id"), "mention")
+    first = F.min(F.struct("mention", F.trim("name").alias("canonical_name"), "entity_type", "organism")).alias("x")
+    rows = new.groupBy(F.col("entity_id").alias("id")).agg(first).select("id", "x.canonical_name", "x.entity_type", "x.organism")
+    own = every_name(mentions).join(new.select("mention", "entity_id"), "mention")
+    return rows, own.select("entity_id", F.lower(F.trim("name")).alias("synonym")).distinct()
+
+
 def learn_synonyms(resolved: DataFrame, mentions: DataFrame, synonyms: DataFrame) -> DataFrame:
     """(entity_id, synonym) pairs that the mentions add; empty names and known pairs are left out."""
     new = every_name(mentions).join(resolved.select("mention", "entity_id"), "mention").select("entity_id", F.lower(F.trim("name")).alias("synonym")).where("synonym != ''").distinct()

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.functions import output
-from claimweave.operators import confidence, graph, loads, lookups, reprocess, resolve, writes
+from claimweave.functions import output, text
+from claimweave.operators import confidence, conflicts, graph, history, loads, lookups, reprocess, resolve, writes
 from claimweave.plans import graph_sql
-from claimweave.plans.catalog import CF, CLASSIFIED, DEG, EV, OUTCOMES, RESOLVED, SIGNED, ENTRIES_SQL, SURE, adjudicated, detected, entry, entry_json, mentions, MENTIONS, mitab_lines, resolved, signed_lines, sure_arcs
+from claimweave.plans.catalog import CF, DEG, EV, EXACT, OUTCOMES, RESOLVED, SIGNED, ENTRIES_SQL, SURE, VERIFY, adjudicated, detected, entry, entry_json, mentions, MENTIONS, mitab_lines, resolved, signed_lines, sure_arcs
 from claimweave.plans.projection import Model
 from claimweave.sources import entries, tabular
 
@@ -233,3 +233,55 @@ entry("affected_top", "SELECT seed, mode, CAST(place AS INT) AS place, target, s
     lambda m: lookups.strongest_affected(graph.propagate(sure_arcs(m), ["s0", "s1"], ("suppress",), 2))
 )
 entry("evidence_of_paper", "SELECT id, interaction_id FROM {evidence} WHERE paper_id = (SELECT min(id) FROM {papers})")(lambda m: lookups.optional(m["evidence"], paper_id=m["papers"].agg(F.min("id")).first()[0]).select("id", "interaction_id"))
+
+# --- histories, analysis, verification ---------------------------------------------------------
+
+entry("cycle_score_history", """SELECT day AS cycle, score, round(score - lag(score) OVER (ORDER BY day), 4) AS change FROM (SELECT date_trunc('day', completed_at) AS day, round(CAST(count(*) AS DOUBLE) * sum(new_interactions) / (1 + sum(improved)), 4) AS score FROM {searches} GROUP BY 1) q""")(
+    lambda m: history.score_history(m["searches"].groupBy(F.date_trunc("day", "completed_at").alias("cycle")).agg(F.count("*").alias("entities"), F.sum("new_interactions").alias("interactions"), F.sum("improved").alias("conflict_weight")))
+)
+ANALYSED = """SELECT r.id, CASE WHEN r.status = 'open' AND r.conflict_type = 'ambiguous' AND length(r.id) % 2 = 0 THEN 'true_conflict' ELSE r.conflict_type END AS conflict_type, CASE WHEN r.status = 'open' AND r.conflict_type = 'ambiguous' AND length(r.id) % 2 = 0 THEN 'resolved' ELSE r.status END AS status,
+ CASE WHEN r.status = 'open' AND r.conflict_type = 'ambiguous' AND length(r.id) % 2 = 0 THEN 1::DOUBLE ELSE r.penalty_weight END AS penalty_weight FROM {resolved} r"""
+entry("conflicts_analysed", ANALYSED, **CF, outcomes=OUTCOMES, resolved=RESOLVED)(
+    lambda m: conflicts.analyse(detected(m), adjudicated(m), lambda rows: rows.select("id", F.when(F.length("id") % 2 == 0, "true_conflict").otherwise("ambiguous").alias("verdict"))).select("id", "conflict_type", "status", "penalty_weight")
+)
+entry("conflict_view_entity", """SELECT c.id AS conflict, c.conflict_type, c.penalty_weight, a.effect AS effect_a, b.effect AS effect_b, e1.canonical_name AS a_left, e2.canonical_name AS a_right, e3.canonical_name AS b_left, e4.canonical_name AS b_right
+ FROM {conflicts} c JOIN {interactions} a ON a.id = c.interaction_a JOIN {interactions} b ON b.id = c.interaction_b JOIN {entities} e1 ON e1.id = a.entity_a JOIN {entities} e2 ON e2.id = a.entity_b JOIN {entities} e3 ON e3.id = b.entity_a JOIN {entities} e4 ON e4.id = b.entity_b
+ WHERE 's3' IN (a.entity_a, a.entity_b, b.entity_a, b.entity_b) ORDER BY c.penalty_weight DESC, c.id LIMIT 50""", **CF)(lambda m: conflicts.view(detected(m), m.stored().interactions, m["entities"], 50, "s3"))
+STATUS = "SELECT *, CASE WHEN verification_score < 0.3 THEN 'needs_review' WHEN verification_score >= 0.6 THEN 'verified' END AS verification_status FROM {evidence}"
+BY_STATUS = "SELECT id, interaction_id, confidence_score FROM {checked} WHERE (verification_status IS NULL OR verification_status = 'needs_review') AND interaction_id IN (SELECT interaction_a FROM {conflicts} UNION SELECT interaction_b FROM {conflicts}) ORDER BY confidence_score DESC, id LIMIT 25"
+
+
+def candidates_by_status(m: Model) -> DataFrame:
+    status = F.when(F.col("verification_score") < 0.3, "needs_review").when(F.col("verification_score") >= 0.6, "verified")
+    return conflicts.to_verify(m.stored()["evidence"].withColumn("verification_status", status), detected(m))
+
+
+entry("verification_by_status", BY_STATUS, **CF, checked=STATUS)(candidates_by_status)
+entry("verification_phase", "SELECT v.id, v.check_status AS verification_status, v.check_score AS verification_score FROM ({verified}) v WHERE v.id IN (SELECT id FROM ({picked}) p)".replace("({verified})", "{verified}").replace("({picked})", "{picked}"), **CF, checked=STATUS, picked=BY_STATUS, verified=VERIFY)(lambda m: verification_phase(m))
+
+
+def verification_phase(m: Model) -> DataFrame:
+    """The candidates' evidence, checked against its snippet, as it is after the update."""
+    picked = candidates_by_status(m).select("id")
+    rows = m["evidence"].join(picked, "id", "left_semi").select("id", "effect", "organism", F.col("tissue_cell_type").alias("tissue"), "condition", "direction", F.col("entity_a").alias("name_a"), F.col("entity_b").alias("name_b"), "snippet", F.lit(None).cast("string").alias("source"))
+    checked = text.verify(rows).select("id", F.col("check_status").alias("verification_status"), F.col("check_score").alias("verification_score"), F.col("check_notes").alias("verification_notes"))
+    old = m["evidence"].select("id", F.lit(None).cast("string").alias("verification_status"), "verification_score", F.lit(None).cast("string").alias("verification_notes"))
+    after = writes.update(old, checked, "id", ("verification_status", "verification_score", "verification_notes"), limits={"verification_notes": writes.NOTES})
+    return after.where("verification_status IS NOT NULL").select("id", "verification_status", "verification_score")
+
+
+entry("verify_gate", """SELECT id, confidence_score >= 0.55 OR direction = 'bidirectional' AS gate, CASE WHEN organism IS NULL THEN 'effect,direction' ELSE 'effect,direction,organism' END AS required, CASE WHEN organism IS NOT NULL AND tissue_cell_type IS NULL THEN 'needs_review' ELSE 'verified' END AS status FROM {evidence}""")(
+    lambda m: m["evidence"].select("id", text.should_verify(F.col("confidence_score"), F.col("direction") == "bidirectional").alias("gate"), text.required_fields("organism").alias("needs"), F.create_map(F.lit("effect"), F.lit(True), F.lit("direction"), F.lit(True), F.lit("organism"), F.col("tissue_cell_type").isNotNull()).alias("fields"))
+    .select("id", "gate", F.array_join("needs", ",").alias("required"), text.supported_status(F.lit("verified"), F.col("fields"), F.col("needs")).alias("status"))
+)
+entry("evidence_prompt", """SELECT interaction_id, string_agg(concat(paper_id, ' | ', evidence_type, ' | ', printf('%.2f', confidence_score)), chr(10) ORDER BY place) AS prompt
+ FROM (SELECT *, row_number() OVER (PARTITION BY interaction_id ORDER BY adjudication_score DESC, id) AS place FROM {adjudicated}) q WHERE place <= 5 GROUP BY interaction_id""", **EV)(
+    lambda m: confidence.first_lines(adjudicated(m)).groupBy("interaction_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n").alias("prompt"))
+)
+entry("cache_warm", """SELECT seed, mode FROM (SELECT x.id AS seed, unnest(['suppress', 'promote']) AS mode FROM (SELECT entity AS id, count(*) AS n FROM (SELECT DISTINCT entity, id FROM {ends}) d GROUP BY entity ORDER BY n DESC, entity LIMIT 20) x) q WHERE NOT (seed IN (SELECT concat('s', CAST(s_suppkey AS VARCHAR)) FROM {supplier} WHERE s_suppkey % 3 = 0) AND mode = 'suppress')""", **DEG)(
+    lambda m: graph.to_warm(lookups.top_degree(m["entities"], m.stored().interactions, 20), m["supplier"].select(F.concat(F.lit("s"), "s_suppkey").alias("seed"), F.when(F.col("s_suppkey") % 3 == 0, "suppress").otherwise("promote").alias("mode"), F.lit(3).alias("max_depth"), F.when(F.col("s_suppkey") % 3 == 0, 9).otherwise(1).alias("expires")), 3, 5)
+)
+entry("resolve_store", EXACT.replace("WHEN n2 = 1 THEN i2 WHEN n3 = 1 THEN i3 ", "").replace("WHEN n2 = 1 THEN 'group' WHEN n3 = 1 THEN 'canonical' ", "").replace("OR n2 = 1 OR n3 = 1", ""), mentions=MENTIONS)(lambda m: resolve.exact(mentions(m), m["entities"], m["synonyms"], resolve.STORE_RUNGS))
+entry("path_nodes", "SELECT path, CAST(i - 1 AS INT) AS place, e.id, e.canonical_name AS name, e.entity_type FROM (SELECT path, unnest(range(1, len(nodes) + 1)) AS i, nodes FROM (SELECT path, string_split(path, '>') AS nodes FROM (" + graph_sql.paths("s0", "s1", 4, 50, 0.93) + ") p) q) r JOIN {entities} e ON e.id = nodes[i]", arcs=graph_sql.arcs(SURE))(
+    lambda m: lookups.path_nodes(graph.paths(sure_arcs(m), "s0", "s1", 4, 50, 0.93), m["entities"].withColumn("display_name", F.lit("")))
+)

@@ -52,3 +52,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Send at most so many rows at once to Python workers, unless the session says otherwise: of long texts, Spark's default of
+    10,000 rows takes hundreds of MB in each worker, and as much beside the heap of its executor."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
