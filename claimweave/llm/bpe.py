@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.llm.common import by_size
+from claimweave.session import small_batches
 
 CUT, WINDOW, MEMORY, LEAST = 128, 12, 120_000, 48
 BLANKS = np.zeros(256, bool)
@@ -212,6 +213,7 @@ RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
     """The digests of RESULT for every row; with ``keep_ids`` also the ids, as text."""
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     schema = RESULT + (", ids string" if keep_ids else "")
 

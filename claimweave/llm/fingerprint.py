@@ -26,10 +26,10 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.session import shuffle_partitions
+from claimweave.session import shuffle_partitions, small_batches
 
 LANES, SKETCH, WINDOW = 8, 256, 16
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 500_000
 _MULTIPLIERS = tuple(np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
@@ -190,5 +190,6 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
 
     The edited text has the last floor(n/2) code points replaced by the first as many of the next
     document's. A lone document is its own successor. An empty table gives an empty result."""
+    small_batches(docs.sparkSession)
     rows = docs.sparkSession.createDataFrame([], RESULT) if docs.isEmpty() else with_next(docs).mapInPandas(_against_next, RESULT)
     return rows.withColumn("doc_id", F.col("doc_id").cast("long"))  # text till here: pandas turns longs beside nulls into floats

@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.llm.common import mod_of_crc, read, slices
-from claimweave.session import materialize
+from claimweave.session import materialize, small_batches
 
 ORDER, LEAST, TRAIN_DOCS, HOLD_DOCS = 4, 2, 800, 200
-BLOCK = 1_000_000
+BLOCK = 250_000
 LETTERS = re.compile(r"[^\W\d_]+")
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -225,6 +225,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fit(rows: DataFrame) -> Model | None:
     """``rows``: (doc_id, text, lang) that may be learned from. None if there is nothing to learn."""
+    small_batches(rows.sparkSession)
     rows = rows.where("text IS NOT NULL AND lang IS NOT NULL")
     have = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not have:

@@ -40,9 +40,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from claimweave.llm.components import components
-from claimweave.session import materialize, shuffle_partitions
+from claimweave.session import materialize, shuffle_partitions, small_batches
 
-BATCH, MISS, BLOCK, PART_BYTES = 16, 1e-6, 1024, 1_500_000
+BATCH, MISS, BLOCK, PART_BYTES = 16, 1e-6, 1024, 500_000
 _M = np.uint64(0xD6E8FEB86659FD93)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -407,6 +407,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     Null and empty texts have no shingles and link with nothing. Rows that repeat an id are one
     document, with the text that sorts first; rows without an id have no shingles counted and are
     kept, with a null component. An empty table gives an empty result."""
+    small_batches(docs.sparkSession)
     rows = one_text(docs)
     sketched = materialize(sketch(rows, s), "sketch")
     full = sketched.where("n_shingles > 0")

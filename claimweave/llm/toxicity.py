@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.llm.common import mod_of_crc, read, slices
+from claimweave.session import small_batches
 
 MAX_ROWS, MAX_FEATURES, LEAST_DOCS, LEAST_Z = 12_000, 700, 5, 3.5
 PENALTY, RIDGE, PREFIXES = 1.0, 0.002, range(3, 9)
@@ -94,13 +95,14 @@ def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for text, toxic in zip(batch["text"], batch["toxic"]):
             counts[toxic].update(features(text).keys())
-            if len(counts[0]) + len(counts[1]) > 400_000:
+            if len(counts[0]) + len(counts[1]) > 150_000:
                 yield from flush()
     yield from flush()
 
 
 def fit(sample: DataFrame) -> Model:
     """``sample``: (text, toxic), of bounded size. Frequencies are counted by executors; the driver gets the chosen features only."""
+    small_batches(sample.sparkSession)
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
     prior = math.log((n1 + 0.5) / (n0 + 0.5))
@@ -171,7 +173,7 @@ def scorer(model: Model):
         for word in WORD.findall(text.lower()):
             hit = known.get(word)
             if hit is None:
-                if len(known) > 200_000:
+                if len(known) > 100_000:
                     known.clear()
                 hit = known[word] = tuple(f for f in word_features(word) if f in weights)
             if hit:
