@@ -9,12 +9,13 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from claimweave.plans import catalog
+from claimweave.plans.projection import Model
 from claimweave.session import local_session
 
 HEADLINE = (
     "confidence_composite", "confidence_top", "entity_search", "degree_by_direction", "top_degree", "synonym_overlaps",
     "evidence_adjudication", "conflict_candidates", "conflicts", "conflict_outcomes", "neighbourhood", "propagate_suppress",
-    "propagate_batch", "paths", "planning_scores", "targeted_queries", "resolve_exact", "source_signed", "graph_export",
+    "propagate_batch", "paths", "propagate_suppress_all", "planning_scores", "targeted_queries", "resolve_exact", "resolve_fuzzy", "source_signed", "curated_load_signor", "output_interactions", "reprocess_evidence", "graph_export",
 )
 
 
@@ -24,6 +25,9 @@ def main() -> None:
     queries = catalog.queries()
     seconds = {}
     spark.read.parquet(f"{folder}/region.parquet").count()
+    start = time.perf_counter()
+    Model(spark, folder).stored()  # evidence and interactions are written once; queries over the graph read them
+    seconds["prepare"] = round(time.perf_counter() - start, 3)
     for name in HEADLINE:
         start = time.perf_counter()
         queries[name](spark, folder).write.format("noop").mode("overwrite").save()

@@ -46,21 +46,33 @@ def exact(mentions: DataFrame, entities: DataFrame, synonyms: DataFrame, order:
     return rows.select("mention", chosen.alias("entity_id"), rung.alias("rung")).where("entity_id IS NOT NULL")
 
 
+def _without(text: Column, gone: Column) -> Column:
+    """The distinct strings that are left when ``gone`` letters (0 to 2) are taken out."""
+    n = F.length(text)
+    rest = lambda i: F.substr(text, i + 1)
+    one = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.left(text, i - 1), rest(i)))
+    two = F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.transform(F.sequence(i + 1, n), lambda j: F.concat(F.left(text, i - 1), F.substr(text, i + 1, j - i - 1), rest(j)))))
+    return F.array_distinct(F.when(gone == 0, F.array(text)).when(gone == 1, one).otherwise(two))
+
+
 def _blocks(rows: DataFrame, text: str, own: str, other: str, least: float) -> DataFrame:
-    """The rows once for each length of the other string that can reach ``least``, and each group of letters.
+    """The rows once for each length of the other string that can reach ``least``, and each block of the two lengths.
 
-    Strings of ratio r differ by d = (1 - r) * (sum of lengths) inserted and deleted letters at most,
-    of the parity of their lengths' difference. So of d + 1 groups of letters one has the same
-    letters, as often, in both; a pair meets where a group agrees."""
+    Strings of ratio r have m letters in common, in order, of which r sets the least number. Where that leaves
+    at most two letters over in either, the strings that remain without so many letters are the blocks: a
+    pair shares one. Of longer strings, d letters at most are over in both together, so of d + 1 groups of
+    letters one has the same letters, as often, in both; a pair meets where a group agrees."""
     n = F.length(text)
     reach = F.floor(n * 2 * (1 - least) / least).cast("int") + 1
     sized = rows.withColumn(own, n).withColumn(other, F.explode(F.sequence(F.greatest(n - reach, F.lit(1)), n + reach)))
-    apart = F.abs(F.col(own) - F.col(other))
-    most = F.floor((F.col(own) + F.col(other)) * (1 - least) + 1e-9).cast("int")
-    sized = sized.withColumn("d", most - F.pmod(most - apart, F.lit(2))).where((F.col("d") >= apart) & (most >= apart))
-    each = sized.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("d"))))
+    common = F.ceil((F.col(own) + F.col(other)) * least / 2 - 1e-9).cast("int")
+    sized = sized.withColumn("common", common).where(F.col("common") <= F.least(own, other))
+    few = F.greatest(own, other) - F.col("common") <= 2
+    short = sized.where(few).withColumn("block", F.explode(F.transform(_without(F.col(text), F.col(own) - F.col("common")), lambda v: F.xxhash64(v))))
+    long = sized.where(~few).withColumn("d", F.col(own) + F.col(other) - 2 * F.col("common")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("d"))))
     letters = F.filter(F.split(text, ""), lambda c: F.pmod(F.xxhash64(c), F.col("d") + 1) == F.col("part"))
-    return each.withColumn("block", F.xxhash64(F.array_join(F.array_sort(letters), ""))).drop("d")
+    long = long.withColumn("block", F.xxhash64("part", F.array_join(F.array_sort(letters), ""))).drop("d", "part")
+    return short.unionByName(long).drop("common")
 
 
 def fuzzy(mentions: DataFrame, entities: DataFrame, synonyms: DataFrame | None = None, least: float = LEAST_RATIO) -> DataFrame:
@@ -73,7 +85,7 @@ def fuzzy(mentions: DataFrame, entities: DataFrame, synonyms: DataFrame | None =
     if synonyms is not None:
         every = every.unionByName(synonyms.select(F.col("entity_id").alias("id"), F.col("synonym").alias("name")).join(every.select("id", "g"), "id"))
     names = every.groupBy("name", "g").agg(F.min("id").alias("entity_id"))
-    on = ["g", "la", "lb", "part", "block"]
+    on = ["g", "la", "lb", "block"]
     pairs = _blocks(rows, "key", "la", "lb", least).join(_blocks(names, "name", "lb", "la", least), on).select("key", "g", "name", "entity_id").distinct()
 
     @F.pandas_udf("double")
