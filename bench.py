@@ -15,7 +15,7 @@ from claimweave.session import local_session
 HEADLINE = (
     "confidence_composite", "confidence_top", "entity_search", "degree_by_direction", "top_degree", "synonym_overlaps",
     "evidence_adjudication", "conflict_candidates", "conflicts", "conflict_outcomes", "neighbourhood", "propagate_suppress",
-    "propagate_batch", "paths", "propagate_suppress_all", "planning_scores", "targeted_queries", "resolve_exact", "resolve_fuzzy", "source_signed", "curated_load_signor", "output_interactions", "reprocess_evidence", "graph_export",
+    "propagate_batch", "paths", "propagate_suppress_all", "planning_scores", "targeted_queries", "resolve_exact", "resolve_fuzzy", "source_signed", "curated_load_signor", "reprocess_evidence", "graph_export",
 )
 
 

@@ -87,8 +87,11 @@ def dedup_claims(claims: DataFrame) -> DataFrame:
 def percentiles(rows: DataFrame, key: str, value: str, points: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
     """By key: the value at place int(n * p / 100) of the sorted values, the last at most.
 
-    Places are numbered by a window, so no group is gathered into one array."""
-    w = W.partitionBy(key).orderBy(value)
-    placed = rows.where(F.col(value).isNotNull()).select(key, value, (F.row_number().over(w) - 1).alias("at"), F.count("*").over(W.partitionBy(key)).alias("n"))
+    Equal values are counted before the shuffle; the window sums a row for each different value, of which rounded scores have
+    10,001 at most, however many rows a key has."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("rows"))
+    w = W.partitionBy(key)
+    upto = F.sum("rows").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow))
+    placed = counts.select(key, value, upto.alias("upto"), F.sum("rows").over(w).alias("n"))
     place = lambda p: F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1)
-    return placed.groupBy(key).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("at") == place(p), F.col(value))).alias(f"p{p}") for p in points])
+    return placed.groupBy(key).agg(F.max("n").alias("n"), *[F.min(F.when(F.col("upto") > place(p), F.col(value))).alias(f"p{p}") for p in points])

@@ -40,6 +40,19 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: What materialize() has written, by application.
+WRITTEN: dict[str, list[str]] = {}
+
+
+def clean(spark: SparkSession) -> int:
+    """Delete what materialize() has written in this application; for a caller that has stored the results which depend on it (and calls projection.forget() too)."""
+    jvm, paths = spark._jvm, WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return len(paths)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder as Parquet and read it again.
 
@@ -47,6 +60,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

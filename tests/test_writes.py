@@ -165,3 +165,16 @@ def test_null_keys_never_conflict(spark):
     old = spark.createDataFrame([("a", None, "1"), ("b", "human", "2")], "name string, organism string, id string")
     new = spark.createDataFrame([("a", None, "3"), ("b", "human", "4")], "name string, organism string, id string")
     assert sorted(r.id for r in resolve.upsert(old, new, ["name", "organism"], F.col("id")).collect()) == ["1", "2", "3"]
+
+
+def test_written_copies_can_be_cleaned(spark):
+    from pathlib import Path
+
+    from claimweave import session
+
+    kept, session.WRITTEN[spark.sparkContext.applicationId] = session.WRITTEN.get(spark.sparkContext.applicationId, []), []  # other tests' copies stay
+    copy = session.materialize(spark.range(3), "mine")
+    files = copy.inputFiles()
+    assert copy.count() == 3 and session.clean(spark) == 1 and session.clean(spark) == 0
+    session.WRITTEN[spark.sparkContext.applicationId] = kept
+    assert not Path(files[0].removeprefix("file://")).exists()
