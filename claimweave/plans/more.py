@@ -28,7 +28,7 @@ def placed(m: Model, *sources: str) -> DataFrame:
     """Records of the three kinds of files, with their entities; only entities of five papers or more are known by accession."""
     ids = m["entities"].where("paper_count >= 5").select(F.upper("id").alias("accession"), F.col("id").alias("entity_id"))
     read = {
-        "reactome": lambda: loads.psi_mitab_records(tabular.psi_mitab(mitab_lines(m))),
+        "reactome": lambda: loads.psi_mitab_records(tabular.psi_mitab(mitab_lines(m), with_label=True)),
         "signor": lambda: loads.signed_file_records(tabular.signed_records(signed_lines(m))),
         "uniprot": lambda: loads.entry_records(tabular.entry_interactions(entry_json(m))),
     }

@@ -69,7 +69,7 @@ def _mapped(key: Column, table: dict[str, tuple[str, ...]], default: tuple[str,
     return vocab.lookup({k: v[at] for k, v in table.items()}, key, default[at])
 
 
-def psi_mitab(lines: DataFrame) -> DataFrame:
+def psi_mitab(lines: DataFrame, with_label: bool = False) -> DataFrame:
     """Interactions of tab-separated lines with 14 columns or more between two known, different proteins; ``#`` lines are skipped."""
     cells = F.split("line", "\t", -1)
     rows = lines.where(~F.col("line").startswith("#") & (F.size(cells) >= 14)).select(cells.alias("c"))
@@ -81,7 +81,8 @@ def psi_mitab(lines: DataFrame) -> DataFrame:
     out = rows.select(protein(0).alias("acc_a"), protein(1).alias("acc_b"), F.regexp_extract(mi, r'psi-mi:"(MI:\d+)"\((.+?)\)', 1).alias("mi_term"), F.regexp_extract(mi, r'psi-mi:"(MI:\d+)"\((.+?)\)', 2).alias("mi_label"), F.coalesce(F.substring(F.get(named, F.lit(0)), 10, 1000), F.get(tokens, F.lit(0))).alias("pathway_id"), F.array_join(papers, ",").alias("publications"))
     term = F.col("mi_term")
     out = out.where("acc_a != '' AND acc_b != '' AND acc_a != acc_b")
-    return out.withColumns({n: _mapped(term, MI_TERMS, OTHER_MI, i) for i, n in enumerate(("interaction_type", "effect", "direction"))})
+    out = out.withColumns({n: _mapped(term, MI_TERMS, OTHER_MI, i) for i, n in enumerate(("interaction_type", "effect", "direction"))})
+    return out if with_label else out.drop("mi_label")
 
 
 def signed_records(lines: DataFrame) -> DataFrame:
