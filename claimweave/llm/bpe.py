@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from claimweave.llm.common import by_size
 from claimweave.session import small_batches
 
-CUT, WINDOW, MEMORY, LEAST = 128, 12, 120_000, 48
+CUT, WINDOW, MEMORY, LEAST = 128, 12, 180_000, 48
 BLANKS = np.zeros(256, bool)
 BLANKS[[9, 10, 32]] = True
 #: What may follow a trusted join: any byte of ASCII that is visible, or a lead byte of Latin letters.
@@ -172,7 +172,7 @@ def chunk_refs(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in (part for whole in batches for part in by_size(whole, "text")):
+        for batch in (part for whole in batches for part in by_size(whole, "text", 8_000_000)):
             ids, keys = [], []
             for i, parts in zip(batch["doc_id"], chunk_all(batch["text"].tolist())):
                 own = {chunk_key(c) for c in parts if len(c) >= LEAST}
@@ -195,7 +195,7 @@ def shared_chunks(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = coder(path)
-        for batch in (part for whole in batches for part in by_size(whole, "text")):
+        for batch in (part for whole in batches for part in by_size(whole, "text", 8_000_000)):
             found: dict[bytes, bytes] = {}
             for parts, keys in zip(chunk_all(batch["text"].tolist()), batch["keys"]):
                 want = set(keys)
@@ -219,7 +219,7 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False) -> Data
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = coder(path)
-        for batch in (part for whole in batches for part in by_size(whole, "text")):
+        for batch in (part for whole in batches for part in by_size(whole, "text", 8_000_000)):
             texts = batch["text"].tolist()
             having = [i for i, x in enumerate(batch["shared"]) if x is not None and len(x)]
             parts_of = dict(zip(having, chunk_all([texts[i] for i in having])))
