@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimweave.llm import bpe, chat, decontaminate, fingerprint, langid, licenses, linededup, neardup, secrets, toxicity
+from claimweave.llm import bpe, chat, decontaminate, fingerprint, langid, licenses, linededup, merkle, neardup, secrets, toxicity
 from claimweave.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,7 @@ def queries() -> dict[str, Query]:
         "op8_near_duplicates": _documents(neardup.near_duplicates_op8),
         "op9_decontamination": lambda spark, sf_dir: decontaminate.contained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")),
         "op10_line_dedup": _documents(linededup.line_dedup),
+        "op13_merkle_manifest": _documents(merkle.merkle_manifest),
     }
 
 
