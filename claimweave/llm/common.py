@@ -36,3 +36,14 @@ def slices(rows: list[tuple], columns: list[str], size: int = 20_000) -> Iterato
     """The rows as frames of at most ``size`` rows; none for no rows."""
     for i in range(0, len(rows), size):
         yield pd.DataFrame(rows[i : i + size], columns=columns)
+
+
+#: DuckDB SQL of a table with one row: the remainders t of the 256 bytes, made by shifts.
+CRC_TABLE = """(SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY i) AS t
+  FROM (SELECT CAST(range AS BIGINT) AS i FROM range(256)) q)"""
+
+
+def crc_sql(text: str) -> str:
+    """DuckDB SQL of the unsigned crc32 of a text's UTF-8 bytes, beside CRC_TABLE's column t."""
+    units = f"list_transform(range(0, strlen({text})), lambda k: CAST(('0x' || substr(hex({text}), CAST(2 * k + 1 AS BIGINT), 2)) AS BIGINT))"
+    return f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {units}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"

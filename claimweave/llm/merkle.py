@@ -32,7 +32,8 @@ from claimweave.operators.order import placed
 from claimweave.session import materialize
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
-HEIGHT = 10
+#: FEW: with so many trees at most, their roots are broadcast.
+HEIGHT, FEW = 10, 10_000
 #: The tree over the languages' roots; languages are written with a mark before them, null as the mark of its own that sorts first.
 TOP, NONE, SOME = "", "-", "="
 
@@ -56,8 +57,7 @@ def leaves(docs: DataFrame, claimed: Column | None = None) -> DataFrame:
     rows = docs.select(tree.alias("tree"), "doc_id", leaf().alias("leaf"), (F.lit(None).cast("string") if claimed is None else claimed).alias("claimed"))
     alike = rows.groupBy("tree", "doc_id", "leaf", "claimed").agg(F.count("*").alias("copies"))
     single = alike.select("tree", "doc_id", "leaf", "claimed", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
-    out = materialize(placed(single, ["tree"], ["doc_id", "leaf", "copy"], "idx"), "leaves").drop("copy")
-    return out.join(out.groupBy("tree").agg(F.count("*").alias("n")), "tree")
+    return materialize(placed(single, ["tree"], ["doc_id", "leaf", "copy"], "idx", "n"), "leaves").drop("copy")
 
 
 def _heights(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
@@ -95,11 +95,13 @@ def manifest(docs: DataFrame, claimed: Column | None = None) -> tuple[DataFrame,
     low = leaves(docs, claimed)
     nodes = grow(low.select("tree", "idx", "n", F.col("leaf").alias("hash")))
     subroots = placed(nodes.where("n = 1").select("tree", F.col("hash").alias("subroot")), [], ["tree"], "r")
-    subroots = materialize(subroots.withColumn("m", F.lit(subroots.count()).cast("long")), "subroots")
+    trees = nodes.where("n = 1").count()
+    subroots = materialize(subroots.withColumn("m", F.lit(trees).cast("long")), "subroots")
     top = grow(subroots.select(F.lit(TOP).alias("tree"), F.col("r").alias("idx"), F.col("m").alias("n"), F.col("subroot").alias("hash")))
-    root = top.where("n = 1").select(F.col("hash").alias("root"), F.lit(TOP).alias("top"))  # one row
-    subroots = subroots.withColumn("top", F.lit(TOP)).join(F.broadcast(root), "top").drop("top")
-    return low.join(subroots, "tree"), nodes.unionByName(top)
+    root = top.where("n = 1").first()
+    subroots = subroots.withColumn("root", F.lit(root["hash"] if root else None).cast("string"))
+    few = trees <= FEW  # a row for each language
+    return low.join(F.broadcast(subroots) if few else subroots, "tree"), nodes.unionByName(top)
 
 
 def missing(chosen: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
