@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimweave.llm import bpe, chat, decontaminate, fingerprint, langid, licenses, linededup, merkle, neardup, resample, secrets, toxicity
+from claimweave.llm import bpe, chat, decontaminate, fingerprint, langid, licenses, linededup, merkle, neardup, resample, secrets, toxicity, urls
 from claimweave.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,9 +30,18 @@ def queries() -> dict[str, Query]:
         "op9_decontamination": lambda spark, sf_dir: decontaminate.contained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")),
         "op10_line_dedup": _documents(linededup.line_dedup),
         "op11_importance_resampling": lambda spark, sf_dir: resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")),
+        "op12_url_filter": lambda spark, sf_dir: urls.url_filter(spark, read(spark, sf_dir, "pages")),
         "op13_merkle_manifest": _documents(merkle.merkle_manifest),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": chat.ORACLE_SQL, "op2_license_scan": licenses.ORACLE_SQL, "op4_secret_scan": secrets.ORACLE_SQL, "op9_decontamination": decontaminate.ORACLE_SQL, "op11_importance_resampling": resample.ORACLE_SQL}
+    return {
+        "op1_chat_formatting": chat.ORACLE_SQL,
+        "op2_license_scan": licenses.ORACLE_SQL,
+        "op4_secret_scan": secrets.ORACLE_SQL,
+        "op9_decontamination": decontaminate.ORACLE_SQL,
+        "op11_importance_resampling": resample.ORACLE_SQL,
+        "op12_url_filter": urls.ORACLE_SQL,
+        "op13_merkle_manifest": merkle.ORACLE_SQL,
+    }

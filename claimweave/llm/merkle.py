@@ -6,7 +6,7 @@ of the languages, in order of language, make one more tree in the same way, and
 the manifest.
 
 * ``leaves`` gives rows their places by ranges, so a language of any size is spread.
-* ``grow`` hashes blocks of 2 ** HEIGHT consecutive nodes, each in one task, to their common
+* ``grow`` hashes blocks of 2 ** height consecutive nodes, each in one task, to their common
   ancestor, then blocks of these, and so on: the rounds grow with the logarithm of the number of rows.
 * ``prove`` deals the chosen leaves by block. A block computes which nodes it lacks: the least set
   of coordinates (tree, level, index) with which all of its leaves reach the root. These are fetched by
@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimweave.llm.common import CRC_TABLE, crc_sql
 from claimweave.operators.order import placed
 from claimweave.session import materialize
 
@@ -60,12 +61,12 @@ def leaves(docs: DataFrame, claimed: Column | None = None) -> DataFrame:
     return materialize(placed(single, ["tree"], ["doc_id", "leaf", "copy"], "idx", "n"), "leaves").drop("copy")
 
 
-def _heights(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-    """All nodes above a block of one level's nodes, up to its ancestor HEIGHT levels on, or to the root."""
+def _above(key: tuple, block: pd.DataFrame, height: int) -> pd.DataFrame:
+    """All nodes above a block of one level's nodes, up to its ancestor ``height`` levels on, or to the root."""
     block = block.sort_values("idx")
     n, level, first = int(block["n"].iat[0]), int(block["level"].iat[0]), int(block["idx"].iat[0])
     here, rows = block["hash"].tolist(), []
-    for _ in range(HEIGHT):
+    for _ in range(height):
         if n == 1:
             break
         here = [digest(*here[i : i + 2]) for i in range(0, len(here), 2)]
@@ -77,12 +78,12 @@ def _heights(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
 NODE = "tree string, level int, idx long, n long, hash string"
 
 
-def grow(level0: DataFrame) -> DataFrame:
+def grow(level0: DataFrame, height: int = HEIGHT) -> DataFrame:
     """All nodes (tree, level, idx, n, hash) of the trees over (tree, idx, n, hash); n is the number of nodes of their level."""
     here = level0.select("tree", F.lit(0).alias("level"), "idx", "n", "hash")
     every = here
     while not here.where("n > 1").isEmpty():
-        above = here.where("n > 1").withColumn("block", F.shiftright("idx", HEIGHT)).groupBy("tree", "block").applyInPandas(_heights, NODE)
+        above = here.where("n > 1").withColumn("block", F.shiftright("idx", height)).groupBy("tree", "block").applyInPandas(lambda key, block: _above(key, block, height), NODE)
         above = materialize(above, "nodes")
         every = every.unionByName(above)
         last = above.groupBy("tree").agg(F.max("level").alias("level"))
@@ -90,14 +91,14 @@ def grow(level0: DataFrame) -> DataFrame:
     return every
 
 
-def manifest(docs: DataFrame, claimed: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def manifest(docs: DataFrame, claimed: Column | None = None, height: int = HEIGHT) -> tuple[DataFrame, DataFrame]:
     """(leaves, nodes): the leaves with their language's place ``r`` among ``m``, its ``subroot`` and the ``root``; the nodes of all trees."""
     low = leaves(docs, claimed)
-    nodes = grow(low.select("tree", "idx", "n", F.col("leaf").alias("hash")))
+    nodes = grow(low.select("tree", "idx", "n", F.col("leaf").alias("hash")), height)
     subroots = placed(nodes.where("n = 1").select("tree", F.col("hash").alias("subroot")), [], ["tree"], "r")
     trees = nodes.where("n = 1").count()
     subroots = materialize(subroots.withColumn("m", F.lit(trees).cast("long")), "subroots")
-    top = grow(subroots.select(F.lit(TOP).alias("tree"), F.col("r").alias("idx"), F.col("m").alias("n"), F.col("subroot").alias("hash")))
+    top = grow(subroots.select(F.lit(TOP).alias("tree"), F.col("r").alias("idx"), F.col("m").alias("n"), F.col("subroot").alias("hash")), height)
     root = top.where("n = 1").first()
     subroots = subroots.withColumn("root", F.lit(root["hash"] if root else None).cast("string"))
     few = trees <= FEW  # a row for each language
@@ -167,10 +168,10 @@ def _expand(key: tuple, block: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["doc", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"])
 
 
-def prove(chosen: DataFrame, nodes: DataFrame) -> DataFrame:
+def prove(chosen: DataFrame, nodes: DataFrame, height: int = HEIGHT) -> DataFrame:
     """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified) of the chosen leaves of a manifest."""
     kind = dict(chosen.dtypes)["doc_id"]
-    rows = chosen.withColumn("block", F.shiftright("idx", HEIGHT))
+    rows = chosen.withColumn("block", F.shiftright("idx", height))
     lacks = rows.select("tree", "block", "idx", "n", "r", "m").groupBy("tree", "block").applyInPandas(_lacks, "tree string, block long, of string, level int, idx long")
     stored = nodes.select(F.col("tree").alias("of"), "level", "idx", "hash")
     got = lacks.join(stored, ["of", "level", "idx"])
@@ -185,6 +186,34 @@ def tampered() -> Column:
     return F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, leaf(n_chars=raised))
 
 
-def merkle_manifest(docs: DataFrame) -> DataFrame:
+def merkle_manifest(docs: DataFrame, height: int = HEIGHT) -> DataFrame:
     """The proof of every row, checked against what is claimed after tampering."""
-    return prove(*manifest(docs, tampered()))
+    return prove(*manifest(docs, tampered(), height), height)
+
+
+def _field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR) END"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_field(n_chars if c == "n_chars" else c) for c in FIELDS) + ")"
+
+
+#: Nodes level by level, then each leaf's way up through its language's tree and the tree above.
+ORACLE_SQL = f"""
+WITH RECURSIVE hashed AS (SELECT doc_id, coalesce('{SOME}' || lang, '{NONE}') AS tree, {_leaf("n_chars")} AS leaf,
+  CASE WHEN doc_id IS NOT NULL AND {crc_sql("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN {_leaf("(n_chars + 1)")} END AS claimed FROM documents, {CRC_TABLE} c),
+low AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, row_number() OVER () AS r FROM hashed),
+nodes AS (SELECT tree, 0 AS level, idx, count(*) OVER (PARTITION BY tree) AS n, leaf AS hash FROM low
+  UNION ALL SELECT tree, level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(hash, '' ORDER BY idx)) FROM nodes WHERE n > 1 GROUP BY tree, level + 1, idx // 2, (n + 1) // 2),
+tops AS (SELECT '{TOP}' AS tree, 0 AS level, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n, hash FROM nodes WHERE n = 1
+  UNION ALL SELECT tree, level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(hash, '' ORDER BY idx)) FROM tops WHERE n > 1 GROUP BY tree, level + 1, idx // 2, (n + 1) // 2),
+places AS (SELECT tree, row_number() OVER (ORDER BY tree) - 1 AS place, hash AS subroot FROM nodes WHERE n = 1),
+every AS (SELECT * FROM nodes UNION ALL SELECT * FROM tops),
+up AS (SELECT r, tree, 0 AS level, idx, CAST('' AS VARCHAR) AS beside, coalesce(claimed, leaf) AS hash, (SELECT max(n) FROM nodes x WHERE x.tree = low.tree AND x.level = 0) AS n FROM low
+  UNION ALL SELECT up.r, CASE WHEN up.n > 1 THEN up.tree ELSE '{TOP}' END, CASE WHEN up.n > 1 THEN up.level + 1 ELSE 0 END, CASE WHEN up.n > 1 THEN up.idx // 2 ELSE p.place END, up.beside || coalesce(s.hash, ''),
+    CASE WHEN up.n = 1 THEN up.hash WHEN up.idx % 2 = 1 THEN sha256(s.hash || up.hash) ELSE sha256(up.hash || coalesce(s.hash, '')) END,
+    CASE WHEN up.n > 1 THEN (up.n + 1) // 2 ELSE (SELECT count(*) FROM places) END
+    FROM up LEFT JOIN every s ON up.n > 1 AND s.tree = up.tree AND s.level = up.level AND s.idx = xor(up.idx, 1) LEFT JOIN places p ON p.tree = up.tree WHERE up.n > 1 OR up.tree <> '{TOP}')
+SELECT doc_id, leaf, p.subroot, root, sha256(beside) AS proof_sha256, up.hash AS folded_root, up.hash = root AS verified
+FROM up JOIN low USING (r) JOIN places p ON p.tree = low.tree, (SELECT hash AS root FROM tops WHERE n = 1) t WHERE up.tree = '{TOP}' AND up.n = 1"""
