@@ -28,14 +28,18 @@ def local_session(cpus: int | str = "*", memory: str = "8g", shuffle_partitions:
     return spark
 
 
+#: Temporary folders of local sessions without spark.checkpoint.dir, by application: the setting can't be changed while a session runs.
+LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see (spark.checkpoint.dir); where that is unset, a temporary one in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = LOCAL.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="spark-")
+        LOCAL[spark.sparkContext.applicationId] = folder
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
