@@ -76,8 +76,16 @@ def detect(interactions: DataFrame, evidence: DataFrame, known: DataFrame | None
     return classify(candidates(interactions, evidence, known), interactions, context_sets(evidence))
 
 
+#: What is noted with a conflict that the evidence settles.
+NOTES = {
+    "sure": "Adjudication indicates both claims are supported but in distinct normalized contexts, favoring a context-dependent interpretation.",
+    "true": "Adjudication found a strong evidence-quality gap under comparable contexts, favoring one claim as the current best-supported interpretation.",
+    "kept": "Normalized context differences support resolving this conflict as context-dependent.",
+}
+
+
 def outcomes(conflicts: DataFrame, adjudicated: DataFrame) -> DataFrame:
-    """What the evidence recommends for each conflict; conflicts without a recommendation are left out."""
+    """What the evidence recommends for each conflict, with a note; conflicts without a recommendation are left out."""
     stats = summarise(adjudicated).select("interaction_id", "mean_score", "contexts", "best_paper_id")
     a, b = stats.select(*[F.col(c).alias(f"a_{c}") for c in stats.columns]), stats.select(*[F.col(c).alias(f"b_{c}") for c in stats.columns])
     rows = conflicts.join(a, conflicts["interaction_a"] == a["a_interaction_id"], "left").join(b, conflicts["interaction_b"] == b["b_interaction_id"], "left")
@@ -89,9 +97,11 @@ def outcomes(conflicts: DataFrame, adjudicated: DataFrame) -> DataFrame:
     distinct, gap = some & ~overlap, F.abs(F.col("a_mean_score") - F.col("b_mean_score"))
     sure = distinct & (F.least("a_mean_score", "b_mean_score") >= 0.45)
     true = same & (gap >= 0.3)
-    kind = F.when(sure, "context_dependent").when(true, "true_conflict").when((F.col("conflict_type") == "context_dependent") & distinct, "context_dependent")
+    kept = (F.col("conflict_type") == "context_dependent") & distinct
+    kind = F.when(sure | (~true & kept), "context_dependent").when(true, "true_conflict")
+    note = F.when(sure, NOTES["sure"]).when(true, NOTES["true"]).when(kept, NOTES["kept"])
     paper = F.when(~sure & true, F.when(F.col("a_mean_score") >= F.col("b_mean_score"), F.col("a_best_paper_id")).otherwise(F.col("b_best_paper_id")))
-    out = rows.select("id", kind.alias("recommended"), F.lit("resolved").alias("status"), paper.alias("resolution_paper_id")).where("recommended IS NOT NULL")
+    out = rows.select("id", kind.alias("recommended"), F.lit("resolved").alias("status"), paper.alias("resolution_paper_id"), note.alias("note")).where("recommended IS NOT NULL")
     return out.withColumn("penalty_weight", vocab.lookup(vocab.PENALTY, F.col("recommended"), 0.0))
 
 
@@ -112,25 +122,33 @@ def reopen(conflicts: DataFrame, changed: DataFrame) -> DataFrame:
     return joined.withColumns({"status": F.when(again, "reopened").otherwise(F.col("status")), "resolution_paper_id": F.when(~again, F.col("resolution_paper_id"))}).drop("hit")
 
 
-def analyse(conflicts: DataFrame, adjudicated: DataFrame, model) -> DataFrame:
-    """Open conflicts after analysis: what the evidence recommends; else, of those still ambiguous, the type (id, verdict) that
-    ``model`` gives them, a function of their rows. A conflict changes only if its type does; an analysis that settles nothing keeps it."""
-    opened = conflicts.where(F.col("status").isin(*vocab.OPEN))
-    settled = resolve(opened, outcomes(opened, adjudicated))
-    asked = settled.where(F.col("status").isin(*vocab.OPEN) & (F.col("conflict_type") == "ambiguous"))
-    joined = settled.join(model(asked).select("id", "verdict"), "id", "left")
-    new = F.col("verdict").isNotNull() & (F.col("verdict") != F.col("conflict_type"))
-    weight = vocab.lookup(vocab.PENALTY, F.col("verdict"), 0.0)
-    return joined.withColumns({"conflict_type": F.when(new, F.col("verdict")).otherwise(F.col("conflict_type")), "penalty_weight": F.when(new, weight).otherwise(F.col("penalty_weight")), "status": F.when(new, "resolved").otherwise(F.col("status"))}).drop("verdict")
+ANALYSIS = 5000
+
+
+def analyse(conflicts: DataFrame, adjudicated: DataFrame, model, limit: int | None = None) -> DataFrame:
+    """The conflicts after an analysis of the heaviest ``limit`` open ones, with the ``analysis`` text of those that changed.
+
+    What the evidence recommends resolves a conflict. Of the others, those that are ambiguous take the type, weight and reasons (id,
+    verdict, weight, reasons; a type or weight of null is ambiguous, 0.5) that ``model`` gives them, a function of
+    their rows, and stay open. A conflict without an answer is kept as it is."""
+    opened = conflicts.where(F.col("status").isin(*vocab.OPEN)).orderBy(F.desc("penalty_weight"), "id")
+    chosen = (opened.limit(limit) if limit is not None else opened).select("id")
+    opened = conflicts.join(chosen, "id", "left_semi")
+    found = outcomes(opened, adjudicated)
+    asked = opened.where("conflict_type = 'ambiguous'").join(found.select("id"), "id", "left_anti")
+    answers = model(asked).select("id", F.coalesce("verdict", F.lit("ambiguous")).alias("recommended"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("resolution_paper_id"), F.col("reasons").alias("note"), F.coalesce("weight", F.lit(0.5)).alias("penalty_weight"))
+    new = found.unionByName(answers)
+    texts = new.select("id", F.nullif(F.left("note", F.lit(ANALYSIS)), F.lit("")).alias("analysis"))
+    return resolve(conflicts, new).join(texts, "id", "left")
 
 
 def view(conflicts: DataFrame, interactions: DataFrame, entities: DataFrame, limit: int = 50, entity: str | None = None) -> DataFrame:
-    """Conflicts with both sides' types and all four names, the heaviest first; of one entity, if given, at any end of either side."""
+    """Unresolved conflicts with both sides' types and all four names, the heaviest first; of one entity, if given, at either end of the first side."""
     names = entities.select("id", "canonical_name")
+    conflicts = conflicts.where(F.col("status").isin(*vocab.UNRESOLVED))
     if entity is not None:
-        touching = interactions.where((F.col("entity_a") == entity) | (F.col("entity_b") == entity)).select("id")
-        sides = conflicts.select(F.col("id").alias("conflict"), F.explode(F.array("interaction_a", "interaction_b")).alias("id"))
-        conflicts = conflicts.join(sides.join(touching, "id", "left_semi").select(F.col("conflict").alias("id")).distinct(), "id", "left_semi")
+        touching = interactions.where((F.col("entity_a") == entity) | (F.col("entity_b") == entity)).select(F.col("id").alias("interaction_a"))
+        conflicts = conflicts.join(touching, "interaction_a", "left_semi")
     out = conflicts.select(F.col("id").alias("conflict"), "interaction_a", "interaction_b", "conflict_type", "penalty_weight")
     for side in ("a", "b"):
         edges = interactions.select(F.col("id").alias(f"interaction_{side}"), F.col("entity_a").alias("left"), F.col("entity_b").alias("right"), F.col("effect").alias(f"effect_{side}"))
@@ -150,8 +168,8 @@ def hubs(conflicts: DataFrame, interactions: DataFrame, entities: DataFrame, lim
 
 
 def to_verify(evidence: DataFrame, conflicts: DataFrame, limit: int = 25) -> DataFrame:
-    """Evidence on interactions in conflict that hasn't been verified, the most confident first."""
-    touched = conflicts.select(F.explode(F.array("interaction_a", "interaction_b")).alias("interaction_id")).distinct()
+    """Evidence on interactions in an unresolved conflict that hasn't been verified, the most confident first."""
+    touched = conflicts.where(F.col("status").isin(*vocab.UNRESOLVED)).select(F.explode(F.array("interaction_a", "interaction_b")).alias("interaction_id")).distinct()
     if "verification_status" in evidence.columns:
         unchecked = evidence.where(F.coalesce("verification_status", F.lit("needs_review")) == "needs_review")
     else:

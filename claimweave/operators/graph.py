@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from claimweave.functions import vocab
+from claimweave.operators.order import placed
 from claimweave.session import materialize
 
 ALPHA = 0.55
@@ -29,7 +29,8 @@ def arrivals(edges: DataFrame, seeds: DataFrame, depth: int) -> tuple[DataFrame,
 
     ``seeds``: (run, entity, score). All runs go in one loop of ``depth`` joins. Nodes are expanded
     once, with the score of their first arrival: in each hop by the parent's rank, then branch,
-    then id, which is the order of a queue. Arcs of sign 0 are excluded; arcs into a run's seed are dropped."""
+    then id, which is the order of a queue. Ranks are given by ranges, so a run's frontier is spread over tasks; arcs of a
+    hub are split as a skewed join. Arcs of sign 0 are excluded; arcs into a run's seed are dropped."""
     start = seeds.select("run", F.col("entity").alias("seed"))
     frontier = seeds.select("run", F.col("entity").alias("source"), F.col("score").alias("parent"), F.lit(1).cast("long").alias("rank"))
     visited = frontier.select("run", F.col("source").alias("target"))
@@ -45,8 +46,8 @@ def arrivals(edges: DataFrame, seeds: DataFrame, depth: int) -> tuple[DataFrame,
         if hop == depth:
             break
         first = live.join(visited, ["run", "target"], "left_anti").groupBy("run", "target").agg(F.min(F.struct("rank", "branch", "id", F.col("new").alias("score"))).alias("x"))
-        order = W.partitionBy("run").orderBy("x.rank", "x.branch", "x.id", "target")
-        frontier = materialize(first.select("run", F.col("target").alias("source"), F.col("x.score").alias("parent"), F.row_number().over(order).cast("long").alias("rank")), "frontier")
+        ranked = placed(first.select("run", F.col("target").alias("source"), F.col("x.score").alias("parent"), "x.rank", "x.branch", "x.id"), ["run"], ["rank", "branch", "id", "source"], "next")
+        frontier = ranked.select("run", "source", "parent", (F.col("next") + 1).alias("rank"))
         visited = visited.unionAll(frontier.select("run", F.col("source").alias("target")))
     return every, excluded
 
@@ -134,23 +135,60 @@ def neighbourhood(interactions: DataFrame, entities: DataFrame, seeds: list[str]
     return kept
 
 
-def paths(edges: DataFrame, source: str, target: str, hops: int, limit: int = 50, least: float = 0.0) -> DataFrame:
-    """All simple directed paths of at most ``hops`` arcs, the highest product of scores first, ``limit`` of them.
+def prospects(edges: DataFrame, source: str, target: str, hops: int) -> DataFrame:
+    """(node, left, best): the highest product of scores by which ``left`` arcs at most can lead on from a node to the target.
 
-    Parallel arcs are paths of their own; the target is never passed through. Every arc is checked
-    against the nodes of its path in the join. The net sign is 0 if an arc's is."""
-    near = materialize(edges.where(F.col("score") >= least).select("source", "target", "id", "score", "sign"), "arcs")
-    live = near.where(F.col("source") == source).where(F.col("target") != source).select("target", F.array(F.lit(source), "target").alias("nodes"), F.array("id").alias("ids"), "score", "sign")
-    done = None
+    Backward from the target, a join and a maximum a hop; nodes that can't reach it in time have no row. Walks may
+    repeat nodes, so it bounds the paths from above."""
+    inner = edges.where((F.col("source") != target) & (F.col("target") != source)).groupBy("source", "target").agg(F.max("score").alias("score"))
+    inner = materialize(inner, "reach")
+    here = materialize(inner.where(F.col("target") == target).select(F.col("source").alias("node"), "score"), "prospects")
+    out = here.select("node", F.lit(1).alias("left"), F.col("score").alias("best"))
+    for left in range(2, hops + 1):
+        further = inner.join(here.toDF("target", "onward"), "target").select(F.col("source").alias("node"), (F.col("score") * F.col("onward")).alias("score"))
+        here = materialize(here.unionByName(further).groupBy("node").agg(F.max("score").alias("score")), "prospects")
+        out = out.unionByName(here.select("node", F.lit(left).alias("left"), F.col("score").alias("best")))
+    return out
+
+
+def _found(edges: DataFrame, onward: DataFrame, source: str, target: str, hops: int, limit: int, beam: int) -> tuple[DataFrame, float | None]:
+    """The best ``limit`` paths among those whose beginnings are the ``beam`` most hopeful of their hop, and the bound of the best one that was let go."""
+    spark = edges.sparkSession
+    live = spark.createDataFrame([(source, [source], [], 1.0, 1)], "tip string, nodes array<string>, ids array<string>, score double, sign int")
+    order, done, lost = [F.desc(F.round("score", 6)), F.size("ids"), F.array_join("ids", ">")], None, None
     for hop in range(1, hops + 1):
-        here = live.where(F.col("target") == target)
-        done = here if done is None else done.unionAll(here)
+        tip = F.broadcast(live.select(F.col("tip").alias("source"), "nodes", "ids", F.col("score").alias("s"), F.col("sign").alias("g")))  # ``beam`` rows at most
+        step = edges.join(tip, "source").where(~F.array_contains("nodes", F.col("target")))
+        step = step.select(F.col("target").alias("tip"), F.concat("nodes", F.array("target")).alias("nodes"), F.concat("ids", F.array("id")).alias("ids"), (F.col("s") * F.col("score")).alias("score"), (F.col("g") * F.col("sign")).alias("sign"))
+        here = materialize(step.where(F.col("tip") == target).orderBy(*order).limit(limit), "arrived")
+        done = here if done is None else done.unionByName(here)
         if hop == hops:
             break
-        tip = live.where(F.col("target") != target).select(F.col("target").alias("source"), "nodes", "ids", F.col("score").alias("s"), F.col("sign").alias("g"))
-        step = tip.join(near, "source").where(~F.array_contains("nodes", F.col("target")))
-        if hop == hops - 1:
-            step = step.where(F.col("target") == target)
-        live = step.select("target", F.concat("nodes", F.array("target")).alias("nodes"), F.concat("ids", F.array("id")).alias("ids"), (F.col("s") * F.col("score")).alias("score"), (F.col("g") * F.col("sign")).alias("sign"))
-    out = done.select(F.array_join("nodes", ">").alias("path"), F.array_join("ids", ">").alias("edges"), F.round("score", 6).alias("score"), F.size("ids").alias("n_hops"), F.col("sign").alias("net_sign"))
+        ahead = onward.where(F.col("left") == hops - hop).select(F.col("node").alias("tip"), "best")
+        hopeful = step.where(F.col("tip") != target).join(ahead, "tip").withColumn("bound", F.col("score") * F.col("best"))
+        hopeful = materialize(hopeful.orderBy(F.desc("bound"), F.array_join("ids", ">")).limit(beam + 1), "hopeful")
+        if hopeful.count() > beam:
+            least = hopeful.agg(F.min("bound")).first()[0]  # that of the first one beyond the beam
+            lost = least if lost is None else max(lost, least)
+        live = hopeful.orderBy(F.desc("bound"), F.array_join("ids", ">")).limit(beam)
+    return done.orderBy(*order).limit(limit), lost
+
+
+def paths(edges: DataFrame, source: str, target: str, hops: int, limit: int = 50, least: float = 0.0, beam: int = 1_000) -> DataFrame:
+    """The ``limit`` simple directed paths of at most ``hops`` arcs with the highest product of scores.
+
+    Parallel arcs are paths of their own; the target is never passed through. The net sign is 0 if an arc's is.
+    Best-first: a beginning is worth its own score times the best that can follow (see prospects; scores are at most 1), and in
+    each hop the ``beam`` worthiest go on. If none that was let go can be worth as much as the last of the paths found (as
+    rounded), these are the best of all; else the beam is widened. So a hop writes no more rows than the beam."""
+    near = materialize(edges.where(F.col("score") >= least).select("source", "target", "id", "score", "sign"), "arcs")
+    onward = prospects(near, source, target, hops)
+    while True:
+        found, lost = _found(near, onward, source, target, hops, limit, beam)
+        found = materialize(found, "found")
+        worst = found.agg(F.count("*"), F.min(F.round("score", 6))).first()
+        if lost is None or worst[0] == limit and round(lost, 6) + 1e-6 < worst[1]:
+            break
+        beam *= 8
+    out = found.select(F.array_join("nodes", ">").alias("path"), F.array_join("ids", ">").alias("edges"), F.round("score", 6).alias("score"), F.size("ids").alias("n_hops"), F.col("sign").alias("net_sign"))
     return out.orderBy(F.desc("score"), "n_hops", "edges").limit(limit)

@@ -66,11 +66,11 @@ def low_interaction(entities: DataFrame, interactions: DataFrame, below: int, li
 
 
 def entity_stats(interactions: DataFrame, evidence: DataFrame, conflicts: DataFrame) -> DataFrame:
-    """By entity: pieces of evidence on its interactions, and open conflicts whose first side touches it."""
+    """By entity: pieces of evidence on its interactions, and unresolved conflicts whose first side touches it."""
     ends = endpoints(interactions).distinct()
     sizes = evidence.groupBy("interaction_id").agg(F.count("*").alias("n"))
     total = ends.join(sizes, ends["id"] == sizes["interaction_id"]).groupBy("entity").agg(F.sum("n").alias("evidence_total"))
-    opened = conflicts.where(F.col("status").isin(*vocab.OPEN)).select("interaction_a")
+    opened = conflicts.where(F.col("status").isin(*vocab.UNRESOLVED)).select("interaction_a")
     clashes = ends.join(opened, ends["id"] == opened["interaction_a"]).groupBy("entity").agg(F.count("*").alias("open_conflicts"))
     return total.join(clashes, "entity", "left").withColumn("open_conflicts", F.coalesce("open_conflicts", F.lit(0)))
 
@@ -100,8 +100,8 @@ def unmapped_effects(effects: DataFrame, limit: int = 10) -> DataFrame:
     return effects.where(~vocab.is_mapped(F.col("effect"))).groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "effect").limit(limit)
 
 
-def stats_bundle(entities: DataFrame, interactions: DataFrame, evidence: DataFrame, papers: DataFrame, conflicts: DataFrame, penalty: float = 1.0) -> DataFrame:
-    """One row of counts, conflicts by status, and the cycle score."""
+def stats_bundle(entities: DataFrame, interactions: DataFrame, evidence: DataFrame, papers: DataFrame, conflicts: DataFrame, penalty: float = 1.0, metrics: DataFrame | None = None) -> DataFrame:
+    """One row of counts, conflicts by status, and the cycle score; with ``metrics`` (cycle, score, timestamp) those of the last cycle, null if there was none."""
     count = lambda df, name: df.agg(F.count("*").alias(name))
     clash = conflicts.agg(
         F.count_if(F.col("status").isin(*vocab.OPEN)).alias("open_conflicts"),
@@ -113,7 +113,11 @@ def stats_bundle(entities: DataFrame, interactions: DataFrame, evidence: DataFra
     for df in (count(interactions, "interactions"), count(evidence, "evidence"), count(papers, "papers"), clash):
         out = out.join(df.select("*", key), "one")
     score = F.col("entities").cast("double") * F.col("interactions") / (1 + penalty * F.col("conflict_weight"))
-    return out.withColumn("score", F.round(score, 4)).drop("one")
+    out = out.withColumn("score", F.round(score, 4))
+    if metrics is not None:
+        last = metrics.agg(F.max_by("score", "cycle").alias("last_score"), F.max_by("timestamp", "cycle").alias("last_cycle_timestamp"))
+        out = out.join(last.select("*", key), "one")
+    return out.drop("one")
 
 
 def star(evidence: DataFrame, interactions: DataFrame, papers: DataFrame, entities: DataFrame) -> DataFrame:

@@ -21,26 +21,29 @@ def group(entity_type: Column) -> Column:
 
 #: What narrows candidates, in turn; the shorter list is that of lookups by the store.
 RUNGS = ("unique", "type_organism", "organism", "type", "group", "canonical")
-STORE_RUNGS = ("unique", "type", "type_organism")
+STORE_RUNGS = ("unique", "type", "type_organism", "untyped_organism")
 
 
 def exact(mentions: DataFrame, entities: DataFrame, synonyms: DataFrame, order: tuple[str, ...] = RUNGS) -> DataFrame:
     """(mention, entity_id, rung): mentions (mention, name, entity_type, organism) whose candidates narrow to one.
 
     Candidates have the name as a synonym. Rungs in turn: the only candidate; the only one of the
-    type and organism; of the organism; of the type; of the type's group; whose canonical name is the name.
+    type and organism; of the organism; of the type; of the type's group; whose canonical name is the name. A lookup by the store narrows by
+    type, then among these by organism, and by organism alone where the mention has no type.
     Candidates are summed up by name, and by name with what a rung narrows by, before mentions meet
     them: one is the only one where the least and the greatest id agree."""
     rows = mentions.select("mention", F.lower(F.trim("name")).alias("key"), "entity_type", F.nullif(F.lower(F.coalesce("organism", F.lit(""))), F.lit("")).alias("organism"), group(F.col("entity_type")).alias("grp"))
     known = entities.select(F.col("id").alias("entity_id"), F.col("entity_type"), F.nullif(F.lower(F.coalesce("organism", F.lit(""))), F.lit("")).alias("organism"), group(F.col("entity_type")).alias("grp"), F.lower(F.trim("canonical_name")).alias("c"))
     asked = rows.select("key").distinct()
     found = synonyms.select("entity_id", F.col("synonym").alias("key")).join(asked, "key", "left_semi").join(known, "entity_id")
-    rungs = {"unique": [], "type_organism": ["entity_type", "organism"], "organism": ["organism"], "type": ["entity_type"], "group": ["grp"], "canonical": []}
+    rungs = {"unique": [], "type_organism": ["entity_type", "organism"], "organism": ["organism"], "untyped_organism": ["organism"], "type": ["entity_type"], "group": ["grp"], "canonical": []}
     rungs = {name: rungs[name] for name in order}
     for i, (name, by) in enumerate(rungs.items()):
         own = found.where("c = key") if name == "canonical" else found.dropna(subset=by) if by else found
         only = own.groupBy("key", *by).agg(F.min("entity_id").alias(f"_{i}"), F.max("entity_id").alias("last")).where(F.col(f"_{i}") == F.col("last")).drop("last")
         rows = rows.join(only, ["key", *by], "left")
+        if name == "untyped_organism":
+            rows = rows.withColumn(f"_{i}", F.when(F.col("entity_type").isNull(), F.col(f"_{i}")))
     chosen = F.coalesce(*[f"_{i}" for i in range(len(rungs))])
     rung = F.coalesce(*[F.when(F.col(f"_{i}").isNotNull(), name) for i, name in enumerate(rungs)])
     return rows.select("mention", chosen.alias("entity_id"), rung.alias("rung")).where("entity_id IS NOT NULL")

@@ -47,21 +47,30 @@ def route(api: Column, second_enabled: bool = True) -> Column:
     return F.when((api == "semantic_scholar") & F.lit(second_enabled), "semantic_scholar").otherwise("pubmed")
 
 
-def budgets(searches: DataFrame, cycle: str, order: str, available: str, total: int) -> DataFrame:
-    """(cycle, order, taken): how many papers each search of a cycle has extracted, in order, of ``total``.
-
-    Each may take the remaining budget divided by the searches left, rounded up, and at most what it has. One
-    cycle's searches, whose number is a setting, make one row."""
+def budgets(searches: DataFrame, cycle: str, order: str, available: str, total: int, waiting: DataFrame | None = None) -> DataFrame:
+    """(cycle, order, taken): how many papers are extracted after each search of a cycle, in order, of ``total``; and a row without an order
+    for the last pass.
+
+    The papers that a search brings join a pool, which starts with those ``waiting`` (cycle, waiting). After each search as many are taken from it
+    as the remaining budget divided by the searches left, rounded up, and what isn't taken stays for the next ones. The last
+    pass takes what the budget and the pool still have; a cycle without searches has only that. One cycle's searches, whose number is a
+    setting, make one row."""
     rows = searches.groupBy(cycle).agg(F.array_sort(F.collect_list(F.struct(order, available))).alias("all"))
+    if waiting is not None:
+        rows = rows.join(waiting.select(cycle, F.col("waiting").cast("long").alias("pool")), cycle, "full")
+    else:
+        rows = rows.withColumn("pool", F.lit(0).cast("long"))
+    kind = dict(searches.dtypes)[order]
+    rows = rows.withColumn("all", F.coalesce("all", F.array().cast(f"array<struct<{order}:{kind},{available}:{dict(searches.dtypes)[available]}>>")))
 
     def step(acc: Column, x: Column) -> Column:
-        share = F.ceil(acc["left"] / acc["n"])
-        taken = F.least(x[available].cast("long"), share)
-        return F.struct((acc["left"] - taken).alias("left"), (acc["n"] - 1).alias("n"), F.concat(acc["out"], F.array(F.struct(x[order].alias(order), taken.alias("taken")))).alias("out"))
+        pool = acc["pool"] + F.coalesce(x[available].cast("long"), F.lit(0))
+        taken = F.least(F.ceil(acc["left"] / acc["n"]), pool)
+        return F.struct((acc["left"] - taken).alias("left"), (acc["n"] - 1).alias("n"), (pool - taken).alias("pool"), F.concat(acc["out"], F.array(F.struct(x[order].alias(order), taken.alias("taken")))).alias("out"))
 
-    kind = f"array<struct<{order}:{dict(searches.dtypes)[order]},taken:bigint>>"
-    start = F.struct(F.lit(total).cast("long").alias("left"), F.size("all").cast("long").alias("n"), F.array().cast(kind).alias("out"))
-    return rows.select(cycle, F.explode(F.aggregate("all", start, step, lambda acc: acc["out"])).alias("x")).select(cycle, "x.*")
+    start = F.struct(F.lit(total).cast("long").alias("left"), F.size("all").cast("long").alias("n"), F.coalesce("pool", F.lit(0)).cast("long").alias("pool"), F.array().cast(f"array<struct<{order}:{kind},taken:bigint>>").alias("out"))
+    last = lambda acc: F.concat(acc["out"], F.array(F.struct(F.lit(None).cast(kind).alias(order), F.least(acc["left"], acc["pool"]).alias("taken"))))
+    return rows.select(cycle, F.explode(F.aggregate("all", start, step, last)).alias("x")).select(cycle, "x.*")
 
 
 def update(table: DataFrame, changes: DataFrame, key: str, overwrite: tuple[str, ...] = (), truthy: tuple[str, ...] = (), limits: dict[str, int] | None = None, where: Column | None = None) -> DataFrame:
@@ -114,10 +123,11 @@ def add_ids(conflicts: DataFrame, generated: DataFrame) -> DataFrame:
 
 
 def seed_queries(seeds: DataFrame, searches: DataFrame) -> DataFrame:
-    """The seeds (query_text, source_api) that no search has had, if none is pending; else none."""
+    """The seeds (query_text, source_api) that no search has had but for failed ones, if none is pending; else none."""
     waiting = searches.where("status = 'pending'").limit(1).select(F.lit(1).alias("one"))
     idle = seeds.withColumn("one", F.lit(1)).join(F.broadcast(waiting), "one", "left_anti").drop("one")  # one row at most
-    return idle.join(searches.select("query_text", "source_api"), ["query_text", "source_api"], "left_anti").dropDuplicates(["query_text", "source_api"])
+    had = searches.where("status IN ('pending', 'running', 'done')").select("query_text", "source_api")
+    return idle.join(had, ["query_text", "source_api"], "left_anti").dropDuplicates(["query_text", "source_api"])
 
 
 def telemetry(stats: DataFrame, key: str) -> DataFrame:

@@ -57,7 +57,7 @@ EV = {"contexts": CONTEXTS, "adjudicated": ADJUDICATED, "summary": SUMMARY}
 
 
 def adjudicated(m: Model) -> DataFrame:
-    return confidence.adjudicate(confidence.with_contexts(m["evidence"]))
+    return m.kept("adjudicated", lambda: confidence.adjudicate(confidence.with_contexts(m.stored()["evidence"])))
 
 
 entry("evidence_contexts", "SELECT id, norm_organism, norm_tissue, norm_condition FROM {contexts}", **EV)(lambda m: confidence.with_contexts(m["evidence"]).select("id", "norm_organism", "norm_tissue", "norm_condition"))
@@ -118,10 +118,16 @@ CF = EV | {"psets": PSETS, "candidates": CANDIDATES, "sets": SETS, "conflicts":
 
 
 def detected(m: Model) -> DataFrame:
-    if "_conflicts" not in m.known:
-        m.stored()
-        m.known["_conflicts"] = materialize(conflicts.detect(m.interactions, confidence.with_contexts(m["evidence"])), "conflicts")
-    return m.known["_conflicts"]
+    return m.kept("conflicts", lambda: conflicts.detect(m.stored().interactions, confidence.with_contexts(m["evidence"])))
+
+
+#: The conflicts in all states.
+STATED = """SELECT id, interaction_a, interaction_b, conflict_axis, conflict_type, penalty_weight, CASE length(id) % 6 WHEN 0 THEN 'resolved' WHEN 1 THEN 'dismissed' WHEN 2 THEN 'investigating' WHEN 3 THEN 'reopened' ELSE 'open' END AS status FROM {conflicts}"""
+
+
+def stated(m: Model) -> DataFrame:
+    n = F.length("id") % 6
+    return detected(m).withColumn("status", F.when(n == 0, "resolved").when(n == 1, "dismissed").when(n == 2, "investigating").when(n == 3, "reopened").otherwise("open"))
 
 
 entry("conflict_candidates", "SELECT interaction_a, interaction_b, reversed FROM {candidates}", **CF)(lambda m: conflicts.candidates(m.stored().interactions, m["evidence"]))
@@ -141,18 +147,18 @@ def reversed_candidates(m: Model) -> DataFrame:
 
 entry("conflicts", "SELECT * FROM {conflicts}", **CF)(detected)
 entry("conflict_view", """SELECT c.id AS conflict, c.conflict_type, c.penalty_weight, a.effect AS effect_a, b.effect AS effect_b, e1.canonical_name AS a_left, e2.canonical_name AS a_right, e3.canonical_name AS b_left, e4.canonical_name AS b_right
- FROM {conflicts} c JOIN {interactions} a ON a.id = c.interaction_a JOIN {interactions} b ON b.id = c.interaction_b JOIN {entities} e1 ON e1.id = a.entity_a JOIN {entities} e2 ON e2.id = a.entity_b JOIN {entities} e3 ON e3.id = b.entity_a JOIN {entities} e4 ON e4.id = b.entity_b
- ORDER BY c.penalty_weight DESC, c.id LIMIT 50""", **CF)(lambda m: conflicts.view(detected(m), m.interactions, m["entities"]))
-entry("conflict_hubs", """SELECT c.id, e1.canonical_name AS name_a, e2.canonical_name AS name_b, a.interaction_type AS type_a, b.interaction_type AS type_b, c.conflict_axis, c.penalty_weight FROM {conflicts} c JOIN {interactions} a ON a.id = c.interaction_a
- JOIN {interactions} b ON b.id = c.interaction_b JOIN {entities} e1 ON e1.id = a.entity_a JOIN {entities} e2 ON e2.id = a.entity_b ORDER BY c.penalty_weight DESC, c.id LIMIT 10""", **CF)(lambda m: conflicts.hubs(detected(m), m.interactions, m["entities"], 10))
-entry("verification_candidates", """SELECT id, interaction_id, confidence_score FROM {evidence} e WHERE (verification_score IS NULL OR verification_score < 0.3) AND interaction_id IN (SELECT interaction_a FROM {conflicts} UNION SELECT interaction_b FROM {conflicts})
- ORDER BY confidence_score DESC, id LIMIT 25""", **CF)(lambda m: conflicts.to_verify(m.stored()["evidence"], detected(m)))
+ FROM {stated} c JOIN {interactions} a ON a.id = c.interaction_a JOIN {interactions} b ON b.id = c.interaction_b JOIN {entities} e1 ON e1.id = a.entity_a JOIN {entities} e2 ON e2.id = a.entity_b JOIN {entities} e3 ON e3.id = b.entity_a JOIN {entities} e4 ON e4.id = b.entity_b
+ WHERE c.status IN ('open', 'reopened', 'investigating') ORDER BY c.penalty_weight DESC, c.id LIMIT 50""", **CF, stated=STATED)(lambda m: conflicts.view(stated(m), m.stored().interactions, m["entities"]))
+entry("conflict_hubs", """SELECT c.id, e1.canonical_name AS name_a, e2.canonical_name AS name_b, a.interaction_type AS type_a, b.interaction_type AS type_b, c.conflict_axis, c.penalty_weight FROM {stated} c JOIN {interactions} a ON a.id = c.interaction_a
+ JOIN {interactions} b ON b.id = c.interaction_b JOIN {entities} e1 ON e1.id = a.entity_a JOIN {entities} e2 ON e2.id = a.entity_b WHERE c.status IN ('open', 'reopened', 'investigating') ORDER BY c.penalty_weight DESC, c.id LIMIT 10""", **CF, stated=STATED)(lambda m: conflicts.hubs(stated(m), m.stored().interactions, m["entities"], 10))
+entry("verification_candidates", """SELECT id, interaction_id, confidence_score FROM {evidence} e WHERE (verification_score IS NULL OR verification_score < 0.3) AND interaction_id IN (SELECT interaction_a FROM {stated} WHERE status IN ('open', 'reopened', 'investigating') UNION SELECT interaction_b FROM {stated} WHERE status IN ('open', 'reopened', 'investigating'))
+ ORDER BY confidence_score DESC, id LIMIT 25""", **CF, stated=STATED)(lambda m: conflicts.to_verify(m.stored()["evidence"], stated(m)))
 OUTCOMES = """SELECT id, kind AS recommended, 'resolved' AS status, CASE WHEN kind = 'true_conflict' THEN CASE WHEN ma >= mb THEN pa ELSE pb END END AS resolution_paper_id, CASE WHEN kind = 'true_conflict' THEN 1::DOUBLE ELSE 0::DOUBLE END AS penalty_weight FROM (
  SELECT c.id, a.mean_score AS ma, b.mean_score AS mb, a.best_paper_id AS pa, b.best_paper_id AS pb, CASE WHEN len(coalesce(a.contexts, [])) > 0 AND len(coalesce(b.contexts, [])) > 0 AND NOT list_has_any(a.contexts, b.contexts) AND least(a.mean_score, b.mean_score) >= 0.45 THEN 'context_dependent'
  WHEN (list_has_any(coalesce(a.contexts, []), coalesce(b.contexts, [])) OR len(coalesce(a.contexts, [])) = 0 AND len(coalesce(b.contexts, [])) = 0) AND abs(a.mean_score - b.mean_score) >= 0.3 THEN 'true_conflict'
  WHEN c.conflict_type = 'context_dependent' AND len(coalesce(a.contexts, [])) > 0 AND len(coalesce(b.contexts, [])) > 0 AND NOT list_has_any(a.contexts, b.contexts) THEN 'context_dependent' END AS kind
  FROM {conflicts} c JOIN {summary} a ON a.interaction_id = c.interaction_a JOIN {summary} b ON b.interaction_id = c.interaction_b) q WHERE kind IS NOT NULL"""
-entry("conflict_outcomes", "SELECT * FROM {outcomes}", **CF, outcomes=OUTCOMES)(lambda m: conflicts.outcomes(detected(m), adjudicated(m)))
+entry("conflict_outcomes", "SELECT * FROM {outcomes}", **CF, outcomes=OUTCOMES)(lambda m: conflicts.outcomes(detected(m), adjudicated(m)).drop("note"))
 RESOLVED = """SELECT c.id, c.interaction_a, c.interaction_b, coalesce(o.recommended, c.conflict_type) AS conflict_type, coalesce(o.status, c.status) AS status, coalesce(o.penalty_weight, c.penalty_weight) AS penalty_weight, o.resolution_paper_id FROM {conflicts} c LEFT JOIN {outcomes} o ON o.id = c.id"""
 
 
@@ -167,34 +173,36 @@ entry("conflict_followups", """SELECT id, 'investigating' AS status, concat('con
     lambda m: conflicts.followups(detected(m), detected(m).where("conflict_type != 'ambiguous'"))
 )
 entry("entity_stats", """SELECT entity, CAST(sum(n) AS BIGINT) AS evidence_total, CAST(sum(k) AS BIGINT) AS open_conflicts FROM (SELECT x.entity, (i.evidence_count) AS n, coalesce(c.k, 0) AS k FROM (SELECT DISTINCT entity, id FROM {ends}) x JOIN {interactions} i ON i.id = x.id
- LEFT JOIN (SELECT interaction_a, count(*) AS k FROM {conflicts} GROUP BY interaction_a) c ON c.interaction_a = x.id) q GROUP BY entity""", **CF, **DEG)(lambda m: lookups.entity_stats(m.stored().interactions, m["evidence"], detected(m)))
+ LEFT JOIN (SELECT interaction_a, count(*) AS k FROM {stated} WHERE status IN ('open', 'reopened', 'investigating') GROUP BY interaction_a) c ON c.interaction_a = x.id) q GROUP BY entity""", **CF, **DEG, stated=STATED)(lambda m: lookups.entity_stats(m.stored().interactions, m["evidence"], stated(m)))
 entry("stats_bundle", """SELECT *, round(entities::DOUBLE * interactions / (1 + conflict_weight), 4) AS score FROM (SELECT CAST((SELECT count(*) FROM {entities}) AS BIGINT) AS entities, CAST((SELECT count(*) FROM {interactions}) AS BIGINT) AS interactions, CAST((SELECT count(*) FROM {evidence}) AS BIGINT) AS evidence,
- CAST((SELECT count(*) FROM {papers}) AS BIGINT) AS papers, CAST((SELECT count(*) FROM {conflicts}) AS BIGINT) AS open_conflicts, CAST(0 AS BIGINT) AS resolved_conflicts, (SELECT coalesce(sum(penalty_weight), 0) FROM {conflicts}) AS conflict_weight) q""", **CF)(
-    lambda m: lookups.stats_bundle(m["entities"], m.stored().interactions, m["evidence"], m["papers"], detected(m))
+ CAST((SELECT count(*) FROM {papers}) AS BIGINT) AS papers, CAST((SELECT count(*) FROM {stated} WHERE status IN ('open', 'reopened')) AS BIGINT) AS open_conflicts, CAST((SELECT count(*) FROM {stated} WHERE status = 'resolved') AS BIGINT) AS resolved_conflicts, (SELECT coalesce(sum(penalty_weight), 0) FROM {stated} WHERE status IN ('open', 'reopened', 'investigating')) AS conflict_weight,
+ (SELECT arg_max(papers_new, id) FROM {searches}) AS last_score, (SELECT arg_max(completed_at, id) FROM {searches}) AS last_cycle_timestamp) q""", **CF, stated=STATED)(
+    lambda m: lookups.stats_bundle(m["entities"], m.stored().interactions, m["evidence"], m["papers"], stated(m), metrics=m["searches"].select(F.col("id").alias("cycle"), F.col("papers_new").alias("score"), F.col("completed_at").alias("timestamp")))
 )
 
 # --- graph -------------------------------------------------------------------------------------
 
-SURE = 0.9
+ARCS = graph_sql.arcs(0.0)
 
 
-def sure_arcs(m: Model, least: float = SURE) -> DataFrame:
-    return graph.arcs(m.stored().interactions, m["entities"], least)
+def all_arcs(m: Model) -> DataFrame:
+    return graph.arcs(m.stored().interactions, m["entities"])
 
 
-entry("arcs", "SELECT source, target, branch, id, effect, sign, score FROM {arcs}", arcs=graph_sql.arcs(0.0))(lambda m: sure_arcs(m, 0.0))
+entry("arcs", "SELECT source, target, branch, id, effect, sign, score FROM {arcs}", arcs=ARCS)(all_arcs)
 for mode in ("suppress", "promote"):
-    entry(f"propagate_{mode}", graph_sql.propagate(["s0"], [mode], 3), arcs=graph_sql.arcs(SURE))(lambda m, mode=mode: graph.propagate(sure_arcs(m), ["s0"], (mode,), 3))
-entry("propagate_batch", graph_sql.propagate(["s0", "s1", "s2", "s3"], ["suppress", "promote"], 2), arcs=graph_sql.arcs(SURE))(lambda m: graph.propagate(sure_arcs(m), ["s0", "s1", "s2", "s3"], ("suppress", "promote"), 2))
-entry("propagate_excluded", graph_sql.excluded("s0", 2), arcs=graph_sql.arcs(SURE))(lambda m: graph.excluded_arcs(sure_arcs(m), "s0", 2))
-# The same over all arcs, as the reference has it: no score is left out. The four above keep the threshold of their SQL.
+    entry(f"propagate_{mode}", graph_sql.propagate(["s0"], [mode], 3), arcs=ARCS)(lambda m, mode=mode: graph.propagate(all_arcs(m), ["s0"], (mode,), 3))
+entry("propagate_batch", graph_sql.propagate(["s0", "s1", "s2", "s3"], ["suppress", "promote"], 2), arcs=ARCS)(lambda m: graph.propagate(all_arcs(m), ["s0", "s1", "s2", "s3"], ("suppress", "promote"), 2))
+entry("propagate_excluded", graph_sql.excluded("s0", 2), arcs=ARCS)(lambda m: graph.excluded_arcs(all_arcs(m), "s0", 2))
+# The names of the round in which the four above left out low scores.
 for mode in ("suppress", "promote"):
-    entry(f"propagate_{mode}_all", graph_sql.propagate(["s0"], [mode], 3), arcs=graph_sql.arcs(0.0))(lambda m, mode=mode: graph.propagate(sure_arcs(m, 0.0), ["s0"], (mode,), 3))
-entry("propagate_batch_all", graph_sql.propagate(["s0", "s1", "s2", "s3"], ["suppress", "promote"], 2), arcs=graph_sql.arcs(0.0))(lambda m: graph.propagate(sure_arcs(m, 0.0), ["s0", "s1", "s2", "s3"], ("suppress", "promote"), 2))
-entry("propagate_excluded_all", graph_sql.excluded("s0", 2), arcs=graph_sql.arcs(0.0))(lambda m: graph.excluded_arcs(sure_arcs(m, 0.0), "s0", 2))
+    entry(f"propagate_{mode}_all", graph_sql.propagate(["s0"], [mode], 3), arcs=ARCS)(lambda m, mode=mode: graph.propagate(all_arcs(m), ["s0"], (mode,), 3))
+entry("propagate_batch_all", graph_sql.propagate(["s0", "s1", "s2", "s3"], ["suppress", "promote"], 2), arcs=ARCS)(lambda m: graph.propagate(all_arcs(m), ["s0", "s1", "s2", "s3"], ("suppress", "promote"), 2))
+entry("propagate_excluded_all", graph_sql.excluded("s0", 2), arcs=ARCS)(lambda m: graph.excluded_arcs(all_arcs(m), "s0", 2))
 entry("neighbourhood", graph_sql.neighbourhood(["s0"], 3, 200, 0.8))(lambda m: graph.neighbourhood(m.stored().interactions, m["entities"], ["s0"], 3, 200, 0.8))
 entry("neighbourhood_typed", graph_sql.neighbourhood(["s0"], 2, 200, 0.5, "gene"))(lambda m: graph.neighbourhood(m.stored().interactions, m["entities"], ["s0"], 2, 200, 0.5, ["gene"]))
-entry("paths", graph_sql.paths("s0", "s1", 4, 50, 0.93), arcs=graph_sql.arcs(SURE))(lambda m: graph.paths(sure_arcs(m), "s0", "s1", 4, 50, 0.93))
+entry("paths", graph_sql.paths("s0", "s1", 4, 50, 0.93), arcs=ARCS)(lambda m: graph.paths(all_arcs(m), "s0", "s1", 4, 50, 0.93))
+entry("paths_all")(lambda m: graph.paths(all_arcs(m), "s0", "s1", 4, 50))  # SQL that lists all of them is too slow; a test holds it against a search
 
 # --- planning ----------------------------------------------------------------------------------
 
@@ -222,12 +230,12 @@ entry("planning_scores", """SELECT id, round(gain + less + new_evidence + new_in
     lambda m: planner.score_pending(with_origins(m).where("status = 'pending'"), m["searches"], m["entities"], detected(m))
 )
 entry("targeted_queries", """SELECT * FROM (SELECT concat('conflict_id:', c.id) AS origin, 'unresolved_conflict_hub' AS reason, concat('"', e1.canonical_name, '"[Title/Abstract] AND "', e2.canonical_name, '"[Title/Abstract] AND (', a.interaction_type, ' OR mechanism OR context OR condition)') AS query_text, round(3.0::DOUBLE + c.penalty_weight, 4) AS planning_score
- FROM {conflicts} c JOIN {interactions} a ON a.id = c.interaction_a JOIN {entities} e1 ON e1.id = a.entity_a JOIN {entities} e2 ON e2.id = a.entity_b ORDER BY c.penalty_weight DESC, c.id LIMIT 4) q1
+ FROM {stated} c JOIN {interactions} a ON a.id = c.interaction_a JOIN {entities} e1 ON e1.id = a.entity_a JOIN {entities} e2 ON e2.id = a.entity_b WHERE c.status IN ('open', 'reopened', 'investigating') ORDER BY c.penalty_weight DESC, c.id LIMIT 4) q1
  UNION ALL SELECT * FROM (SELECT concat('entity_id:', e.id), 'sparse_high_value_entity', concat('"', e.canonical_name, '"[Title/Abstract] AND (interaction OR signaling OR regulation OR binding)'), round(2.0::DOUBLE + least(e.paper_count, 10) / 10::DOUBLE - coalesce(d.degree, 0) * 0.25::DOUBLE, 4)
  FROM {entities} e LEFT JOIN {degrees} d ON d.entity = e.id WHERE coalesce(d.degree, 0) < 3 ORDER BY e.paper_count DESC, coalesce(d.degree, 0), e.id LIMIT 4) q2
  UNION ALL SELECT * FROM (SELECT concat('interaction_id:', i.id), 'under_supported_seeded_interaction', concat('"', e1.canonical_name, '"[Title/Abstract] AND "', e2.canonical_name, '"[Title/Abstract] AND (', i.interaction_type, ' OR interaction OR mechanism)'), round(2.6::DOUBLE + greatest(0, 1 - i.evidence_count), 4)
- FROM (SELECT * FROM {interactions} WHERE evidence_count <= 1 ORDER BY score DESC, evidence_count, id LIMIT 4) i JOIN {entities} e1 ON e1.id = i.entity_a JOIN {entities} e2 ON e2.id = i.entity_b) q3""", **CF, **DEG)(
-    lambda m: planner.targeted(detected(m), m.interactions, m["entities"], {"conflict": 4, "entity": 4, "interaction": 4})
+ FROM (SELECT * FROM {interactions} WHERE evidence_count <= 1 AND id IN (SELECT interaction_id FROM {evidence} WHERE evidence_type = 'curated_db') ORDER BY score DESC, evidence_count, id LIMIT 4) i JOIN {entities} e1 ON e1.id = i.entity_a JOIN {entities} e2 ON e2.id = i.entity_b) q3""", **CF, **DEG, stated=STATED)(
+    lambda m: planner.targeted(stated(m), m.stored().interactions, m["entities"], {"conflict": 4, "entity": 4, "interaction": 4}, m["evidence"])
 )
 
 
@@ -256,24 +264,45 @@ entry("outcomes_by_day", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day
 
 
 def mentions(m: Model) -> DataFrame:
-    """Names as a text gives them: of parts and suppliers, with stray blanks and case."""
-    parts = m["part"].select(F.concat(F.lit("m"), "p_partkey").alias("mention"), F.concat(F.lit(" "), F.upper("p_name")).alias("name"), F.when(F.col("p_size") % 3 == 0, "protein").otherwise("metabolite").alias("entity_type"), F.lit(None).cast("string").alias("organism"))
-    brands = m["part"].select(F.concat(F.lit("b"), "p_partkey"), F.concat("p_brand", F.lit(" "), "p_name"), F.lit("gene"), F.lit(None).cast("string"))
-    firms = m["supplier"].select(F.concat(F.lit("f"), "s_suppkey"), "s_name", F.lit("gene"), F.lit(None).cast("string"))
-    return parts.unionAll(brands).unionAll(firms)
-
-
-MENTIONS = """SELECT concat('m', CAST(p_partkey AS STRING)) AS mention, concat(' ', upper(p_name)) AS name, CASE WHEN p_size % 3 = 0 THEN 'protein' ELSE 'metabolite' END AS entity_type FROM {part}
- UNION ALL SELECT concat('b', CAST(p_partkey AS STRING)), concat(p_brand, ' ', p_name), 'gene' FROM {part} UNION ALL SELECT concat('f', CAST(s_suppkey AS STRING)), s_name, 'gene' FROM {supplier}"""
-EXACT = """SELECT mention, CASE WHEN n0 = 1 THEN i0 WHEN n1 = 1 THEN i1 WHEN n2 = 1 THEN i2 WHEN n3 = 1 THEN i3 END AS entity_id, CASE WHEN n0 = 1 THEN 'unique' WHEN n1 = 1 THEN 'type' WHEN n2 = 1 THEN 'group' WHEN n3 = 1 THEN 'canonical' END AS rung FROM (
- SELECT mention, count(DISTINCT id) AS n0, min(id) AS i0, count(DISTINCT id) FILTER (WHERE t = entity_type) AS n1, min(id) FILTER (WHERE t = entity_type) AS i1, count(DISTINCT id) FILTER (WHERE g = tg) AS n2, min(id) FILTER (WHERE g = tg) AS i2, count(DISTINCT id) FILTER (WHERE c = k) AS n3, min(id) FILTER (WHERE c = k) AS i3
- FROM (SELECT m.mention, m.entity_type, e.id, e.entity_type AS t, lower(trim(e.canonical_name)) AS c, lower(trim(m.name)) AS k, CASE WHEN m.entity_type IN ('gene', 'protein') THEN 'gp' ELSE m.entity_type END AS g, CASE WHEN e.entity_type IN ('gene', 'protein') THEN 'gp' ELSE e.entity_type END AS tg
-  FROM {mentions} m JOIN {synonyms} s ON s.synonym = lower(trim(m.name)) JOIN {entities} e ON e.id = s.entity_id) q GROUP BY mention) r WHERE n0 = 1 OR n1 = 1 OR n2 = 1 OR n3 = 1"""
-entry("resolve_exact", "SELECT * FROM {exact}", mentions=MENTIONS, exact=EXACT)(lambda m: resolve.exact(mentions(m), m["entities"], m["synonyms"]))
+    """Names as a text gives them: of parts, suppliers and shared labels, with stray blanks and case; the labels' with organisms, some without types."""
+    none = F.lit(None).cast("string")
+    parts = m["part"].select(F.concat(F.lit("m"), "p_partkey").alias("mention"), F.concat(F.lit(" "), F.upper("p_name")).alias("name"), F.when(F.col("p_size") % 3 == 0, "protein").otherwise("metabolite").alias("entity_type"), none.alias("organism"))
+    brands = m["part"].select(F.concat(F.lit("b"), "p_partkey"), F.concat("p_brand", F.lit(" "), "p_name"), F.lit("gene"), none)
+    firms = m["supplier"].select(F.concat(F.lit("f"), "s_suppkey"), "s_name", F.lit("gene"), none)
+    kind = F.when(F.col("c_custkey") % 3 == 0, "pathway").when(F.col("c_custkey") % 3 == 1, "protein")
+    labels = m["customer"].join(m["nation"], F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("n"), "c_custkey"), F.concat("c_mktsegment", F.lit(" "), F.col("c_custkey") % 40), kind, F.when(F.col("c_custkey") % 5 > 0, F.lower("n_name")))
+    return parts.unionAll(brands).unionAll(firms).unionAll(labels)
+
+
+def shared_names(m: Model) -> DataFrame:
+    """The synonyms, and labels that entities of several types and organisms share."""
+    labels = m["customer"].select(F.concat(F.lit("c"), "c_custkey"), F.concat(F.lower("c_mktsegment"), F.lit(" "), F.col("c_custkey") % 40))
+    firms = m["supplier"].select(F.concat(F.lit("s"), "s_suppkey"), F.concat(F.lit("building "), F.col("s_suppkey") % 40))
+    return m["synonyms"].unionAll(labels).unionAll(firms)
+
+
+MENTIONS = """SELECT concat('m', CAST(p_partkey AS STRING)) AS mention, concat(' ', upper(p_name)) AS name, CASE WHEN p_size % 3 = 0 THEN 'protein' ELSE 'metabolite' END AS entity_type, NULL AS organism FROM {part}
+ UNION ALL SELECT concat('b', CAST(p_partkey AS STRING)), concat(p_brand, ' ', p_name), 'gene', NULL FROM {part} UNION ALL SELECT concat('f', CAST(s_suppkey AS STRING)), s_name, 'gene', NULL FROM {supplier}
+ UNION ALL SELECT concat('n', CAST(c_custkey AS STRING)), concat(c_mktsegment, ' ', c_custkey % 40), CASE c_custkey % 3 WHEN 0 THEN 'pathway' WHEN 1 THEN 'protein' END, CASE WHEN c_custkey % 5 > 0 THEN lower(n_name) END FROM {customer} JOIN {nation} ON n_nationkey = c_nationkey"""
+SHARED = """SELECT entity_id, synonym FROM {synonyms} UNION ALL SELECT concat('c', CAST(c_custkey AS STRING)), concat(lower(c_mktsegment), ' ', c_custkey % 40) FROM {customer} UNION ALL SELECT concat('s', CAST(s_suppkey AS STRING)), concat('building ', s_suppkey % 40) FROM {supplier}"""
+
+
+def exact_sql(rungs: dict[str, str]) -> str:
+    """Each rung as a condition on candidates: the first one that leaves a single entity decides."""
+    counts = ", ".join(f"count(DISTINCT id) FILTER (WHERE {rule}) AS n{i}, min(id) FILTER (WHERE {rule}) AS i{i}" for i, rule in enumerate(rungs.values()))
+    case = lambda value: "CASE " + " ".join(f"WHEN n{i} = 1 THEN {value(i, name)}" for i, name in enumerate(rungs)) + " END"
+    return f"""SELECT * FROM (SELECT mention, {case(lambda i, _: f"i{i}")} AS entity_id, {case(lambda _, name: f"'{name}'")} AS rung FROM (SELECT mention, {counts}
+ FROM (SELECT m.mention, m.entity_type AS mt, lower(m.organism) AS mo, e.id, e.entity_type AS t, lower(e.organism) AS o, lower(trim(e.canonical_name)) AS c, lower(trim(m.name)) AS k, CASE WHEN m.entity_type IN ('gene', 'protein') THEN 'gp' ELSE m.entity_type END AS mg, CASE WHEN e.entity_type IN ('gene', 'protein') THEN 'gp' ELSE e.entity_type END AS g
+  FROM {{mentions}} m JOIN {{shared}} s ON s.synonym = lower(trim(m.name)) JOIN {{entities}} e ON e.id = s.entity_id) q GROUP BY mention) r) x WHERE entity_id IS NOT NULL"""
+
+
+EXACT = exact_sql({"unique": "true", "type_organism": "t = mt AND o = mo", "organism": "o = mo", "type": "t = mt", "group": "g = mg", "canonical": "c = k"})
+STORE_EXACT = exact_sql({"unique": "true", "type": "t = mt", "type_organism": "t = mt AND o = mo", "untyped_organism": "mt IS NULL AND o = mo"})
+entry("resolve_exact", "SELECT * FROM {exact}", mentions=MENTIONS, exact=EXACT, shared=SHARED)(lambda m: resolve.exact(mentions(m), m["entities"], shared_names(m)))
 entry("resolve_cascade")(lambda m: resolve.cascade(mentions(m), m["entities"], m["synonyms"]))
 entry("resolve_fuzzy")(lambda m: resolve.fuzzy(m["customer"].select(F.concat(F.lit("x"), "c_custkey").alias("mention"), F.concat("c_name", F.lit("s")).alias("name"), F.lit("pathway").alias("entity_type")), m["entities"]))
-entry("synonyms_learned", "SELECT DISTINCT x.entity_id, concat(lower(trim(m.name)), ' (syn)') AS synonym FROM {mentions} m JOIN {exact} x ON x.mention = m.mention EXCEPT SELECT entity_id, synonym FROM {synonyms}", mentions=MENTIONS, exact=EXACT)(
-    lambda m: resolve.learn_synonyms(resolve.exact(mentions(m), m["entities"], m["synonyms"]), mentions(m).withColumn("name", F.concat("name", F.lit(" (Syn)"))), m["synonyms"])
+entry("synonyms_learned", "SELECT DISTINCT x.entity_id, concat(lower(trim(m.name)), ' (syn)') AS synonym FROM {mentions} m JOIN {exact} x ON x.mention = m.mention EXCEPT SELECT entity_id, synonym FROM {synonyms}", mentions=MENTIONS, exact=EXACT, shared=SHARED)(
+    lambda m: resolve.learn_synonyms(resolve.exact(mentions(m), m["entities"], shared_names(m)), mentions(m).withColumn("name", F.concat("name", F.lit(" (Syn)"))), m["synonyms"])
 )
 entry("entity_upsert", """SELECT canonical_name, organism, min(id) AS id FROM {entities} WHERE organism IS NOT NULL GROUP BY canonical_name, organism UNION ALL SELECT canonical_name, organism, id FROM {entities} WHERE organism IS NULL
  UNION ALL SELECT canonical_name, organism, id FROM {entities} WHERE organism IS NULL AND entity_type = 'gene'""")(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from claimweave.functions import output, text
 from claimweave.operators import confidence, conflicts, graph, history, loads, lookups, reprocess, resolve, writes
 from claimweave.plans import graph_sql
-from claimweave.plans.catalog import CF, DEG, EV, EXACT, OUTCOMES, RESOLVED, SIGNED, ENTRIES_SQL, SURE, VERIFY, adjudicated, detected, entry, entry_json, mentions, MENTIONS, mitab_lines, resolved, signed_lines, sure_arcs
+from claimweave.plans.catalog import ARCS, CF, DEG, EV, EXACT, OUTCOMES, RESOLVED, SHARED, SIGNED, STORE_EXACT, ENTRIES_SQL, STATED, VERIFY, adjudicated, detected, entry, entry_json, mentions, MENTIONS, mitab_lines, resolved, shared_names, signed_lines, stated, all_arcs
 from claimweave.plans.projection import Model
 from claimweave.sources import entries, tabular
 
@@ -82,7 +82,23 @@ entry("extraction_inputs", r"""SELECT doc_id AS id, sha256(CASE WHEN full_used T
 entry("source_routing", "SELECT event_type, CASE WHEN event_type = 'view' THEN 'semantic_scholar' ELSE 'pubmed' END AS crawler, 'pubmed' AS without_second, CAST(count(*) AS BIGINT) AS n FROM {events} GROUP BY event_type")(
     lambda m: m["events"].withColumn("api", F.when(F.col("event_type") == "view", "semantic_scholar").when(F.col("event_type") == "click", "pubmed").otherwise(F.col("event_type"))).groupBy("event_type", writes.route(F.col("api")).alias("crawler"), writes.route(F.col("api"), False).alias("without_second")).agg(F.count("*").alias("n"))
 )
-entry("cycle_budgets")(lambda m: writes.budgets(m["events"].groupBy(F.date_trunc("day", "ts").alias("day"), "event_type").agg(F.count("*").alias("found")), "day", "event_type", "found", 20))
+BUDGETS = """SELECT day, event_type, CAST(taken AS BIGINT) AS taken FROM (WITH RECURSIVE had AS (SELECT date_trunc('day', ts) AS day, event_type, count(*) // 4 AS found FROM {events} GROUP BY 1, 2),
+ placed AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY event_type) AS place, count(*) OVER (PARTITION BY day) AS n FROM had),
+ steps AS (SELECT day, CAST(NULL AS VARCHAR) AS event_type, 0 AS place, n, CAST(extract('day' FROM day) AS BIGINT) % 4 * 3 AS pool, CAST(20 AS BIGINT) AS budget, CAST(0 AS BIGINT) AS taken FROM placed WHERE place = 1
+  UNION ALL SELECT s.day, p.event_type, s.place + 1, s.n, s.pool + coalesce(p.found, 0) - x.take, s.budget - x.take, x.take FROM steps s LEFT JOIN placed p ON p.day = s.day AND p.place = s.place + 1,
+   LATERAL (SELECT CASE WHEN s.place < s.n THEN least(CAST(ceil(s.budget / CAST(s.n - s.place AS DOUBLE)) AS BIGINT), s.pool + p.found) ELSE least(s.budget, s.pool) END AS take) x WHERE s.place <= s.n)
+ SELECT * FROM steps WHERE place > 0) q"""
+
+
+def cycle_budgets(m: Model) -> DataFrame:
+    """20 papers a day: a quarter of each type's events are papers that a search brings, and some wait from the day before."""
+    day = F.date_trunc("day", "ts").alias("day")
+    found = m["events"].groupBy(day, "event_type").agg(F.floor(F.count("*") / 4).alias("found"))
+    waiting = m["events"].select(day).distinct().withColumn("waiting", F.dayofmonth("day") % 4 * 3)
+    return writes.budgets(found, "day", "event_type", "found", 20, waiting)
+
+
+entry("cycle_budgets", BUDGETS)(cycle_budgets)
 entry("extraction_status", """SELECT id, CASE WHEN source_key % 3 = 0 THEN 'failed' WHEN source_key % 3 = 1 THEN 'done' ELSE status END AS extraction_status, CASE WHEN source_key % 3 = 0 THEN 2000 ELSE 3 END AS error_length FROM {papers}""")(
     lambda m: writes.extraction_status(m["papers"].select("id", F.col("status").alias("extraction_status"), F.lit("old").alias("extraction_error")), m["papers"].where("source_key % 3 < 2").select("id", (F.col("source_key") % 3 == 1).alias("ok"), F.repeat(F.lit("x"), F.lit(3000)).alias("error"))).select("id", "extraction_status", F.length("extraction_error").alias("error_length"))
 )
@@ -104,8 +120,8 @@ entry("conflict_status_update", "SELECT id, CASE WHEN conflict_type = 'ambiguous
 entry("conflict_generated_ids", "SELECT id, CASE WHEN conflict_type = 'ambiguous' THEN concat('q0,q1,', interaction_a) ELSE 'q0' END AS generated_ids FROM {conflicts}", **CF)(
     lambda m: writes.add_ids(detected(m).select("id", F.array(F.lit("q0")).alias("generated_ids")), detected(m).where("conflict_type = 'ambiguous'").select("id", F.explode(F.array(F.lit("q1"), F.lit("q0"), "interaction_a", "interaction_a")).alias("query_id"))).withColumn("generated_ids", F.array_join("generated_ids", ","))
 )
-entry("seed_queries", "SELECT DISTINCT c_name AS query_text, 'pubmed' AS source_api FROM {customer} WHERE c_custkey % 2 = 0")(
-    lambda m: writes.seed_queries(m["customer"].select(F.col("c_name").alias("query_text"), F.lit("pubmed").alias("source_api")), m["customer"].where("c_custkey % 2 = 1").select(F.col("c_name").alias("query_text"), F.lit("pubmed").alias("source_api"), F.lit("done").alias("status")))
+entry("seed_queries", "SELECT DISTINCT c_name AS query_text, 'pubmed' AS source_api FROM {customer} WHERE c_custkey % 2 = 0 OR c_custkey % 5 = 0")(
+    lambda m: writes.seed_queries(m["customer"].select(F.col("c_name").alias("query_text"), F.lit("pubmed").alias("source_api")), m["customer"].where("c_custkey % 2 = 1").select(F.col("c_name").alias("query_text"), F.lit("pubmed").alias("source_api"), F.when(F.col("c_custkey") % 5 == 0, "failed").when(F.col("c_custkey") % 3 == 0, "running").otherwise("done").alias("status")))
 )
 entry("phase_telemetry", "SELECT date_trunc('day', ts) AS day, event_type AS name, CAST(sum(event_id % 7) AS BIGINT) AS value FROM {events} GROUP BY 1, 2")(
     lambda m: writes.telemetry(m["events"].select(F.date_trunc("day", "ts").alias("day"), F.col("event_type").alias("name"), (F.col("event_id") % 7).alias("value")), "day")
@@ -200,12 +216,12 @@ entry("full_texts", """SELECT id, full_text FROM (SELECT p_partkey AS id, CASE W
 entry("graph_names", """SELECT m.name, CASE WHEN n = 1 THEN x.id END AS entity_id, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'ok' END AS status FROM (SELECT name FROM {mentions} UNION ALL SELECT concat(p_type, ' nowhere') FROM {part}) m LEFT JOIN (SELECT synonym, count(DISTINCT entity_id) AS n, min(entity_id) AS id FROM {synonyms} GROUP BY synonym) x ON x.synonym = lower(trim(m.name))""", mentions=MENTIONS)(
     lambda m: lookups.resolved_names(mentions(m).select("name").unionAll(m["part"].select(F.concat("p_type", F.lit(" nowhere")))), m["synonyms"])
 )
-entry("propagation_cached", graph_sql.propagate(["s0", "s1", "s2"], ["suppress", "promote"], 1).replace("arrivals FROM", "arrivals, run IN ('s0:suppress', 's0:promote') AS hit FROM", 1), arcs=graph_sql.arcs(SURE))(lambda m: cached(m))
+entry("propagation_cached", graph_sql.propagate(["s0", "s1", "s2"], ["suppress", "promote"], 1).replace("arrivals FROM", "arrivals, run IN ('s0:suppress', 's0:promote') AS hit FROM", 1), arcs=ARCS)(lambda m: cached(m))
 
 
 def cached(m: Model) -> DataFrame:
     """Requests of depth 1 for three seeds: a cached one, one whose cache expired, and one that isn't cached."""
-    edges, spark = sure_arcs(m), m.spark
+    edges, spark = all_arcs(m), m.spark
     asked = spark.createDataFrame([(s, mode, 1) for s in ("s0", "s1", "s2") for mode in ("suppress", "promote")], "seed string, mode string, depth int")
     cache = spark.createDataFrame([(s, mode, 2, until) for s, until in (("s0", 10), ("s1", 1)) for mode in ("suppress", "promote")], "seed string, mode string, max_depth int, expires int")
     runs = cache.select(F.concat_ws(":", "seed", "mode").alias("run"), F.col("seed").alias("entity"), F.when(F.col("mode") == "suppress", -1.0).otherwise(1.0).alias("score"))
@@ -227,10 +243,10 @@ entry("synonym_detail", """SELECT s.synonym, e.id, e.canonical_name, e.entity_ty
     lambda m: lookups.synonym_detail(m["entities"], m["synonyms"])
 )
 entry("evidence_drawer", "SELECT e.id, e.paper_id, e.year, p.priority, p.status, e.evidence_type, e.confidence_score FROM {evidence} e JOIN {papers} p ON p.id = e.paper_id WHERE e.interaction_id = (SELECT min(id) FROM {interactions} WHERE evidence_count = (SELECT max(evidence_count) FROM {interactions}))")(
-    lambda m: lookups.drawer(m.stored()["evidence"], m["papers"], m.interactions.orderBy(F.desc("evidence_count"), "id").first()["id"])
+    lambda m: lookups.drawer(m.stored()["evidence"], m["papers"], (m.stored().interactions.orderBy(F.desc("evidence_count"), "id").first() or {"id": ""})["id"])
 )
-entry("affected_top", "SELECT seed, mode, CAST(place AS INT) AS place, target, score FROM (SELECT *, row_number() OVER (PARTITION BY seed, mode ORDER BY abs(score) DESC, target) AS place FROM (" + graph_sql.propagate(["s0", "s1"], ["suppress"], 2) + ") p) q WHERE place <= 10", arcs=graph_sql.arcs(SURE))(
-    lambda m: lookups.strongest_affected(graph.propagate(sure_arcs(m), ["s0", "s1"], ("suppress",), 2))
+entry("affected_top", "SELECT seed, mode, CAST(place AS INT) AS place, target, score FROM (SELECT *, row_number() OVER (PARTITION BY seed, mode ORDER BY abs(score) DESC, target) AS place FROM (" + graph_sql.propagate(["s0", "s1"], ["suppress"], 2) + ") p) q WHERE place <= 10", arcs=ARCS)(
+    lambda m: lookups.strongest_affected(graph.propagate(all_arcs(m), ["s0", "s1"], ("suppress",), 2))
 )
 entry("evidence_of_paper", "SELECT id, interaction_id FROM {evidence} WHERE paper_id = (SELECT min(id) FROM {papers})")(lambda m: lookups.optional(m["evidence"], paper_id=m["papers"].agg(F.min("id")).first()[0]).select("id", "interaction_id"))
 
@@ -239,25 +255,41 @@ entry("evidence_of_paper", "SELECT id, interaction_id FROM {evidence} WHERE pape
 entry("cycle_score_history", """SELECT day AS cycle, score, round(score - lag(score) OVER (ORDER BY day), 4) AS change FROM (SELECT date_trunc('day', completed_at) AS day, round(CAST(count(*) AS DOUBLE) * sum(new_interactions) / (1 + sum(improved)), 4) AS score FROM {searches} GROUP BY 1) q""")(
     lambda m: history.score_history(m["searches"].groupBy(F.date_trunc("day", "completed_at").alias("cycle")).agg(F.count("*").alias("entities"), F.sum("new_interactions").alias("interactions"), F.sum("improved").alias("conflict_weight")))
 )
-ANALYSED = """SELECT r.id, CASE WHEN r.status = 'open' AND r.conflict_type = 'ambiguous' AND length(r.id) % 2 = 0 THEN 'true_conflict' ELSE r.conflict_type END AS conflict_type, CASE WHEN r.status = 'open' AND r.conflict_type = 'ambiguous' AND length(r.id) % 2 = 0 THEN 'resolved' ELSE r.status END AS status,
- CASE WHEN r.status = 'open' AND r.conflict_type = 'ambiguous' AND length(r.id) % 2 = 0 THEN 1::DOUBLE ELSE r.penalty_weight END AS penalty_weight FROM {resolved} r"""
-entry("conflicts_analysed", ANALYSED, **CF, outcomes=OUTCOMES, resolved=RESOLVED)(
-    lambda m: conflicts.analyse(detected(m), adjudicated(m), lambda rows: rows.select("id", F.when(F.length("id") % 2 == 0, "true_conflict").otherwise("ambiguous").alias("verdict"))).select("id", "conflict_type", "status", "penalty_weight")
-)
+CHOSEN = "SELECT * FROM {stated} WHERE status IN ('open', 'reopened') ORDER BY penalty_weight DESC, id LIMIT 200"
+ANALYSED = """SELECT c.id, CASE WHEN settled THEN c.recommended WHEN asked THEN kind ELSE c.conflict_type END AS conflict_type, CASE WHEN settled THEN 'resolved' ELSE c.status END AS status, CASE WHEN settled THEN c.settled_weight WHEN asked THEN weight ELSE c.penalty_weight END AS penalty_weight,
+ CASE WHEN settled THEN CASE WHEN recommended = 'true_conflict' THEN 'gap' ELSE 'contexts' END WHEN asked THEN concat('because of ', c.id) END AS analysis
+ FROM (SELECT s.*, recommended, o.penalty_weight AS settled_weight, h.id IS NOT NULL AND o.id IS NOT NULL AS settled, h.id IS NOT NULL AND o.id IS NULL AND s.conflict_type = 'ambiguous' AND s.interaction_a < 's7' AS asked,
+  CASE WHEN length(s.id) % 2 = 0 THEN 'true_conflict' ELSE 'ambiguous' END AS kind, CASE WHEN length(s.id) % 4 < 2 THEN 0.9::DOUBLE ELSE 0.5::DOUBLE END AS weight FROM {stated} s LEFT JOIN {chosen} h ON h.id = s.id LEFT JOIN {outcomes} o ON o.id = s.id) c"""
+
+
+def analysed(m: Model) -> DataFrame:
+    """The 200 heaviest open conflicts analysed; the answers are a function of ids, and some conflicts get none."""
+    def answers(rows: DataFrame) -> DataFrame:
+        n = F.length("id")
+        verdict, weight = F.when(n % 2 == 0, "true_conflict"), F.when(n % 4 < 2, 0.9)
+        return rows.where("interaction_a < 's7'").select("id", verdict.alias("verdict"), weight.alias("weight"), F.concat(F.lit("because of "), "id").alias("reasons"))
+
+    out = conflicts.analyse(stated(m), adjudicated(m), answers, 200)
+    settled = {text: "gap" if which == "true" else "contexts" for which, text in conflicts.NOTES.items()}
+    short = F.coalesce(F.create_map(*[F.lit(x) for pair in settled.items() for x in pair])[F.col("analysis")], "analysis")
+    return out.select("id", "conflict_type", "status", "penalty_weight", short.alias("analysis"))
+
+
+entry("conflicts_analysed", ANALYSED, **CF, stated=STATED, chosen=CHOSEN, outcomes=OUTCOMES)(analysed)
 entry("conflict_view_entity", """SELECT c.id AS conflict, c.conflict_type, c.penalty_weight, a.effect AS effect_a, b.effect AS effect_b, e1.canonical_name AS a_left, e2.canonical_name AS a_right, e3.canonical_name AS b_left, e4.canonical_name AS b_right
- FROM {conflicts} c JOIN {interactions} a ON a.id = c.interaction_a JOIN {interactions} b ON b.id = c.interaction_b JOIN {entities} e1 ON e1.id = a.entity_a JOIN {entities} e2 ON e2.id = a.entity_b JOIN {entities} e3 ON e3.id = b.entity_a JOIN {entities} e4 ON e4.id = b.entity_b
- WHERE 's3' IN (a.entity_a, a.entity_b, b.entity_a, b.entity_b) ORDER BY c.penalty_weight DESC, c.id LIMIT 50""", **CF)(lambda m: conflicts.view(detected(m), m.stored().interactions, m["entities"], 50, "s3"))
+ FROM {stated} c JOIN {interactions} a ON a.id = c.interaction_a JOIN {interactions} b ON b.id = c.interaction_b JOIN {entities} e1 ON e1.id = a.entity_a JOIN {entities} e2 ON e2.id = a.entity_b JOIN {entities} e3 ON e3.id = b.entity_a JOIN {entities} e4 ON e4.id = b.entity_b
+ WHERE 's3' IN (a.entity_a, a.entity_b) AND c.status IN ('open', 'reopened', 'investigating') ORDER BY c.penalty_weight DESC, c.id LIMIT 50""", **CF, stated=STATED)(lambda m: conflicts.view(stated(m), m.stored().interactions, m["entities"], 50, "s3"))
 STATUS = "SELECT *, CASE WHEN verification_score < 0.3 THEN 'needs_review' WHEN verification_score >= 0.6 THEN 'verified' END AS verification_status FROM {evidence}"
-BY_STATUS = "SELECT id, interaction_id, confidence_score FROM {checked} WHERE (verification_status IS NULL OR verification_status = 'needs_review') AND interaction_id IN (SELECT interaction_a FROM {conflicts} UNION SELECT interaction_b FROM {conflicts}) ORDER BY confidence_score DESC, id LIMIT 25"
+BY_STATUS = "SELECT id, interaction_id, confidence_score FROM {checked} WHERE (verification_status IS NULL OR verification_status = 'needs_review') AND interaction_id IN (SELECT interaction_a FROM {stated} WHERE status IN ('open', 'reopened', 'investigating') UNION SELECT interaction_b FROM {stated} WHERE status IN ('open', 'reopened', 'investigating')) ORDER BY confidence_score DESC, id LIMIT 25"
 
 
 def candidates_by_status(m: Model) -> DataFrame:
     status = F.when(F.col("verification_score") < 0.3, "needs_review").when(F.col("verification_score") >= 0.6, "verified")
-    return conflicts.to_verify(m.stored()["evidence"].withColumn("verification_status", status), detected(m))
+    return conflicts.to_verify(m.stored()["evidence"].withColumn("verification_status", status), stated(m))
 
 
-entry("verification_by_status", BY_STATUS, **CF, checked=STATUS)(candidates_by_status)
-entry("verification_phase", "SELECT v.id, v.check_status AS verification_status, v.check_score AS verification_score FROM ({verified}) v WHERE v.id IN (SELECT id FROM ({picked}) p)".replace("({verified})", "{verified}").replace("({picked})", "{picked}"), **CF, checked=STATUS, picked=BY_STATUS, verified=VERIFY)(lambda m: verification_phase(m))
+entry("verification_by_status", BY_STATUS, **CF, stated=STATED, checked=STATUS)(candidates_by_status)
+entry("verification_phase", "SELECT v.id, v.check_status AS verification_status, v.check_score AS verification_score FROM ({verified}) v WHERE v.id IN (SELECT id FROM ({picked}) p)".replace("({verified})", "{verified}").replace("({picked})", "{picked}"), **CF, stated=STATED, checked=STATUS, picked=BY_STATUS, verified=VERIFY)(lambda m: verification_phase(m))
 
 
 def verification_phase(m: Model) -> DataFrame:
@@ -281,7 +313,7 @@ entry("evidence_prompt", """SELECT interaction_id, string_agg(concat(paper_id, '
 entry("cache_warm", """SELECT seed, mode FROM (SELECT x.id AS seed, unnest(['suppress', 'promote']) AS mode FROM (SELECT entity AS id, count(*) AS n FROM (SELECT DISTINCT entity, id FROM {ends}) d GROUP BY entity ORDER BY n DESC, entity LIMIT 20) x) q WHERE NOT (seed IN (SELECT concat('s', CAST(s_suppkey AS VARCHAR)) FROM {supplier} WHERE s_suppkey % 3 = 0) AND mode = 'suppress')""", **DEG)(
     lambda m: graph.to_warm(lookups.top_degree(m["entities"], m.stored().interactions, 20), m["supplier"].select(F.concat(F.lit("s"), "s_suppkey").alias("seed"), F.when(F.col("s_suppkey") % 3 == 0, "suppress").otherwise("promote").alias("mode"), F.lit(3).alias("max_depth"), F.when(F.col("s_suppkey") % 3 == 0, 9).otherwise(1).alias("expires")), 3, 5)
 )
-entry("resolve_store", EXACT.replace("WHEN n2 = 1 THEN i2 WHEN n3 = 1 THEN i3 ", "").replace("WHEN n2 = 1 THEN 'group' WHEN n3 = 1 THEN 'canonical' ", "").replace("OR n2 = 1 OR n3 = 1", ""), mentions=MENTIONS)(lambda m: resolve.exact(mentions(m), m["entities"], m["synonyms"], resolve.STORE_RUNGS))
-entry("path_nodes", "SELECT path, CAST(i - 1 AS INT) AS place, e.id, e.canonical_name AS name, e.entity_type FROM (SELECT path, unnest(range(1, len(nodes) + 1)) AS i, nodes FROM (SELECT path, string_split(path, '>') AS nodes FROM (" + graph_sql.paths("s0", "s1", 4, 50, 0.93) + ") p) q) r JOIN {entities} e ON e.id = nodes[i]", arcs=graph_sql.arcs(SURE))(
-    lambda m: lookups.path_nodes(graph.paths(sure_arcs(m), "s0", "s1", 4, 50, 0.93), m["entities"].withColumn("display_name", F.lit("")))
+entry("resolve_store", STORE_EXACT, mentions=MENTIONS, shared=SHARED)(lambda m: resolve.exact(mentions(m), m["entities"], shared_names(m), resolve.STORE_RUNGS))
+entry("path_nodes", "SELECT path, CAST(i - 1 AS INT) AS place, e.id, e.canonical_name AS name, e.entity_type FROM (SELECT path, unnest(range(1, len(nodes) + 1)) AS i, nodes FROM (SELECT path, string_split(path, '>') AS nodes FROM (" + graph_sql.paths("s0", "s1", 4, 50, 0.93) + ") p) q) r JOIN {entities} e ON e.id = nodes[i]", arcs=ARCS)(
+    lambda m: lookups.path_nodes(graph.paths(all_arcs(m), "s0", "s1", 4, 50, 0.93), m["entities"].withColumn("display_name", F.lit("")))
 )

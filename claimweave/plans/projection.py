@@ -8,10 +8,12 @@ as common table expressions before a query.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from claimweave.operators.confidence import composite
 from claimweave.session import materialize
 
 PROJECTION = {
@@ -54,8 +56,8 @@ FROM {events}""",
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
 
 
-#: Evidence and interactions as written, by application and folder.
-STORED: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+#: What is written once for many queries, by application, folder and name.
+STORED: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def forget() -> None:
@@ -77,23 +79,28 @@ class Model:
                 self.known[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self.known[name]
 
-    def stored(self) -> Model:
-        """The same model with evidence and interactions written once a folder and application, for queries that read them many times.
+    def kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """What ``build`` gives, written once a folder and application, for queries that read it many times.
 
         The folder's tables don't change meanwhile; forget() drops what was written."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in STORED:
+            STORED[key] = materialize(build(), name)
+        return STORED[key]
+
+    def stored(self) -> Model:
+        """The same model with evidence, interactions and synonyms (in order, so that a prefix reads few of them) written once."""
         if not self.is_stored:
-            key = (self.spark.sparkContext.applicationId, self.sf_dir)
-            if key not in STORED:
-                self.known["evidence"] = materialize(self["evidence"], "evidence")
-                STORED[key] = (self.known["evidence"], materialize(self.interactions, "interactions"))
-            self.known["evidence"], self.interactions = STORED[key]
+            plain = self["evidence"]
+            self.known["evidence"] = self.kept("evidence", lambda: plain)
+            self.interactions = self.kept("interactions", lambda: composite(self["evidence"]))
+            names = self["synonyms"]
+            self.known["synonyms"] = self.kept("synonyms", lambda: names.repartitionByRange("synonym").sortWithinPartitions("synonym"))
             self.is_stored = True
         return self
 
     @cached_property
     def interactions(self) -> DataFrame:
-        from claimweave.operators.confidence import composite
-
         return composite(self["evidence"])
 
 

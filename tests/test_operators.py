@@ -128,6 +128,53 @@ def test_paths_equal_a_search(spark):
     got = graph.paths(graph.arcs(edges(spark, rows), nodes(spark, names)), "A", "H", 4, 10_000, 0.3).collect()
     assert {r.edges for r in got} == want and want
     assert [r.score for r in got] == sorted((r.score for r in got), reverse=True)
+    order = [(r.score, r.edges) for r in got]
+    arcs = graph.arcs(edges(spark, rows), nodes(spark, names))
+    for limit, beam in ((5, 2), (12, 3), (40, 1_000)):  # a narrow beam is widened until the best are certain
+        assert [(r.score, r.edges) for r in graph.paths(arcs, "A", "H", 4, limit, 0.3, beam).collect()] == order[:limit]
+
+
+def test_paths_over_all_arcs_equal_a_search(spark):
+    """Parallel arcs, ties and all scores: the 50 best of every path of 3 arcs."""
+    from claimweave.plans import catalog
+
+    arcs = catalog.queries()["arcs"](spark, "/root/testdata/sf0.001")
+    leaving = {}
+    for r in arcs.where("score > 0").collect():
+        leaving.setdefault(r.source, []).append(r)
+    every = []
+
+    def walk(node, seen, ids, score):
+        for r in leaving.get(node, []):
+            if r.target == "s1":
+                every.append((-round(score * r.score, 6), len(ids) + 1, ">".join([*ids, r.id])))
+            elif r.target not in seen and len(ids) < 2:
+                walk(r.target, {*seen, r.target}, [*ids, r.id], score * r.score)
+
+    walk("s0", {"s0"}, [], 1.0)
+    got = graph.paths(arcs, "s0", "s1", 3, 50, beam=64).collect()
+    assert [(-r.score, r.n_hops, r.edges) for r in got] == sorted(every)[:50] and len(every) > 50
+
+
+def test_a_frontier_over_many_partitions(spark):
+    """The queue's order over a wide graph of equal scores, and no window over a run's rows in the plan."""
+    rng = random.Random(8)
+    names = [f"n{i}" for i in range(120)]
+    rows = [(f"e{i:04d}", rng.choice(names), rng.choice(names), rng.choice(["activates", "inhibits"]), rng.choice(["A_to_B", "bidirectional"]), rng.choice([0.5, 0.9])) for i in range(600)]
+    arcs = graph.arcs(edges(spark, rows), nodes(spark, names))
+    plain = [(r.source, r.target, r.branch, r.id, r.sign, r.score) for r in arcs.collect()]
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", 17)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.target: r for r in graph.propagate(arcs, ["n0"], ("suppress",), 4).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    want, _ = queue(plain, "n0", -1.0, 4)
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert got[k].score == pytest.approx(joined(v), abs=2e-6) and got[k].arrivals == len(v)
 
 
 def test_neighbourhood_limits(spark):

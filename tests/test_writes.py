@@ -43,16 +43,25 @@ def test_reset_empties_tables_that_it_reads(spark, tmp_path):
 
 
 def test_budgets_equal_a_loop(spark):
+    """A pool that searches fill and extraction empties, a share for each search, and a last pass over what is left."""
     rng = random.Random(3)
-    rows = [(c, k, rng.randrange(12)) for c in range(6) for k in range(rng.randrange(1, 7))]
-    got = {(r.cycle, r.place): r.taken for r in writes.budgets(spark.createDataFrame(rows, "cycle int, place int, found long"), "cycle", "place", "found", 20).collect()}
-    want = {}
-    for c in {r[0] for r in rows}:
-        own, left = sorted(r for r in rows if r[0] == c), 20
-        for i, (_, k, found) in enumerate(own):
-            want[c, k] = min(found, -(-left // (len(own) - i)))
-            left -= want[c, k]
-    assert got == want
+    rows = [(c, k, rng.choice([0, 2, 5, 30, None])) for c in range(12) for k in range(rng.randrange(1, 7))]
+    pools = {c: rng.choice([0, 1, 7, 40]) for c in range(3, 14)}
+    table = spark.createDataFrame(rows, "cycle int, place int, found long")
+    waiting = spark.createDataFrame(list(pools.items()), "cycle int, waiting long")
+    for given in (None, waiting):
+        got = {(r.cycle, r.place): r.taken for r in writes.budgets(table, "cycle", "place", "found", 20, given).collect()}
+        want = {}
+        for c in {r[0] for r in rows} | (set(pools) if given else set()):
+            pool, consumed, own = pools.get(c, 0) if given else 0, 0, sorted((r for r in rows if r[0] == c), key=lambda r: r[1])
+            for i, (_, k, found) in enumerate(own):
+                pool += found or 0
+                left = 20 - consumed
+                taken = min(max(1, -(-left // (len(own) - i))), left, pool) if left > 0 else 0
+                want[c, k], pool, consumed = taken, pool - taken, consumed + taken
+            want[c, None] = min(20 - consumed, pool)
+        assert got == want
+    assert any(k is None and v for (_, k), v in want.items())
 
 
 def test_updates_keep_what_is_not_given(spark):
@@ -63,6 +72,7 @@ def test_updates_keep_what_is_not_given(spark):
     seeds = spark.createDataFrame([("q", "pubmed"), ("q", "pubmed"), ("r", "pubmed")], "query_text string, source_api string")
     past = spark.createDataFrame([("r", "pubmed", "done")], "query_text string, source_api string, status string")
     assert [r.query_text for r in writes.seed_queries(seeds, past).collect()] == ["q"]
+    assert {r.query_text for r in writes.seed_queries(seeds, past.withColumn("status", F.lit("failed"))).collect()} == {"q", "r"}
     assert writes.seed_queries(seeds, past.withColumn("status", F.lit("pending"))).count() == 0
 
 
