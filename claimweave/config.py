@@ -21,6 +21,8 @@ class Config:
     chunk_chars: int = 6000
     chunk_overlap: int = 200
     second_source: bool = True
+    conflicts_per_cycle: int = 20
+    targeted_per_cycle: int = 12
 
     @classmethod
     def load(cls, given: Mapping[str, object] | None = None, environment: Mapping[str, str] | None = None) -> Config:

@@ -16,11 +16,27 @@ def label(n: Column, score: Column) -> Column:
     return F.when(high, "high").when(score >= 0.4, "medium").otherwise("low")
 
 
-def composite(evidence: DataFrame) -> DataFrame:
-    """A row for each interaction: its evidence-weighted mean (rounded to 4) and label (of the unrounded mean)."""
+def sums(evidence: DataFrame, *more: str) -> DataFrame:
+    """(id, ..., evidence_count, weighted, weight) of each interaction: what its score is made of, and what can be added up batch by batch."""
     weight = vocab.lookup(vocab.EVIDENCE_WEIGHT, F.col("evidence_type"), 0.7)
-    sums = evidence.groupBy("interaction_id", *EDGE).agg(F.count("*").alias("evidence_count"), (F.sum(F.col("confidence_score") * weight) / F.sum(weight)).alias("raw"))
-    return sums.select(F.col("interaction_id").alias("id"), *EDGE, "evidence_count", F.round("raw", 4).alias("score"), label(F.col("evidence_count"), F.col("raw")).alias("label"))
+    rows = evidence.groupBy(F.col("interaction_id").alias("id"), *EDGE, *more)
+    return rows.agg(F.count("*").alias("evidence_count"), F.sum(F.col("confidence_score") * weight).alias("weighted"), F.sum(weight).alias("weight"))
+
+
+def merged(old: DataFrame, new: DataFrame, *more: str) -> DataFrame:
+    """The sums of both, by interaction."""
+    return old.unionByName(new).groupBy("id", *EDGE, *more).agg(*[F.sum(c).alias(c) for c in ("evidence_count", "weighted", "weight")])
+
+
+def scored(sums: DataFrame) -> DataFrame:
+    """The sums with the evidence-weighted mean (rounded to 4) and its label (of the unrounded mean)."""
+    raw = F.col("weighted") / F.col("weight")
+    return sums.withColumns({"score": F.round(raw, 4), "label": label(F.col("evidence_count"), raw)})
+
+
+def composite(evidence: DataFrame) -> DataFrame:
+    """A row for each interaction: its number of pieces of evidence, score and label."""
+    return scored(sums(evidence)).drop("weighted", "weight")
 
 
 def strongest(interactions: DataFrame, limit: int) -> DataFrame:

@@ -106,11 +106,11 @@ def outcomes(conflicts: DataFrame, adjudicated: DataFrame) -> DataFrame:
 
 
 def resolve(conflicts: DataFrame, recommended: DataFrame) -> DataFrame:
-    """The conflicts with the recommendations taken over."""
-    new = recommended.select("id", F.col("recommended"), F.col("status").alias("new_status"), "resolution_paper_id", F.col("penalty_weight").alias("new_weight"))
-    joined = conflicts.join(new, "id", "left")
-    taken = {"conflict_type": "recommended", "status": "new_status", "penalty_weight": "new_weight"}
-    return joined.withColumns({old: F.coalesce(new_, old) for old, new_ in taken.items()}).drop("recommended", "new_status", "new_weight")
+    """The conflicts with the recommendations taken over; what a recommendation leaves null stays."""
+    new = recommended.select("id", F.col("recommended").alias("new_type"), F.col("status").alias("new_status"), F.col("penalty_weight").alias("new_weight"), F.col("resolution_paper_id").alias("new_paper"))
+    old = conflicts if "resolution_paper_id" in conflicts.columns else conflicts.withColumn("resolution_paper_id", F.lit(None).cast("string"))
+    taken = {"conflict_type": "new_type", "status": "new_status", "penalty_weight": "new_weight", "resolution_paper_id": "new_paper"}
+    return old.join(new, "id", "left").withColumns({was: F.coalesce(now, was) for was, now in taken.items()}).drop(*taken.values())
 
 
 def reopen(conflicts: DataFrame, changed: DataFrame) -> DataFrame:

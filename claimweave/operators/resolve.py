@@ -121,7 +121,7 @@ def first_exact(names: DataFrame, entities: DataFrame, synonyms: DataFrame) -> D
     return hits.select(own.alias("mention"), at.alias("place"), "entity_id", "rung").groupBy("mention").agg(F.min(F.struct("place", "entity_id", "rung")).alias("x")).select("mention", "x.entity_id", "x.rung")
 
 
-def cascade(mentions: DataFrame, entities: DataFrame, synonyms: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
+def cascade(mentions: DataFrame, entities: DataFrame, synonyms: DataFrame, resolved: DataFrame | None = None, least: float = LEAST_RATIO) -> DataFrame:
     """(mention, entity_id, how): the first name that is exact; with the names that an outside source adds, again; else fuzzy by
     name; else a new entity, one for each name and type group.
 
@@ -134,7 +134,7 @@ def cascade(mentions: DataFrame, entities: DataFrame, synonyms: DataFrame, resol
         wider = rest.join(resolved.select("mention", "names"), "mention").select("mention", "entity_type", "organism", F.posexplode("names").alias("place", "name"))
         again = first_exact(wider, entities, synonyms).select("mention", "entity_id", F.concat(F.lit("resolved:"), "rung").alias("how"))
         rest, out = rest.join(again, "mention", "left_anti"), out.unionByName(again)
-    second = fuzzy(rest, entities, synonyms).select("mention", "entity_id", F.lit("fuzzy").alias("how"))
+    second = fuzzy(rest, entities, synonyms, least).select("mention", "entity_id", F.lit("fuzzy").alias("how"))
     left = rest.join(second, "mention", "left_anti")
     if resolved is not None:
         left = left.join(resolved.select("mention", F.col("canonical_name").alias("better")), "mention", "left").withColumn("name", F.coalesce("better", "name"))
