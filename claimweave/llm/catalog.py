@@ -19,7 +19,7 @@ def _documents(operator: Callable[[DataFrame], DataFrame]) -> Query:
 def queries() -> dict[str, Query]:
     return {
         "op1_chat_formatting": lambda spark, sf_dir: chat.format_conversations(read(spark, sf_dir, "conversations")),
-        "op2_license_scan": _documents(licenses.license_scan),
+        "op2_license_scan": _documents(lambda docs: licenses.license_scan(docs, whole=True)),
         "op2_license_scan_all": _documents(lambda docs: licenses.license_scan(docs, whole=True)),
         "op3_bpe": _documents(bpe.encode_all),
         "op4_secret_scan": _documents(secrets.secrets_by_document),
@@ -39,6 +39,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_formatting": chat.ORACLE_SQL,
         "op2_license_scan": licenses.ORACLE_SQL,
+        "op2_license_scan_all": licenses.ORACLE_SQL,
         "op4_secret_scan": secrets.ORACLE_SQL,
         "op9_decontamination": decontaminate.ORACLE_SQL,
         "op11_importance_resampling": resample.ORACLE_SQL,

@@ -36,6 +36,8 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 def clean(text: str) -> str:
     """Lower-cased words of letters, a blank before and behind each; empty without letters."""
     words = LETTERS.findall(text.lower())
+    if not all(map(str.isalpha, words)):  # fractions, superscripts and numbers in circles are no letters
+        words = "".join(c if c.isalpha() else " " for c in " ".join(words)).split()
     return f" {' '.join(words)} " if words else ""
 
 

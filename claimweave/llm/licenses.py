@@ -172,12 +172,12 @@ def _sql() -> str:
 n AS (SELECT CAST(count(*) AS DOUBLE) AS total FROM d),
 t(template, license, text) AS (VALUES {values}),
 tc AS (SELECT template, license, term, count(*) AS tf FROM (SELECT template, license, unnest({split('text')}) AS term FROM t) q GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct({split('text')})) AS term FROM d) q WHERE term IN (SELECT term FROM tc) GROUP BY term),
+df AS (SELECT term, count(*) AS df FROM (SELECT path, unnest(list_distinct({split('text')})) AS term FROM d) q GROUP BY term),
 k AS (SELECT tc.*, ln((1 + n.total) / (1 + coalesce(df.df, 0))) + 1 AS idf FROM tc LEFT JOIN df USING (term), n),
 kn AS (SELECT template, sqrt(sum(tf * idf * tf * idf)) AS norm FROM k GROUP BY template),
-l AS (SELECT DISTINCT path, line FROM (SELECT path, unnest(string_split(text, chr(10))) AS line FROM d) q WHERE regexp_matches(lower(line), '{ANCHORS}')),
+l AS (SELECT DISTINCT path, line FROM (SELECT path, unnest(string_split(text, chr(10))) AS line FROM d) q),
 lt AS (SELECT path, line, term, count(*) AS tf FROM (SELECT path, line, unnest({split('line')}) AS term FROM l) q GROUP BY ALL),
-ln AS (SELECT path, line, sqrt(sum(power(tf * coalesce(i.idf, ln(1 + n.total) + 1), 2))) AS own FROM lt LEFT JOIN (SELECT DISTINCT term, idf FROM k) i USING (term), n GROUP BY path, line),
+ln AS (SELECT path, line, sqrt(sum(power(tf * (ln((1 + n.total) / (1 + df.df)) + 1), 2))) AS own FROM lt JOIN df USING (term), n GROUP BY path, line),
 s AS (SELECT lt.path, lt.line, k.template, k.license, round(sum(lt.tf * k.idf * k.tf * k.idf) / (max(kn.norm) * max(ln.own)), 6) AS score
   FROM lt JOIN k USING (term) JOIN kn ON kn.template = k.template JOIN ln ON ln.path = lt.path AND ln.line = lt.line GROUP BY lt.path, lt.line, k.template, k.license),
 h AS (SELECT * FROM s WHERE score >= {THRESHOLD}),

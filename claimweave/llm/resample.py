@@ -7,7 +7,8 @@ are those inside its lines and those that cross a break:
   features, which are found once;
 * ``crossing``: the features over line breaks, by document (none for n = 1);
 * ``counts``: the corpus' features by bucket: those of a line times its occurrences, and those that cross;
-* ``weigh``: the gains of a line's features, summed once for each distinct line and joined to the documents that have it;
+* ``weigh``: the gains of a line's features, summed once for each distinct line and joined to the documents that have it
+  (those of the few most common lines by broadcast, so that no line's documents meet in one task);
 * ``draw``: Gumbel noise from a hash of the id, and the highest scores by a distributed rank.
 
 Null texts count as empty: no words, weight 0. Rows that repeat are rows of their own with equal weight and score; rows
@@ -27,7 +28,7 @@ from claimweave.llm.common import CRC_TABLE, crc_sql, text_or_empty
 from claimweave.operators.order import placed
 from claimweave.session import materialize
 
-BUCKETS, LEAST_WORDS, PERCENT, SEED = 10_000, 20, 10, 2024
+BUCKETS, LEAST_WORDS, PERCENT, SEED, HOT = 10_000, 20, 10, 2024, 2_000
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SOME_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
@@ -104,7 +105,16 @@ def weigh(docs: DataFrame, lines: DataFrame, over: DataFrame, by_bucket: DataFra
     parts = docs.select("doc_id", _tie(), F.posexplode(F.split(text_or_empty(), "\n")).alias("at", "line"))
     has = F.col("line").rlike(SOME_WORD)
     parts = parts.where(has | (F.col("at") == 0)).select("doc_id", "tie", F.when(has, line_key(F.col("line"))).alias("key"), (F.col("at") == 0).cast("long").alias("copies"))
-    parts = parts.join(prices, "key", "left").select("doc_id", "tie", "copies", "gain", "features")
+    # lines that hold more than a part in HOT of all occurrences, less than HOT of them, are broadcast; the rest is shuffled, without rows that need nothing of it
+    times = lines.agg(F.coalesce(F.sum("occurrences"), F.lit(0))).first()[0]
+    common = lines.where(F.col("occurrences") * HOT > times).select("key")
+    prices = materialize(prices, "prices")
+    hot = prices.join(F.broadcast(common), "key", "left_semi").toDF("key", "hot_gain", "hot_features")
+    parts = parts.join(F.broadcast(hot), "key", "left")
+    alone = F.col("key").isNull() | F.col("hot_gain").isNotNull()
+    other = F.unhex(F.lpad(F.hex(F.xxhash64("doc_id", "tie", "copies")), 16, "0"))  # 8 bytes, so it is no line's key, and spreads these rows
+    parts = parts.withColumn("key", F.when(alone, other).otherwise(F.col("key"))).join(prices, "key", "left")
+    parts = parts.select("doc_id", "tie", "copies", F.coalesce("hot_gain", "gain").alias("gain"), F.coalesce("hot_features", "features").alias("features"))
     more = priced(over, "doc_id", "tie").withColumn("copies", F.lit(0).cast("long"))
     sums = parts.unionByName(more).groupBy("doc_id", "tie").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("copies", "gain", "features")])
     each = sums.withColumns({"gain": F.expr("gain div copies"), "features": F.expr("features div copies")})
