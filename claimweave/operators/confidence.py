@@ -57,8 +57,10 @@ def adjudicate(evidence: DataFrame) -> DataFrame:
 
 
 def with_contexts(evidence: DataFrame) -> DataFrame:
-    """Normalised organism, tissue and condition beside the raw ones."""
-    return evidence.withColumns({
+    """Normalised organism, tissue and condition beside the raw ones; and the assay, by its type or else the subtype of the evidence, where these columns are there."""
+    given = [F.nullif(F.col(c), F.lit("")) for c in ("assay_type", "evidence_subtype") if c in evidence.columns]
+    assay = {"norm_assay": vocab.normalise(F.coalesce(*given), vocab.ASSAY_RULES, "assay")} if given else {}
+    return evidence.withColumns(assay | {
         "norm_organism": vocab.normalise(F.col("organism"), vocab.ORGANISM_RULES, "organism"),
         "norm_tissue": vocab.normalise(F.col("tissue_cell_type"), vocab.TISSUE_RULES, "context"),
         "norm_condition": vocab.normalise(F.col("condition"), vocab.CONDITION_RULES, "condition"),

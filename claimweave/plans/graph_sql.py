@@ -36,6 +36,12 @@ def propagate(seeds: list[str], modes: list[str], depth: int, alpha: float = 0.5
     )
 
 
+def arrivals(seeds: list[str], modes: list[str], depth: int) -> str:
+    """By seed and mode: how often arcs arrive, and the sum of their scores."""
+    every = " UNION ALL ".join(f"SELECT run, new FROM l{h}" for h in range(1, depth + 1))
+    return f"SELECT * FROM (WITH {_hops(seeds, modes, depth)} SELECT split_part(run, ':', 1) AS seed, split_part(run, ':', 2) AS mode, count(*) AS n, round(sum(new), 6) AS total FROM ({every}) e GROUP BY run) x"
+
+
 def excluded(seed: str, depth: int) -> str:
     every = " UNION ALL ".join(f"SELECT source, id, branch, {h} AS hop FROM s{h} WHERE sign = 0" for h in range(1, depth + 1))
     return f"SELECT * FROM (WITH {_hops([seed], ['suppress'], depth)} {every}) x"

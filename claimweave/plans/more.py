@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.functions import output, text
-from claimweave.operators import confidence, conflicts, graph, history, loads, lookups, reprocess, resolve, writes
+from claimweave.operators import confidence, conflicts, graph, history, loads, lookups, reprocess, resolve, warming, writes
 from claimweave.plans import graph_sql
 from claimweave.plans.catalog import ARCS, CF, DEG, EV, EXACT, OUTCOMES, RESOLVED, SHARED, SIGNED, STORE_EXACT, ENTRIES_SQL, STATED, VERIFY, adjudicated, detected, entry, entry_json, mentions, MENTIONS, mitab_lines, resolved, shared_names, signed_lines, stated, all_arcs
 from claimweave.plans.projection import Model
+from claimweave.session import shared_dir
 from claimweave.sources import entries, tabular
+from claimweave.streaming import cycle
 
 # --- curated loads -----------------------------------------------------------------------------
 
@@ -317,3 +321,75 @@ entry("resolve_store", STORE_EXACT, mentions=MENTIONS, shared=SHARED)(lambda m:
 entry("path_nodes", "SELECT path, CAST(i - 1 AS INT) AS place, e.id, e.canonical_name AS name, e.entity_type FROM (SELECT path, unnest(range(1, len(nodes) + 1)) AS i, nodes FROM (SELECT path, string_split(path, '>') AS nodes FROM (" + graph_sql.paths("s0", "s1", 4, 50, 0.93) + ") p) q) r JOIN {entities} e ON e.id = nodes[i]", arcs=ARCS)(
     lambda m: lookups.path_nodes(graph.paths(all_arcs(m), "s0", "s1", 4, 50, 0.93), m["entities"].withColumn("display_name", F.lit("")))
 )
+
+
+# --- cache, assays, cycle ----------------------------------------------------------------------
+
+WARM = [f"s{i}" for i in range(4)]
+
+
+def warmed(m: Model) -> tuple[DataFrame, DataFrame]:
+    """A warm-up of four entities to depth 2: a result that is there, one that isn't as deep, one that expired, and one that is missing."""
+    spark, now = m.spark, F.lit("2024-01-02 00:00:00").cast("timestamp")
+    rows = [("s0", "suppress", 3, "2024-01-03 00:00:00", 7), ("s1", "suppress", 1, "2024-01-03 00:00:00", 7), ("s2", "promote", 3, "2024-01-01 00:00:00", 7)]
+    cache = spark.createDataFrame(rows, "seed string, mode string, max_depth int, expires string, hits long").withColumn("expires", F.col("expires").cast("timestamp"))
+    stored = spark.createDataFrame([("s0", "suppress", "p1", 0.5, 1), ("s1", "suppress", "p1", 0.5, 1)], "seed string, mode string, target string, score double, hop int")
+    return warming.warm(spark.createDataFrame([(s,) for s in WARM], "id string"), cache, stored, all_arcs(m), 2, now)
+
+
+def cache_warmed(m: Model) -> DataFrame:
+    cache, stored = warmed(m)
+    asked = m.spark.createDataFrame([("s0", "suppress", 3), ("s0", "suppress", 2), ("s3", "promote", 3), ("s3", "promote", 1)], "seed string, mode string, depth int")
+    counted = warming.count_hits(cache, asked, F.lit("2024-01-02 00:00:00").cast("timestamp"))
+    sizes = stored.groupBy("seed", "mode").agg(F.count("*").alias("stored"), F.round(F.sum("score"), 6).alias("total"))
+    return counted.join(sizes, ["seed", "mode"], "left").select("seed", "mode", "max_depth", "expires", "hits", F.coalesce("stored", F.lit(0)).alias("stored"), "total")
+
+
+entry("cache_warmed", "SELECT c.seed, c.mode, max_depth, expires, CAST(hits AS BIGINT) AS hits, CAST(CASE WHEN max_depth = 3 THEN 1 ELSE coalesce(n, 0) END AS BIGINT) AS stored, CASE WHEN max_depth = 3 THEN 0.5 ELSE total END AS total FROM (SELECT s.seed, m.mode, CASE WHEN s.seed = 's0' AND m.mode = 'suppress' THEN 3 ELSE 2 END AS max_depth, TIMESTAMP '2024-01-03 00:00:00' AS expires, CASE WHEN s.seed = 's0' AND m.mode = 'suppress' THEN 9 WHEN s.seed = 's3' AND m.mode = 'promote' THEN 1 ELSE 0 END AS hits FROM (VALUES ('s0'), ('s1'), ('s2'), ('s3')) s(seed), (VALUES ('suppress'), ('promote')) m(mode)) c LEFT JOIN ("
+      + graph_sql.arrivals(WARM, ["suppress", "promote"], 2) + ") a ON a.seed = c.seed AND a.mode = c.mode", arcs=ARCS)(cache_warmed)
+
+
+def query_log(m: Model) -> DataFrame:
+    edges, now = all_arcs(m), F.lit("2024-01-02 00:00:00").cast("timestamp")
+    asked = m.spark.createDataFrame([("s0", "promote", 2), ("s1", "promote", 2), ("nowhere", "promote", 2)], "seed string, mode string, depth int")
+    return warming.log_rows(asked, graph.propagate(edges, ["s0", "s1", "nowhere"], ("promote",), 2), m["entities"], now)
+
+
+entry("query_log", "SELECT e.canonical_name AS entity_name, 'promote' AS mode, 2 AS depth, CAST(coalesce(n, 0) AS BIGINT) AS result_count, TIMESTAMP '2024-01-02 00:00:00' AS created_at FROM (VALUES ('s0'), ('s1'), ('nowhere')) s(seed) LEFT JOIN (SELECT seed, count(*) AS n FROM ("
+      + graph_sql.propagate(["s0", "s1"], ["promote"], 2) + ") p GROUP BY seed) a ON a.seed = s.seed LEFT JOIN {entities} e ON e.id = s.seed", arcs=ARCS)(query_log)
+
+
+def assays(m: Model) -> DataFrame:
+    kind, way = F.col("evidence_type"), F.col("direction")
+    assay = F.when(kind == "structural", "Cryo-EM map").when(kind == "in_vitro", " Co-IP, then immunoblot").when(kind == "in_vivo", "")
+    rows = m["evidence"].withColumns({"assay_type": assay, "evidence_subtype": F.when(way == "A_to_B", "RNAseq of cells").when(way == "B_to_A", "yeast two-hybrid!")})
+    return confidence.with_contexts(rows).select("id", "norm_assay")
+
+
+entry("evidence_assays", """SELECT id, CASE evidence_type WHEN 'structural' THEN 'structure:cryo_em' WHEN 'in_vitro' THEN 'protein_interaction:coip' ELSE CASE direction WHEN 'A_to_B' THEN 'expression:rnaseq' WHEN 'B_to_A' THEN 'assay:yeast_two_hybrid' END END AS norm_assay FROM {evidence}""")(assays)
+
+
+def cycled(m: Model) -> cycle.Tables:
+    """All claims taken in by two cycles, with ids for names; once a folder and application."""
+    key = m.spark.sparkContext.applicationId, m.sf_dir
+    if key not in CYCLED:
+        folder = f"{shared_dir(m.spark).rstrip('/')}/cycle-{uuid.uuid4().hex}"
+        t = cycle.tables(m.spark, folder)
+        known = m["entities"].select("id", F.col("id").alias("canonical_name"), "entity_type", F.lit(None).cast("string").alias("organism"), F.lit(0).cast("long").alias("paper_count"))
+        t.put(0, "entities", known, list(range(t.buckets)))
+        t.put(0, "synonyms", known.select(F.col("id").alias("entity_id"), F.lower("id").alias("synonym")), list(range(t.buckets)))
+        t.commit(0)
+        none = F.lit(None).cast("string")
+        rows = m["evidence"].select("paper_id", "year", "tissue_cell_type", "condition").dropDuplicates(["paper_id"])  # what a paper says of itself
+        claims = m["claims"].join(rows, "paper_id").withColumns({"type_a": F.lit("protein"), "type_b": none, "organism": none})
+        columns = [c.split()[0] for c in cycle.CLAIMS.split(", ")]
+        for n in (1, 2):
+            cycle.run_batch(t, claims.where(F.pmod(F.crc32("paper_id"), F.lit(2)) == n - 1).select(*columns), n)
+        CYCLED[key] = t
+    return CYCLED[key]
+
+
+CYCLED: dict[tuple[str, str], cycle.Tables] = {}
+entry("cycle_interactions", "SELECT entity_a, entity_b, interaction_type, effect, direction, evidence_count, score, label FROM {interactions}")(lambda m: cycled(m).read("interactions").select("entity_a", "entity_b", "interaction_type", "effect", "direction", "evidence_count", "score", "label"))
+entry("cycle_conflicts", "SELECT interaction_a, interaction_b FROM {candidates}", **CF)(lambda m: cycled(m).read("conflicts").select("interaction_a", "interaction_b"))
+entry("cycle_paper_counts", "SELECT id, CAST(count(DISTINCT paper_id) AS BIGINT) AS paper_count FROM (SELECT entity_a AS id, paper_id FROM {evidence} UNION ALL SELECT entity_b, paper_id FROM {evidence}) q GROUP BY id")(lambda m: cycled(m).read("entities").where("paper_count > 0").select("id", "paper_count"))
