@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from claimweave.functions import vocab
+from claimweave.functions.numbers import exact_round
 
 EDGE = ("entity_a", "entity_b", "interaction_type", "effect", "direction")
 
@@ -31,7 +32,7 @@ def merged(old: DataFrame, new: DataFrame, *more: str) -> DataFrame:
 def scored(sums: DataFrame) -> DataFrame:
     """The sums with the evidence-weighted mean (rounded to 4) and its label (of the unrounded mean)."""
     raw = F.col("weighted") / F.col("weight")
-    return sums.withColumns({"score": F.round(raw, 4), "label": label(F.col("evidence_count"), raw)})
+    return sums.withColumns({"score": exact_round(raw, 4), "label": label(F.col("evidence_count"), raw)})
 
 
 def composite(evidence: DataFrame) -> DataFrame:
@@ -53,7 +54,7 @@ def adjudicate(evidence: DataFrame) -> DataFrame:
     rows = evidence.withColumns({"q": quality, "v": verification, "d": directness, "c": context, "r": vocab.recency(F.col("year"))})
     score = F.col("q") * 0.35 + F.col("v") * 0.3 + F.col("d") * 0.15 + F.col("c") * 0.1 + F.col("r") * 0.1
     note = F.format_string("quality=%.2f; verification=%.2f; directness=%.2f; context=%.2f; recency=%.2f", "q", "v", "d", "c", "r")
-    return rows.withColumn("adjudication_score", F.round(score, 4)).withColumn("note", note).drop("q", "v", "d", "c", "r")
+    return rows.withColumn("adjudication_score", exact_round(score, 4)).withColumn("note", note).drop("q", "v", "d", "c", "r")
 
 
 def with_contexts(evidence: DataFrame) -> DataFrame:

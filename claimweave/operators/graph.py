@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.functions import vocab
+from claimweave.functions.numbers import exact_round
 from claimweave.operators.order import placed
 from claimweave.session import materialize
 
@@ -56,7 +57,7 @@ def combine(found: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """(run, target, score, hop, arrivals): independent arrivals of each sign combined, positive less negative."""
     part = lambda keep: 1 - F.coalesce(F.product(F.when(keep, 1 - F.pow(F.least(F.abs("score"), F.lit(1.0)), F.lit(alpha)))), F.lit(1.0))
     sums = found.groupBy("run", "target").agg((part(F.col("score") > 0) - part(F.col("score") < 0)).alias("raw"), F.min("hop").alias("hop"), F.count("*").alias("arrivals"))
-    return sums.select("run", "target", (F.round("raw", 6) + F.lit(0.0)).alias("score"), "hop", "arrivals")
+    return sums.select("run", "target", (exact_round(F.col("raw"), 6) + F.lit(0.0)).alias("score"), "hop", "arrivals")
 
 
 def propagate(edges: DataFrame, seeds: list[str], modes: tuple[str, ...] = ("suppress", "promote"), depth: int = 3) -> DataFrame:

@@ -204,16 +204,18 @@ entry("search_results", """SELECT CASE WHEN p_size % 2 = 0 THEN concat('pmid:',
 
 
 def article_markup(m: Model) -> DataFrame:
-    """Parts as articles: nested sections, markup inside paragraphs, a list, and elements that are no text; every fourth isn't closed."""
+    """Parts as articles: nested sections, markup inside paragraphs, a list, and elements that are no text; some aren't closed, some have ends
+    that nothing began, unclosed paragraphs and bare signs, and some have no markup."""
+    key = F.col("p_partkey") % 6
     body = F.format_string(
-        "<article><front><article-title>On <i>%s</i></article-title><abstract><p>%s</p></abstract><kwd-group><p>no</p></kwd-group></front><body><sec><title>One</title><p>a <b>%s</b> c</p><fig><p>no</p></fig>"
-        "<sec><title>Two</title><list><item><p>x</p></item><item><p>y</p></item></list></sec></sec><p>%s</p></body>%s", "p_name", "p_type", "p_brand", F.repeat(F.lit("end "), F.col("p_size").cast("int")), F.when(F.col("p_partkey") % 4 != 0, "</article>").otherwise(""),
+        "<article><front><article-title>On <i>%s</i></article-title><abstract><p>%s%s</p></abstract><kwd-group><p>no</p></kwd-group></front><body><sec><title>One</title><p>a <b>%s</b> c%s<fig><p>no</p></fig>"
+        "<sec><title>Two</title><list><item><p>x</p></item><item><p>y</p></item></list></sec></sec><p>%s</p></body>%s", "p_name", "p_type", F.when(key == 2, "</sup> 1 < 2 & 3").otherwise(""), "p_brand", F.when(key == 3, "</p></wrong>").otherwise("</p>"), F.repeat(F.lit("end "), F.col("p_size").cast("int")), F.when(key != 1, "</article>").otherwise(""),
     )
-    return m["part"].select(F.col("p_partkey").alias("id"), body.alias("xml"))
+    return m["part"].select(F.col("p_partkey").alias("id"), F.when(key == 4, F.concat(F.repeat(F.lit("plain "), F.lit(50)), "p_name")).otherwise(body).alias("xml"))
 
 
-entry("full_texts", """SELECT id, full_text FROM (SELECT p_partkey AS id, CASE WHEN p_partkey % 4 <> 0 THEN concat('TITLE: On ', p_name, nn, 'ABSTRACT:', chr(10), p_type, nn, 'One', nn, 'a ', p_brand, ' c', nn, 'Two', nn, 'x', nn, 'y', nn, trim(repeat('end ', p_size)))
- ELSE trim(concat('On ', p_name, ' ', p_type, ' no One a ', p_brand, ' c no Two x y ', repeat('end ', p_size))) END AS full_text FROM (SELECT *, chr(10) || chr(10) AS nn FROM {part}) a) q WHERE length(full_text) > 200""")(lambda m: entries.full_texts(article_markup(m)))
+entry("full_texts", """SELECT id, full_text FROM (SELECT p_partkey AS id, CASE WHEN p_partkey % 6 = 4 THEN concat(repeat('plain ', 50), p_name) ELSE concat('TITLE: On ', p_name, nn, 'ABSTRACT:', chr(10), p_type, CASE WHEN p_partkey % 6 = 2 THEN ' 1 < 2 & 3' ELSE '' END, nn, 'One', nn, 'a ', p_brand, ' c', nn, 'Two', nn, 'x', nn, 'y', nn, trim(repeat('end ', p_size))) END AS full_text
+ FROM (SELECT *, chr(10) || chr(10) AS nn FROM {part}) a) q WHERE length(full_text) > 200""")(lambda m: entries.full_texts(article_markup(m)))
 
 # --- names, caches, small reads ----------------------------------------------------------------
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from html import unescape
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -76,11 +78,54 @@ def _local(element) -> str:
     return element.tag.rpartition("}")[2] if isinstance(element.tag, str) else ""
 
 
+MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|<[?!][^<>]*>|<(?P<end>/?)(?P<name>[A-Za-z_][\w.:-]*)(?:\s[^<>]*?)?(?P<empty>/?)>", re.S)
+
+
+def recovered(xml: str) -> ElementTree.Element | None:
+    """The tree of broken markup: an end closes all that was opened within its element, one without a beginning is passed over, what is
+    open at the end is closed, and other angle brackets and ampersands are text. None without any element."""
+    builder, opened, at, any_element = ElementTree.TreeBuilder(), [], 0, False
+
+    def text(value: str) -> None:
+        if opened and value:  # text outside the first element is no part of it
+            builder.data(value)
+
+    for mark in MARK.finditer(xml):
+        text(unescape(xml[at : mark.start()]))
+        at, name = mark.end(), (mark["name"] or "").rpartition(":")[2]
+        if mark["data"] is not None:
+            text(mark["data"])
+        elif name and mark["end"]:
+            while name in opened:
+                builder.end(last := opened.pop())
+                if last == name:
+                    break
+            if not opened and any_element:
+                break
+        elif name:
+            any_element = True
+            builder.start(name, {})
+            opened.append(name)
+            if mark["empty"]:
+                builder.end(opened.pop())
+                if not opened:
+                    break
+    else:
+        text(unescape(xml[at:]))
+    for name in reversed(opened):
+        builder.end(name)
+    return builder.close() if any_element else None
+
+
 def article_text(xml: str) -> str | None:
-    """Title, abstract, headings, paragraphs and list items of an article, a blank line apart; None if it can't be parsed."""
+    """Title, abstract, headings, paragraphs and list items of an article, a blank line apart; None if it has no element. Broken markup is recovered.
+
+    The text behind an element that is left out stays, on purpose: it is the paragraph's own."""
     try:
         root = ElementTree.fromstring(xml)
-    except ElementTree.ParseError:
+    except (ElementTree.ParseError, ValueError):
+        root = recovered(xml)
+    if root is None:
         return None
     whole = lambda e: "".join(e.itertext()).strip()
     for parent in list(root.iter()):

@@ -163,7 +163,20 @@ def test_names_for_graph_calls(spark):
 def test_articles_walk_bodies_once():
     xml = "<a xmlns='x'><front><article-title>T <i>i</i></article-title></front><body><p>one<fig><p>no</p></fig> two</p><sec><title>H</title><sec><p>deep</p></sec></sec><formula>no</formula><def-list><def-item><term>t</term><def><p>d</p></def></def-item></def-list></body></a>"
     assert entries.article_text(xml) == "TITLE: T i\n\none two\n\nH\n\ndeep\n\nt\n\nd\n\nd"
-    assert entries.article_text("<a><b></a>") is None and entries.article_text("<a/>") == ""
+    assert entries.article_text("<a><b></a>") == entries.article_text("<a/>") == "" and entries.article_text("no markup") is None
+
+
+def test_broken_articles_are_recovered():
+    """What is well formed reads alike by both ways; what isn't keeps all that stands before and behind the break."""
+    whole = "<a><front><article-title>T &amp; <i>i</i></article-title><abstract>A</abstract></front><body><p>one<fig><p>no</p></fig> two</p><sec><title>H</title><p>deep</p></sec></body></a>"
+    want = entries.article_text(whole)
+    root = entries.recovered(whole)
+    assert [(e.tag, e.text, e.tail) for e in root.iter()] == [(e.tag, e.text, e.tail) for e in entries.ElementTree.fromstring(whole).iter()]
+    for broken in (whole[:-4], whole[:-11], whole.replace("<i>i</i>", "<i>i"), whole.replace("</p><sec>", "</p></q></z><sec>"), whole.replace("<sec>", "<sec><!-- <p>no</p> -->").removesuffix("</a>"), whole.replace("&amp;", "&"), f"{whole}<p>after</p>", "<?xml version='1.0'?><!DOCTYPE a>" + whole.replace("<a>", "<j:a>").replace("</a>", "</j:a>")):
+        assert entries.article_text(broken) == want, broken
+    assert entries.article_text("<a><body><p>1 < 2 <![CDATA[<b> & c]]> d") == "1 < 2 <b> & c d"
+    assert entries.article_text("<a " * 20_000 + "<body><p>x") == "x"
+    assert entries.article_text("<a><body>" + "<sec>" * 5_000 + "<p>deep") == "deep"
 
 
 def test_entries_without_names(spark):
