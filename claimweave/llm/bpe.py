@@ -6,12 +6,12 @@ once, on the document of least id that has it; the rest of each text is encoded
 parts are joined.
 
 A join is trusted if both sides agree that tokens can't cross it: a blank on the left and an
-ordinary visible character on the right. Other joins are repaired: the two chunks are encoded as one, and
-again with the next, until the join that follows is one to trust. Within a stretch between blanks
+ordinary visible character on the right. Chunks are cut at such joins only, so that none is left to be repaired by
+encoding anew. Within a stretch between blanks
 encoding doesn't depend on what lies outside, so words are remembered by each worker as well, in a
 memory that is emptied by half when it is full.
 
-The tokenizer's file is a parameter; ids and texts are those of the tokenizers library. Null texts
+Both hold for the registered file, which lower-cases and drops blanks; ids and texts are those of the tokenizers library. Null texts
 count as empty: no tokens, and the digests of the empty text. Rows that repeat are one row each.
 """
 
