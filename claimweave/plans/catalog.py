@@ -75,16 +75,16 @@ entry("score_percentiles", """SELECT label, CAST(n AS BIGINT) AS n, s[1 + least(
 # --- search, degree, counts --------------------------------------------------------------------
 
 entry("entity_search", """SELECT id, canonical_name, entity_type, paper_count, synonym AS matching_synonym, CAST(rank AS INT) AS rank FROM (SELECT e.*, s.synonym, CASE WHEN s.synonym = 'red' THEN 0 ELSE 1 END AS rank,
- row_number() OVER (PARTITION BY e.id ORDER BY CASE WHEN s.synonym = 'red' THEN 0 ELSE 1 END, s.synonym) AS r FROM {synonyms} s JOIN {entities} e ON e.id = s.entity_id WHERE starts_with(s.synonym, 'red')) q WHERE r = 1 ORDER BY rank, paper_count DESC, id LIMIT 50""")(lambda m: lookups.search(m["entities"], m["synonyms"], "Red"))
+ row_number() OVER (PARTITION BY e.id ORDER BY CASE WHEN s.synonym = 'red' THEN 0 ELSE 1 END, s.synonym) AS r FROM {synonyms} s JOIN {entities} e ON e.id = s.entity_id WHERE starts_with(s.synonym, 'red')) q WHERE r = 1 ORDER BY rank, paper_count DESC, id LIMIT 50""")(lambda m: lookups.search(m["entities"], m.stored()["synonyms"], "Red"))
 entry("synonym_candidates", "SELECT * FROM {entities} WHERE id IN (SELECT entity_id FROM {synonyms} WHERE synonym = 'red widget')")(lambda m: lookups.synonym_candidates(m["entities"], m["synonyms"], "Red Widget "))
 ENDS = "SELECT entity_a AS entity, id FROM {interactions} UNION ALL SELECT entity_b, id FROM {interactions}"
 DEGREE = "SELECT entity, CAST(count(*) AS BIGINT) AS degree FROM {ends} GROUP BY entity"
 DEG = {"ends": ENDS, "degrees": DEGREE}
-entry("degree", "SELECT * FROM {degrees}", **DEG)(lambda m: lookups.degree(m.interactions))
+entry("degree", "SELECT * FROM {degrees}", **DEG)(lambda m: lookups.degree(m.stored().interactions))
 entry("degree_by_direction", """SELECT entity, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree, CAST(count(*) AS BIGINT) AS total_degree FROM (
  SELECT entity_a AS entity, CASE WHEN upper(direction) IN ('A_TO_B', 'BIDIRECTIONAL') THEN 1 ELSE 0 END AS o, CASE WHEN upper(direction) IN ('B_TO_A', 'BIDIRECTIONAL') THEN 1 ELSE 0 END AS i FROM {interactions}
- UNION ALL SELECT entity_b, CASE WHEN upper(direction) IN ('B_TO_A', 'BIDIRECTIONAL') THEN 1 ELSE 0 END, CASE WHEN upper(direction) IN ('A_TO_B', 'BIDIRECTIONAL') THEN 1 ELSE 0 END FROM {interactions}) q GROUP BY entity""")(lambda m: lookups.direction_degree(m.interactions))
-entry("top_degree", "SELECT e.id, e.canonical_name, CAST(count(*) AS BIGINT) AS degree FROM (SELECT DISTINCT entity, id FROM {ends}) x JOIN {entities} e ON e.id = x.entity GROUP BY e.id, e.canonical_name ORDER BY degree DESC, e.id LIMIT 50", **DEG)(lambda m: lookups.top_degree(m["entities"], m.interactions, 50))
+ UNION ALL SELECT entity_b, CASE WHEN upper(direction) IN ('B_TO_A', 'BIDIRECTIONAL') THEN 1 ELSE 0 END, CASE WHEN upper(direction) IN ('A_TO_B', 'BIDIRECTIONAL') THEN 1 ELSE 0 END FROM {interactions}) q GROUP BY entity""")(lambda m: lookups.direction_degree(m.stored().interactions))
+entry("top_degree", "SELECT e.id, e.canonical_name, CAST(count(*) AS BIGINT) AS degree FROM (SELECT DISTINCT entity, id FROM {ends}) x JOIN {entities} e ON e.id = x.entity GROUP BY e.id, e.canonical_name ORDER BY degree DESC, e.id LIMIT 50", **DEG)(lambda m: lookups.top_degree(m["entities"], m.stored().interactions, 50))
 entry("sparse_entities", "SELECT e.id, e.canonical_name, e.paper_count, CAST(coalesce(d.degree, 0) AS BIGINT) AS degree FROM {entities} e LEFT JOIN {degrees} d ON d.entity = e.id WHERE coalesce(d.degree, 0) < 25 ORDER BY paper_count DESC, degree, id LIMIT 20", **DEG)(lambda m: lookups.sparse_entities(m["entities"], m.interactions, 25, 20))
 entry("low_interaction_entities", "SELECT e.id, e.canonical_name FROM {entities} e LEFT JOIN {degrees} d ON d.entity = e.id WHERE coalesce(d.degree, 0) < 3 ORDER BY e.id LIMIT 20", **DEG)(lambda m: lookups.low_interaction(m["entities"], m.interactions, 3, 20))
 entry("synonym_overlaps", """SELECT synonym, CAST(count(DISTINCT e.id) AS BIGINT) AS n_entities, string_agg(DISTINCT e.id, ',' ORDER BY e.id) AS ids, string_agg(DISTINCT e.entity_type, ',' ORDER BY e.entity_type) AS types, CAST(sum(paper_count) AS BIGINT) AS total_paper_count
