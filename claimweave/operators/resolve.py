@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -50,46 +51,100 @@ def exact(mentions: DataFrame, entities: DataFrame, synonyms: DataFrame, order:
 
 
 def _without(text: Column, gone: Column) -> Column:
-    """The distinct strings that are left when ``gone`` letters (0 to 2) are taken out."""
+    """The distinct strings that are left when ``gone`` letters (0 or 1) are taken out."""
+    one = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.concat(F.left(text, i - 1), F.substr(text, i + 1)))
+    return F.array_distinct(F.when(gone == 0, F.array(text)).otherwise(one))
+
+
+def _reach(n: Column, least: float) -> Column:
+    """The lengths that a string can have whose ratio with one of n letters reaches ``least``, or a few more."""
+    more = F.floor(n * 2 * (1 - least) / least).cast("int") + 1
+    return F.sequence(F.greatest(n - more, F.lit(1)), n + more)
+
+
+def _common(n: Column, m: Column, least: float) -> Column:
+    """How many letters, in order, strings of n and m letters have in common at least, if their ratio reaches ``least``."""
+    return F.ceil((n + m) * least / 2 - 1e-9).cast("int")
+
+
+def _near(n: Column, m: Column, least: float) -> Column:
+    """Whether at most one letter of either is over."""
+    return F.greatest(n, m) - _common(n, m, least) <= 1
+
+
+def _variants(rows: DataFrame, text: str, own: str, other: str, least: float) -> DataFrame:
+    """The rows once for each length of a near string and each string that is left without the letters that may be over."""
     n = F.length(text)
-    rest = lambda i: F.substr(text, i + 1)
-    one = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.left(text, i - 1), rest(i)))
-    two = F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.transform(F.sequence(i + 1, n), lambda j: F.concat(F.left(text, i - 1), F.substr(text, i + 1, j - i - 1), rest(j)))))
-    return F.array_distinct(F.when(gone == 0, F.array(text)).when(gone == 1, one).otherwise(two))
+    sized = rows.withColumn(own, n).withColumn(other, F.explode(_reach(n, least))).withColumn("common", _common(F.col(own), F.col(other), least))
+    sized = sized.where((F.col("common") <= F.least(own, other)) & _near(F.col(own), F.col(other), least))
+    return sized.withColumn("block", F.explode(F.transform(_without(F.col(text), F.col(own) - F.col("common")), lambda v: F.xxhash64(v)))).drop("common")
+
+
+def gram_width(least: float, widest: int = 4) -> int:
+    """The greatest width of grams of which strings at ``least`` that aren't near share at least one, whatever their lengths.
+
+    A letter taken out spoils ``width`` grams, one put in a gram less. Lengths up to 64 are gone through; beyond, both counts
+    are linear in the other string's length, so they are greatest for the shortest or the longest that can reach ``least``."""
+    for width in range(widest, 1, -1):
+        def left(n: int, m: float, common: float, width: int = width) -> float:
+            return n - width + 1 - width * (n - common) - (width - 1) * (m - common)
 
+        pairs = [(n, m, math.ceil((n + m) * least / 2 - 1e-9)) for n in range(1, 65) for m in range(1, int(n * (2 - least) / least) + 2)]
+        apart = [(n, m, c) for n, m, c in pairs if c <= min(n, m) and max(n, m) - c > 1]
+        longer = [(64, m, (64 + m) * least / 2) for m in (64 * least / (2 - least), 64 * (2 - least) / least)]
+        if all(left(*x) >= 1 for x in apart + longer):
+            return width
+    return 1
 
-def _blocks(rows: DataFrame, text: str, own: str, other: str, least: float) -> DataFrame:
-    """The rows once for each length of the other string that can reach ``least``, and each block of the two lengths.
 
-    Strings of ratio r have m letters in common, in order, of which r sets the least number. Where that leaves
-    at most two letters over in either, the strings that remain without so many letters are the blocks: a
-    pair shares one. Of longer strings, d letters at most are over in both together, so of d + 1 groups of
-    letters one has the same letters, as often, in both; a pair meets where a group agrees."""
+def _grams(rows: DataFrame, text: str, width: int, least: float) -> DataFrame:
+    """(text, g, n, block): the distinct grams of each string that has lengths to meet which aren't near; ``most``: how many of them may be
+    missing in the other at most. A gram's second occurrence is a gram of its own, and so on."""
     n = F.length(text)
-    reach = F.floor(n * 2 * (1 - least) / least).cast("int") + 1
-    sized = rows.withColumn(own, n).withColumn(other, F.explode(F.sequence(F.greatest(n - reach, F.lit(1)), n + reach)))
-    common = F.ceil((F.col(own) + F.col(other)) * least / 2 - 1e-9).cast("int")
-    sized = sized.withColumn("common", common).where(F.col("common") <= F.least(own, other))
-    few = F.greatest(own, other) - F.col("common") <= 2
-    short = sized.where(few).withColumn("block", F.explode(F.transform(_without(F.col(text), F.col(own) - F.col("common")), lambda v: F.xxhash64(v))))
-    long = sized.where(~few).withColumn("d", F.col(own) + F.col(other) - 2 * F.col("common")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("d"))))
-    letters = F.filter(F.split(text, ""), lambda c: F.pmod(F.xxhash64(c), F.col("d") + 1) == F.col("part"))
-    long = long.withColumn("block", F.xxhash64("part", F.array_join(F.array_sort(letters), ""))).drop("d", "part")
-    return short.unionByName(long).drop("common")
+    spoilt = F.transform(_reach(n, least), lambda m: F.when((_common(n, m, least) <= F.least(n, m)) & ~_near(n, m, least), (n - _common(n, m, least)) * width + (m - _common(n, m, least)) * (width - 1)))
+    sized = rows.withColumn("n", n).withColumn("most", F.array_max(spoilt)).where(F.col("most").isNotNull())
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - width + 1, F.lit(1))), lambda i: F.substr(F.col(text), i, F.lit(width)))
+    sized = sized.withColumn("grams", grams)
+    blocks = F.transform("grams", lambda x, i: F.xxhash64(x, F.size(F.filter(F.slice("grams", F.lit(1), i), lambda y: y == x))))
+    return sized.withColumn("block", F.explode(blocks)).drop("grams")
+
+
+def _rarest(grams: DataFrame, counts: DataFrame, text: str, carried: list[str]) -> DataFrame:
+    """Of each string so many of its rarest grams that one of them is shared with any string to be found: one more than may be missing."""
+    ranked = grams.join(counts, ["g", "block"], "left").groupBy(text, "g", "n", "most", *carried).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "block"))).alias("blocks"))
+    return ranked.select(text, "g", "n", *carried, F.explode(F.slice("blocks", F.lit(1), F.col("most") + 1)).alias("x")).select(text, "g", "n", *carried, "x.block")
+
+
+def candidates(rows: DataFrame, names: DataFrame, least: float) -> DataFrame:
+    """(key, g, name, entity_id): all pairs of a group whose ratio can reach ``least``, and others. ``rows``: key, g; ``names``: name, g, entity_id.
+
+    Strings of ratio r have m letters in common, in order, of which r sets the least number. Where at most one
+    letter of either is over, a pair shares a string that is left without it: n strings of n letters. Of others, m sets how
+    many grams may differ; of that many and one, the rarest first, one is shared. So a string has rows by its length
+    times the share of letters that may differ, and pieces that all names have, like a common beginning, bring no pairs together."""
+    near = _variants(rows, "key", "la", "lb", least).join(_variants(names, "name", "lb", "la", least), ["g", "la", "lb", "block"])
+    width = gram_width(least)
+    of_names = _grams(names, "name", width, least)
+    counts = of_names.groupBy("g", "block").agg(F.count("*").alias("often"))
+    left = _rarest(_grams(rows, "key", width, least), counts, "key", []).withColumnRenamed("n", "la")
+    right = _rarest(of_names, counts, "name", ["entity_id"]).withColumnRenamed("n", "lb")
+    fits = (_common(F.col("la"), F.col("lb"), least) <= F.least("la", "lb")) & ~_near(F.col("la"), F.col("lb"), least)
+    far = left.join(right, ["g", "block"]).where(fits)
+    columns = ["key", "g", "name", "entity_id"]
+    return near.select(*columns).unionByName(far.select(*columns)).distinct()
 
 
 def fuzzy(mentions: DataFrame, entities: DataFrame, synonyms: DataFrame | None = None, least: float = LEAST_RATIO) -> DataFrame:
     """(mention, entity_id, ratio): the most similar name or synonym of the type group, at ``least`` or more.
 
-    Pairs meet in blocks that lose none (see _blocks); bounds on the ratio come before the ratio.
+    Pairs meet by an index that loses none (see candidates); bounds on the ratio come before the ratio.
     Equal names meet once. Ties go to the least id."""
     rows = mentions.select(F.lower(F.trim("name")).alias("key"), group(F.col("entity_type")).alias("g")).distinct()
     every = entities.select("id", F.lower(F.trim("canonical_name")).alias("name"), group(F.col("entity_type")).alias("g"))
     if synonyms is not None:
         every = every.unionByName(synonyms.select(F.col("entity_id").alias("id"), F.col("synonym").alias("name")).join(every.select("id", "g"), "id"))
     names = every.groupBy("name", "g").agg(F.min("id").alias("entity_id"))
-    on = ["g", "la", "lb", "block"]
-    pairs = _blocks(rows, "key", "la", "lb", least).join(_blocks(names, "name", "lb", "la", least), on).select("key", "g", "name", "entity_id").distinct()
+    pairs = candidates(rows, names, least)
 
     @F.pandas_udf("double")
     def ratio(keys: pd.Series, others: pd.Series) -> pd.Series:

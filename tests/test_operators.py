@@ -287,6 +287,31 @@ def test_fuzzy_equals_all_pairs(spark):
     assert got == want and len(want) > 10
 
 
+def test_fuzzy_of_long_names_equals_all_pairs(spark):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(11)
+    names = ["complex of " * (i % 3) + "".join(rng.choice("abcdef12 ") for _ in range(rng.randrange(12, 90))).strip() for i in range(90)]
+    keys = []
+    for n in names * 2:
+        k = list(n)
+        for _ in range(rng.randrange(1 + len(k) // 8)):
+            i = rng.randrange(len(k))
+            k[i : i + 1] = rng.choice(["", "x", "a", k[i] + "b"])
+        keys.append("".join(k).strip())
+    names += [f"protein of the common family number {i:04d} of many" for i in range(40)] + ["a" * 40, "ab" * 20, ""]
+    keys += ["protein of the common family number 0017 of man", "a" * 37, "ab" * 18 + "b", "", "a"]
+    rows = spark.createDataFrame([(k, "p") for k in dict.fromkeys(keys)], "key string, g string")
+    known = spark.createDataFrame([(n, "p", str(i)) for i, n in enumerate(dict.fromkeys(names))], "name string, g string, entity_id string")
+    for least in (0.92, 0.85, 0.74):
+        found = {(r.key, r.name) for r in resolve.candidates(rows, known, least).collect()}
+        want = {(k, n) for k in keys for n in names if k and n and SequenceMatcher(None, k, n).ratio() >= least}
+        assert want <= found and len(want) > 60, least
+    assert resolve.gram_width(0.92) == 4 and resolve.gram_width(0.4) == 1
+    index = resolve._rarest(resolve._grams(known, "name", 4, 0.92), spark.createDataFrame([], "g string, block long, often long"), "name", ["entity_id"])
+    assert all(r["count"] <= 0.7 * len(r["name"]) for r in index.groupBy("name").count().collect())  # linear in the length
+
+
 def test_cache(spark):
     kind = "entity string, mode string, max_depth int, result string, expires int, hits int"
     old, new = spark.createDataFrame([("a", "s", 3, "deep", 1, 5)], kind), spark.createDataFrame([("a", "s", 2, "shallow", 9, 0), ("b", "s", 1, "b", 9, 0)], kind)
