@@ -97,22 +97,24 @@ def gram_width(least: float, widest: int = 4) -> int:
     return 1
 
 
-def _grams(rows: DataFrame, text: str, width: int, least: float) -> DataFrame:
-    """(text, g, n, block): the distinct grams of each string that has lengths to meet which aren't near; ``most``: how many of them may be
-    missing in the other at most. A gram's second occurrence is a gram of its own, and so on."""
-    n = F.length(text)
-    spoilt = F.transform(_reach(n, least), lambda m: F.when((_common(n, m, least) <= F.least(n, m)) & ~_near(n, m, least), (n - _common(n, m, least)) * width + (m - _common(n, m, least)) * (width - 1)))
-    sized = rows.withColumn("n", n).withColumn("most", F.array_max(spoilt)).where(F.col("most").isNotNull())
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - width + 1, F.lit(1))), lambda i: F.substr(F.col(text), i, F.lit(width)))
-    sized = sized.withColumn("grams", grams)
-    blocks = F.transform("grams", lambda x, i: F.xxhash64(x, F.size(F.filter(F.slice("grams", F.lit(1), i), lambda y: y == x))))
-    return sized.withColumn("block", F.explode(blocks)).drop("grams")
+def _spoilt(n: Column, m: Column, width: int, least: float) -> Column:
+    """How many grams of a string of n letters one of m may lack, if their ratio reaches ``least``; null if it can't or they are near."""
+    common = _common(n, m, least)
+    return F.when((common <= F.least(n, m)) & ~_near(n, m, least), (n - common) * width + (m - common) * (width - 1))
+
+
+def _grams(rows: DataFrame, text: str, width: int) -> DataFrame:
+    """The rows once for each gram. A gram's second occurrence in a string is a gram of its own, and so on."""
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - width + 1, F.lit(1))), lambda i: F.substr(F.col(text), i, F.lit(width)))
+    each = F.transform("grams", lambda x, i: F.xxhash64(x, F.size(F.filter(F.slice("grams", F.lit(1), i), lambda y: y == x))))
+    return rows.withColumn("grams", grams).withColumn("block", F.explode(each)).drop("grams")
 
 
 def _rarest(grams: DataFrame, counts: DataFrame, text: str, carried: list[str]) -> DataFrame:
-    """Of each string so many of its rarest grams that one of them is shared with any string to be found: one more than may be missing."""
-    ranked = grams.join(counts, ["g", "block"], "left").groupBy(text, "g", "n", "most", *carried).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "block"))).alias("blocks"))
-    return ranked.select(text, "g", "n", *carried, F.explode(F.slice("blocks", F.lit(1), F.col("most") + 1)).alias("x")).select(text, "g", "n", *carried, "x.block")
+    """Of each string so many of its rarest grams that one of them is shared with any string to be found: one more than it may lack."""
+    ranked = grams.join(counts, ["g", "lb", "block"], "left").groupBy(text, "g", "lb", "most", *carried)
+    blocks = ranked.agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "block"))).alias("blocks"))
+    return blocks.select(text, "g", "lb", *carried, F.explode(F.slice("blocks", F.lit(1), F.col("most") + 1)).alias("x")).withColumn("block", F.col("x.block")).drop("x")
 
 
 def candidates(rows: DataFrame, names: DataFrame, least: float) -> DataFrame:
@@ -120,16 +122,18 @@ def candidates(rows: DataFrame, names: DataFrame, least: float) -> DataFrame:
 
     Strings of ratio r have m letters in common, in order, of which r sets the least number. Where at most one
     letter of either is over, a pair shares a string that is left without it: n strings of n letters. Of others, m sets how
-    many grams may differ; of that many and one, the rarest first, one is shared. So a string has rows by its length
-    times the share of letters that may differ, and pieces that all names have, like a common beginning, bring no pairs together."""
+    many grams may differ; of that many and one, the rarest among names of the length first, one is shared. So a name has rows by its
+    length times the share of letters that may differ, and pieces that all names have, like a common beginning, bring no pairs
+    together. A mention looks for names of each length that occurs."""
     near = _variants(rows, "key", "la", "lb", least).join(_variants(names, "name", "lb", "la", least), ["g", "la", "lb", "block"])
     width = gram_width(least)
-    of_names = _grams(names, "name", width, least)
-    counts = of_names.groupBy("g", "block").agg(F.count("*").alias("often"))
-    left = _rarest(_grams(rows, "key", width, least), counts, "key", []).withColumnRenamed("n", "la")
-    right = _rarest(of_names, counts, "name", ["entity_id"]).withColumnRenamed("n", "lb")
-    fits = (_common(F.col("la"), F.col("lb"), least) <= F.least("la", "lb")) & ~_near(F.col("la"), F.col("lb"), least)
-    far = left.join(right, ["g", "block"]).where(fits)
+    n = F.length("name")
+    known = names.withColumn("lb", n).withColumn("most", F.array_max(F.transform(_reach(n, least), lambda m: _spoilt(n, m, width, least)))).where("most IS NOT NULL")
+    asked = rows.withColumn("lb", F.explode(_reach(F.length("key"), least))).withColumn("most", _spoilt(F.length("key"), F.col("lb"), width, least))
+    asked = asked.where("most IS NOT NULL").join(known.select("g", "lb").distinct(), ["g", "lb"], "left_semi")
+    known = _grams(known, "name", width)
+    counts = known.groupBy("g", "lb", "block").agg(F.count("*").alias("often"))
+    far = _rarest(_grams(asked, "key", width), counts, "key", []).join(_rarest(known, counts, "name", ["entity_id"]), ["g", "lb", "block"])
     columns = ["key", "g", "name", "entity_id"]
     return near.select(*columns).unionByName(far.select(*columns)).distinct()
 

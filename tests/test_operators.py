@@ -308,7 +308,9 @@ def test_fuzzy_of_long_names_equals_all_pairs(spark):
         want = {(k, n) for k in keys for n in names if k and n and SequenceMatcher(None, k, n).ratio() >= least}
         assert want <= found and len(want) > 60, least
     assert resolve.gram_width(0.92) == 4 and resolve.gram_width(0.4) == 1
-    index = resolve._rarest(resolve._grams(known, "name", 4, 0.92), spark.createDataFrame([], "g string, block long, often long"), "name", ["entity_id"])
+    sized = known.where("length(name) > 12").withColumn("lb", F.length("name"))
+    most = F.array_max(F.transform(resolve._reach(F.length("name"), 0.92), lambda m: resolve._spoilt(F.length("name"), m, 4, 0.92)))
+    index = resolve._rarest(resolve._grams(sized.withColumn("most", most), "name", 4), spark.createDataFrame([], "g string, lb int, block long, often long"), "name", ["entity_id"])
     assert all(r["count"] <= 0.7 * len(r["name"]) for r in index.groupBy("name").count().collect())  # linear in the length
 
 
