@@ -6,11 +6,13 @@ Items are partitioned by the power of two below their number of shingles. Each i
 bottom-k of its shingles in the order of a hash, with k one more than the shingles that a document
 may lack at THRESHOLD, taken at its partition's largest size; so a document that contains the item
 holds at least one of them, and nothing is lost. Every position of every document is probed against
-these sketches; the pairs found are verified on the shingles themselves.
+these sketches. Documents with a candidate are verified on the shingles themselves: each shingle, as text, meets
+those of the candidate items once, and hits are counted before the shuffle, so no document is copied for each item.
 
 Null and empty texts have no shingles: such items are in no document, such documents hold none.
-Rows that repeat give pairs that repeat once. Empty tables give an empty result. The sketches are
-broadcast if they are at most BROADCAST_ROWS; beyond that the join is left to the session.
+Rows that repeat give pairs that repeat once; of several texts under one id each counts by itself, and the best is given.
+Empty tables give an empty result. The sketches are broadcast if they are at most BROADCAST_ROWS, the shingles of
+candidate items if at most BROADCAST_GRAMS; beyond that the joins are left to the session.
 """
 
 from __future__ import annotations
@@ -18,7 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORDS, THRESHOLD, BROADCAST_ROWS = 5, 0.8, 500_000
+from claimweave.session import materialize
+
+WORDS, THRESHOLD, BROADCAST_ROWS, BROADCAST_GRAMS = 5, 0.8, 500_000, 200_000
 GAP = r"[^\p{L}\p{N}]+"
 
 
@@ -69,15 +73,16 @@ def contained(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         hashes = F.concat(*[_shingles(w, _hashed) for w in widths])
     probes = words.select("doc_id", F.explode(hashes).alias("h"))
     found = probes.join(F.broadcast(sketches) if small else sketches, "h").select("doc_id", "item_id").distinct()
-    wanted = found.groupBy("doc_id").agg(F.collect_set("item_id").alias("items"))
-    texts = rows.join(wanted, "doc_id").select("doc_id", "items", _words(F.col("text")).alias("w"))
+    found = materialize(found, "candidates")
+    whole = items.join(found.select("item_id").distinct(), "item_id", "left_semi").select("item_id", "n", F.explode("grams").alias("gram"))
+    texts = rows.join(found.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.xxhash64("text").alias("version"), _words(F.col("text")).alias("w"))
     grams = F.concat(*[_shingles(w, _joined) for w in widths])
-    pairs = texts.select("doc_id", "items", F.array_distinct(grams).alias("has")).select("doc_id", "has", F.explode("items").alias("item_id"))
-    own = items.select("item_id", "n", "grams").join(found.select("item_id").distinct(), "item_id", "left_semi")
-    both = pairs.join(own, "item_id").select("doc_id", "item_id", F.size(F.array_intersect("grams", "has")).alias("shared"), "n")
-    both = both.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("shared") / F.col("n")).alias("containment"), "shared")).alias("x"))  # repeated ids
-    out = both.select("doc_id", "item_id", F.col("x.shared").cast("long").alias("n_shared"), F.col("x.containment").alias("containment"))
-    return out.where(F.col("containment") >= THRESHOLD)
+    has = texts.select("doc_id", "version", F.explode(F.array_distinct(grams)).alias("gram"))
+    hits = has.join(F.broadcast(whole) if whole.count() <= BROADCAST_GRAMS else whole, "gram")
+    versions = hits.groupBy("doc_id", "version", "item_id").agg(F.count_distinct("gram").alias("shared"), F.max("n").alias("n"))
+    both = versions.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("shared") / F.col("n")).alias("containment"), "shared")).alias("x"))
+    both = both.where(F.col("x.containment") >= THRESHOLD).join(found, ["doc_id", "item_id"], "left_semi")
+    return both.select("doc_id", "item_id", F.col("x.shared").cast("long").alias("n_shared"), F.col("x.containment").alias("containment"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
