@@ -6,17 +6,20 @@ once, on the document of least id that has it; the rest of each text is encoded
 parts are joined.
 
 A join is trusted if both sides agree that tokens can't cross it: a blank on the left and an
-ordinary visible character on the right. Chunks are cut at such joins only, so that none is left to be repaired by
-encoding anew. Within a stretch between blanks
+ordinary visible character on the right. At any other join a window of stretches over it is encoded anew and widened until
+its ends agree with what stands on both sides and a wider one changes nothing; its ids replace those about the join.
+
+Files that lower-case and drop blanks, like the registered one, have trusted joins, and within a stretch between blanks
 encoding doesn't depend on what lies outside, so words are remembered by each worker as well, in a
-memory that is emptied by half when it is full.
+memory that is emptied by half when it is full. With other files all joins are repaired, and no words are remembered.
 
-Both hold for the registered file, which lower-cases and drops blanks; ids and texts are those of the tokenizers library. Null texts
-count as empty: no tokens, and the digests of the empty text. Rows that repeat are one row each.
+Ids and texts are those of the tokenizers library. Null texts count as empty: no tokens, and the digests of the empty text.
+Rows that repeat are one row each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -41,14 +44,12 @@ FOLLOW[0xC3:0xCA] = True
 
 
 def cut_all(raws: list[bytes]) -> list[list[int]]:
-    """For each text, where its chunks start, after 0: behind a blank, at a character that may follow a trusted join.
-
-    Places that a join can't be trusted at aren't cut, which is the repair by merging."""
+    """For each text, where its chunks start, after 0: behind blanks where the hash of the bytes before hits."""
     out: list[list[int]] = [[] for _ in raws]
     b = np.frombuffer(b"\n".join(raws), np.uint8)
     if len(b) <= WINDOW:
         return out
-    at = np.flatnonzero(BLANKS[b[WINDOW - 1 : -1]] & FOLLOW[b[WINDOW:]]) + WINDOW
+    at = np.flatnonzero(BLANKS[b[WINDOW - 1 : -1]] & ~BLANKS[b[WINDOW:]]) + WINDOW
     h = np.zeros(len(at), np.uint64)
     for j in range(1, WINDOW + 1):
         h = (h ^ b[at - j]) * np.uint64(0x100000001B3)
@@ -88,6 +89,8 @@ class Coder:
         self.names = {i: t for t, i in vocabulary.items()}
         self.numbers = {i: str(i) for i in self.names}
         self.kind = "<u2" if max(self.names) < 65536 else "<u4"
+        rules = json.loads(self.tokenizer.to_str())
+        self.by_words = '"Lowercase"' in json.dumps(rules["normalizer"]) and '"Removed"' in json.dumps(rules["pre_tokenizer"])
         self.plain = self.tokenizer.decoder is None  # then decode() joins tokens by a blank
         self.ids: dict[str, str] = {}
         self.tokens: dict[str, str] = {}
@@ -107,6 +110,10 @@ class Coder:
 
     def encode(self, pieces: list[list[str]]) -> Iterator[tuple[str, str]]:
         """For each list of words: their ids, and their tokens, as text."""
+        if not self.by_words:
+            for words in pieces:
+                yield self.text_of(self.direct("".join(words)))
+            return
         i = 0
         while i < len(pieces):
             need: set[str] = set()
@@ -122,12 +129,57 @@ class Coder:
                 yield " ".join(map(self.ids.__getitem__, words)), " ".join(map(self.tokens.__getitem__, words))
             i = j
 
+    def words(self, text: str) -> list[str]:
+        return words_of(text) if self.by_words else [text]
+
+    def direct(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def text_of(self, ids: list[int]) -> tuple[str, str]:
+        return " ".join([self.numbers[i] for i in ids]), " ".join([self.names[i] for i in ids])
+
+    def trusted(self, raw: bytes, at: int) -> bool:
+        return self.by_words and bool(BLANKS[raw[at - 1]] and FOLLOW[raw[at]])
+
+    def repaired(self, raw: bytes, starts: list[int], parts: list[list[int]]) -> list[int]:
+        """The ids of a text from those of its parts, of which each begins at one of ``starts``."""
+        out = parts[0]
+        for at, end, part in zip(starts[1:], [*starts[2:], len(raw)], parts[1:]):
+            out = out + part if self.trusted(raw, at) else self.joined(raw, at, end, out, part)
+        return out
+
+    def joined(self, raw: bytes, at: int, end: int, left: list[int], right: list[int]) -> list[int]:
+        """The ids of ``raw`` up to ``end`` from those up to and behind ``at``."""
+        wide, before = 1, None
+        while True:
+            i, j = stretches_before(raw, at, wide), stretches_behind(raw, at, end, wide)
+            head, tail = raw[i:at].decode("utf-8", "surrogatepass"), raw[at:j].decode("utf-8", "surrogatepass")
+            both = self.direct(head + tail)
+            # How many ids at the window's ends are its own fault, and not found outside; one more must agree.
+            skip = more = 0
+            start, rest, agree = [], [], True
+            if i:
+                own = self.direct(head)
+                same = alike(own[::-1], left[::-1])
+                skip = len(own) - same
+                start, agree = left[: len(left) - same], alike(own, both) > skip
+            if j < end:
+                own = self.direct(tail)
+                same = alike(own, right)
+                more = len(own) - same
+                rest, agree = right[same:], agree and alike(own[::-1], both[::-1]) > more
+            if agree and skip + more <= len(both):
+                now = start + both[skip : len(both) - more] + rest
+                if now == before or (not i and j >= end):
+                    return now
+                before = now
+            wide *= 2
+
     def pack(self, ids: str) -> bytes:
         return np.array(ids.split(), dtype=self.kind).tobytes()
 
     def unpack(self, packed: bytes) -> tuple[str, str]:
-        ids = np.frombuffer(packed, self.kind).tolist()
-        return " ".join([self.numbers[i] for i in ids]), " ".join([self.names[i] for i in ids])
+        return self.text_of(np.frombuffer(packed, self.kind).tolist())
 
 
 @lru_cache(maxsize=2)
@@ -135,6 +187,28 @@ def coder(path: str) -> Coder:
     return Coder(path)
 
 
+def alike(a: list[int], b: list[int]) -> int:
+    """How many ids at the start are the same."""
+    return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def stretches_before(raw: bytes, at: int, n: int) -> int:
+    """Where the nth stretch between blanks before a place starts."""
+    for _ in range(n):
+        at = len(raw[:at].rstrip(b" \t\n"))
+        at = 1 + max(raw.rfind(b" ", 0, at), raw.rfind(b"\t", 0, at), raw.rfind(b"\n", 0, at))
+        if not at:
+            break
+    return at
+
+
+def stretches_behind(raw: bytes, at: int, end: int, n: int) -> int:
+    """Where the nth stretch behind a place ends, or ``end``."""
+    ends = [x.end() for x in islice(STRETCH.finditer(raw, at, end), n)]
+    return ends[-1] if len(ends) == n else end
+
+
+STRETCH = re.compile(rb"[^ \t\n]+")
 BREAK = re.compile(r"[ \t\n]+")
 #: A comma or full stop alone behind a letter is a token of its own, so it is remembered apart from the word.
 STOP = re.compile(r"(?<=[^\W\d_])(?=[,.](?:\s|$))")
@@ -200,7 +274,7 @@ def shared_chunks(docs: DataFrame, path: str) -> DataFrame:
             for parts, keys in zip(chunk_all(batch["text"].tolist()), batch["keys"]):
                 want = set(keys)
                 found |= {k: c for c in parts if len(c) >= LEAST and (k := chunk_key(c)) in want}
-            coded = own.encode([words_of(c.decode("utf-8", "surrogatepass")) for c in found.values()])
+            coded = own.encode([own.words(c.decode("utf-8", "surrogatepass")) for c in found.values()])
             yield pd.DataFrame({"key": list(found), "ids": [own.pack(i) for i, _ in coded]})
 
     coded = docs.join(wanted, "doc_id").select("text", "keys").mapInPandas(run, "key binary, ids binary")
@@ -226,27 +300,34 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False) -> Data
             plans, fresh = [], []
             for i, (text, shared) in enumerate(zip(texts, batch["shared"])):
                 if i not in parts_of:
-                    plans.append([len(fresh)])
-                    fresh.append(words_of(text))
+                    plans.append([(0, len(fresh))])
+                    fresh.append(own.words(text))
                     continue
                 have = {bytes(x["key"]): bytes(x["ids"]) for x in shared}
-                plan, rest = [], []
+                plan, rest, at = [], [], 0
                 for c in [*parts_of[i], None]:
                     ids = have.get(chunk_key(c)) if c is not None and len(c) >= LEAST else None
                     if (ids is not None or c is None) and rest:
-                        plan.append(len(fresh))
-                        fresh.append(words_of(b"".join(rest).decode("utf-8", "surrogatepass")))
+                        between = b"".join(rest)
+                        plan.append((at - len(between), len(fresh)))
+                        fresh.append(own.words(between.decode("utf-8", "surrogatepass")))
                         rest = []
                     if ids is not None:
-                        plan.append(ids)
+                        plan.append((at, ids))
                     elif c is not None:
                         rest.append(c)
+                    at += len(c or b"")
                 plans.append(plan)
             coded = own.encode(fresh)
             out = []
-            for plan in plans:
-                both = [x for x in (next(coded) if isinstance(part, int) else own.unpack(part) for part in plan) if x[0]]
-                joined, decoded = " ".join([x for x, _ in both]), " ".join([x for _, x in both])
+            for text, plan in zip(texts, plans):
+                both = [next(coded) if isinstance(part, int) else own.unpack(part) for _, part in plan]
+                starts = [at for at, _ in plan]
+                raw = text.encode("utf-8", "surrogatepass") if len(plan) > 1 else b""
+                if all(own.trusted(raw, at) for at in starts[1:]):
+                    joined, decoded = " ".join([x for x, _ in both if x]), " ".join([x for _, x in both if x])
+                else:
+                    joined, decoded = own.text_of(own.repaired(raw, starts, [[int(i) for i in x.split()] for x, _ in both]))
                 if not own.plain:
                     decoded = own.tokenizer.decode([int(i) for i in joined.split()], skip_special_tokens=False)
                 row = (joined.count(" ") + 1 if joined else 0, sha256(joined.encode()).hexdigest(), sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())

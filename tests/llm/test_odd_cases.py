@@ -1,9 +1,13 @@
 """Cases that single operators had wrong, and ties and repeats that no other test has."""
 
+import hashlib
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from claimweave.llm import langid, licenses
+from claimweave.llm import bpe, decontaminate, langid, licenses
 
 
 @pytest.mark.parametrize("text", ["½ ②", "² ³", "123 ½", "", "٣٤ _ 7", "Ⅷ½"[1:]])
@@ -29,3 +33,59 @@ def test_licenses_of_ties_and_repeated_paths(spark):
     assert licenses.scan(files.limit(0), True).count() == 0
     clash = files.withColumns({c: F.lit("?") for c in ("term", "df", "line", "words", "license", "score")})
     assert licenses.scan(clash, True, ("n",)).count() == len(rows)
+
+
+def path_of(name):
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+BITS = ["a", "B", "'s", "é", "\u0301", " ", " ", " ", "\n", "\t", "\u3000", "İ", "Σ", "½", "…", "日", "🙂", "\u200d", "<|endoftext|>", "\x00", "\r", "\x85", "ᄀ", "ᅡ", " the ", ",", "<|", "|>", "\x1c", "1", " don", "'t"]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_chunk_joins_are_repaired_to_the_ids_of_the_whole(name):
+    """Texts cut behind every run of blanks, each part encoded alone, the parts joined."""
+    rng, own, wrong = random.Random(6), bpe.Coder(path_of(name)), 0
+    for _ in range(1500):
+        text = "".join(rng.choice(BITS) for _ in range(rng.randrange(1, 40)))
+        raw = text.encode()
+        starts = [0, *(m.end() for m in re.finditer(rb"[ \t\n]+", raw) if 0 < m.end() < len(raw))]
+        parts = [own.direct(raw[i:j].decode()) for i, j in zip(starts, [*starts[1:], len(raw)])]
+        want = own.direct(text)
+        wrong += sum(parts, []) != want
+        assert own.repaired(raw, starts, parts) == want, repr(text)
+    assert wrong > 1000 or name.startswith("word")  # these tokens hold the blank before a word
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_bpe_of_any_file_with_shared_odd_passages_and_repeated_ids(spark, name):
+    from tokenizers import Tokenizer
+
+    rng, tokenizer = random.Random(8), Tokenizer.from_file(path_of(name))
+    shared = ["".join(rng.choice(BITS) + rng.choice(["", " ", "\n"]) for _ in range(6000)) for _ in range(2)]
+    rows = [(i, f"own {i} " + shared[i % 2] + f" end {i}") for i in range(8)] + [(3, "another text of 3"), (3, "another text of 3"), (20, None), (21, ""), (None, shared[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit(1)).withColumn("shared", F.lit("x"))
+    got = sorted((str(r.doc_id), r.ids, r.n_tokens, r.decoded_sha256) for r in bpe.encode_documents(docs, path_of(name), keep_ids=True).collect())
+    want = []
+    for i, t in rows:
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids
+        decoded = tokenizer.decode(ids, skip_special_tokens=False)
+        want.append((str(i), " ".join(map(str, ids)), len(ids), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()))
+    assert got == sorted(want)
+    assert bpe.shared_chunks(docs, path_of(name)).count() >= 8
+    assert bpe.encode_documents(docs.limit(0), path_of(name)).count() == 0
+
+
+def test_contamination_of_repeated_rows_and_ids(spark):
+    """Rows that repeat count once, of two texts under one id the better counts, items may share a passage, null ids are in no pair."""
+    words = [f"w{i}" for i in range(60)]
+    item, other = " ".join(words[:30]), " ".join(words[10:40])
+    bench = spark.createDataFrame([(1, item), (1, item), (2, other), (None, item)], "item_id long, text string")
+    halves = [" ".join(words[:18]), " ".join(words[14:30])]  # 26 shingles together, of which neither has 0.8
+    rows = [(1, f"x {item} y {item}")] * 3 + [(2, halves[0]), (2, halves[1]), (3, "nothing"), (3, item), (None, item), (4, None), (5, " ".join(words))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit(7)).withColumn("n", F.lit(7))
+    got = sorted((r.doc_id, r.item_id, r.n_shared) for r in decontaminate.contained(docs, bench).collect())
+    assert got == [(1, 1, 26), (3, 1, 26), (5, 1, 26), (5, 2, 26)]
+    assert decontaminate.contained(docs.limit(0), bench).count() == 0
