@@ -286,6 +286,66 @@ def test_fuzzy_lines_against_brute_force(spark):
     assert set(lines) - stay <= {a for a, _ in want} | {b for _, b in want}
 
 
+def test_lines_of_shared_edits_meet_by_bitmaps(spark, monkeypatch):
+    """Lines with 5 edits each from a pool of 40, so that no shingle is private, and with near copies: few pairs are read, and no link of lines that share a key is lost."""
+    rng = random.Random(77)
+    base, pool = words(rng, 34, 10_000), [(rng.randrange(200), rng.choice("QXZ")) for _ in range(40)]
+    lines = []
+    for i in range(150):
+        chars = list(base)
+        for at, c in rng.sample(pool, 5):
+            chars[at % len(chars)] = c
+        lines.append("".join(chars))
+        if i % 10 == 0:
+            lines.append("".join(chars[:-1]))
+    lines = list(dict.fromkeys(lines))
+    read, verify = [], linededup.verify
+
+    def counted(pairs, texts):
+        read.append(pairs.count())
+        return verify(pairs, texts)
+
+    monkeypatch.setattr(linededup, "verify", counted)
+    out = {r.doc_id: r.text for r in linededup.line_dedup(docs(spark, list(enumerate(lines)))).collect()}
+    sets, keys = [linededup.grams(x) for x in lines], [set(k.tolist()) for k in linededup.line_keys(lines)]
+    root = list(range(len(lines)))
+    close = 0
+    for i in range(len(lines)):
+        for j in range(i):
+            if keys[i] & keys[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                close += 1
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    assert {i for i, t in out.items() if t} == {i for i, r in enumerate(root) if i == r}
+    print(f"{sum(read)} pairs read, {close} links, {len(lines)} lines")
+    assert sum(read) < len(lines) * (len(lines) - 1) / 2 * 0.1
+
+
+def test_line_bitmaps_bound_what_lines_share():
+    """At the threshold itself the bound lets a pair through; bits in one bitmap only are no more than shingles in one line only."""
+    rng = random.Random(3)
+    lines = [words(rng, n, 400) for n in (4, 9, 30, 120, 500) for _ in range(4)]
+    lines += [x[: 4 * len(x) // 5] for x in lines] + ["a" * 30, "短い行" * 9]
+    sizes, bits = linededup.bitmaps(lines)
+    for i, x in enumerate(lines):
+        assert sizes[i] == len(linededup.grams(x))
+        for j, y in enumerate(lines):
+            apart = sum(bin((int(p) ^ int(q)) & (2**64 - 1)).count("1") for p, q in zip(bits[i], bits[j]))
+            assert apart <= len(linededup.grams(x) ^ linededup.grams(y))
+            assert (apart == 0) == (x == y) or sizes[i] > 1000
+
+
+def test_lines_whose_first_pairs_drop_out_still_link(spark):
+    """The least line of a bucket is strange to the others by its own words; those still meet each other."""
+    rng = random.Random(12)
+    shared = words(rng, 60, 10_000)
+    rows = [(i, f"{shared} {words(rng, 60, 10_000)}") for i in range(40)]
+    for i in range(40):
+        rows.append((100 + i, rows[i][1][:-3] + "end"))
+    out = {r.doc_id: r.text for r in linededup.line_dedup(docs(spark, rows)).collect()}
+    assert {i for i, t in out.items() if t} == set(range(40))
+
+
 def test_short_lines(spark):
     rows = [(1, "two words\nok\n \n目次"), (2, "two words\nok\n \n目次\ntwo word")]
     got = {r.doc_id: r.text for r in linededup.line_dedup(docs(spark, rows)).collect()}
