@@ -321,6 +321,39 @@ def test_lines_of_shared_edits_meet_by_bitmaps(spark, monkeypatch):
     assert sum(read) < len(lines) * (len(lines) - 1) / 2 * 0.1
 
 
+def test_lines_run_without_python_and_write_links_only(spark, monkeypatch):
+    """A crowd of lines just under the threshold: the last round writes its links alone, and no plan runs Python on the executors."""
+    rng = random.Random(78)
+    base = words(rng, 60, 10_000)
+    lines = [base]
+    for _ in range(120):
+        chars = list(base)
+        for at in rng.sample(range(len(chars)), 6):
+            chars[at] = rng.choice("QXZ")
+        lines.append("".join(chars))
+    written, plans, links_left, materialize = [], [], linededup.links_left, linededup.materialize
+
+    def counted(*args):
+        links = links_left(*args)
+        written.append(links.count())
+        return links
+
+    def seen(df, label):
+        plans.append(df._jdf.queryExecution().toString())
+        return materialize(df, label)
+
+    monkeypatch.setattr(linededup, "links_left", counted)
+    monkeypatch.setattr(linededup, "materialize", seen)
+    out = linededup.line_dedup(docs(spark, list(enumerate(lines))))
+    plans.append(out._jdf.queryExecution().toString())
+    assert plans and not any(x in p for p in plans for x in ("Python", "Pandas", "Arrow"))
+    sets = [linededup.grams(x) for x in lines]
+    close = sum(len(x & y) >= 0.8 * len(x | y) for i, x in enumerate(sets) for y in sets[:i])
+    print(f"{written} pairs written, {close} links of {len(lines)} lines")
+    assert len(written) == 1 and written[0] <= close
+    assert {t for t in (r.text for r in out.collect()) if t} <= set(lines)
+
+
 def test_line_bitmaps_bound_what_lines_share():
     """At the threshold itself the bound lets a pair through; bits in one bitmap only are no more than shingles in one line only."""
     rng = random.Random(3)
