@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pytest
 
-from claimweave.operators import confidence, conflicts
+from claimweave.operators import confidence, conflicts, lookups
 from claimweave.plans import catalog, projection
 from claimweave.plans.projection import BASE, PROJECTION, Model
 from claimweave.session import materialize
@@ -69,7 +69,7 @@ WHOLE = {"pieces", "evidence", "adjudicated"}
 NO_EDGES = ("conflicts_refreshed",)
 
 
-@pytest.mark.parametrize("name", (*NO_EDGES))
+@pytest.mark.parametrize("name", (*NO_EDGES, "entity_stats"))
 def test_queries_write_no_table_that_they_do_not_read(spark, name):
     """All evidence is written by none of them; all interactions only by those that go over them."""
     projection.forget()
@@ -79,6 +79,15 @@ def test_queries_write_no_table_that_they_do_not_read(spark, name):
     assert ("interactions" in kept) == (name not in NO_EDGES)
 
 
+def test_entity_stats_by_counts_of_interactions(spark):
+    edges = spark.createDataFrame([("x", "a", "b", 2), ("y", "a", "a", 3), ("z", "b", "c", 1)], "id string, entity_a string, entity_b string, evidence_count long")
+    evidence = spark.createDataFrame([("x",), ("x",), ("y",), ("y",), ("y",), ("z",)], "interaction_id string")
+    clash = spark.createDataFrame([("x", "open"), ("x", "reopened"), ("y", "open"), ("z", "resolved")], "interaction_a string, status string")
+    want = {("a", 5, 3), ("b", 3, 2), ("c", 1, 0)}
+    for got in (lookups.entity_stats(edges, evidence, clash), lookups.entity_stats(edges, None, clash), lookups.entity_stats(edges, None, clash, edges.where("id != 'z'"))):
+        assert {tuple(r) for r in got.collect()} == want
+
+
 def test_written_copies_leave_no_shuffle_files(spark):
     folders = [Path(str(d)) for d in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
     files = lambda: {f for d in folders for f in d.rglob("shuffle_*.data")}
