@@ -66,7 +66,7 @@ def test_all_conflicts_are_between_contested_claims(spark, odd):
 
 
 WHOLE = {"pieces", "evidence", "adjudicated"}
-NO_EDGES = ("conflicts_refreshed", "conflict_view", "verification_phase", "conflict_hubs", "conflict_view_entity", "verification_candidates", "conflicts_resolved", "conflict_outcomes",)
+NO_EDGES = ("conflicts_refreshed", "conflict_view", "verification_phase", "conflict_hubs", "conflict_view_entity", "verification_candidates", "conflicts_resolved", "conflict_outcomes", "conflicts_analysed",)
 
 
 @pytest.mark.parametrize("name", (*NO_EDGES, "entity_stats", "targeted_queries"))
