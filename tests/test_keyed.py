@@ -69,7 +69,7 @@ WHOLE = {"pieces", "evidence", "adjudicated"}
 NO_EDGES = ("conflicts_refreshed", "conflict_view", "verification_phase", "conflict_hubs", "conflict_view_entity", "verification_candidates", "conflicts_resolved", "conflict_outcomes", "conflicts_analysed",)
 
 
-@pytest.mark.parametrize("name", (*NO_EDGES, "entity_stats", "targeted_queries", "paths", "degree_by_direction"))
+@pytest.mark.parametrize("name", (*NO_EDGES, "entity_stats", "targeted_queries", "paths", "degree_by_direction", "evidence_drawer"))
 def test_queries_write_no_table_that_they_do_not_read(spark, name):
     """All evidence is written by none of them; all interactions only by those that go over them."""
     projection.forget()
