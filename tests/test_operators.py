@@ -6,7 +6,7 @@ from collections import deque
 import pytest
 from pyspark.sql import functions as F
 
-from claimweave.functions import text, vocab
+from claimweave.functions import output, text, vocab
 from claimweave.operators import confidence, conflicts, graph, lookups, planner, resolve
 from claimweave.sources import sinks, tabular
 from claimweave.streaming import ingest
@@ -352,3 +352,25 @@ def test_empty_tables(spark):
     assert lookups.degree(none).count() == 0
     assert graph.propagate(graph.arcs(none, nodes(spark, ["A"])), ["A"], ("suppress",), 2).count() == 0
     assert confidence.strongest(none, 5).count() == 0
+
+
+def test_output_is_gone_over_once(spark):
+    """Parsing isn't done again for snippets that need a comparison; whole objects aren't scanned for brackets."""
+    said = '{"interactions": [{"entity_a": "a", "entity_b": "b", "snippet": "%s", "organism": " Danio Rerio "}, {"entity_a": "a", "entity_b": "b", "snippet": "%s"}]}'
+    snippets = ("a stimulates b in liver cells", "there is nothing like this here")
+    rows = spark.createDataFrame([("p", said % (snippets[0], snippets[1]), "It is shown that a stimulates b, in liver cells"), ("q", said % (snippets[1], snippets[0]), "It is shown that a stimulates b, in liver cells"), ("r", None, "x")], "paper_id string, said string, text string")
+    found = output.interactions(output.parse_calls(rows, "said"))
+    assert {(r.paper_id, r.confidence_score) for r in found.collect()} == {("p", 0.3), ("q", 0.3)}
+    levels = text.snippets_supported(rows.select("paper_id", F.lit(snippets[0]).alias("snippet"), "text"))
+    assert {(r.paper_id, r.found) for r in levels.collect()} == {("p", True), ("q", True), ("r", False)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and "MapInPandas" not in plan and plan.count("ArrowEvalPython") == 2
+
+
+def test_whole_objects_are_read_as_repaired_ones_are(monkeypatch):
+    tried = []
+    monkeypatch.setattr(text, "closed", lambda body: tried.append(body))
+    assert text.repair('see {"b": ["}", {"a": "\\\\"}], "a": NaN} and {') == '{"a": NaN, "b": ["}", {"a": "\\\\"}]}' and not tried
+    assert output.arguments('<tool_call>{"name": "x", "arguments": "{\\"b\\": 1, \\"a\\": 2}"}</tool_call>') == '{"a": 2, "b": 1}' and not tried
+    text.repair('{"a": [1')
+    assert tried == ['{"a": [1']
