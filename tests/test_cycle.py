@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimweave.config import Config
-from claimweave.operators import confidence, conflicts
+from claimweave.operators import confidence, conflicts, resolve
 from claimweave.sources.buckets import Tables
 from claimweave.streaming import cycle
 
@@ -128,3 +128,23 @@ def test_stream_and_empty_batch(spark, tmp_path):
     cycle.stream(spark, source, folder, SETTINGS, buckets=4).awaitTermination()
     t = cycle.tables(spark, folder, 4)
     assert t.last >= 0 and t.read("evidence").count() > 10
+
+
+def test_plans_of_a_batch_are_cut(spark, tmp_path, monkeypatch):
+    """The driver holds one plan at a time, and none of them has the steps before it."""
+    sizes, write = [], Tables.put
+
+    def noted(df, label, plain=cycle.materialize):
+        sizes.append((len(df._jdf.queryExecution().optimizedPlan().toString().splitlines()), label))
+        return plain(df, label)
+
+    def put(self, n, name, rows, only):
+        sizes.append((len(rows._jdf.queryExecution().optimizedPlan().toString().splitlines()), name))
+        write(self, n, name, rows, only)
+
+    for module in (cycle, conflicts, resolve):
+        monkeypatch.setattr(module, "materialize", noted)
+    monkeypatch.setattr(Tables, "put", put)
+    for n in range(2):
+        cycle.run_batch(cycle.tables(spark, str(tmp_path), 4), claims(spark, n), n, SETTINGS, verdicts)
+    assert max(sizes)[0] < 400, max(sizes)
